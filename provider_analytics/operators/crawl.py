@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.phones import phone_e164
 from ..functions.text import slugify, title_case, xml_escape
 from .filters import published
-from .skew import top_per_group
+from .skew import reuse, top_per_group
 
 # Provincial capitals with their province codes, in priority order.
 CAPITALS = [
@@ -101,31 +101,29 @@ def infer_province(cities: DataFrame, capitals: DataFrame, extras: DataFrame) ->
     of four letters or more inside the city and district names, the earlier capital on equal length.
 
     Containment is an equality join on the substrings of distinct (comune, district) texts."""
-    distinct = cities.select("comune", "district").distinct().withColumn("key", slugify(F.col("comune")))
+    named = cities.withColumn("_d", F.coalesce("district", F.lit("")))
+    distinct = named.select("comune", "_d").distinct().withColumn("key", slugify(F.col("comune")))
     known = _capital_keys(capitals).select("key", F.col("capital_province").alias("_a"))
     listed = extras.select(slugify(F.col("name")).alias("key"), F.col("province").alias("_b")).dropDuplicates(["key"])
-    blob = slugify(F.concat_ws(" ", F.trim("comune"), F.coalesce("district", F.lit(""))))
     size = F.length("_blob")
-    substrings = distinct.withColumn("_blob", blob).filter("length(_blob) >= 4").select(
-        "comune", "district",
+    substrings = distinct.withColumn("_blob", slugify(F.concat_ws(" ", F.trim("comune"), F.col("_d")))).filter(
+        "length(_blob) >= 4"
+    ).select(
+        "comune", "_d",
         F.explode(F.array_distinct(F.flatten(F.transform(
             F.sequence(F.lit(1), size - 3),
             lambda i: F.transform(F.sequence(F.lit(4), size - i + 1), lambda n: F.col("_blob").substr(i, n)),
         )))).alias("needle"),
     )
     needles = capitals.select(slugify(F.col("name")).alias("needle"), "province", "pos").filter("length(needle) >= 4")
-    inside = substrings.join(needles, "needle").groupBy("comune", "district").agg(
+    inside = substrings.join(needles, "needle").groupBy("comune", "_d").agg(
         F.max_by("province", F.struct(F.length("needle"), -F.col("pos"))).alias("_c")
     )
-    same = (distinct["comune"].eqNullSafe(inside["comune"])) & (distinct["district"].eqNullSafe(inside["district"]))
     resolved = (
-        distinct.join(known, "key", "left").join(listed, "key", "left")
-        .join(inside, same, "left")
-        .select(distinct["comune"], distinct["district"], F.coalesce("_a", "_b", "_c").alias("province"))
-    ).alias("r")
-    return cities.alias("c").join(
-        resolved, F.col("c.comune").eqNullSafe(F.col("r.comune")) & F.col("c.district").eqNullSafe(F.col("r.district")), "left"
-    ).select("c.*", "r.province")
+        distinct.join(known, "key", "left").join(listed, "key", "left").join(inside, ["comune", "_d"], "left")
+        .select("comune", "_d", F.coalesce("_a", "_b", "_c").alias("province"))
+    )
+    return named.join(resolved, ["comune", "_d"], "left").drop("_d")
 
 
 def city_aggregates(providers: DataFrame, min_providers: int) -> DataFrame:
@@ -150,7 +148,8 @@ def city_inventory(providers: DataFrame, capitals: DataFrame, extras: DataFrame,
     both = listed.unionByName(counted).withColumn("key", slugify(F.col("name"))).join(keys, "key", "left").withColumn(
         "path", city_path(F.coalesce("capital_name", "name"), F.col("province"))
     ).withColumn("location_slug", location_slug(F.col("name"), F.col("province"))).drop("key", "capital_name")
-    return top_per_group(both, ["path"], [F.col("providers").desc(), F.col("_listed"), F.col("name")], 1).drop("_listed")
+    # A few thousand rows at most (one per comune of a country), read by several URL lists.
+    return reuse(top_per_group(both, ["path"], [F.col("providers").desc(), F.col("_listed"), F.col("name")], 1).drop("_listed"))
 
 
 def province_rollup(cities: DataFrame, capitals: DataFrame) -> DataFrame:
@@ -341,8 +340,10 @@ def cross_links(cities: DataFrame, capitals: DataFrame, neighbours: DataFrame, l
     province = base.select("name", "province", F.lit("province").alias("kind"), F.lit(0).cast("bigint").alias("rank"),
                            province_path(F.col("province")).alias("href"))
     near = neighbour_cities(base.select(F.col("province").alias("place")), capitals, neighbours, limit_cities)
-    around = base.join(near, base["province"] == near["place"]).select(
-        base["name"], base["province"], F.lit("city").alias("kind"), "rank", city_path(near["name"], F.col("near_province")).alias("href")
+    around = base.join(
+        near.select(F.col("place").alias("province"), "rank", F.col("name").alias("near_name"), "near_province"), "province"
+    ).select(
+        "name", "province", F.lit("city").alias("kind"), "rank", city_path(F.col("near_name"), F.col("near_province")).alias("href")
     )
     services = F.array(*[F.lit(slug) for slug, _ in LOCAL_SERVICES[:limit_services]])
     local = base.select("name", "province", F.posexplode(services).alias("_p", "slug")).select(

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import RADIUS_STEPS_KM, distance_km, in_bbox
 from . import ranking
 from .filters import ilike_search, published
 from .geojoin import nearest_within, neighbours
-from .skew import salted_join, top_per_group
+from .skew import reuse, salted_join, top_per_group
 from .ranking import CANDIDATE_CAP, PAGE_SIZE
 
 
@@ -28,11 +28,23 @@ def best_review_summary(summaries: DataFrame) -> DataFrame:
     )
 
 
+def provider_figures(provider_services: DataFrame, summaries: DataFrame) -> DataFrame:
+    """What ranking needs to know of each provider that has anything: services, rating, reviews."""
+    counts = provider_services.groupBy("provider_id").agg(F.count("*").alias("services_count"))
+    best = best_review_summary(summaries).select("provider_id", "rating_avg", "review_count")
+    return counts.join(best, "provider_id", "full")
+
+
+def with_figures(rows: DataFrame, figures: DataFrame) -> DataFrame:
+    zero = F.lit(0).cast("bigint")
+    return rows.join(figures, "provider_id", "left").withColumns(
+        {"services_count": F.coalesce("services_count", zero), "review_count": F.coalesce("review_count", zero)}
+    )
+
+
 def directory_rows(providers: DataFrame, provider_services: DataFrame, summaries: DataFrame) -> DataFrame:
     """Published providers with the figures that ranking uses."""
-    best = best_review_summary(summaries).select("provider_id", "rating_avg", "review_count")
-    rows = services_count(published(providers), provider_services).join(best, "provider_id", "left")
-    return rows.withColumn("review_count", F.coalesce("review_count", F.lit(0).cast("bigint")))
+    return with_figures(published(providers), provider_figures(provider_services, summaries))
 
 
 def city_key(column: Column) -> Column:
@@ -61,12 +73,11 @@ def _places(rows: DataFrame) -> DataFrame:
     )
 
 
-def search_near_me(points: DataFrame, rows: DataFrame, radius_km: int = 30, page: int = 1,
+def search_near_me(points: DataFrame, providers: DataFrame, figures: DataFrame, radius_km: int = 30, page: int = 1,
                    page_size: int = PAGE_SIZE, cap: int = CANDIDATE_CAP) -> DataFrame:
     """Nearest candidates within the radius of each point (point_id, lat, lng), then by relevance, one page."""
-    near = nearest_within(points, _places(rows), cap, ["full_name", "provider_id"], F.lit(float(radius_km)))
-    figures = rows.select("provider_id", "comune", "rating_avg", "review_count", "services_count")
-    scored = _with_score(near.drop("place").join(figures, "provider_id"))
+    near = nearest_within(points, _places(published(providers)), cap, ["full_name", "provider_id"], F.lit(float(radius_km)))
+    scored = _with_score(with_figures(near.drop("place"), figures))
     return ranking.paginate_capped(scored, ["point_id"], ranking.by_relevance(), F.lit(page), page_size)
 
 
@@ -83,21 +94,20 @@ def _district_rows(keys: DataFrame, rows: DataFrame, exact: DataFrame, cap: int)
         ))).alias("city_key"),
     ).distinct()
     # The first `cap` of each district are enough: whatever they share with the city list is in that list too.
-    first = top_per_group(rows, ["district"], [F.col("full_name"), F.col("provider_id")], cap)
+    first = top_per_group(rows, ["district"], [F.col("full_name"), F.col("provider_id")], cap).withColumnRenamed("city_key", "_city")
     by_district = keys.join(parts, "city_key").join(first, "district")
-    by_city = keys.join(exact, "city_key")
-    own = F.lower("comune") == F.col("city_key")
-    both = by_city.withColumn("_own", F.lit(0)).unionByName(
-        by_district.filter(~F.coalesce(own, F.lit(False))).withColumn("_own", F.lit(1))
-    )
+    columns = ["city_key", "provider_id", "full_name"]
+    by_city = keys.join(exact, "city_key").select(*columns, F.lit(0).alias("_own"))
+    other = by_district.filter(F.coalesce(F.col("_city") != F.col("city_key"), F.lit(True))).select(*columns, F.lit(1).alias("_own"))
+    both = by_city.unionByName(other)
     return top_per_group(both, ["city_key"], [F.col("_own"), F.col("full_name"), F.col("provider_id")], cap)
 
 
-def search_location(requests: DataFrame, rows: DataFrame, gazetteer: DataFrame | None = None, page_size: int = PAGE_SIZE,
+def search_location(requests: DataFrame, providers: DataFrame, figures: DataFrame, gazetteer: DataFrame | None = None, page_size: int = PAGE_SIZE,
                     min_local: int = 8, min_total: int = 12, cap: int = CANDIDATE_CAP) -> DataFrame:
     """City search for many requests at once.
 
-    requests: comune, radius_km (null = automatic), page. rows: `directory_rows`. gazetteer: city_key,
+    requests: comune, radius_km (null = automatic), page. figures: `provider_figures`. gazetteer: city_key,
     center_lat, center_lng for cities without located providers.
 
     A city with enough providers is answered from the city alone. Otherwise the smallest radius step that
@@ -106,84 +116,73 @@ def search_location(requests: DataFrame, rows: DataFrame, gazetteer: DataFrame |
     keys = requests.select(
         city_key(F.col("comune")).alias("city_key"), F.col("radius_km").cast("int").alias("asked_km"),
         F.coalesce(F.col("page").cast("int"), F.lit(1)).alias("asked_page"),
-    ).filter("city_key <> ''").distinct()
-    # A search is a (city, radius); its pages are cut at the end.
-    cities = keys.select("city_key").distinct()
-    by_city = rows.withColumn("city_key", F.lower("comune"))
+    ).filter("city_key <> ''").withColumn(
+        "search_id", F.concat_ws("|", "city_key", F.coalesce(F.col("asked_km").cast("string"), F.lit("")))
+    ).distinct()
+    keys = reuse(keys)
+    live = published(providers)
+    slim = live.select("provider_id", "full_name", F.lower("comune").alias("city_key"), "district", "lat", "lng")
     # Cut each city to the cap before any join, so that a city of any size leaves its tasks small.
-    exact = top_per_group(by_city, ["city_key"], [F.col("full_name"), F.col("provider_id")], cap).join(cities, "city_key")
-    located = F.col("lat").isNotNull() & F.col("lng").isNotNull()
+    exact = top_per_group(slim, ["city_key"], [F.col("full_name"), F.col("provider_id")], cap)
     found = exact.groupBy("city_key").agg(
         F.count("*").alias("exact_city_count"),
-        F.avg(F.when(located, F.col("lat"))).alias("center_lat"), F.avg(F.when(located, F.col("lng"))).alias("center_lng"),
+        F.avg(F.when(F.col("lng").isNotNull(), F.col("lat"))).alias("center_lat"),
+        F.avg(F.when(F.col("lat").isNotNull(), F.col("lng"))).alias("center_lng"),
     )
-    base = cities.join(found, "city_key", "left")
+    searches = keys.select("search_id", "city_key", "asked_km").distinct().join(found, "city_key", "left")
     if gazetteer is not None:
         known = gazetteer.select("city_key", F.col("center_lat").alias("_lat"), F.col("center_lng").alias("_lng"))
-        base = base.join(known, "city_key", "left").withColumn(
+        searches = searches.join(known, "city_key", "left").withColumn(
             "center_lng", F.when(F.col("center_lat").isNull(), F.col("_lng")).otherwise(F.col("center_lng"))
         ).withColumn("center_lat", F.coalesce("center_lat", "_lat")).drop("_lat", "_lng")
-    base = base.withColumn("exact_city_count", F.coalesce("exact_city_count", F.lit(0).cast("bigint")))
-    searches = keys.select("city_key", "asked_km").distinct().join(base, "city_key").withColumn(
+    searches = searches.withColumn("exact_city_count", F.coalesce("exact_city_count", F.lit(0).cast("bigint"))).withColumn(
         "mode",
         F.when(F.col("asked_km").isNull() & (F.col("exact_city_count") >= min_local), "comune")
         .when(F.col("center_lat").isNull(), "distretto").otherwise("raggio"),
-    ).withColumn("search_id", F.concat_ws("|", "city_key", F.coalesce(F.col("asked_km").cast("string"), F.lit(""))))
+    )
+    searches = reuse(searches)
 
-    # Radius mode: one join up to the widest step.
+    # Candidates of all three modes as (search, provider, own city or not, distance if known).
     steps = list(RADIUS_STEPS_KM)
-    wide = searches.filter("mode = 'raggio'")
-    near = nearest_within(
-        wide.select(F.col("search_id").alias("point_id"), F.col("center_lat").alias("lat"),
-                    F.col("center_lng").alias("lng"), "asked_km"),
-        _places(rows), cap, ["full_name", "provider_id"], F.coalesce(F.col("asked_km"), F.lit(steps[-1])),
-    ).select(F.col("point_id").alias("search_id"), "provider_id", "distance_km")
-    exact_of = wide.select("search_id", "city_key").join(exact, "city_key")
-    others = near.join(exact_of.select("search_id", "provider_id"), ["search_id", "provider_id"], "left_anti")
-    reached = wide.join(
-        others.groupBy("search_id").agg(*[F.count_if(F.col("distance_km") <= s).alias(f"_in_{s}") for s in steps]),
-        "search_id", "left",
+    own = searches.filter("mode <> 'distretto'").join(exact.select("city_key", "provider_id", "lat", "lng"), "city_key").select(
+        "search_id", "provider_id", F.lit(True).alias("is_exact"),
+        F.when(F.col("mode") == "raggio", F.lit(0.0)).otherwise(
+            distance_km(F.col("center_lat"), F.col("center_lng"), F.col("lat"), F.col("lng"))
+        ).alias("distance_km"),
     )
-    needed = F.when(F.col("exact_city_count") == 0, F.lit(1)).otherwise(F.lit(max(min_local, min_total)))
-    chosen = F.coalesce(
-        F.col("asked_km"),
-        *[F.when(F.col("exact_city_count") + F.coalesce(F.col(f"_in_{s}"), F.lit(0)) >= needed, F.lit(s)) for s in steps],
-        F.lit(steps[-1]),
+    near = nearest_within(
+        searches.filter("mode = 'raggio'").select(
+            F.col("search_id").alias("point_id"), F.col("center_lat").alias("lat"), F.col("center_lng").alias("lng"), "asked_km"
+        ),
+        _places(slim), cap, ["full_name", "provider_id"], F.coalesce(F.col("asked_km"), F.lit(steps[-1])),
+    ).select(F.col("point_id").alias("search_id"), "provider_id", F.lit(False).alias("is_exact"), "distance_km")
+    lost = searches.filter("mode = 'distretto'").select("search_id", "city_key")
+    in_district = lost.join(_district_rows(lost.select("city_key").distinct(), slim, exact, cap), "city_key").select(
+        "search_id", "provider_id", F.lit(False).alias("is_exact"), F.lit(None).cast("double").alias("distance_km")
     )
-    radius = reached.select("search_id", "city_key", chosen.alias("radius_km"))
-    in_radius = others.join(radius, "search_id").filter(F.col("distance_km") <= F.col("radius_km")).join(rows, "provider_id")
-    from_radius = in_radius.select("search_id", "distance_km", *rows.columns).unionByName(
-        exact_of.withColumn("distance_km", F.lit(0.0)).select("search_id", "distance_km", *rows.columns)
+    pool = own.unionByName(near).unionByName(in_district).groupBy("search_id", "provider_id").agg(
+        F.bool_or("is_exact").alias("is_exact"), F.min("distance_km").alias("distance_km")
     )
 
-    # City mode: distance from the centre of the city's own providers.
-    local = searches.filter("mode = 'comune'").select("search_id", "city_key", "center_lat", "center_lng").join(exact, "city_key")
-    from_city = local.withColumn(
-        "distance_km", distance_km(F.col("center_lat"), F.col("center_lng"), F.col("lat"), F.col("lng"))
-    ).select("search_id", "distance_km", *rows.columns)
-
-    # District mode: no centre, no distances.
-    lost = searches.filter("mode = 'distretto'")
-    from_district = lost.select("search_id", "city_key").join(
-        _district_rows(lost.select("city_key").distinct(), rows, exact, cap), "city_key"
-    ).withColumn("distance_km", F.lit(None).cast("double")).select("search_id", "distance_km", *rows.columns)
-
-    candidates = from_radius.unionByName(from_city).unionByName(from_district)
-    shape = candidates.join(searches.select("search_id", "city_key"), "search_id").groupBy("search_id").agg(
-        F.count("*").alias("_rows"), F.bool_and(F.lower("comune") == F.col("city_key")).alias("_same_city")
+    # A search has at most two caps of candidates, so these windows are small whatever the data.
+    whole = Window.partitionBy("search_id")
+    pool = pool.join(searches.select("search_id", "city_key", "asked_km", "exact_city_count", "mode"), "search_id")
+    others_in = lambda km: F.count_if(~F.col("is_exact") & (F.col("distance_km") <= km)).over(whole)
+    needed = F.when(F.col("exact_city_count") == 0, F.lit(1)).otherwise(F.lit(max(min_local, min_total)))
+    chosen = F.coalesce(
+        F.col("asked_km"), *[F.when(F.col("exact_city_count") + others_in(s) >= needed, F.lit(s)) for s in steps], F.lit(steps[-1])
     )
-    head = searches.join(shape, "search_id").join(radius.select("search_id", "radius_km"), "search_id", "left").withColumn(
-        "scope", scope_label(F.col("mode"), F.col("exact_city_count"), F.col("_rows"), F.col("_same_city"))
+    pool = pool.withColumn("radius_km", F.when(F.col("mode") == "raggio", chosen)).filter(
+        F.col("is_exact") | F.col("radius_km").isNull() | (F.col("distance_km") <= F.col("radius_km"))
     )
-    pages = keys.withColumn(
-        "search_id", F.concat_ws("|", "city_key", F.coalesce(F.col("asked_km").cast("string"), F.lit("")))
-    ).select("search_id", "asked_page")
-    paged = pages.join(head, "search_id").select(
-        "search_id", "city_key", "asked_page", "exact_city_count", "radius_km", "scope"
+    listed = with_figures(pool.join(live, "provider_id"), figures).withColumn(
+        "scope",
+        scope_label(F.col("mode"), F.col("exact_city_count"), F.count("*").over(whole),
+                    F.bool_and(F.lower("comune") == F.col("city_key")).over(whole)),
     )
-    scored = _with_score(candidates).join(paged, "search_id")
+    pages = _with_score(listed).join(keys.select("search_id", "asked_page"), "search_id")
     return ranking.paginate_capped(
-        scored, ["search_id", "asked_page"], ranking.by_relevance(), F.col("asked_page"), page_size
+        pages, ["search_id", "asked_page"], ranking.by_relevance(), F.col("asked_page"), page_size
     )
 
 
@@ -222,31 +221,57 @@ def nearby_with_fallback(providers: DataFrame, k: int = 6) -> DataFrame:
     """Others worth showing next to each published provider: the nearest, else the same comune, else a
     comune whose district contains this one's. The first tier that has anyone wins, per provider."""
     live = published(providers)
+    located = F.col("lat").isNotNull() & F.col("lng").isNotNull()
     geo = neighbours(live, k).withColumn("tier", F.lit("geo"))
-    todo = live.join(geo.select("provider_id").distinct(), "provider_id", "left_anti")
-
-    # Everyone in one comune shares one list of k+1 candidates.
-    order = [F.col("_unlocated"), F.col("neighbour_name"), F.col("neighbour_id")]
+    # Nobody is near a provider without a position, or near the only one that has a position.
+    count = live.agg(F.count_if(located).alias("_located"))  # one row
+    todo = live.crossJoin(F.broadcast(count)).filter(~located | (F.col("_located") < 2)).select(
+        "provider_id", F.lower("comune").alias("_city"), "district"
+    )
     listed = live.select(
         F.col("provider_id").alias("neighbour_id"), F.col("full_name").alias("neighbour_name"),
-        F.lower("comune").alias("_city"), "district",
-        F.when(F.col("lat").isNotNull() & F.col("lng").isNotNull(), 0).otherwise(1).alias("_unlocated"),
+        F.lower("comune").alias("_city"), "district", F.when(located, 0).otherwise(1).alias("_unlocated"),
     )
+    order = [F.col("_unlocated"), F.col("neighbour_name"), F.col("neighbour_id")]
 
-    def attach(mine: DataFrame, key: str, tier: str) -> DataFrame:
+    def shared_list(key: str, name: str) -> DataFrame:
+        """Everyone with one key shares one list of k+1 candidates."""
         first = top_per_group(listed.filter(F.coalesce(F.col(key), F.lit("")) != ""), [key], order, k + 1, "place")
-        lists = first.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("place", "neighbour_id"))).alias("_near"))
-        joined = salted_join(mine, lists, [key], "inner", ["provider_id"])
-        rest = F.slice(F.filter("_near", lambda n: n["neighbour_id"] != F.col("provider_id")), 1, k)
-        return joined.select("provider_id", F.posexplode(rest).alias("_pos", "n")).select(
-            "provider_id", F.col("n.neighbour_id").alias("neighbour_id"), F.lit(None).cast("double").alias("distance_km"),
-            (F.col("_pos") + 1).cast("bigint").alias("place"), F.lit(tier).alias("tier"),
-        )
-
-    city = attach(todo.select("provider_id", F.lower("comune").alias("_city")), "_city", "comune")
-    left = todo.join(city.select("provider_id").distinct(), "provider_id", "left_anti")
-    district = attach(left.select("provider_id", "district"), "district", "distretto")
-    return geo.unionByName(city).unionByName(district)
+        return first.groupBy(key).agg(F.transform(
+            F.array_sort(F.collect_list(F.struct("place", "neighbour_id"))), lambda n: n["neighbour_id"]
+        ).alias(name))
+
+    listed_for = salted_join(todo, shared_list("_city", "_in_city"), ["_city"], "left", ["provider_id"])
+    listed_for = salted_join(listed_for, district_lists(listed, order, k), ["district"], "left", ["provider_id"], todo)
+    others = lambda c: F.slice(F.filter(F.coalesce(F.col(c), F.array().cast("array<bigint>")),
+                                        lambda n: n != F.col("provider_id")), 1, k)
+    fallen = listed_for.select("provider_id", others("_in_city").alias("_a"), others("_in_district").alias("_b")).withColumn(
+        "tier", F.when(F.size("_a") > 0, "comune").otherwise("distretto")
+    ).select("provider_id", "tier", F.posexplode(F.when(F.size("_a") > 0, F.col("_a")).otherwise(F.col("_b"))).alias("_pos", "neighbour_id"))
+    return geo.unionByName(fallen.select(
+        "provider_id", "neighbour_id", F.lit(None).cast("double").alias("distance_km"),
+        (F.col("_pos") + 1).cast("bigint").alias("place"), "tier",
+    ))
+
+
+def district_lists(listed: DataFrame, order: list[Column], k: int) -> DataFrame:
+    """First k+1 providers of all districts whose name contains the given district's name. Containment is an
+    equality with the substrings of the distinct names; each name brings its own short list."""
+    names = listed.select("district").filter("district <> ''").distinct()
+    size = F.length("district")
+    inside = names.select(
+        F.col("district").alias("_outer"),
+        F.explode(F.array_distinct(F.flatten(F.transform(
+            F.sequence(F.lit(1), size),
+            lambda i: F.transform(F.sequence(F.lit(1), size - i + 1), lambda n: F.lower(F.col("district").substr(i, n))),
+        )))).alias("_part"),
+    )
+    pairs = names.withColumn("_part", F.lower("district")).join(inside, "_part").select("district", "_outer")
+    first = top_per_group(listed.filter("district <> ''"), ["district"], order, k + 1).withColumnRenamed("district", "_outer")
+    best = top_per_group(pairs.join(first, "_outer"), ["district"], order, k + 1, "place")
+    return best.groupBy("district").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("place", "neighbour_id"))), lambda n: n["neighbour_id"]
+    ).alias("_in_district"))
 
 
 def best_service_match(provider_services: DataFrame, wanted: DataFrame) -> DataFrame:

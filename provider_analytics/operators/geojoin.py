@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_KM, distance_km
-from .skew import salted_join, top_per_group
+from .skew import reuse, salted_join, top_per_group
 
 LEVELS = 18  # the finest side is 360 / 2**18 degrees, about 150 m
 _KM_PER_DEGREE = EARTH_KM * 3.141592653589793 / 180
@@ -56,6 +56,7 @@ def nearest_within(points: DataFrame, places: DataFrame, k: int, tie: list[str],
     here = points.filter(F.col("lat").isNotNull() & F.col("lng").isNotNull()).select(
         "point_id", "lat", "lng", (max_km if max_km is not None else F.lit(_HALF_WORLD_KM)).cast("double").alias("_max")
     )
+    here = reuse(here)
     own = (
         here.withColumn("_level", every_level)
         .withColumn("_ay", _cell(F.col("lat"), 90.0, F.col("_level")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,14 +24,16 @@ def hot_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def salted_join(big: DataFrame, other: DataFrame, keys: list[str], how: str, spread_by: list[str]) -> DataFrame:
+def salted_join(big: DataFrame, other: DataFrame, keys: list[str], how: str, spread_by: list[str],
+                counted: DataFrame | None = None) -> DataFrame:
     """Equi-join `big` (any distribution of keys) with `other`, whose rows per key are few.
 
     Hot keys of `big` are spread over several partitions by a hash of `spread_by`, and the matching
-    rows of `other` are repeated once per salt. Cold keys keep salt 0, so nothing is repeated for them."""
+    rows of `other` are repeated once per salt. Cold keys keep salt 0, so nothing is repeated for them.
+    `counted` is a cheaper frame with the same distribution of keys, for when `big` is itself derived."""
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"salted_join does not support {how}")
-    hot = F.broadcast(hot_keys(big, keys))
+    hot = F.broadcast(reuse(hot_keys(counted if counted is not None else big, keys)))
     left = big.join(hot, keys, "left").withColumn(
         "_salt",
         F.when(F.col("_salts").isNull(), F.lit(0)).otherwise(
@@ -50,3 +53,9 @@ def top_per_group(df: DataFrame, group: list[str], order: list[Column], k: int,
     ranked = df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
     kept = ranked.filter(F.col(name) <= k)
     return kept.withColumn(name, F.col(name).cast("bigint")) if rank else kept.drop(name)
+
+
+def reuse(df: DataFrame) -> DataFrame:
+    """Keep a frame that one plan reads several times. Blocks spill to disk, and a lost block is computed
+    again from its lineage; call `spark.catalog.clearCache()` when a batch of work is done."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)

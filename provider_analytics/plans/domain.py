@@ -252,28 +252,33 @@ def oracle(sql: str) -> str:
 
 
 class Domain:
-    """Raw tables and domain views of one data folder, as attributes."""
+    """Raw tables and domain views of one data folder, as attributes. Each is set up once per instance."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = tune(spark)
         self.folder = folder
+        self._ready: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
-        if name in TABLES:
-            return read_table(self.spark, self.folder, name)
-        if name in VIEWS:
-            return self.view(name)
-        raise AttributeError(name)
-
-    def view(self, name: str) -> DataFrame:
-        return self.sql(VIEWS[name])
+        if name.startswith("_") or (name not in TABLES and name not in VIEWS):
+            raise AttributeError(name)
+        return self._prepare(name)
+
+    def _prepare(self, name: str) -> DataFrame:
+        if name not in self._ready:
+            if name in TABLES:
+                df = read_table(self.spark, self.folder, name)
+            else:
+                for word in sorted(set(_WORD.findall(VIEWS[name])) & (VIEWS.keys() | set(TABLES))):
+                    if word != name:
+                        self._prepare(word)
+                df = self.spark.sql(VIEWS[name])
+            df.createOrReplaceTempView(name)
+            self._ready[name] = df
+        return self._ready[name]
 
     def sql(self, text: str) -> DataFrame:
         """SQL over tables and views; analysed at once, so a later folder may reuse the view names."""
-        views = needed_views(text)
-        everything = " ".join([text, *(VIEWS[v] for v in views)])
-        for table in set(_WORD.findall(everything)) & set(TABLES):
-            read_table(self.spark, self.folder, table).createOrReplaceTempView(table)
-        for view in views:
-            self.spark.sql(VIEWS[view]).createOrReplaceTempView(view)
+        for word in set(_WORD.findall(text)) & (VIEWS.keys() | set(TABLES)):
+            self._prepare(word)
         return self.spark.sql(text)

@@ -21,6 +21,10 @@ SCORE = """round(CASE WHEN review_count > 0 THEN coalesce(rating_avg, 0) * log10
   + services_count * 6 + CASE WHEN {km} IS NULL THEN -20 ELSE greatest(0, 45 - {km}) END, 6)"""
 
 
+def figures(d):
+    return directory.provider_figures(d.provider_services, d.review_summaries)
+
+
 def rows(d):
     return directory.directory_rows(d.providers, d.provider_services, d.review_summaries)
 
@@ -382,7 +386,7 @@ def _(d):
         WHERE place <= 15""",
 )
 def _(d):
-    return directory.search_near_me(d.visitors, rows(d), 30).select(
+    return directory.search_near_me(d.visitors, d.providers, figures(d), 30).select(
         "point_id", "provider_id", "distance_km", "relevance_score", "place", "total"
     )
 
@@ -432,7 +436,7 @@ FROM numbered WHERE place > (page - 1) * 15 AND place <= page * 15
 
 
 def located_pages(d):
-    return directory.search_location(d.location_requests, rows(d), d.gazetteer)
+    return directory.search_location(d.location_requests, d.providers, figures(d), d.gazetteer)
 
 
 @query("search_location", SEARCH_LOCATION)
