@@ -74,12 +74,14 @@ def fold_accents(value: Column) -> Column:
     """Accents off, compatibility forms to their plain letters."""
     source, target, longer = _folding()
     folded = F.regexp_replace(F.translate(value, source, target), "[̀-ͯ]", "")
-    expanded = folded
-    for char, plain in longer:
-        expanded = F.replace(expanded, F.lit(char), F.lit(plain))
-    # Letters that become several are rare; deleting them is a cheap way to see whether there are any.
+    # Letters that become several are rare; deleting them is a cheap way to see whether there are any. The
+    # map is one folded literal, which keeps the expression small.
     rare = "".join(char for char, _ in longer)
-    return F.when(F.translate(folded, rare, "") == folded, folded).otherwise(expanded)
+    table = F.str_to_map(F.lit("\x01".join(f"{char}\x02{plain}" for char, plain in longer)), F.lit("\x01"), F.lit("\x02"))
+    spelled = F.array_join(
+        F.transform(F.split(folded, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), ""
+    )
+    return F.when(F.translate(folded, rare, "") == folded, folded).otherwise(spelled)
 
 
 def normalize_query(value: Column) -> Column:

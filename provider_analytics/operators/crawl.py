@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.phones import phone_e164
@@ -236,11 +236,11 @@ def url_union(*parts: DataFrame) -> DataFrame:
 def crawl_report(urls: DataFrame, samples: int = 5) -> DataFrame:
     """Per bucket: URLs, share of all in percent, first paths."""
     counts = urls.groupBy("bucket").agg(F.count("*").alias("urls"))
-    total = counts.agg(F.sum("urls").alias("_all"))  # one row
+    total = F.sum("urls").over(Window.partitionBy(F.lit(0)))  # over one row per bucket
     first = top_per_group(urls.select("bucket", "path"), ["bucket"], [F.col("path")], samples).groupBy("bucket").agg(
         F.array_join(F.array_sort(F.collect_list("path")), " ").alias("samples")
     )
-    return counts.crossJoin(F.broadcast(total)).join(first, "bucket").select(
+    return counts.withColumn("_all", total).join(first, "bucket").select(
         "bucket", "urls", F.round(F.col("urls") * 100 / F.col("_all"), 1).alias("share_pct"), "samples"
     )
 
@@ -277,8 +277,6 @@ def sitemap_documents(urls: DataFrame, site: str, per_document: int = URLS_PER_D
     spread = urls.join(F.broadcast(counts), "bucket").withColumn(
         "part", F.pmod(F.xxhash64("path"), F.ceil(F.col("_n") * 2 / per_document))
     )
-    from pyspark.sql import Window
-
     place = F.row_number().over(Window.partitionBy("bucket", "part").orderBy("path"))
     cut = spread.withColumn("_place", place).withColumn("shard", F.floor((F.col("_place") - 1) / per_document))
     body = F.array_join(F.transform(

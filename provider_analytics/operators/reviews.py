@@ -73,15 +73,13 @@ def aspect_sentiment(reviews: DataFrame, aspects: dict | None = None) -> DataFra
     the partial aggregation."""
     table = aspects or ASPECTS
     text = normalize_query(F.col("text"))
-    flagged = reviews.select("provider_id", "review_id", text.alias("_text")).select(
-        "provider_id", "review_id",
-        F.array(*[
-            F.struct(F.lit(i).alias("aspect_no"), F.lit(name).alias("aspect"),
-                     _hit(F.col("_text"), words["positive"]).alias("pos"), _hit(F.col("_text"), words["negative"]).alias("neg"))
-            for i, (name, words) in enumerate(table.items())
-        ]).alias("_hits"),
-    )
-    hits = flagged.select("provider_id", "review_id", F.inline("_hits"))
+    # Binding the text to a lambda variable makes sure it is normalised once per review, not once per stem.
+    flags = lambda t: F.array(*[
+        F.struct(F.lit(i).alias("aspect_no"), F.lit(name).alias("aspect"),
+                 _hit(t, words["positive"]).alias("pos"), _hit(t, words["negative"]).alias("neg"))
+        for i, (name, words) in enumerate(table.items())
+    ])
+    hits = reviews.select("provider_id", "review_id", F.inline(F.flatten(F.transform(F.array(text), flags))))
     counted = hits.groupBy("provider_id", "aspect_no", "aspect").agg(
         F.count_if("pos").alias("positive_hits"), F.count_if("neg").alias("negative_hits"),
     )

@@ -124,27 +124,32 @@ GROUP BY sa.service_id, sb.service_id
 
 # Further wordings under which a service may be asked for.
 VIEWS["search_terms"] = """
-SELECT s.service_id, concat(lower(p_type), ' ', p_name) AS term,
-       CASE WHEN p_size % 3 = 0 THEN 'intent' WHEN p_size % 3 = 1 THEN 'alias' ELSE 'boost' END AS term_type,
-       max(p_size) AS weight
-FROM part JOIN services s ON s.name = p_name
-GROUP BY s.service_id, concat(lower(p_type), ' ', p_name),
-         CASE WHEN p_size % 3 = 0 THEN 'intent' WHEN p_size % 3 = 1 THEN 'alias' ELSE 'boost' END
+SELECT service_id, term, term_type, max(weight) AS weight FROM (
+  SELECT s.service_id, concat(lower(p_type), ' ', p_name) AS term,
+         CASE WHEN p_size % 3 = 0 THEN 'intent' WHEN p_size % 3 = 1 THEN 'alias' ELSE 'boost' END AS term_type, p_size AS weight
+  FROM part JOIN services s ON s.name = p_name
+  UNION ALL
+  SELECT s.service_id, lower(p_type) AS term, 'alias' AS term_type, p_size AS weight
+  FROM part JOIN services s ON s.name = p_name WHERE p_size > 48
+) t GROUP BY service_id, term, term_type
 """
 
-# What visitors typed: exact names, cut words, swapped letters, dropped letters, whole sentences, noise.
+# What visitors typed: exact names, cut words, swapped letters, prefixed names, whole sentences, single words.
+VIEWS["typed_queries"] = """
+SELECT CASE p_partkey % 6
+         WHEN 0 THEN upper(p_name)
+         WHEN 1 THEN substr(p_name, 1, 6)
+         WHEN 2 THEN concat(substr(p_name, 1, 2), substr(p_name, 4, 1), substr(p_name, 3, 1), substr(p_name, 5))
+         WHEN 3 THEN concat(lower(p_type), '  ', p_name, '!')
+         WHEN 4 THEN concat('vorrei ', p_name, ' per la casa')
+         ELSE concat(substr(lower(p_type), 1, 3), substr(lower(p_type), 5)) END AS query
+FROM part
+"""
+
+# The same and everything users wrote in conversations, with how often each was asked.
 VIEWS["search_queries"] = """
 SELECT query, count(*) AS asked FROM (
-  SELECT CASE p_partkey % 6
-           WHEN 0 THEN upper(p_name)
-           WHEN 1 THEN substr(p_name, 1, 6)
-           WHEN 2 THEN concat(substr(p_name, 1, 2), substr(p_name, 4, 1), substr(p_name, 3, 1), substr(p_name, 5))
-           WHEN 3 THEN concat(lower(p_type), '  ', p_name, '!')
-           WHEN 4 THEN concat('vorrei ', p_name, ' per la casa')
-           ELSE lower(p_type) END AS query
-  FROM part
-  UNION ALL
-  SELECT text AS query FROM conversations WHERE role = 'user'
+  SELECT query FROM typed_queries UNION ALL SELECT text AS query FROM conversations WHERE role = 'user'
 ) q GROUP BY query
 """
 
