@@ -9,7 +9,7 @@ from ..functions.geo import RADIUS_STEPS_KM, distance_km, in_bbox
 from . import ranking
 from .filters import ilike_search, published
 from .geojoin import nearest_within, neighbours
-from .skew import reuse, salted_join, top_per_group
+from .skew import salted_join, settle, top_per_group
 from .ranking import CANDIDATE_CAP, PAGE_SIZE
 
 
@@ -119,7 +119,7 @@ def search_location(requests: DataFrame, providers: DataFrame, figures: DataFram
     ).filter("city_key <> ''").withColumn(
         "search_id", F.concat_ws("|", "city_key", F.coalesce(F.col("asked_km").cast("string"), F.lit("")))
     ).distinct()
-    keys = reuse(keys)
+    keys = settle(keys, "location-keys")
     live = published(providers)
     slim = live.select("provider_id", "full_name", F.lower("comune").alias("city_key"), "district", "lat", "lng")
     # Cut each city to the cap before any join, so that a city of any size leaves its tasks small.
@@ -140,7 +140,7 @@ def search_location(requests: DataFrame, providers: DataFrame, figures: DataFram
         F.when(F.col("asked_km").isNull() & (F.col("exact_city_count") >= min_local), "comune")
         .when(F.col("center_lat").isNull(), "distretto").otherwise("raggio"),
     )
-    searches = reuse(searches)
+    searches = settle(searches, "searches")
 
     # Candidates of all three modes as (search, provider, own city or not, distance if known).
     steps = list(RADIUS_STEPS_KM)

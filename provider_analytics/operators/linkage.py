@@ -15,8 +15,7 @@ from pyspark.sql.types import DoubleType
 from ..functions.geo import GEOCODE_BOX, distance_km, in_bbox
 from ..functions.phones import phone_digits, phone_split, phone_tokens, street_number
 from ..functions.text import address_tokens, name_tokens, normalize_accents, normalize_query, url_last_segment, words
-from .skew import hot_keys, reuse, top_per_group
-from .writes import settle
+from .skew import hot_keys, reuse, settle, top_per_group
 
 # Executors get the helpers below with the task; the package need not be installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -212,9 +211,9 @@ def pick_match(edges: DataFrame, threshold: int = THRESHOLD, max_rounds: int = 5
     best of both its ends is taken for as many copies as both still have; rounds repeat until no edge is
     left, usually two or three. Returns (p_sig, l_sig, score, p_from, l_from, taken): copies p_from.. of one
     side go to copies l_from.. of the other."""
-    left = reuse(edges.filter(F.col("score") >= threshold).withColumn("p_used", F.lit(0).cast("bigint")).withColumn(
+    left = settle(edges.filter(F.col("score") >= threshold).withColumn("p_used", F.lit(0).cast("bigint")).withColumn(
         "l_used", F.lit(0).cast("bigint")
-    ))
+    ), "edges")
     taken = None
     rank = F.struct((-F.col("score")).alias("s"), F.col("p_first").alias("p"), F.col("l_first").alias("l"))
     for turn in range(max_rounds):
@@ -225,17 +224,19 @@ def pick_match(edges: DataFrame, threshold: int = THRESHOLD, max_rounds: int = 5
         won = left.join(best_p, "p_sig").join(best_l, "l_sig").filter((F.col("_bp") == rank) & (F.col("_bl") == rank)).withColumn(
             "taken", F.least(F.col("p_copies") - F.col("p_used"), F.col("l_copies") - F.col("l_used"))
         )
-        won = reuse(won.select("p_sig", "l_sig", "score", F.col("p_used").alias("p_from"), F.col("l_used").alias("l_from"), "taken"))
+        won = settle(won.select(
+            "p_sig", "l_sig", "score", F.col("p_used").alias("p_from"), F.col("l_used").alias("l_from"), "taken"
+        ), f"taken-{turn}")
         taken = won if taken is None else taken.unionByName(won)
         used_p = won.groupBy("p_sig").agg(F.sum("taken").alias("_up"))
         used_l = won.groupBy("l_sig").agg(F.sum("taken").alias("_ul"))
         zero = F.lit(0).cast("bigint")
-        left = reuse(settle(
+        left = settle(
             left.join(won.select("p_sig", "l_sig"), ["p_sig", "l_sig"], "left_anti").join(used_p, "p_sig", "left").join(used_l, "l_sig", "left")
             .withColumn("p_used", F.col("p_used") + F.coalesce("_up", zero)).withColumn("l_used", F.col("l_used") + F.coalesce("_ul", zero))
             .filter("p_used < p_copies AND l_used < l_copies").drop("_up", "_ul"),
             f"open-edges-{turn}",
-        ))
+        )
     else:
         raise RuntimeError(f"assignment not settled after {max_rounds} rounds")
     if taken is None:
@@ -273,7 +274,7 @@ def link(register: DataFrame, listings: DataFrame, threshold: int = THRESHOLD) -
 
     Rows that look the same are scored once as a signature and told apart only in the assignment, so a block
     full of copies yields one pair, not all of them."""
-    p, l = reuse(prepare(register, "provider_id")), reuse(prepare(listings, "listing_id"))
+    p, l = settle(prepare(register, "provider_id"), "register"), settle(prepare(listings, "listing_id"), "listings")
     scored = match_score_places(candidate_pairs(signatures(p, "provider_id"), signatures(l, "listing_id")), threshold)
     edges = scored.select(
         "p_sig", "l_sig", "score", "p_copies", "l_copies", F.col("p_first_key").alias("p_first"), F.col("l_first_key").alias("l_first")

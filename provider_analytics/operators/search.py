@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from ..functions.text import is_generic_query, normalize_query, service_tokens
-from .skew import reuse, top_per_group
+from .skew import settle, top_per_group
 
 # Executors get the helpers below with the task; the package need not be installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -168,7 +168,7 @@ def score_candidates(queries: DataFrame, candidates: DataFrame, groups: DataFram
     Equal 100/90/69, prefix 80/70/65 for canonical/alias/intent; similar words 40 to 49, for intents 50 to 59;
     a misspelt single word 28 or 29."""
     plain = candidates.select("c").distinct()
-    typos = reuse(similar_tokens(_vocabulary(queries, "q"), _vocabulary(plain, "c")))
+    typos = settle(similar_tokens(_vocabulary(queries, "q"), _vocabulary(plain, "c")), "typos")
     single = lambda c: ~F.contains(F.col(c), F.lit(" "))
     fuzzy = typos.join(queries.filter(single("q")), F.col("l") == F.col("q")).join(
         plain.filter(single("c")), F.col("r") == F.col("c")
@@ -202,8 +202,8 @@ def rank_services(queries: DataFrame, taxonomy: DataFrame, terms: DataFrame, lim
     queries: query. taxonomy: searchable canonical services with plain_language_name. Equal queries after
     normalisation are scored once."""
     asked = queries.select("query", normalize_query(F.col("query")).alias("q")).filter("q <> ''").distinct()
-    asked = reuse(asked)
-    named = reuse(labels(taxonomy, terms).withColumnRenamed("normalized", "c"))
+    asked = settle(asked, "asked")
+    named = settle(labels(taxonomy, terms).withColumnRenamed("normalized", "c"), "labels")
     scores = score_candidates(
         asked.select("q").distinct(), named.select("c", "kind").distinct(), equivalent_tokens(taxonomy.sparkSession)
     )

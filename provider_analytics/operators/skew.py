@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 MAX_HOT_KEYS = 256
 
 
@@ -55,7 +60,31 @@ def top_per_group(df: DataFrame, group: list[str], order: list[Column], k: int,
     return kept.withColumn(name, F.col(name).cast("bigint")) if rank else kept.drop(name)
 
 
+def in_parts(df: DataFrame, group: list[str], spread_by: list[str], size: int = 1000) -> DataFrame:
+    """Add `part`: 0 for every row of an ordinary group; groups of more than `size` rows are spread over as
+    many parts as keep each near that size. Lists are then built per (group, part) and stay short, and
+    nothing is left out."""
+    large = df.groupBy(*group).agg(F.count("*").alias("_n")).filter(F.col("_n") > size).select(
+        *group, F.ceil(F.col("_n") / size).alias("_parts")
+    )
+    return df.join(large, group, "left").withColumn(
+        "part", F.when(F.col("_parts").isNull(), F.lit(0).cast("bigint")).otherwise(F.pmod(F.xxhash64(*spread_by), F.col("_parts")))
+    ).drop("_parts")
+
+
 def reuse(df: DataFrame) -> DataFrame:
     """Keep a frame that one plan reads several times. Blocks spill to disk, and a lost block is computed
     again from its lineage; call `spark.catalog.clearCache()` when a batch of work is done."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate table to the folder the cluster shares and go on from the files: the plan stays
+    short, sizes are known, and a lost executor costs a task, not the lineage. Where there is no such folder
+    the frame is only kept in memory and on disk of the executors."""
+    folder = shared_dir(df.sparkSession)
+    if folder is None:
+        return reuse(df)
+    path = os.path.join(folder, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

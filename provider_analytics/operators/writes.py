@@ -8,7 +8,6 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
 from .skew import top_per_group
 
 
@@ -110,10 +109,4 @@ def write_version(df: DataFrame, folder: str, name: str) -> DataFrame:
     files, not on recomputing lineage, and a lost executor costs one task."""
     path = os.path.join(folder, f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage of an iterative job: a written table in the folder the cluster shares, else unchanged."""
-    folder = shared_dir(df.sparkSession)
-    return write_version(df, folder, name) if folder else df
+    return df.sparkSession.read.schema(df.schema).parquet(path)

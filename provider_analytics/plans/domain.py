@@ -170,13 +170,14 @@ FROM lineitem JOIN orders ON o_orderkey = l_orderkey
 VIEWS["client_properties"] = """
 SELECT l_orderkey * 10 + l_linenumber AS property_id, upper(p.email) AS owner_email,
        concat('Immobile ', CAST(l_linenumber AS STRING)) AS nickname, p.comune,
-       CASE WHEN l_linestatus = 'O' THEN CAST(l_suppkey AS STRING) ELSE NULL END AS foglio,
-       CAST(l_partkey AS STRING) AS particella,
-       CASE WHEN l_returnflag = 'R' THEN 'A/2' ELSE NULL END AS categoria,
-       concat(CAST(CAST(floor(l_quantity) AS INT) AS STRING), ',5') AS rendita,
-       CASE WHEN l_returnflag = 'A' THEN 'archived' ELSE 'active' END AS status,
-       l_linestatus = 'O' AS shareable
+       CASE WHEN max(l_linestatus) = 'O' THEN CAST(max(l_suppkey) AS STRING) ELSE NULL END AS foglio,
+       CAST(max(l_partkey) AS STRING) AS particella,
+       CASE WHEN max(l_returnflag) = 'R' THEN 'A/2' ELSE NULL END AS categoria,
+       concat(CAST(CAST(floor(max(l_quantity)) AS INT) AS STRING), ',5') AS rendita,
+       CASE WHEN max(l_returnflag) = 'A' THEN 'archived' ELSE 'active' END AS status,
+       max(l_linestatus) = 'O' AS shareable
 FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN providers p ON p.provider_id = o_custkey
+GROUP BY l_orderkey, l_linenumber, p.email, p.comune
 """
 
 VIEWS["claims"] = """

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+from functools import lru_cache
+
 from pyspark.sql import SparkSession
 
 _SETTINGS = {
@@ -22,6 +25,15 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@lru_cache(maxsize=1)
+def _own_dir() -> str:
+    return tempfile.mkdtemp(prefix="provider-analytics-")
+
+
 def shared_dir(spark: SparkSession) -> str | None:
-    """The folder every executor can reach, as the cluster names it; None where it is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None)
+    """The folder every executor can reach, as the cluster names it in spark.checkpoint.dir. Where that is
+    unset, a temporary folder for a session that runs on this machine alone, and None on a cluster."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    return _own_dir() if spark.sparkContext.master.startswith("local") else None
