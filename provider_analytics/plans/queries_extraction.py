@@ -115,7 +115,7 @@ _MICRO = """SELECT provider_id AS page_id, concat('https://dir.example.org/', sl
 
 @query(
     "parse_microdata",
-    """SELECT provider_id AS page_id, full_name AS name, 'Studi' AS category, concat('Via Roma ', CAST(provider_id % 90 AS STRING), ' 00100 ', comune) AS address, comune AS city, phone, 41.5 AS lat, 12.25 AS lng,
+    """SELECT provider_id AS page_id, full_name AS name, 'Studi' AS category, concat('Via Roma ', CAST(provider_id % 90 AS STRING), ' 00100 ', comune) AS address, comune AS city, phone, CAST(41.5 AS DOUBLE) AS lat, CAST(12.25 AS DOUBLE) AS lng,
           concat('https://www.', replace(lower(c_name), '#', ''), '.example.org/') AS website, 'Short' AS short_description, concat('About ', district) AS description, '9-13' AS monday
        FROM providers JOIN customer ON c_custkey = provider_id""",
 )
