@@ -289,6 +289,12 @@ def sitemap_documents(urls: DataFrame, site: str, per_document: int = URLS_PER_D
     )
 
 
+def write_documents(documents: DataFrame, folder: str) -> None:
+    """One file per document, in folders by bucket, part and shard."""
+    key = ["bucket", "part", "shard"]
+    documents.select(*key, "xml").repartition(*key).write.partitionBy(*key).text(folder)
+
+
 def sitemap_index(documents: DataFrame, site: str) -> DataFrame:
     """Index entries for the documents, one line of text per document."""
     path = F.concat(F.lit(site + "/sitemap-"), "bucket", F.lit("-"), "part", F.lit("-"), "shard", F.lit(".xml"))

@@ -85,29 +85,38 @@ def signatures(prepared: DataFrame, key: str) -> DataFrame:
     )
 
 
+_CELL = 0.03  # degrees; two kilometres never span more than one cell border at these latitudes
+
+
 def _keys(side: str) -> Column:
-    """Blocking keys. Without an equal phone a score of 70 needs, besides other things, one of: surname and
-    another name word, surname and house number, surname and street word, house number and street word; so
-    a pair that shares no key cannot reach the threshold."""
+    """Blocking keys. Without an equal phone a score of 70 needs the surname with another name word, with the
+    house number or with a street word; or, without the surname, house number, street word and a distance
+    of at most two kilometres. A pair that shares no key cannot reach the threshold."""
     names, street, number = F.col("name_tokens"), F.filter("street", lambda t: ~t.rlike("^[0-9]+$")), F.col("number")
+    none = F.array().cast("array<string>")
+    cell = lambda c: F.floor(F.col(c) / _CELL).cast("bigint")
     if side == "register":
         last = F.element_at(F.split("name_norm", " "), -1)
         surnames = F.array(last)
         alone = F.when(F.size(names) <= 1, F.array(F.concat(F.lit("n|"), last, F.lit("|"), F.col("comune_norm"))))
+        cells = F.array(F.concat_ws(",", cell("lat"), cell("lng")))
     else:
         surnames = names
         alone = F.transform(names, lambda t: F.concat(F.lit("n|"), t, F.lit("|"), F.col("comune_norm")))
-    none = F.array().cast("array<string>")
-    with_number = F.when(number != "", F.concat(
-        F.transform(surnames, lambda s: F.concat(F.lit("sn|"), s, F.lit("|"), number)),
-        F.transform(street, lambda w: F.concat(F.lit("wn|"), w, F.lit("|"), number)),
-    ))
+        near = F.sequence(F.lit(-1), F.lit(1))
+        cells = F.flatten(F.transform(near, lambda dy: F.transform(
+            near, lambda dx: F.concat_ws(",", cell("lat") + dy, cell("lng") + dx))))
+    by_number = F.when(number != "", F.transform(surnames, lambda s: F.concat(F.lit("sn|"), s, F.lit("|"), number)))
+    by_place = F.when(
+        (number != "") & F.col("lat").isNotNull() & F.col("lng").isNotNull(),
+        F.flatten(F.transform(street, lambda w: F.transform(cells, lambda c: F.concat_ws("|", F.lit("wn"), w, number, c)))),
+    )
     return F.array_distinct(F.concat(
         F.transform("phones", lambda p: F.concat(F.lit("p|"), p)),
         F.flatten(F.transform(surnames, lambda s: F.transform(
             F.filter(names, lambda u: u != s), lambda u: F.concat(F.lit("s2|"), s, F.lit("|"), u)))),
         F.flatten(F.transform(surnames, lambda s: F.transform(street, lambda w: F.concat(F.lit("sw|"), s, F.lit("|"), w)))),
-        F.coalesce(with_number, none), F.coalesce(alone, none),
+        F.coalesce(by_number, none), F.coalesce(by_place, none), F.coalesce(alone, none),
     ))
 
 

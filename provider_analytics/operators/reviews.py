@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_query
-from .skew import top_per_group
+from .skew import reuse, top_per_group
 
 # Word stems that speak for or against a provider, by aspect, in report order.
 ASPECTS = {
@@ -79,7 +79,7 @@ def aspect_sentiment(reviews: DataFrame, aspects: dict | None = None) -> DataFra
                  _hit(t, words["positive"]).alias("pos"), _hit(t, words["negative"]).alias("neg"))
         for i, (name, words) in enumerate(table.items())
     ])
-    hits = reviews.select("provider_id", "review_id", F.inline(F.flatten(F.transform(F.array(text), flags))))
+    hits = reuse(reviews.select("provider_id", "review_id", F.inline(F.flatten(F.transform(F.array(text), flags)))))
     counted = hits.groupBy("provider_id", "aspect_no", "aspect").agg(
         F.count_if("pos").alias("positive_hits"), F.count_if("neg").alias("negative_hits"),
     )

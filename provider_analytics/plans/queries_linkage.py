@@ -43,17 +43,23 @@ def _scored_pairs(d, at_least):
 
 @query(
     "candidate_pairs",
-    f"SELECT provider_id, listing_id, score FROM ({_SCORED}) s WHERE score >= 40 AND by_words",
+    f"""SELECT provider_id, listing_id FROM ({_PAIRS}) x WHERE pp = lp OR (list_contains(lt, surname) AND shared >= 2)""",
 )
 def _(d):
-    # The fuzzy name measure has no SQL form; pairs whose names agree by words are compared.
-    return _scored_pairs(d, 40).filter("array_contains(reasons, 'name +18')").select(
-        F.col("p_first_key").alias("provider_id"), F.col("l_first_key").alias("listing_id"), "score"
+    register, listings = _frames(d)
+    pairs = linkage.candidate_pairs(
+        linkage.signatures(linkage.prepare(register, "provider_id"), "provider_id"),
+        linkage.signatures(linkage.prepare(listings, "listing_id"), "listing_id"),
+    )
+    named = "array_contains(l_name_tokens, element_at(split(p_name_norm, ' '), -1)) AND size(array_intersect(p_name_tokens, l_name_tokens)) >= 2"
+    return pairs.filter(f"arrays_overlap(p_phones, l_phones) OR ({named})").select(
+        F.col("p_first_key").alias("provider_id"), F.col("l_first_key").alias("listing_id")
     )
 
 
 @query("match_score_places", f"SELECT provider_id, listing_id, score FROM ({_SCORED}) s WHERE score >= 70 AND by_words")
 def _(d):
+    # The fuzzy name measure has no SQL form; pairs whose names agree by words are compared.
     return _scored_pairs(d, 70).filter("array_contains(reasons, 'name +18')").select(
         F.col("p_first_key").alias("provider_id"), F.col("l_first_key").alias("listing_id"), "score"
     )
