@@ -303,22 +303,31 @@ def search_by_name(providers: DataFrame, provider_services: DataFrame, wanted: D
     return rank_declared(rows.join(matched, "provider_id", "left"), place, limit)
 
 
-def rank_choices(df: DataFrame, group: list[str], auto_select: int = 10, limit: int = 1000) -> DataFrame:
+def rank_choices(df: DataFrame, group: list[str], auto_select: int = 10) -> DataFrame:
     """Order of offered providers per request: ticked, declared match, same city, distance, name. A request
-    with few choices and none ticked has all of them ticked. The lists this ranks are limited where they are
-    made (400 located, a dozen declared, ten ticked), so `limit` cuts nothing."""
+    with few choices and none ticked has all of them ticked.
+
+    Every row is numbered. The number is the size of the better slices (ticked, match, city, whole
+    kilometres) plus the place within the own slice, so a long list is sorted slice by slice."""
     kind = F.when(F.col("match_kind") == "exact", 0).when(F.col("match_kind") == "related", 1).otherwise(2)
-    order = [
-        ~F.coalesce("selected", F.lit(False)), kind, ~F.coalesce("same_city", F.lit(False)),
-        F.coalesce("distance_km", F.lit(9999.0)), F.col("full_name"), F.col("provider_id"),
-    ]
-    totals = df.groupBy(*group).agg(
-        F.count("*").alias("choices"), F.coalesce(F.bool_or("selected"), F.lit(False)).alias("_any")
+    far = F.coalesce("distance_km", F.lit(9999.0))
+    slices = ["_ticked", "_kind", "_city", "_km"]
+    rows = df.withColumns({
+        "_ticked": ~F.coalesce("selected", F.lit(False)), "_kind": kind, "_city": ~F.coalesce("same_city", F.lit(False)),
+        "_km": F.floor(far),
+    })
+    sizes = rows.groupBy(*group, *slices).agg(F.count("*").alias("_n"))
+    whole = Window.partitionBy(*group)
+    before = F.sum("_n").over(whole.orderBy(*slices).rowsBetween(Window.unboundedPreceding, -1))
+    heads = sizes.select(
+        *group, *slices, F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_n").over(whole).alias("choices"),
+        F.max(~F.col("_ticked")).over(whole).alias("_any"),
     )
-    ranked = top_per_group(df, group, order, limit, "place").join(totals, group)
+    inside = F.row_number().over(Window.partitionBy(*group, *slices).orderBy(far, "full_name", "provider_id"))
+    ranked = rows.withColumn("_at", inside).join(heads, [*group, *slices]).withColumn("place", F.col("_before") + F.col("_at"))
     return ranked.withColumn(
         "ticked", F.coalesce("selected", F.lit(False)) | (~F.col("_any") & (F.col("choices") <= auto_select))
-    ).drop("_any")
+    ).drop(*slices, "_before", "_at", "_any")
 
 
 def merge_candidates(located: DataFrame, declared: DataFrame, selected: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null, normalize_query
-from .skew import top_per_group
+from .skew import in_parts, top_per_group
 
 # Raw category (lower case) to macro area; the last area is the default.
 CATEGORY_GROUPS = {
@@ -212,16 +212,13 @@ def expand_affinity(wanted: DataFrame, taxonomy: DataFrame, edges: DataFrame) ->
     return exact.unionByName(related)
 
 
-def search_terms_agg(taxonomy: DataFrame, terms: DataFrame, max_terms: int = 200) -> DataFrame:
-    """Terms of each service as one ordered array, heaviest first. Terms are edited by hand; the array is
-    still cut at `max_terms` by rank so that one service can never fill a task, and `n_terms` tells the full
-    number. The rows stay available in the terms table."""
-    order = [F.col("weight").desc(), F.col("term"), F.col("term_type")]
-    ranked = top_per_group(terms, ["service_id"], order, max_terms, "_place")
-    lists = ranked.groupBy("service_id").agg(
+def search_terms_agg(taxonomy: DataFrame, terms: DataFrame) -> DataFrame:
+    """Terms of each service as one ordered array, heaviest first, and their number. A service with more than
+    a thousand terms comes in several rows, told apart by `part`, each ordered in itself."""
+    lists = in_parts(terms, ["service_id"], ["term", "term_type"]).groupBy("service_id", "part").agg(
         F.transform(
-            F.array_sort(F.collect_list(F.struct("_place", "term", "term_type", "weight"))),
-            lambda t: F.struct(t["term"].alias("term"), t["term_type"].alias("term_type"), t["weight"].alias("weight")),
+            F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("w"), "term", "term_type"))),
+            lambda t: F.struct(t["term"].alias("term"), t["term_type"].alias("term_type"), (-t["w"]).alias("weight")),
         ).alias("search_terms")
     )
     counts = terms.groupBy("service_id").agg(F.count("*").alias("n_terms"))
@@ -230,6 +227,7 @@ def search_terms_agg(taxonomy: DataFrame, terms: DataFrame, max_terms: int = 200
         searchable(taxonomy).join(lists, "service_id", "left").join(counts, "service_id", "left")
         .withColumn("search_terms", F.coalesce("search_terms", empty))
         .withColumn("n_terms", F.coalesce("n_terms", F.lit(0).cast("bigint")))
+        .withColumn("part", F.coalesce("part", F.lit(0).cast("bigint")))
     )
 
 
@@ -242,15 +240,15 @@ def category_prices(services: DataFrame, benchmarks: DataFrame, macro: Column) -
     )
 
 
-def group_by_category(services: DataFrame, default: str = "Altri servizi", limit: int = 1000) -> DataFrame:
-    """Category to its service slugs in priority order. `n_services` is the full count; the list shows up to
-    `limit`, far above any hand-kept taxonomy."""
+def group_by_category(services: DataFrame, default: str = "Altri servizi") -> DataFrame:
+    """Category to its service slugs in priority order and their number; a category of more than a thousand
+    services comes in several rows, told apart by `part`."""
     named = services.withColumn("category", F.coalesce(blank_to_null(F.col("category")), F.lit(default)))
-    ranked = top_per_group(named, ["category"], [F.col("priority"), F.col("name"), F.col("service_id")], limit, "_place")
     counts = named.groupBy("category").agg(F.count("*").alias("n_services"))
-    return ranked.groupBy("category").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_place", "slug"))), lambda x: x["slug"]).alias("slugs")
-    ).join(counts, "category")
+    lists = in_parts(named, ["category"], ["service_id"]).groupBy("category", "part").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("priority", "name", "service_id", "slug"))), lambda x: x["slug"]).alias("slugs")
+    )
+    return lists.join(counts, "category")
 
 
 # Maintenance
