@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null
 from ..operators import directory, filters, geojoin, ranking, taxonomy
-from ..operators.skew import top_per_group
 from .registry import query
 
 

