@@ -8,6 +8,7 @@ from ..operators import extraction as ex
 from ..operators import writes
 from ..sources import pages as page_source
 from ..sources import runlog
+from ..sources.tables import spread
 from .registry import query
 
 
@@ -55,7 +56,7 @@ _REGISTER = """SELECT p.provider_id AS page_id, concat('https://register.example
           CAST(concat('2020-0', CAST(1 + provider_id % 9 AS STRING), '-15') AS DATE) AS current_office_since, phone AS first_phone, CAST(1 AS INT) AS n_phones FROM providers""",
 )
 def _(d):
-    record = ex.parse_register_pages(d.sql(_REGISTER))
+    record = ex.parse_register_pages(spread(d.sql(_REGISTER)))
     return record.select(
         "page_id", "slug", "full_name", "first_name", "fiscal_code", "comune", "phone", "email", "pec", "district", "current_office_since",
         F.get("phones", F.lit(0)).alias("first_phone"), F.size("phones").alias("n_phones"),
@@ -67,7 +68,7 @@ def _(d):
     """SELECT provider_id AS page_id, concat(comune, ' vecchia') AS comune, DATE '2001-02-03' AS since FROM providers UNION ALL SELECT provider_id, district, DATE '2010-11-12' FROM providers""",
 )
 def _(d):
-    record = ex.parse_register_pages(d.sql(_REGISTER))
+    record = ex.parse_register_pages(spread(d.sql(_REGISTER)))
     return record.select("page_id", F.inline("previous_locations")).select("page_id", "comune", F.col("from").alias("since"))
 
 
@@ -76,7 +77,7 @@ def _(d):
     "SELECT provider_id AS page_id, comune, district, CAST(NULL AS STRING) AS nothing FROM providers",
 )
 def _(d):
-    lines = ex.visible_lines(d.sql(_REGISTER))
+    lines = ex.visible_lines(spread(d.sql(_REGISTER)))
     found = ex.label_values(lines, {"comune": "Comune", "district": "DISTRETTO:", "nothing": "Pec", "p": "Distretto"}, ex.SECTION_LABELS)
     return found.select("page_id", "comune", "district", "nothing")
 
@@ -120,7 +121,7 @@ _MICRO = """SELECT provider_id AS page_id, concat('https://dir.example.org/', sl
        FROM providers JOIN customer ON c_custkey = provider_id""",
 )
 def _(d):
-    rows = ex.parse_microdata(d.sql(_MICRO))
+    rows = ex.parse_microdata(spread(d.sql(_MICRO)))
     return rows.select(
         "page_id", "name", "category", "address", "city", "phone", "lat", "lng", "website", "short_description", "description",
         F.col("opening_hours")["Lun"].alias("monday"),
@@ -138,7 +139,7 @@ _CARDS = """SELECT provider_id AS page_id, concat('https://profiles.example.org/
        UNION ALL SELECT provider_id, concat('altro-servizio-', CAST(provider_id % 3 AS STRING)), 'Casa', '', 'Atto,Visura' FROM providers""",
 )
 def _(d):
-    cards = ex.parse_service_cards(d.sql(_CARDS))
+    cards = ex.parse_service_cards(spread(d.sql(_CARDS)))
     return cards.select("page_id", "slug", "category", "evidence", F.array_join("documents", ",").alias("documents"))
 
 
