@@ -348,7 +348,9 @@ def merge_candidates(located: DataFrame, declared: DataFrame, selected: DataFram
 def search_province(cities: DataFrame, providers: DataFrame, page: int = 1, page_size: int = 36) -> DataFrame:
     """Providers of all listed cities (province, name) of each province in name order, one page."""
     keys = cities.select("province", F.lower("name").alias("city_key")).distinct()
-    rows = published(providers).withColumn("city_key", F.lower("comune")).join(keys, "city_key")
+    rows = salted_join(
+        published(providers).withColumn("city_key", F.lower("comune")), keys, ["city_key"], "inner", ["provider_id"]
+    )
     return ranking.paginate(rows, ["province"], [F.col("full_name"), F.col("provider_id")], page, page_size)
 
 

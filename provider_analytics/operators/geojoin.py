@@ -18,6 +18,7 @@ from .skew import reuse, salted_join, top_per_group
 LEVELS = 18  # the finest side is 360 / 2**18 degrees, about 150 m
 _KM_PER_DEGREE = EARTH_KM * 3.141592653589793 / 180
 _HALF_WORLD_KM = 20038.0
+_LARGE = 9  # cells up to this level are at least 0.7 degrees wide: 4**9 / 2 and fewer on each level above
 _COARSE = 4  # below this level a cell spans more than 11 degrees and its corners bound nothing
 
 
@@ -57,12 +58,18 @@ def nearest_within(points: DataFrame, places: DataFrame, k: int, tie: list[str],
         "point_id", "lat", "lng", (max_km if max_km is not None else F.lit(_HALF_WORLD_KM)).cast("double").alias("_max")
     )
     here = reuse(here)
-    own = (
-        here.withColumn("_level", every_level)
-        .withColumn("_ay", _cell(F.col("lat"), 90.0, F.col("_level")))
-        .withColumn("_ax", _cell(F.col("lng"), 180.0, F.col("_level")))
-        .join(full, ["_level", "_ay", "_ax"])
-        .groupBy("point_id").agg(F.max("_level").alias("_level"))
+    keys = ["_level", "_ay", "_ax"]
+    climbing = here.select("point_id", "lat", "lng", every_level.alias("_level")).filter(F.col("_level") >= _COARSE).select(
+        "point_id", "_level", _cell(F.col("lat"), 90.0, F.col("_level")).alias("_ay"), _cell(F.col("lng"), 180.0, F.col("_level")).alias("_ax")
+    )
+    # Large cells hold very many points but are few: the globe has under 200,000 of them. Small cells are many,
+    # and a city may still crowd one, so there the join is salted.
+    large = climbing.filter(F.col("_level") <= _LARGE).join(F.broadcast(full.filter(F.col("_level") <= _LARGE)), keys)
+    small = salted_join(
+        climbing.filter(F.col("_level") > _LARGE), full.filter(F.col("_level") > _LARGE), keys, "inner", ["point_id"]
+    )
+    own = large.select("point_id", "_level").unionByName(small.select("point_id", "_level")).groupBy("point_id").agg(
+        F.max("_level").alias("_level")
     )
     side = F.lit(360.0) / F.pow(F.lit(2.0), F.col("_level"))
     south = F.floor((F.col("lat") + 90) / side) * side - 90
