@@ -75,10 +75,18 @@ def _places(rows: DataFrame) -> DataFrame:
 
 def search_near_me(points: DataFrame, providers: DataFrame, figures: DataFrame, radius_km: int = 30, page: int = 1,
                    page_size: int = PAGE_SIZE, cap: int = CANDIDATE_CAP) -> DataFrame:
-    """Nearest candidates within the radius of each point (point_id, lat, lng), then by relevance, one page."""
-    near = nearest_within(points, _places(published(providers)), cap, ["full_name", "provider_id"], F.lit(float(radius_km)))
+    """Nearest candidates within the radius of each point (point_id, lat, lng), then by relevance, one page.
+
+    Points on one spot share one search; its page is then handed to each of them."""
+    spot = F.concat_ws(",", F.col("lat").cast("string"), F.col("lng").cast("string"))
+    asked = points.filter("lat IS NOT NULL AND lng IS NOT NULL")
+    spots = asked.select(spot.alias("point_id"), "lat", "lng").distinct()
+    near = nearest_within(spots, _places(published(providers)), cap, ["full_name", "provider_id"], F.lit(float(radius_km)))
     scored = _with_score(with_figures(near.drop("place"), figures))
-    return ranking.paginate_capped(scored, ["point_id"], ranking.by_relevance(), F.lit(page), page_size)
+    pages = ranking.paginate_capped(scored, ["point_id"], ranking.by_relevance(), F.lit(page), page_size)
+    return salted_join(
+        asked.select("point_id", spot.alias("_spot")), pages.withColumnRenamed("point_id", "_spot"), ["_spot"], "inner", ["point_id"]
+    ).drop("_spot")
 
 
 def _district_rows(keys: DataFrame, rows: DataFrame, exact: DataFrame, cap: int) -> DataFrame:
