@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fair_mix, feistel, language_id, licenses, pii, url_filter
+from . import fair_mix, feistel, language_id, licenses, packing, pii, tiff, url_filter
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,6 +59,35 @@ def op1_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, folder, "pages"), URL_RULES)
 
 
+#: Of the packing query: the limits of a sequence, and the id that ends a document.
+PACK_LIMITS = packing.Limits(tokens=4096, segments=128, loss=4096)
+END_ID = 2
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@register("op2_vector_packing")
+def op2_vector_packing(spark: SparkSession, folder: str) -> DataFrame:
+    ids = packing.tokenize(table(spark, folder, "documents"), tokenizer_path(), END_ID)
+    return packing.pack(ids, PACK_LIMITS).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+@register("op3_tiff_pages")
+def op3_tiff_pages(spark: SparkSession, folder: str) -> DataFrame:
+    stored = tiff.store_texts(table(spark, folder, "documents")).select(
+        "doc_id", "n_bytes", F.octet_length("media").cast("bigint").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"), "media")
+    pages = tiff.with_features(tiff.pages_of(stored, keep=("doc_id", "n_bytes", "media_bytes", "media_sha256")))
+    return pages.select(
+        "doc_id", "n_bytes", F.octet_length("pixels").cast("bigint").alias("payload_bytes"),
+        F.sha2("pixels", 256).alias("payload_sha256"), F.crc32(F.expr("substring(pixels, -16, 16)")).alias("tail_crc32"),
+        "media_bytes", "media_sha256", "feature", "compression", "error")
+
+
 @register("op4_feistel_shards")
 def op4_feistel_shards(spark: SparkSession, folder: str) -> DataFrame:
     placed = feistel.shard_documents(table(spark, folder, "documents"), shards=16, seed=42)

@@ -11,7 +11,6 @@ import mmap
 import os
 import tempfile
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -120,11 +119,6 @@ class DigestArray:
         return [None if x is None else (self.text(x[2]), bool(self.blocks[x[2]])) for x in best]
 
 
-@lru_cache(maxsize=4)
-def _mapped(path: str) -> DigestArray:
-    return DigestArray(path)
-
-
 def ship_rules(spark: SparkSession, rules: Iterable[tuple[str, str]]) -> str:
     """Write the digest file and let Spark carry it to every executor, also to those that join later.
     Returns the name under which tasks find it."""
@@ -153,7 +147,7 @@ def judge_urls(df: DataFrame, rules: Iterable[tuple[str, str]], id_col: str = "p
                       F.coalesce(url_path(url), F.lit("")).alias("path"))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        array = _mapped(SparkFiles.get(name))
+        array = DigestArray(SparkFiles.get(name))
         for batch in batches:
             hosts, paths = batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist()
             found = array.judge(hosts, paths)
