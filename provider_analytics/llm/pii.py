@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -296,8 +297,6 @@ def redact(text: str, spans: list[Span]) -> str:
 
 def redact_column(text: Column, model: PiiModel) -> Column:
     """A text column with its personal data redacted; a null text stays null."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def apply(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: t if t is None else redact(t, [s[:3] for s in select_spans(t, model)]))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fair_mix, feistel, language_id, licenses, packing, pii, tiff, url_filter
+from . import fair_mix, feistel, iblt, language_id, licenses, packing, pii, tiff, url_filter
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,6 +141,12 @@ def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return predicted.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+@register("op8_lookup_sketch")
+def op8_lookup_sketch(spark: SparkSession, folder: str) -> DataFrame:
+    sketched = iblt.fingerprint_documents(table(spark, folder, "documents"))
+    return sketched.withColumns({"only_edited": F.size("only_edited"), "only_next": F.size("only_next")})
+
+
 def spans_text(spans: Column) -> Column:
     return joined(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
 

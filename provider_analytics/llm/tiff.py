@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -380,8 +381,6 @@ def pixel_feature(pixels: bytes, width: int, height: int, samples: int) -> str:
 
 def with_features(pages: DataFrame) -> DataFrame:
     """Add `feature` to the rows of pages_of; null where there are no pixels."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def feature(pixels: pd.Series, width: pd.Series, height: pd.Series, samples: pd.Series) -> pd.Series:
         rows = zip(pixels, width, height, samples, strict=True)
