@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fair_mix, feistel, iblt, language_id, licenses, packing, pii, tiff, url_filter
+from . import fair_mix, feistel, iblt, jaccard_join, language_id, licenses, packing, pii, tiff, url_filter
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -159,3 +159,8 @@ def op9_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     kinds = F.transform(strict, lambda s: s["kind"])
     counts = [(F.size(kinds) - F.size(F.array_remove(kinds, kind))).cast("bigint").alias(f"n_{kind}") for kind in pii.BASE_KINDS]
     return found.select("doc_id", *counts, F.sha2(spans_text(strict), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
+
+
+@register("op10_jaccard_join")
+def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, folder, "documents"))
