@@ -12,9 +12,15 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 1024
 
 
+def batches_of(spark: SparkSession, rows: int) -> None:
+    """Bound the Arrow batches of queries planned from now on. Texts can be very long, so bytes are bounded as well."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A given table, read whole. Arrow batches are kept small because single texts can be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """A given table, read whole, with Arrow batches small enough for texts."""
+    batches_of(spark, BATCH_ROWS)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

@@ -127,3 +127,13 @@ def mix_sources(docs: DataFrame, sizes: Column, weights: tuple[int, ...] = WEIGH
 def word_count(text: Column) -> Column:
     """Number of words; 0 for a null text."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0))
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, repeats: int = 2, seed: int = 0) -> DataFrame:
+    """The documents of the mix, as often as it takes them, with their own columns. Size is the number of words.
+    Documents that share doc_id and source are taken equally often, as often as the most frequent of them."""
+    mixed = mix_sources(docs, word_count(F.col("text")), weights, share, repeats, seed)
+    counts = mixed.filter("copies > 0").groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source")).agg(F.max("copies").alias("_copies"))
+    same = docs["doc_id"].eqNullSafe(F.col("_id")) & docs["source"].eqNullSafe(F.col("_source"))
+    taken = docs.join(counts, same).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies"))))
+    return taken.select(*[docs[c] for c in docs.columns])

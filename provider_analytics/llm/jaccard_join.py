@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, release, written
+from .common import BATCH_ROWS, batches_of, release, written
 
 #: Words of a shingle; the similarity is at least 3/4. The size bands below belong to that figure.
 SHINGLE = 5
@@ -377,8 +377,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     equal sets are linked. A null id cannot name a component: such a document gets a null one and takes no part in links.
     Repeated rows each get a row; an empty table gives none. Only the two named columns are read."""
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(8 * BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+    batches_of(spark, 8 * BATCH_ROWS)
     shared = written(shared_only(index(docs, id_col, text_col)), "shared")
     release(spark)
     each = shared.filter("mark = -1").select("doc", "set", "n", "units")
@@ -395,3 +394,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = each.join(named, "set", "left")
     component = F.when(F.col("doc").isNull() | (F.col("n") == 0), F.col("doc")).otherwise(F.col("component_id"))
     return out.select(F.col("doc").alias(id_col), F.col("n").cast("bigint").alias("n_shingles"), component.alias("component_id"))
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each component, the one with the smallest id, with all columns; documents without words and those
+    with a null id stay. Of rows that share an id, one stays: the first by text."""
+    found = written(near_duplicates(docs, id_col, text_col), "components")
+    gone = found.filter(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
+    again = found.filter(F.col(id_col).isNotNull()).groupBy(id_col).count().filter("count > 1").select(id_col)
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    kept = docs.join(gone, id_col, "left_anti")
+    if again.isEmpty():
+        return kept.select(*docs.columns)
+    first = kept.join(again, id_col, "left_semi").withColumn(
+        "_first", F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))).filter("_first = 1").drop("_first")
+    return kept.join(again, id_col, "left_anti").select(*docs.columns).unionByName(first.select(*docs.columns))

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -281,3 +282,20 @@ def predict_languages(df: DataFrame, model: UnigramModel, id_col: str = "doc_id"
 
     picked = df.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text")
     return picked.mapInArrow(predict, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
+
+
+def language_column(text: Column, model: UnigramModel) -> Column:
+    """lang_pred and score of a text column as a struct, by the rules of predict_languages."""
+
+    @F.pandas_udf("lang_pred string, score double")
+    def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        cache: dict[str, int] = {}
+        scores = [np.zeros((0, len(model.languages)))]
+        for part in texts:
+            if model.languages:
+                names, values = identify([t if isinstance(t, str) else None for t in part], model, cache, scores)
+            else:
+                names, values = [UNKNOWN] * len(part), [0.0] * len(part)
+            yield pd.DataFrame({"lang_pred": names, "score": values})
+
+    return predict(text)

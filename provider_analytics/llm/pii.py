@@ -299,6 +299,6 @@ def redact_column(text: Column, model: PiiModel) -> Column:
     """A text column with its personal data redacted; a null text stays null."""
     @F.pandas_udf("string")
     def apply(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: t if t is None else redact(t, [s[:3] for s in select_spans(t, model)]))
+        return texts.map(lambda t: redact(t, [s[:3] for s in select_spans(t, model)]) if isinstance(t, str) else None)
 
     return F.when(text.rlike(GATE), apply(text)).otherwise(text)
