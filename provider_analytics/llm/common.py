@@ -6,7 +6,7 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BATCH_ROWS = 1024
@@ -18,6 +18,11 @@ def batches_of(spark: SparkSession, rows: int) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
 
 
+def hash_share(hashed: Column, share: float | Column) -> Column:
+    """Whether a 64-bit hash falls into the given share of all hashes; the same rows on every run."""
+    return F.pmod(hashed, F.lit(1 << 31)) < (F.lit(share) if isinstance(share, float) else share) * float(1 << 31)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A given table, read whole, with Arrow batches small enough for texts."""
     batches_of(spark, BATCH_ROWS)

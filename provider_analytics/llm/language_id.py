@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import hash_share
+
 UNKNOWN = "und"
 _RUN = re.compile(r"[^\W\d_]+")
 _MARK = "▁"  # stands before the first letter of a word in the vocabulary
@@ -217,15 +219,17 @@ def held_out(doc_id: Column) -> Column:
 def fit_languages(docs: DataFrame, vocabulary: list[str] | None = None, per_language: int = 256, total: int = 4096,
                   longest: int = 20_000) -> UnigramModel:
     """Fit on a bounded sample of labelled rows that are not held out: at most `per_language` texts of a language and
-    `total` in all, of at most `longest` characters, the lowest by a hash of doc_id. Null texts and languages are
-    left out."""
-    rows = docs.select("doc_id", "text", "lang").filter(
-        F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))
-        & F.length("text").between(1, longest)
-    )
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    sample = rows.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= per_language)
-    sample = sample.orderBy("_rank", "lang").limit(total).select("lang", "text")
+    `total` in all, of at most `longest` characters, the lowest by a hash of doc_id. A language's share of hashes
+    follows from its count, so tasks hand on a few texts only. Null texts and languages are left out; of more than
+    `total` languages the most frequent are learned."""
+    taught = docs.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
+    counts = taught.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(total)
+    shares = counts.select("lang", (F.lit(2.0 * per_language) / F.col("count")).alias("_share"))
+    hashed = F.xxhash64("doc_id")
+    rows = taught.select("doc_id", "text", "lang").filter(F.length("text").between(1, longest)).join(F.broadcast(shares), "lang")
+    order = Window.partitionBy("lang").orderBy(hashed, "doc_id", "text")
+    sample = rows.filter(hash_share(hashed, F.col("_share"))).withColumn("_rank", F.row_number().over(order))
+    sample = sample.filter(F.col("_rank") <= per_language).orderBy("_rank", "lang").limit(total).select("lang", "text")
     words: dict[str, Counter] = {}
     for lang, text in sample.collect():  # at most `total` rows of at most `longest` characters
         found = [w for w in letter_runs(text) if w.isalpha()]

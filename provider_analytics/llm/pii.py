@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import hash_share
+
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "key")
 #: Nothing can be found in a text without a digit or an @.
@@ -203,13 +205,15 @@ def _isotonic(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.array([b[0] for b in blocks]), np.maximum.accumulate(np.array(values)) if values else np.array([])
 
 
-def fit_pii(docs: DataFrame, rows: int = 4000, longest: int = 20_000, precision: float = 0.98) -> PiiModel:
+def fit_pii(docs: DataFrame, rows: int = 4000, longest: int = 20_000, precision: float = 0.98, pool: int = 50_000) -> PiiModel:
     """Fit on at most `rows` texts of at most `longest` characters that hold a digit or an @, the lowest by a hash of
-    doc_id. A candidate is positive where it is a strict span, negative where it touches none; the rest teach nothing.
-    Every third document calibrates."""
-    sample = docs.select("doc_id", "text").filter(F.length("text").between(1, longest) & F.col("text").rlike(GATE))
+    doc_id out of a hashed sample of about `pool` documents. A candidate is positive where it is a strict span, negative
+    where it touches none; the rest teach nothing. Every third document calibrates."""
+    hashed = F.xxhash64("doc_id")
+    sample = docs.select("doc_id", "text").filter(hash_share(hashed, pool / max(1, docs.count())))
+    sample = sample.filter(F.length("text").between(1, longest) & F.col("text").rlike(GATE))
+    texts = sample.orderBy(hashed, "doc_id", "text").limit(rows).select("text").collect()  # bounded
     x, y, fold = [], [], []
-    texts = sample.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows).select("text").collect()  # bounded
     for number, (text,) in enumerate(texts):
         strict = base_spans(text)
         known = set(strict)
