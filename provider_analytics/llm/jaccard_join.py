@@ -55,7 +55,8 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     flat = np.fromiter((h for w in words for h in map(xxhash.xxh3_64_intdigest, w)), np.uint64, sum(counts))
     rolled = np.zeros(len(flat), np.uint64)
     for i in range(SHINGLE):
-        rolled[: len(flat) - i] = rolled[: len(flat) - i] * _P + flat[i:]
+        n = max(0, len(flat) - i)
+        rolled[:n] = rolled[:n] * _P + flat[i:]
     rolled = mix(rolled)
     out, at = [], 0
     for n in counts:

@@ -164,7 +164,7 @@ def fit_unigrams(words: dict[str, Counter], vocabulary: list[str], rounds: int =
             counted[:, k] = _expected(words[language], table, ends, probs[:, k], sizes, {c: i + 1 for i, c in enumerate(alphabet)})
         counted += smooth
         probs = counted / counted.sum(axis=0)
-    used = (counted.max(axis=1) > smooth + 0.01) | (sizes == 1)
+    used = (counted.max(axis=1, initial=0.0) > smooth + 0.01) | (sizes == 1)
     pieces = [p for p, u in zip(pieces, used, strict=True) if u]
     table, ends = _trie(pieces, alphabet)
     prob = np.zeros((len(table), len(languages)))
