@@ -49,22 +49,17 @@ def review_id(place: Column, author: Column, time: Column, text: Column) -> Colu
 def idempotency_hash(
     email: Column, service_slug: Column, comune: Column, message: Column, providers: Column, properties: Column
 ) -> Column:
-    """Two requests are the same when all of these agree; only the message start counts."""
+    """Two requests are the same when all of these agree, the whole message among them."""
     return sha_key(
         F.lower(F.trim(email)),
         service_slug,
         F.lower(F.trim(comune)),
-        F.lower(F.trim(message).substr(1, 120)),
+        F.lower(F.trim(message)),
         F.array_join(F.array_sort(providers.cast("array<string>")), ","),
         F.array_join(F.array_sort(properties.cast("array<string>")), ","),
     )
 
 
-def dedup_first(items: Column, limit: int = 10) -> Column:
-    """First occurrences in input order, at most `limit`."""
-    return F.slice(F.array_distinct(F.filter(items, lambda x: x.isNotNull())), 1, limit)
-
-
 def cadastral_summary(sheet: Column, parcel: Column, unit: Column, section: Column, category: Column) -> Column:
     # Labels and default text of the summary line.
     labelled = [("Fg. ", sheet), ("Part. ", parcel), ("Sub. ", unit), ("Sez. ", section), ("Cat. ", category)]

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import website_url
-from .skew import top_per_group
+from .skew import settle, top_per_group
 from .writes import patch_columns
 
 # Profile states written by claims.
@@ -23,38 +23,77 @@ def claim_status_of_owner(providers: DataFrame, claims: DataFrame) -> DataFrame:
 
 
 def claim_transitions(providers: DataFrame, claims: DataFrame) -> DataFrame:
-    """Ownership after a batch of claim decisions: the latest decision per provider sets it.
+    """Ownership after a sequence of claim decisions, in the order of created_at and claim_id.
 
     Approved: owner and verified. Pending: owner and in review. Rejected: takes ownership away only from the
-    claimant it rejects."""
-    last = claims.groupBy("provider_id").agg(
-        F.max_by(F.struct("status", F.lower("email").alias("email"), "created_at"), F.struct("created_at", "claim_id")).alias("c")
-    ).select("provider_id", F.col("c.status").alias("_status"), F.col("c.email").alias("_email"), F.col("c.created_at").alias("_at"))
-    rows = providers.join(last, "provider_id", "left")
-    mine = F.coalesce(F.lower("owner_email"), F.lit("")) == F.col("_email")
-    status = F.col("_status")
-    none = F.lit(None).cast("string")
+    claimant it rejects. So the last approved or pending decision of a provider names its owner, and a later
+    rejection of the same email clears it; where nobody was named, a rejection may clear the owner there was."""
+    moment = F.struct("created_at", "claim_id")
+    decided = claims.select("provider_id", F.lower("email").alias("_email"), "status", "created_at", moment.alias("_moment"))
+    named = decided.groupBy("provider_id").agg(
+        F.max_by(F.struct("status", "_email"), F.when(F.col("status").isin("approved", "pending"), F.col("_moment"))).alias("_n"),
+        F.max(F.when(F.col("status").isin("approved", "pending"), F.col("_moment"))).alias("_named_at"),
+        F.min(F.when(F.col("status") == "approved", F.col("created_at"))).alias("_approved_at"),
+    )
+    refused = decided.filter("status = 'rejected'").groupBy("provider_id", "_email").agg(F.max("_moment").alias("_refused_at"))
+    rows = providers.join(named, "provider_id", "left").withColumn("_status", F.when(F.col("_named_at").isNotNull(), F.col("_n.status")))
+    rows = rows.withColumn("_owner", F.when(F.col("_status").isNotNull(), F.col("_n._email")).otherwise(F.col("owner_email")))
+    rows = rows.withColumn("_email", F.lower("_owner")).join(refused, ["provider_id", "_email"], "left")
+    cleared = F.col("_refused_at").isNotNull() & (F.col("_named_at").isNull() | (F.col("_refused_at") > F.col("_named_at")))
+    profile = F.when(F.col("_status") == "approved", VERIFIED).when(F.col("_status") == "pending", IN_REVIEW).otherwise(F.col("profile_status"))
     return rows.withColumns({
-        "owner_email": F.when(status.isin("approved", "pending"), F.col("_email")).when((status == "rejected") & mine, none).otherwise(F.col("owner_email")),
-        "profile_status": F.when(status == "approved", VERIFIED).when(status == "pending", IN_REVIEW)
-        .when((status == "rejected") & mine, none).otherwise(F.col("profile_status")),
-        "claimed_at": F.when(status == "approved", F.coalesce("claimed_at", "_at")).otherwise(F.col("claimed_at")),
-    }).drop("_status", "_email", "_at")
+        "owner_email": F.when(~cleared, F.col("_owner")),
+        "profile_status": F.when(~cleared, profile),
+        "claimed_at": F.coalesce("claimed_at", "_approved_at"),
+    }).drop("_status", "_email", "_owner", "_n", "_named_at", "_approved_at", "_refused_at")
+
+
+def decide_claims(claims: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Claims after decisions (claim_id, status, decided_at): the last one is the state; the times of the last
+    approval and the last rejection stay on the row."""
+    at = lambda status: F.max(F.when(F.col("_to") == status, F.col("decided_at")))
+    last = decisions.withColumnRenamed("status", "_to").groupBy("claim_id").agg(
+        F.max_by("_to", F.struct("decided_at", "_to")).alias("_last"), at("approved").alias("_approved"), at("rejected").alias("_rejected")
+    )
+    return claims.join(last, "claim_id", "left").withColumns({
+        "status": F.coalesce("_last", "status"), "approved_at": F.coalesce("_approved", "approved_at"),
+        "rejected_at": F.coalesce("_rejected", "rejected_at"), "verified_at": F.coalesce("_approved", "verified_at"),
+    }).drop("_last", "_approved", "_rejected")
+
+
+def _settled_pairs(pairs: DataFrame) -> DataFrame:
+    """Of pairs (_email, provider_id, _moment), in the order of time, those that find both sides free.
+
+    A pair is final when it is the earliest open one of its email and of its provider; what shares a side with
+    it is then out. Every round settles all such pairs at once and goes on from a written table until none is
+    open, so the result is that of taking them one by one."""
+    won = None
+    while True:
+        by_email = pairs.groupBy("_email").agg(F.min("_moment").alias("_e"))
+        by_provider = pairs.groupBy("provider_id").agg(F.min("_moment").alias("_p"))
+        first = pairs.join(by_email, "_email").join(by_provider, "provider_id")
+        final = settle(first.filter((F.col("_moment") == F.col("_e")) & (F.col("_moment") == F.col("_p"))).drop("_e", "_p"), "claims-won")
+        won = final if won is None else won.unionByName(final)
+        pairs = settle(
+            pairs.join(final.select("_email"), "_email", "left_anti").join(final.select("provider_id"), "provider_id", "left_anti"), "claims-open"
+        )
+        if pairs.isEmpty():
+            return won
 
 
 def claim_admission(claims: DataFrame, providers: DataFrame) -> DataFrame:
-    """Verdict on each claim of a batch: invalid_input, already_has_provider, provider_not_found,
-    already_claimed or ok. Earlier claims of the batch count as made when later ones are judged.
+    """Verdict on each claim of a batch, in the order of created_at and claim_id: invalid_input,
+    already_has_provider, provider_not_found, already_claimed or ok.
 
-    The earliest claim of a provider and the earliest of an email decide conflicts inside the batch."""
+    An earlier claim that was admitted counts as made when later ones are judged; one that was refused does not."""
     email = F.lower(F.trim("email"))
-    rows = claims.withColumn("_email", email)
+    rows = claims.withColumns({"_email": email, "_moment": F.struct("created_at", "claim_id")})
     known = providers.filter("status = 'published'").select("provider_id", F.lower("owner_email").alias("_owner"), F.lit(True).alias("_known"))
     owns = providers.filter(F.coalesce("owner_email", F.lit("")) != "").groupBy(F.lower("owner_email").alias("_email")).agg(
         F.min("provider_id").alias("_owned")
     )
     joined = rows.join(known, "provider_id", "left").join(owns, "_email", "left")
-    valid = F.contains("_email", F.lit("@")) & F.col("provider_id").isNotNull()
+    valid = F.coalesce(F.contains("_email", F.lit("@")), F.lit(False)) & F.col("provider_id").isNotNull()
     alone = (
         F.when(~valid, "invalid_input")
         .when(F.col("_owned").isNotNull() & (F.col("_owned") != F.col("provider_id")), "already_has_provider")
@@ -62,19 +101,58 @@ def claim_admission(claims: DataFrame, providers: DataFrame) -> DataFrame:
         .when((F.coalesce("_owner", F.lit("")) != "") & (F.col("_owner") != F.col("_email")), "already_claimed")
         .otherwise("ok")
     )
-    judged = joined.withColumn("verdict", alone)
-    fine = judged.filter("verdict = 'ok'")
-    moment = F.struct("created_at", "claim_id")
-    first_of_provider = fine.groupBy("provider_id").agg(F.min_by("_email", moment).alias("_first_email"))
-    first_of_email = fine.groupBy("_email").agg(F.min_by("provider_id", moment).alias("_first_provider"))
+    judged = joined.withColumn("verdict", alone).drop("_owner", "_known", "_owned")
+    fine = judged.filter("verdict = 'ok'").groupBy("_email", "provider_id").agg(F.min("_moment").alias("_moment"))
+    won = _settled_pairs(settle(fine, "claims-fine"))
+    mine = won.select("_email", F.col("provider_id").alias("_got"), F.col("_moment").alias("_got_at"))
+    theirs = won.select("provider_id", F.col("_email").alias("_taker"), F.col("_moment").alias("_taken_at"))
     late = (
         F.when(F.col("verdict") != "ok", F.col("verdict"))
-        .when(F.col("_first_provider") != F.col("provider_id"), "already_has_provider")
-        .when(F.col("_first_email") != F.col("_email"), "already_claimed").otherwise("ok")
+        .when((F.col("_got") != F.col("provider_id")) & (F.col("_got_at") < F.col("_moment")), "already_has_provider")
+        .when((F.col("_taker") != F.col("_email")) & (F.col("_taken_at") < F.col("_moment")), "already_claimed").otherwise("ok")
+    )
+    return judged.join(mine, "_email", "left").join(theirs, "provider_id", "left").withColumn("verdict", late).drop(
+        "_email", "_moment", "_got", "_got_at", "_taker", "_taken_at"
+    )
+
+
+def claim_upsert(claims: DataFrame, admitted: DataFrame) -> DataFrame:
+    """Claims after admitted submissions (submission_id, provider_id, email, name, created_at): the newest pending or
+    approved claim of the same provider and email is opened again with the submitted name, without one a claim
+    is added under the id of the first submission. Later submissions of a pair update what the first left."""
+    pair = ["provider_id", "_email"]
+    moment = F.struct("created_at", "submission_id")
+    asked = admitted.withColumn("_email", F.lower(F.trim("email"))).groupBy(*pair).agg(
+        F.min_by("submission_id", moment).alias("_first"), F.min("created_at").alias("_at"), F.max_by("name", moment).alias("_name")
     )
-    return judged.join(first_of_provider, "provider_id", "left").join(first_of_email, "_email", "left").withColumn("verdict", late).drop(
-        "_owner", "_known", "_owned", "_first_email", "_first_provider", "_email"
+    held = claims.withColumn("_email", F.lower(F.trim("email")))
+    open_ = top_per_group(held.filter(F.col("status").isin("pending", "approved")), pair, [F.col("created_at").desc(), F.col("claim_id").desc()], 1)
+    reopened = open_.select("claim_id", *pair).join(asked.select(*pair, "_name"), pair).select("claim_id", F.col("_name").alias("_new_name"))
+    none = F.lit(None).cast("timestamp_ntz")
+    kept = claims.join(reopened.withColumn("_again", F.lit(True)), "claim_id", "left")
+    again = F.col("_again").isNotNull()
+    kept = kept.withColumns({
+        "claimant_name": F.when(again, F.col("_new_name")).otherwise(F.col("claimant_name")),
+        "status": F.when(again, "pending").otherwise(F.col("status")),
+        "approved_at": F.when(again, none).otherwise(F.col("approved_at")),
+        "rejected_at": F.when(again, none).otherwise(F.col("rejected_at")),
+    }).select(*claims.columns)
+    added = asked.join(open_.select(*pair), pair, "left_anti").select(
+        F.col("_first").alias("claim_id"), "provider_id", F.col("_email").alias("email"), F.col("_name").alias("claimant_name"),
+        F.lit("pending").alias("status"), F.col("_at").alias("created_at"),
     )
+    return kept.unionByName(added, allowMissingColumns=True)
+
+
+def owners_after_claims(providers: DataFrame, admitted: DataFrame) -> DataFrame:
+    """Providers after admitted submissions: a free one gets the claimant as its owner; a profile without a state goes
+    into review."""
+    first = admitted.groupBy("provider_id").agg(F.min_by(F.lower(F.trim("email")), F.struct("created_at", "submission_id")).alias("_email"))
+    mine = F.col("_email").isNotNull() & (F.coalesce(F.lower("owner_email"), F.col("_email")) == F.col("_email"))
+    return providers.join(first, "provider_id", "left").withColumns({
+        "owner_email": F.when(mine, F.col("_email")).otherwise(F.col("owner_email")),
+        "profile_status": F.when(mine, F.coalesce(F.nullif("profile_status", F.lit("")), F.lit(IN_REVIEW))).otherwise(F.col("profile_status")),
+    }).drop("_email")
 
 
 def profile_update(providers: DataFrame, edits: DataFrame) -> DataFrame:

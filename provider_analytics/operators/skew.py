@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import atexit
 import uuid
 
 from pyspark import StorageLevel
@@ -60,16 +60,25 @@ def top_per_group(df: DataFrame, group: list[str], order: list[Column], k: int,
     return kept.withColumn(name, F.col(name).cast("bigint")) if rank else kept.drop(name)
 
 
-def in_parts(df: DataFrame, group: list[str], spread_by: list[str], size: int = 1000) -> DataFrame:
-    """Add `part`: 0 for every row of an ordinary group; groups of more than `size` rows are spread over as
-    many parts as keep each near that size. Lists are then built per (group, part) and stay short, and
-    nothing is left out."""
-    large = df.groupBy(*group).agg(F.count("*").alias("_n")).filter(F.col("_n") > size).select(
-        *group, F.ceil(F.col("_n") / size).alias("_parts")
+def place_in_group(df: DataFrame, group: list[str], order: list[Column], name: str) -> DataFrame:
+    """Add `name`: the place of every row in its group, from 1, in the given order, which must be total.
+
+    One range sort of the whole frame, written to the shared folder; a row's place is its number in its range plus
+    what lies before. The rows of a large group spread over as many ranges as they need."""
+    sort = [*[F.col(g) for g in group], *order]
+    shared_dir(df.sparkSession)
+    ranged = df.repartitionByRange(*sort).sortWithinPartitions(*sort).checkpoint()
+    at = F.monotonically_increasing_id()
+    placed = ranged.withColumn("_id", at).withColumn("_part", F.shiftright("_id", 33)).withColumn(
+        "_at", F.col("_id").bitwiseAND((1 << 33) - 1)
+    ).drop("_id")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    starts = placed.groupBy("_part").agg(F.count("*").alias("_n")).select(
+        "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")
     )
-    return df.join(large, group, "left").withColumn(
-        "part", F.when(F.col("_parts").isNull(), F.lit(0).cast("bigint")).otherwise(F.pmod(F.xxhash64(*spread_by), F.col("_parts")))
-    ).drop("_parts")
+    numbered = placed.join(F.broadcast(starts), "_part").withColumn("_row", F.col("_start") + F.col("_at")).drop("_part", "_at", "_start")
+    heads = numbered.groupBy(*group).agg(F.min("_row").alias("_head"))
+    return numbered.join(heads, group).withColumn(name, F.col("_row") - F.col("_head") + 1).drop("_row", "_head")
 
 
 def reuse(df: DataFrame) -> DataFrame:
@@ -78,13 +87,29 @@ def reuse(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
+def scratch_path(spark, name: str) -> str:
+    """A new folder below the one the cluster shares. What this process wrote there goes when it ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
+_written: list = []
+
+
+@atexit.register
+def _clear() -> None:
+    for spark, path in _written:
+        try:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # noqa: BLE001  the session may be gone already
+            return
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write an intermediate table to the folder the cluster shares and go on from the files: the plan stays
-    short, sizes are known, and a lost executor costs a task, not the lineage. Where there is no such folder
-    the frame is only kept in memory and on disk of the executors."""
-    folder = shared_dir(df.sparkSession)
-    if folder is None:
-        return reuse(df)
-    path = os.path.join(folder, f"{name}-{uuid.uuid4().hex}")
+    short, sizes are known, and a lost executor costs a task, not the lineage."""
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null, normalize_query
-from .skew import in_parts, top_per_group
+from .skew import place_in_group, top_per_group
 
 # Raw category (lower case) to macro area; the last area is the default.
 CATEGORY_GROUPS = {
@@ -213,21 +213,13 @@ def expand_affinity(wanted: DataFrame, taxonomy: DataFrame, edges: DataFrame) ->
 
 
 def search_terms_agg(taxonomy: DataFrame, terms: DataFrame) -> DataFrame:
-    """Terms of each service as one ordered array, heaviest first, and their number. A service with more than
-    a thousand terms comes in several rows, told apart by `part`, each ordered in itself."""
-    lists = in_parts(terms, ["service_id"], ["term", "term_type"]).groupBy("service_id", "part").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("w"), "term", "term_type"))),
-            lambda t: F.struct(t["term"].alias("term"), t["term_type"].alias("term_type"), (-t["w"]).alias("weight")),
-        ).alias("search_terms")
-    )
+    """Terms of each searchable service, one row a term: n_terms, place, term, term_type, weight, heaviest first. A
+    service without terms has one row without a place."""
+    order = [F.col("weight").desc_nulls_last(), F.col("term"), F.col("term_type")]
+    placed = place_in_group(terms.select("service_id", "term", "term_type", "weight"), ["service_id"], order, "place")
     counts = terms.groupBy("service_id").agg(F.count("*").alias("n_terms"))
-    empty = F.array().cast("array<struct<term:string,term_type:string,weight:int>>")
-    return (
-        searchable(taxonomy).join(lists, "service_id", "left").join(counts, "service_id", "left")
-        .withColumn("search_terms", F.coalesce("search_terms", empty))
-        .withColumn("n_terms", F.coalesce("n_terms", F.lit(0).cast("bigint")))
-        .withColumn("part", F.coalesce("part", F.lit(0).cast("bigint")))
+    return searchable(taxonomy).join(counts, "service_id", "left").join(placed, "service_id", "left").withColumn(
+        "n_terms", F.coalesce("n_terms", F.lit(0).cast("bigint"))
     )
 
 
@@ -241,14 +233,11 @@ def category_prices(services: DataFrame, benchmarks: DataFrame, macro: Column) -
 
 
 def group_by_category(services: DataFrame, default: str = "Altri servizi") -> DataFrame:
-    """Category to its service slugs in priority order and their number; a category of more than a thousand
-    services comes in several rows, told apart by `part`."""
+    """Services under their category, one row each: n_services of the category, place in priority order."""
     named = services.withColumn("category", F.coalesce(blank_to_null(F.col("category")), F.lit(default)))
     counts = named.groupBy("category").agg(F.count("*").alias("n_services"))
-    lists = in_parts(named, ["category"], ["service_id"]).groupBy("category", "part").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("priority", "name", "service_id", "slug"))), lambda x: x["slug"]).alias("slugs")
-    )
-    return lists.join(counts, "category")
+    placed = place_in_group(named, ["category"], [F.col("priority"), F.col("name"), F.col("service_id")], "place")
+    return placed.join(counts, "category")
 
 
 # Maintenance

@@ -8,21 +8,46 @@ from ..operators import claims as cl
 from ..operators import requests as rq
 from .registry import query
 
-_TARGETS = """SELECT submission_id, provider_id, place FROM (SELECT submission_id, provider_id, row_number() OVER (PARTITION BY submission_id ORDER BY pos, provider_id) AS place
-  FROM (SELECT submission_id, provider_id, min(pos) AS pos FROM submission_targets GROUP BY submission_id, provider_id) a) b WHERE place <= {0}"""
-_HASHED = f"""SELECT s.*, sha256(concat(lower(trim(email)), '|', service_slug, '|', lower(trim(comune)), '|', lower(substr(trim(message), 1, 120)), '|', coalesce(t.ids, ''), '|')) AS idempotency_hash
-  FROM submissions s LEFT JOIN (SELECT submission_id, string_agg(CAST(provider_id AS STRING), ',' ORDER BY CAST(provider_id AS STRING)) AS ids FROM ({_TARGETS.format(10)}) x GROUP BY submission_id) t
-    ON t.submission_id = s.submission_id"""
+_TARGETS = """SELECT submission_id, provider_id, row_number() OVER (PARTITION BY submission_id ORDER BY pos, provider_id) AS place
+  FROM (SELECT submission_id, provider_id, min(pos) AS pos FROM submission_targets GROUP BY submission_id, provider_id) a"""
+# A submission under an alias of each service, besides those under the services themselves.
+_SUBMITTED = """SELECT submission_id, email, service_slug, comune, message, created_at FROM submissions
+  UNION ALL SELECT s.submission_id + 100000000, s.email, t.slug, s.comune, s.message, s.created_at + INTERVAL 1 HOUR FROM submissions s
+    JOIN taxonomy c ON c.slug = s.service_slug JOIN taxonomy t ON t.canonical_id = c.service_id WHERE s.submission_id % 3 = 0"""
+_TICKED = """SELECT submission_id, pos, provider_id FROM submission_targets
+  UNION ALL SELECT submission_id + 100000000, pos, provider_id FROM submission_targets WHERE submission_id % 3 = 0"""
+_LINKED = """SELECT CAST(floor(property_id / 10) AS BIGINT) AS submission_id, property_id FROM client_properties
+  UNION ALL SELECT CAST(floor(property_id / 10) AS BIGINT) + 100000000, property_id FROM client_properties WHERE CAST(floor(property_id / 10) AS BIGINT) % 3 = 0
+  UNION ALL SELECT CAST(floor(property_id / 10) AS BIGINT) + 1, property_id FROM client_properties"""
+_MEANT = f"""SELECT s.submission_id, s.email, c.slug AS service_slug, s.comune, s.message, s.created_at FROM ({_SUBMITTED}) s JOIN taxonomy t ON t.slug = s.service_slug
+  JOIN taxonomy c ON c.service_id = coalesce(t.canonical_id, t.service_id) WHERE c.is_searchable"""
+_HASHED = f"""SELECT s.*, sha256(concat(lower(trim(email)), '|', service_slug, '|', lower(trim(comune)), '|', lower(trim(message)), '|', coalesce(t.ids, ''), '|', coalesce(p.ids, ''))) AS idempotency_hash
+  FROM ({_MEANT}) s LEFT JOIN (SELECT submission_id, string_agg(CAST(provider_id AS STRING), ',' ORDER BY CAST(provider_id AS STRING)) AS ids
+    FROM (SELECT DISTINCT submission_id, provider_id FROM ({_TICKED}) y) x GROUP BY submission_id) t ON t.submission_id = s.submission_id
+  LEFT JOIN (SELECT submission_id, string_agg(CAST(property_id AS STRING), ',' ORDER BY CAST(property_id AS STRING)) AS ids FROM (
+      SELECT DISTINCT l.submission_id, l.property_id FROM ({_LINKED}) l JOIN ({_SUBMITTED}) o ON o.submission_id = l.submission_id
+      JOIN client_properties q ON q.property_id = l.property_id AND lower(trim(q.owner_email)) = lower(trim(o.email))) z GROUP BY submission_id) p ON p.submission_id = s.submission_id"""
+
+
+def _keyed(d):
+    meant = rq.canonical_service(d.sql(_SUBMITTED), d.taxonomy)
+    owned = rq.owned_properties(d.sql(_LINKED), meant, d.client_properties)
+    return rq.request_keys(meant, d.sql(_TICKED), owned)
+
+
+@query("dedup_first", _TARGETS)
+def _(d):
+    return rq.selected_targets(d.submission_targets).select("submission_id", "provider_id", "place")
 
 
-@query("dedup_first", _TARGETS.format(3))
+@query("idempotency_hash", f"SELECT submission_id, idempotency_hash FROM ({_HASHED}) h")
 def _(d):
-    return rq.selected_targets(d.submission_targets, 3).select("submission_id", "provider_id", "place")
+    return _keyed(d).select("submission_id", "idempotency_hash")
 
 
-@query("idempotency_hash", f"SELECT submission_id, idempotency_hash FROM ({_HASHED}) h")
+@query("canonical_service", f"SELECT submission_id, service_slug FROM ({_MEANT}) m")
 def _(d):
-    return rq.request_keys(d.submissions, d.submission_targets).select("submission_id", "idempotency_hash")
+    return rq.canonical_service(d.sql(_SUBMITTED), d.taxonomy).select("submission_id", "service_slug")
 
 
 @query(
@@ -34,8 +59,7 @@ def _(d):
           FROM ({_HASHED}) h WINDOW w AS (PARTITION BY idempotency_hash)) t WHERE rn = 1""",
 )
 def _(d):
-    keyed = rq.request_keys(d.submissions, d.submission_targets)
-    return rq.dedup_requests(keyed).select("idempotency_hash", "request_id", "created_at", "updated_at", "submissions", "details_from")
+    return rq.dedup_requests(_keyed(d)).select("idempotency_hash", "request_id", "created_at", "updated_at", "submissions", "details_from")
 
 
 def _owned(d):
@@ -52,7 +76,7 @@ _OWNED = """SELECT *, CASE WHEN provider_id % 4 = 0 THEN upper(email) END AS own
     "fan_out_recipients",
     f"""SELECT s.submission_id AS request_id, t.provider_id, CASE WHEN p.profile_status = 'verified' THEN p.owner_email ELSE p.email END AS recipient_email,
           coalesce(p.profile_status = 'verified', false) AS is_verified
-        FROM submissions s JOIN ({_TARGETS.format(10)}) t ON t.submission_id = s.submission_id JOIN ({_OWNED}) p ON p.provider_id = t.provider_id WHERE p.status = 'published'""",
+        FROM submissions s JOIN ({_TARGETS}) t ON t.submission_id = s.submission_id JOIN ({_OWNED}) p ON p.provider_id = t.provider_id WHERE p.status = 'published'""",
 )
 def _(d):
     requests = d.submissions.select(F.col("submission_id").alias("request_id"))
@@ -88,23 +112,32 @@ def _(d):
 
 @query(
     "request_recipients",
-    """SELECT q.request_id, coalesce(n, 0) AS recipient_count, coalesce(names, '') AS recipient_names FROM requests q LEFT JOIN (
-         SELECT r.request_id, count(*) AS n, string_agg(p.full_name, ', ' ORDER BY p.full_name, p.provider_id) AS names
-         FROM request_recipients r LEFT JOIN providers p ON p.provider_id = r.provider_id GROUP BY r.request_id) a ON a.request_id = q.request_id""",
+    """SELECT q.request_id, coalesce(a.n, 0) AS recipient_count, a.place, a.recipient_name FROM requests q LEFT JOIN (
+         SELECT r.request_id, p.full_name AS recipient_name, count(*) OVER (PARTITION BY r.request_id) AS n,
+           row_number() OVER (PARTITION BY r.request_id ORDER BY p.full_name NULLS LAST, r.provider_id) AS place
+         FROM request_recipients r LEFT JOIN providers p ON p.provider_id = r.provider_id) a ON a.request_id = q.request_id""",
 )
 def _(d):
-    return rq.request_recipients(d.requests, d.request_recipients, d.providers).select("request_id", "recipient_count", "recipient_names")
+    return rq.request_recipients(d.requests, d.request_recipients, d.providers).select("request_id", "recipient_count", "place", "recipient_name")
 
 
 @query(
     "client_rollup",
-    """SELECT r.email, r.requests, r.last_request_at, coalesce(p.n, 0) AS properties, r.services AS sample_services FROM (
-         SELECT lower(requester_email) AS email, count(*) AS requests, max(created_at) AS last_request_at, string_agg(DISTINCT service_name, ', ' ORDER BY service_name) AS services
+    """SELECT r.email, r.requests, r.last_request_at, coalesce(p.n, 0) AS properties, r.services FROM (
+         SELECT lower(requester_email) AS email, count(*) AS requests, max(created_at) AS last_request_at, count(DISTINCT service_name) AS services
          FROM requests GROUP BY lower(requester_email)) r
        LEFT JOIN (SELECT lower(owner_email) AS email, count(*) AS n FROM client_properties WHERE status = 'active' GROUP BY lower(owner_email)) p ON p.email = r.email""",
 )
 def _(d):
-    return rq.client_rollup(d.requests, d.client_properties).select("email", "requests", "last_request_at", "properties", "sample_services")
+    return rq.client_rollup(d.requests, d.client_properties).select("email", "requests", "last_request_at", "properties", "services")
+
+
+@query(
+    "client_services",
+    "SELECT email, service_name, row_number() OVER (PARTITION BY email ORDER BY service_name) AS place FROM (SELECT DISTINCT lower(requester_email) AS email, service_name FROM requests) r",
+)
+def _(d):
+    return rq.client_services(d.requests)
 
 
 @query(
@@ -131,15 +164,33 @@ def _(d):
     return rq.properties_for_request(d.sql(_LINKS), d.client_properties, d.requests).select("request_id", "property_id", "nickname")
 
 
+_PROPERTY = """concat('{"id":', property_id, ',"nickname":"', nickname, '","comune":"', comune, '"', CASE WHEN foglio IS NULL THEN '' ELSE concat(',"foglio":"', foglio, '"') END,
+  ',"particella":"', particella, '"', CASE WHEN categoria IS NULL THEN '' ELSE concat(',"categoria_catastale":"', categoria, '"') END, ',"rendita_catastale":"', rendita, '","usable_for":["mutuo"],"data_source":"user"}')"""
+
+
 @query(
     "case_snapshot",
-    f"""SELECT q.request_id, concat('{{"intake":{{"timing":"', q.message, '"}},"properties_snapshot":[', coalesce(p.list, ''), '],"service_source":"user_request"}}') AS case_details
-        FROM requests q LEFT JOIN (SELECT request_id, string_agg(concat('{{"property_id":', property_id, ',"nickname":"', nickname, '","comune":"', comune, '","particella":"', particella, '"}}'), ',' ORDER BY property_id) AS list
-          FROM (SELECT l.request_id, c.* FROM ({_LINKS}) l JOIN client_properties c ON c.property_id = l.property_id) x GROUP BY request_id) p ON p.request_id = q.request_id""",
+    f"""SELECT q.request_id, concat('{{"mvp":true,"funnel":true,"urgency":"', q.message, '"', CASE WHEN q.request_id % 2 = 0 THEN concat(',"property_value":"', q.request_id, '"') ELSE ',"property_value":"90000"' END,
+          ',"documents_ready":"yes","intake_profile":"home","intake":{{"timing_preference":"', q.message, '","deal_value":"90000"}},"selected_notary_ids":[', coalesce(t.list, ''),
+          '],"selected_property_ids":[', coalesce(p.ids, ''), '],"properties_snapshot":[', coalesce(p.list, ''), '],"service_requested_by_user":true,"service_source":"user_request"}}') AS case_details
+        FROM requests q LEFT JOIN (SELECT request_id, string_agg(CAST(property_id AS STRING), ',' ORDER BY property_id) AS ids, string_agg({_PROPERTY}, ',' ORDER BY property_id) AS list
+          FROM (SELECT l.request_id, c.* FROM ({_LINKS}) l JOIN client_properties c ON c.property_id = l.property_id) x GROUP BY request_id) p ON p.request_id = q.request_id
+        LEFT JOIN (SELECT submission_id, string_agg(CAST(provider_id AS STRING), ',' ORDER BY place) AS list FROM ({_TARGETS}) y GROUP BY submission_id) t ON t.submission_id = q.request_id""",
 )
 def _(d):
-    linked = d.sql(_LINKS).join(d.client_properties, "property_id")
-    return rq.case_snapshot(d.requests, linked, [F.col("message").alias("timing")]).select("request_id", "case_details")
+    none = F.lit(None).cast("string")
+    asked = d.requests.select(
+        "request_id", F.lit(" ").alias("urgency"), F.when(F.col("request_id") % 2 == 0, F.col("request_id").cast("string")).alias("property_value"),
+        none.alias("parties"), F.lit("yes").alias("documents_ready"), F.lit("home").alias("intake_profile"), "message",
+    )
+    p = d.sql(_LINKS).join(d.client_properties, "property_id").select(
+        "request_id", F.col("property_id").alias("id"), "nickname", none.alias("address"), "comune", none.alias("province"), "foglio", "particella",
+        none.alias("subalterno"), none.alias("sezione"), F.col("categoria").alias("categoria_catastale"), F.col("rendita").alias("rendita_catastale"),
+        none.alias("quota_possesso"), F.array(F.lit("mutuo")).alias("usable_for"), F.lit("user").alias("data_source"),
+    )
+    targets = rq.selected_targets(d.submission_targets).withColumnRenamed("submission_id", "request_id")
+    intake = [F.col("message").alias("timing_preference"), F.lit("90000").alias("deal_value")]
+    return rq.case_snapshot(asked, targets, p, intake).select("request_id", "case_details")
 
 
 @query(
@@ -152,31 +203,105 @@ def _(d):
     return cl.claim_status_of_owner(_owned(d), d.claims).select("provider_id", "claim_status")
 
 
+# One decision after the other, as a walk over the decisions of each provider.
+_WALK = f"""WITH RECURSIVE seq AS (SELECT *, row_number() OVER (PARTITION BY provider_id ORDER BY created_at, claim_id) AS rn FROM claims),
+  walk AS (
+    SELECT provider_id, CAST(0 AS BIGINT) AS rn, owner_email, profile_status, CAST(NULL AS TIMESTAMP) AS claimed_at FROM ({_OWNED}) o
+    UNION ALL
+    SELECT w.provider_id, s.rn,
+      CASE WHEN s.status IN ('approved', 'pending') THEN lower(s.email) WHEN lower(coalesce(w.owner_email, '')) = lower(s.email) THEN NULL ELSE w.owner_email END,
+      CASE WHEN s.status = 'approved' THEN 'verified' WHEN s.status = 'pending' THEN 'in_revisione' WHEN lower(coalesce(w.owner_email, '')) = lower(s.email) THEN NULL ELSE w.profile_status END,
+      CASE WHEN s.status = 'approved' THEN coalesce(w.claimed_at, s.created_at) ELSE w.claimed_at END
+    FROM walk w JOIN seq s ON s.provider_id = w.provider_id AND s.rn = w.rn + 1)
+SELECT provider_id, owner_email, profile_status, claimed_at FROM (SELECT *, row_number() OVER (PARTITION BY provider_id ORDER BY rn DESC) AS back FROM walk) x WHERE back = 1"""
+
+
+@query("claim_transitions", _WALK)
+def _(d):
+    return cl.claim_transitions(_owned(d), d.claims).select("provider_id", "owner_email", "profile_status", "claimed_at")
+
+
+_DECISIONS = """SELECT claim_id, status, created_at + INTERVAL 1 DAY AS decided_at FROM claims
+  UNION ALL SELECT claim_id, 'rejected' AS status, created_at + INTERVAL 2 DAY AS decided_at FROM claims WHERE claim_id % 7 = 0
+  UNION ALL SELECT claim_id, 'approved' AS status, created_at + INTERVAL 3 DAY AS decided_at FROM claims WHERE claim_id % 14 = 0"""
+
+
 @query(
-    "claim_transitions",
-    f"""SELECT p.provider_id, CASE WHEN c.status IN ('approved', 'pending') THEN lower(c.email) WHEN c.status = 'rejected' AND lower(coalesce(p.owner_email, '')) = lower(c.email) THEN NULL ELSE p.owner_email END AS owner_email,
-          CASE c.status WHEN 'approved' THEN 'verified' WHEN 'pending' THEN 'in_revisione' ELSE CASE WHEN c.status = 'rejected' AND lower(coalesce(p.owner_email, '')) = lower(c.email) THEN NULL ELSE p.profile_status END END AS profile_status,
-          CASE WHEN c.status = 'approved' THEN c.created_at END AS claimed_at
-        FROM ({_OWNED}) p LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY provider_id ORDER BY created_at DESC, claim_id DESC) AS rn FROM claims) x WHERE rn = 1) c ON c.provider_id = p.provider_id""",
+    "decide_claims",
+    f"""SELECT c.claim_id, x.status, x.approved_at, x.rejected_at FROM claims c JOIN (SELECT claim_id, arg_max(status, decided_at) AS status,
+          max(decided_at) FILTER (status = 'approved') AS approved_at, max(decided_at) FILTER (status = 'rejected') AS rejected_at FROM ({_DECISIONS}) y GROUP BY claim_id) x ON x.claim_id = c.claim_id""",
 )
 def _(d):
-    return cl.claim_transitions(_owned(d), d.claims).select("provider_id", "owner_email", "profile_status", "claimed_at")
+    never = F.lit(None).cast("timestamp_ntz")
+    claims = d.claims.withColumns({"status": F.lit("pending"), "approved_at": never, "rejected_at": never, "verified_at": never})
+    return cl.decide_claims(claims, d.sql(_DECISIONS)).select("claim_id", "status", "approved_at", "rejected_at")
 
 
-_VERDICT = f"""SELECT c.*, lower(c.email) AS e, CASE WHEN o.owned IS NOT NULL AND o.owned <> c.provider_id THEN 'already_has_provider' WHEN p.provider_id IS NULL THEN 'provider_not_found'
+# Claims are judged in the order of time; what was admitted so far is carried along.
+_ADMITTED = f"""
+WITH RECURSIVE j AS (
+  SELECT c.*, lower(trim(c.email)) AS e, CASE WHEN o.owned IS NOT NULL AND o.owned <> c.provider_id THEN 'already_has_provider' WHEN p.provider_id IS NULL THEN 'provider_not_found'
     WHEN coalesce(p.owner_email, '') <> '' AND lower(p.owner_email) <> lower(c.email) THEN 'already_claimed' ELSE 'ok' END AS v
   FROM claims c LEFT JOIN ({_OWNED}) p ON p.provider_id = c.provider_id AND p.status = 'published'
-  LEFT JOIN (SELECT lower(owner_email) AS e, min(provider_id) AS owned FROM ({_OWNED}) x WHERE owner_email IS NOT NULL GROUP BY lower(owner_email)) o ON o.e = lower(c.email)"""
+  LEFT JOIN (SELECT lower(owner_email) AS e, min(provider_id) AS owned FROM ({_OWNED}) x WHERE owner_email IS NOT NULL GROUP BY lower(owner_email)) o ON o.e = lower(c.email)),
+seq AS (SELECT *, row_number() OVER (ORDER BY created_at, claim_id) AS rn FROM j WHERE v = 'ok'),
+walk AS (
+  SELECT CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS claim_id, CAST(NULL AS VARCHAR) AS verdict, CAST([] AS VARCHAR[]) AS emails, CAST([] AS BIGINT[]) AS taken
+  UNION ALL
+  SELECT rn, claim_id, verdict, CASE WHEN verdict = 'ok' THEN list_append(emails, e) ELSE emails END, CASE WHEN verdict = 'ok' THEN list_append(taken, provider_id) ELSE taken END FROM (
+    SELECT s.rn, s.claim_id, s.e, s.provider_id, w.emails, w.taken,
+      CASE WHEN list_contains(w.emails, s.e) AND w.taken[list_position(w.emails, s.e)] <> s.provider_id THEN 'already_has_provider'
+           WHEN list_contains(w.taken, s.provider_id) AND w.emails[list_position(w.taken, s.provider_id)] <> s.e THEN 'already_claimed' ELSE 'ok' END AS verdict
+    FROM walk w JOIN seq s ON s.rn = w.rn + 1) n)
+SELECT j.claim_id, j.provider_id, j.e AS email, coalesce(w.verdict, j.v) AS verdict FROM j LEFT JOIN walk w ON w.claim_id = j.claim_id"""
+
+
+@query("claim_admission", f"SELECT claim_id, provider_id, verdict FROM ({_ADMITTED}) a")
+def _(d):
+    return cl.claim_admission(d.claims, _owned(d)).select("claim_id", "provider_id", "verdict")
+
+
+def _held(d):
+    """Claims made earlier, with the columns an upsert changes."""
+    day = lambda status: F.when(F.col("status") == status, F.col("created_at"))
+    return d.claims.filter("claim_id % 3 <> 0").withColumns({"claimant_name": F.lit("old"), "approved_at": day("approved"), "rejected_at": day("rejected")})
+
+
+def _asked(d):
+    """Submissions: every third claim, and a second one for the pair of every earlier claim with an even id."""
+    new = d.claims.filter("claim_id % 3 = 0").select("claim_id", "provider_id", "email", "created_at")
+    again = d.claims.filter("claim_id % 3 <> 0 AND claim_id % 2 = 0").select(
+        F.col("claim_id") + 10_000_000, "provider_id", F.upper("email"), F.expr("created_at + INTERVAL 40 DAY"))
+    return new.union(again).toDF("submission_id", "provider_id", "email", "created_at").withColumn("name", F.concat(F.lit("n"), F.col("submission_id").cast("string")))
+
+
+_HELD = """SELECT claim_id, provider_id, email, 'old' AS claimant_name, status, created_at, CASE WHEN status = 'approved' THEN created_at END AS approved_at FROM claims WHERE claim_id % 3 <> 0"""
+_ASKED = """SELECT claim_id AS submission_id, provider_id, lower(email) AS email, created_at FROM claims WHERE claim_id % 3 = 0
+  UNION ALL SELECT claim_id + 10000000, provider_id, lower(email), created_at + INTERVAL 40 DAY FROM claims WHERE claim_id % 3 <> 0 AND claim_id % 2 = 0"""
 
 
 @query(
-    "claim_admission",
-    f"""WITH j AS ({_VERDICT}) SELECT j.claim_id, j.provider_id, CASE WHEN j.v <> 'ok' THEN j.v WHEN fe.provider_id <> j.provider_id THEN 'already_has_provider' WHEN fp.e <> j.e THEN 'already_claimed' ELSE 'ok' END AS verdict
-        FROM j LEFT JOIN (SELECT provider_id, e FROM (SELECT *, row_number() OVER (PARTITION BY provider_id ORDER BY created_at, claim_id) AS rn FROM j WHERE v = 'ok') a WHERE rn = 1) fp ON fp.provider_id = j.provider_id
-        LEFT JOIN (SELECT provider_id, e FROM (SELECT *, row_number() OVER (PARTITION BY e ORDER BY created_at, claim_id) AS rn FROM j WHERE v = 'ok') b WHERE rn = 1) fe ON fe.e = j.e""",
+    "claim_upsert",
+    f"""WITH h AS ({_HELD}), s AS (SELECT provider_id, email, arg_min(submission_id, (created_at, submission_id)) AS first_id, min(created_at) AS at_time,
+            concat('n', arg_max(submission_id, (created_at, submission_id))) AS name FROM ({_ASKED}) a GROUP BY provider_id, email),
+          o AS (SELECT *, row_number() OVER (PARTITION BY provider_id, lower(email) ORDER BY created_at DESC, claim_id DESC) AS rn FROM h WHERE status IN ('pending', 'approved'))
+        SELECT h.claim_id, h.provider_id, coalesce(s.name, h.claimant_name) AS claimant_name, CASE WHEN s.name IS NOT NULL THEN 'pending' ELSE h.status END AS status,
+          CASE WHEN s.name IS NULL THEN h.approved_at END AS approved_at
+        FROM h LEFT JOIN o ON o.claim_id = h.claim_id AND o.rn = 1 LEFT JOIN s ON s.provider_id = o.provider_id AND s.email = lower(o.email)
+        UNION ALL SELECT s.first_id, s.provider_id, s.name, 'pending', NULL FROM s WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.provider_id = s.provider_id AND lower(o.email) = s.email)""",
 )
 def _(d):
-    return cl.claim_admission(d.claims, _owned(d)).select("claim_id", "provider_id", "verdict")
+    return cl.claim_upsert(_held(d), _asked(d)).select("claim_id", "provider_id", "claimant_name", "status", "approved_at")
+
+
+@query(
+    "owners_after_claims",
+    f"""SELECT p.provider_id, CASE WHEN a.email IS NOT NULL AND coalesce(lower(p.owner_email), a.email) = a.email THEN a.email ELSE p.owner_email END AS owner_email,
+          CASE WHEN a.email IS NOT NULL AND coalesce(lower(p.owner_email), a.email) = a.email THEN coalesce(p.profile_status, 'in_revisione') ELSE p.profile_status END AS profile_status
+        FROM ({_OWNED}) p LEFT JOIN (SELECT provider_id, arg_min(email, (created_at, submission_id)) AS email FROM ({_ASKED}) s GROUP BY provider_id) a ON a.provider_id = p.provider_id""",
+)
+def _(d):
+    return cl.owners_after_claims(_owned(d), _asked(d)).select("provider_id", "owner_email", "profile_status")
 
 
 @query(

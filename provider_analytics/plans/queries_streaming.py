@@ -25,9 +25,11 @@ def _(d):
     return metrics.parse_events(d.events).select("event_id", "event_type", "k")
 
 
-_FUNNEL = """SELECT session_id, a AS at_1, b AS at_2, c AS at_3, CAST(CASE WHEN a IS NULL THEN 0 WHEN b IS NULL OR b < a THEN 1 WHEN c IS NULL OR c < b THEN 2 ELSE 3 END AS INT) AS depth FROM (
-  SELECT session_id, min(ts) FILTER (event_type = 'page_view') AS a, min(ts) FILTER (event_type = 'phone_click') AS b, min(ts) FILTER (event_type = 'quote_request') AS c
-  FROM provider_events GROUP BY session_id) t"""
+_FUNNEL = """SELECT s.session_id, a.at_1, b.at_2, c.at_3, CAST(CASE WHEN a.at_1 IS NULL THEN 0 WHEN b.at_2 IS NULL THEN 1 WHEN c.at_3 IS NULL THEN 2 ELSE 3 END AS INT) AS depth
+  FROM (SELECT DISTINCT session_id FROM provider_events) s
+  LEFT JOIN (SELECT session_id, min(ts) AS at_1 FROM provider_events WHERE event_type = 'page_view' GROUP BY session_id) a ON a.session_id = s.session_id
+  LEFT JOIN LATERAL (SELECT min(e.ts) AS at_2 FROM provider_events e WHERE e.session_id = s.session_id AND e.event_type = 'phone_click' AND e.ts >= a.at_1) b ON true
+  LEFT JOIN LATERAL (SELECT min(e.ts) AS at_3 FROM provider_events e WHERE e.session_id = s.session_id AND e.event_type = 'quote_request' AND e.ts >= b.at_2) c ON true"""
 
 
 @query("funnel_steps", _FUNNEL)
@@ -59,10 +61,19 @@ def _(d):
     """SELECT idempotency_hash FROM (SELECT DISTINCT sha256(concat(CAST(session_id AS STRING), '|', CAST(provider_id AS STRING))) AS idempotency_hash FROM provider_events WHERE event_type = 'quote_request') t""",
 )
 def _(d):
+    """The events as a stream of files, through the operator, into a written table."""
     from ..functions.records import sha_key
-
-    asked = d.provider_events.filter("event_type = 'quote_request'").withColumn("idempotency_hash", sha_key(F.col("session_id"), F.col("provider_id")))
-    return asked.dropDuplicates(["idempotency_hash"]).select("idempotency_hash")
+    from ..operators.skew import scratch_path
+
+    raw = metrics.read_event_stream(d.spark, f"{d.folder}/events.parque[t]", d.events.schema.simpleString()[7:-1].replace(":", " "))
+    providers = d.sql("SELECT count(*) AS n FROM customer").first()["n"]
+    asked = raw.filter("event_type = 'purchase'").withColumn(
+        "idempotency_hash", sha_key(F.col("user_id"), F.pmod(F.col("user_id") * 7 + F.col("event_id"), F.lit(providers)))
+    ).withColumn("ts", F.col("ts").cast("timestamp"))
+    out = scratch_path(d.spark, "stream-dedup")
+    unique = metrics.stream_dedup(asked, "60 days").select("idempotency_hash")
+    unique.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    return d.spark.read.schema("idempotency_hash string").parquet(f"{out}/rows")
 
 
 @query(

@@ -125,13 +125,12 @@ def _(d):
 
 @query(
     "search_terms_agg",
-    """SELECT t.service_id, coalesce(n, 0) AS n_terms, coalesce(terms, '') AS terms FROM taxonomy t LEFT JOIN (
-         SELECT service_id, count(*) AS n, string_agg(concat(term, ':', term_type, ':', weight), ',' ORDER BY weight DESC, term, term_type) AS terms
-         FROM search_terms GROUP BY service_id) s ON s.service_id = t.service_id WHERE t.canonical_id IS NULL AND t.is_searchable""",
+    """SELECT t.service_id, coalesce(n, 0) AS n_terms, s.place, s.term, s.term_type, s.weight FROM taxonomy t LEFT JOIN (
+         SELECT *, count(*) OVER (PARTITION BY service_id) AS n, row_number() OVER (PARTITION BY service_id ORDER BY weight DESC, term, term_type) AS place
+         FROM search_terms) s ON s.service_id = t.service_id WHERE t.canonical_id IS NULL AND t.is_searchable""",
 )
 def _(d):
-    shown = F.transform("search_terms", lambda t: F.concat_ws(":", t["term"], t["term_type"], t["weight"].cast("string")))
-    return tx.search_terms_agg(d.taxonomy, d.search_terms).select("service_id", "n_terms", F.array_join(shown, ",").alias("terms"))
+    return tx.search_terms_agg(d.taxonomy, d.search_terms).select("service_id", "n_terms", "place", "term", "term_type", "weight")
 
 
 @query(
@@ -145,11 +144,11 @@ def _(d):
 
 @query(
     "group_by_category",
-    """SELECT coalesce(category, 'Altri servizi') AS category, count(*) AS n_services, string_agg(slug, ',' ORDER BY priority, name, service_id) AS slugs
-       FROM services GROUP BY coalesce(category, 'Altri servizi')""",
+    """SELECT coalesce(category, 'Altri servizi') AS category, slug, count(*) OVER (PARTITION BY coalesce(category, 'Altri servizi')) AS n_services,
+         row_number() OVER (PARTITION BY coalesce(category, 'Altri servizi') ORDER BY priority, name, service_id) AS place FROM services""",
 )
 def _(d):
-    return tx.group_by_category(d.services).select("category", "n_services", F.array_join("slugs", ",").alias("slugs"))
+    return tx.group_by_category(d.services).select("category", "slug", "n_services", "place")
 
 
 @query("macro_category", f"SELECT slug, {_MACRO.format('category')} AS macro FROM services")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 from functools import lru_cache
 
@@ -27,13 +29,20 @@ def tune(spark: SparkSession) -> SparkSession:
 
 @lru_cache(maxsize=1)
 def _own_dir() -> str:
-    return tempfile.mkdtemp(prefix="provider-analytics-")
-
-
-def shared_dir(spark: SparkSession) -> str | None:
-    """The folder every executor can reach, as the cluster names it in spark.checkpoint.dir. Where that is
-    unset, a temporary folder for a session that runs on this machine alone, and None on a cluster."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    return _own_dir() if spark.sparkContext.master.startswith("local") else None
+    path = tempfile.mkdtemp(prefix="provider-analytics-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder every executor can reach, as the cluster names it in spark.checkpoint.dir. Only a session that runs
+    on this machine alone may leave it unset; it gets a temporary folder that goes when the process ends."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = _own_dir()
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(named)
+    return named

@@ -50,18 +50,17 @@ def daily_metrics_stream(events: DataFrame, lateness: str = "1 day") -> DataFram
 
 
 def funnel_steps(events: DataFrame, steps: list[str] | None = None) -> DataFrame:
-    """Per session the first time of each step and how far it got in order: a step counts only at or after
-    the step before it. Each step is one conditional minimum; no session is ever collected."""
+    """Per session the time of each step and how far it got in order: a step counts at its first time at or after
+    the step before it. One conditional minimum a step, so no session is ever collected."""
     wanted = steps or FUNNEL_STEPS
-    first = events.groupBy("session_id").agg(*[
-        F.min(F.when(F.col("event_type") == step, F.col("ts"))).alias(f"at_{i}") for i, step in enumerate(wanted, 1)
-    ])
-    reached, depth = F.col("at_1").isNotNull(), F.lit(0)
-    for i in range(1, len(wanted) + 1):
-        if i > 1:
-            reached = reached & F.coalesce(F.col(f"at_{i}") >= F.col(f"at_{i - 1}"), F.lit(False))
-        depth = depth + F.when(reached, 1).otherwise(0)
-    return first.withColumn("depth", depth.cast("int"))
+    time_of = lambda step: F.min(F.when(F.col("event_type") == step, F.col("ts")))
+    reached = events.groupBy("session_id").agg(time_of(wanted[0]).alias("at_1"))
+    for i, step in enumerate(wanted[1:], 2):
+        before = reached.filter(F.col(f"at_{i - 1}").isNotNull()).select("session_id", F.col(f"at_{i - 1}").alias("_before"))
+        later = events.filter(F.col("event_type") == step).select("session_id", "ts").join(before, "session_id").filter("ts >= _before")
+        reached = reached.join(later.groupBy("session_id").agg(F.min("ts").alias(f"at_{i}")), "session_id", "left")
+    depth = sum((F.when(F.col(f"at_{i}").isNotNull(), 1).otherwise(0) for i in range(1, len(wanted) + 1)), F.lit(0))
+    return reached.withColumn("depth", depth.cast("int"))
 
 
 def funnel_report(sessions: DataFrame, steps: int = len(FUNNEL_STEPS)) -> DataFrame:
@@ -85,7 +84,8 @@ def session_activity(events: DataFrame, gap: str = "30 minutes", lateness: str |
 
 
 def stream_dedup(requests: DataFrame, lateness: str = "1 day") -> DataFrame:
-    """First request of each idempotency hash within the watermark; needs ts and idempotency_hash."""
+    """First request of each idempotency hash within the watermark; needs ts and idempotency_hash. State is kept for
+    as long as a duplicate may come, not for ever."""
     return requests.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["idempotency_hash"])
 
 
