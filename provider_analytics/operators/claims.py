@@ -107,8 +107,9 @@ def claim_admission(claims: DataFrame, providers: DataFrame) -> DataFrame:
     mine = won.select("_email", F.col("provider_id").alias("_got"), F.col("_moment").alias("_got_at"))
     theirs = won.select("provider_id", F.col("_email").alias("_taker"), F.col("_moment").alias("_taken_at"))
     late = (
-        F.when(F.col("verdict") != "ok", F.col("verdict"))
+        F.when(F.col("verdict") == "invalid_input", F.col("verdict"))
         .when((F.col("_got") != F.col("provider_id")) & (F.col("_got_at") < F.col("_moment")), "already_has_provider")
+        .when(F.col("verdict") != "ok", F.col("verdict"))
         .when((F.col("_taker") != F.col("_email")) & (F.col("_taken_at") < F.col("_moment")), "already_claimed").otherwise("ok")
     )
     return judged.join(mine, "_email", "left").join(theirs, "provider_id", "left").withColumn("verdict", late).drop(

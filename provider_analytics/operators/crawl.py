@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.phones import phone_e164
 from ..functions.text import slugify, title_case, xml_escape
 from .filters import published
-from .skew import reuse, top_per_group
+from .skew import place_in_group, reuse, top_per_group
 
 # Provincial capitals with their province codes, in priority order.
 CAPITALS = [
@@ -303,14 +303,14 @@ def sitemap_index(documents: DataFrame, site: str) -> DataFrame:
     ).alias("entry"))
 
 
-def changed_urls(providers: DataFrame, observations: DataFrame, site: str, limit: int = 10_000) -> DataFrame:
-    """Distinct profile URLs of providers completed in a run, in order, at most `limit` per notification."""
+def changed_urls(providers: DataFrame, observations: DataFrame, site: str, per_notification: int = 10_000) -> DataFrame:
+    """Distinct profile URLs of providers completed in a run, in order: url, and the notification it goes into, as a
+    notification takes so many."""
     done = observations.filter("status = 'completed'").select("provider_id").distinct()
     url = F.concat(F.lit(site + "/notai/"), F.lower(F.trim("slug")))
-    return (
-        providers.join(done, "provider_id", "left_semi").filter(F.coalesce(F.trim("slug"), F.lit("")) != "")
-        .select(url.alias("url")).distinct().orderBy("url").limit(limit)
-    )
+    urls = providers.join(done, "provider_id", "left_semi").filter(F.coalesce(F.trim("slug"), F.lit("")) != "").select(url.alias("url")).distinct()
+    placed = place_in_group(urls.withColumn("_all", F.lit(0)), ["_all"], [F.col("url")], "place")
+    return placed.select("url", F.floor((F.col("place") - 1) / per_notification).alias("notification"))
 
 
 def neighbour_cities(asked: DataFrame, capitals: DataFrame, neighbours: DataFrame, limit: int = 6) -> DataFrame:
@@ -328,13 +328,15 @@ def neighbour_cities(asked: DataFrame, capitals: DataFrame, neighbours: DataFram
     )
     first = top_per_group(near, ["place"], [F.col("_pos")], limit, "rank").select("place", "rank", "name", F.col("near").alias("near_province"))
     none = resolved.join(first.select("place").distinct(), "place", "left_anti")
-    # The head of the fixed capital list, one more than asked so that the place's own province can drop out.
-    count = capitals.groupBy("province").agg(F.count("*").alias("_n"))
-    head = capitals.orderBy("pos").limit(limit + 8)
-    options = head.agg(F.array_sort(F.collect_list(F.struct("pos", "name", "province"))).alias("_all"))  # one row
-    filled = none.crossJoin(F.broadcast(options)).join(count, "province", "left").select(
-        "place", F.posexplode(F.slice(F.filter("_all", lambda c: c["province"] != F.col("province")), 1, limit)).alias("_p", "c")
-    ).select("place", (F.col("_p") + 1).cast("bigint").alias("rank"), F.col("c.name").alias("name"), F.col("c.province").alias("near_province"))
+    # The first capitals; for a place in the province of one of them, the first ones outside it.
+    rows = capitals.select("pos", "name", F.col("province").alias("near_province"))
+    head = top_per_group(rows.withColumn("_own", F.lit("")), ["_own"], [F.col("pos")], limit, "rank")  # at most `limit` rows
+    own = F.broadcast(head.select(F.col("near_province").alias("_own")).distinct())
+    outside = top_per_group(rows.join(own, F.col("near_province") != F.col("_own")), ["_own"], [F.col("pos")], limit, "rank")
+    in_head = none.join(own, F.col("province") == F.col("_own"))
+    others = none.join(own, F.col("province") == F.col("_own"), "left_anti").crossJoin(F.broadcast(head.drop("_own")))
+    filled = in_head.join(F.broadcast(outside), "_own").select("place", "rank", "name", "near_province").unionByName(
+        others.select("place", "rank", "name", "near_province"))
     return first.unionByName(filled)
 
 

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.geo import RADIUS_STEPS_KM, distance_km, in_bbox
 from . import ranking
 from .filters import ilike_search, published
-from .geojoin import nearest_within, neighbours
-from .skew import salted_join, settle, top_per_group
-from .ranking import CANDIDATE_CAP, PAGE_SIZE
+from .geojoin import nearest_within, neighbours, within
+from .ranking import PAGE_SIZE
+from .skew import place_in_group, settle, top_per_group
 
 
 def services_count(providers: DataFrame, provider_services: DataFrame) -> DataFrame:
@@ -74,73 +74,67 @@ def _places(rows: DataFrame) -> DataFrame:
 
 
 def search_near_me(points: DataFrame, providers: DataFrame, figures: DataFrame, radius_km: int = 30, page: int = 1,
-                   page_size: int = PAGE_SIZE, cap: int = CANDIDATE_CAP) -> DataFrame:
-    """Nearest candidates within the radius of each point (point_id, lat, lng), then by relevance, one page.
+                   page_size: int = PAGE_SIZE) -> DataFrame:
+    """All providers within the radius of each point (point_id, lat, lng) by relevance, one page.
 
     Points on one spot share one search; its page is then handed to each of them."""
     spot = F.concat_ws(",", F.col("lat").cast("string"), F.col("lng").cast("string"))
     asked = points.filter("lat IS NOT NULL AND lng IS NOT NULL")
     spots = asked.select(spot.alias("point_id"), "lat", "lng").distinct()
-    near = nearest_within(spots, _places(published(providers)), cap, ["full_name", "provider_id"], F.lit(float(radius_km)))
-    scored = _with_score(with_figures(near.drop("place"), figures))
-    pages = ranking.paginate_capped(scored, ["point_id"], ranking.by_relevance(), F.lit(page), page_size)
-    return salted_join(
-        asked.select("point_id", spot.alias("_spot")), pages.withColumnRenamed("point_id", "_spot"), ["_spot"], "inner", ["point_id"]
-    ).drop("_spot")
-
-
-def _district_rows(keys: DataFrame, rows: DataFrame, exact: DataFrame, cap: int) -> DataFrame:
-    """Rows of the city itself, then rows whose district contains the city name. The containment runs over
-    distinct district names as an equality with their substrings, not as a pairwise scan."""
-    districts = rows.select("district").filter("district IS NOT NULL").distinct()
-    letters = F.length("district")
-    parts = districts.select(
-        "district",
-        F.explode(F.flatten(F.transform(
-            F.sequence(F.lit(1), letters),
-            lambda i: F.transform(F.sequence(F.lit(1), letters - i + 1), lambda n: F.lower(F.col("district").substr(i, n))),
-        ))).alias("city_key"),
-    ).distinct()
-    # The first `cap` of each district are enough: whatever they share with the city list is in that list too.
-    first = top_per_group(rows, ["district"], [F.col("full_name"), F.col("provider_id")], cap).withColumnRenamed("city_key", "_city")
-    by_district = keys.join(parts, "city_key").join(first, "district")
-    columns = ["city_key", "provider_id", "full_name"]
-    by_city = keys.join(exact, "city_key").select(*columns, F.lit(0).alias("_own"))
-    other = by_district.filter(F.coalesce(F.col("_city") != F.col("city_key"), F.lit(True))).select(*columns, F.lit(1).alias("_own"))
-    both = by_city.unionByName(other)
-    return top_per_group(both, ["city_key"], [F.col("_own"), F.col("full_name"), F.col("provider_id")], cap)
+    places = with_figures(_places(published(providers)), figures)
+    scored = _with_score(within(spots, places, F.lit(float(radius_km))))
+    pages = ranking.paginate(scored, ["point_id"], ranking.by_relevance(), page, page_size)
+    return asked.select("point_id", spot.alias("_spot")).join(pages.withColumnRenamed("point_id", "_spot"), "_spot").drop("_spot")
+
+
+def _substrings(names: DataFrame, column: str, part: str) -> DataFrame:
+    """Distinct names with each of their substrings in lower case. Names of places are short."""
+    size = F.length(column)
+    return names.withColumn(part, F.explode(F.array_distinct(F.flatten(F.transform(
+        F.sequence(F.lit(1), size),
+        lambda i: F.transform(F.sequence(F.lit(1), size - i + 1), lambda n: F.lower(F.col(column).substr(i, n))),
+    )))))
+
+
+def _in_district(lost: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows of the asked city, and rows whose district contains its name. The containment runs over distinct district
+    names as an equality with their substrings, not as a pairwise scan. lost: search_id, city_key."""
+    districts = rows.select("district").filter("district <> ''").distinct()
+    outer = lost.join(_substrings(districts, "district", "city_key"), "city_key").select("search_id", "city_key", "district")
+    columns = ["search_id", "provider_id"]
+    around = outer.withColumnRenamed("city_key", "_asked").join(rows, "district").filter(
+        F.coalesce(F.col("city_key") != F.col("_asked"), F.lit(True))).select(*columns)
+    return lost.join(rows, "city_key").select(*columns).unionByName(around)
 
 
 def search_location(requests: DataFrame, providers: DataFrame, figures: DataFrame, gazetteer: DataFrame | None = None, page_size: int = PAGE_SIZE,
-                    min_local: int = 8, min_total: int = 12, cap: int = CANDIDATE_CAP) -> DataFrame:
+                    min_local: int = 8, min_total: int = 12) -> DataFrame:
     """City search for many requests at once.
 
-    requests: comune, radius_km (null = automatic), page. figures: `provider_figures`. gazetteer: city_key,
-    center_lat, center_lng for cities without located providers.
+    requests: comune, radius_km (null = automatic), page, and where visitors stand, near_lat and near_lng, if known.
+    figures: `provider_figures`. gazetteer: city_key, center_lat, center_lng for cities without located providers.
 
-    A city with enough providers is answered from the city alone. Otherwise the smallest radius step that
-    yields enough is chosen from one distance join over the largest radius; a city that cannot be placed
-    falls back to its district. Requests for one city share one search."""
+    A city with enough providers is answered from the city alone. Otherwise the smallest radius step that yields
+    enough is chosen; a city that cannot be placed falls back to its district. Where the radius has not set a
+    distance it is measured from the visitor, else from the city's centre. Requests for one city share one search."""
+    point = [F.col(c).cast("double") if c in requests.columns else F.lit(None).cast("double") for c in ("near_lat", "near_lng")]
+    known = point[0].isNotNull() & point[1].isNotNull()
     keys = requests.select(
         city_key(F.col("comune")).alias("city_key"), F.col("radius_km").cast("int").alias("asked_km"),
-        F.coalesce(F.col("page").cast("int"), F.lit(1)).alias("asked_page"),
-    ).filter("city_key <> ''").withColumn(
-        "search_id", F.concat_ws("|", "city_key", F.coalesce(F.col("asked_km").cast("string"), F.lit("")))
-    ).distinct()
-    keys = settle(keys, "location-keys")
+        F.coalesce(F.col("page").cast("int"), F.lit(1)).alias("asked_page"), F.when(known, point[0]).alias("near_lat"), F.when(known, point[1]).alias("near_lng"),
+    ).filter("city_key <> ''")
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    keys = keys.withColumn("search_id", F.concat_ws("|", "city_key", text("asked_km"), text("near_lat"), text("near_lng"))).distinct()
     live = published(providers)
-    slim = live.select("provider_id", "full_name", F.lower("comune").alias("city_key"), "district", "lat", "lng")
-    # Cut each city to the cap before any join, so that a city of any size leaves its tasks small.
-    exact = top_per_group(slim, ["city_key"], [F.col("full_name"), F.col("provider_id")], cap)
-    found = exact.groupBy("city_key").agg(
-        F.count("*").alias("exact_city_count"),
-        F.avg(F.when(F.col("lng").isNotNull(), F.col("lat"))).alias("center_lat"),
-        F.avg(F.when(F.col("lat").isNotNull(), F.col("lng"))).alias("center_lng"),
+    rows = live.select("provider_id", "full_name", F.lower("comune").alias("city_key"), "district", "lat", "lng")
+    located = F.col("lat").isNotNull() & F.col("lng").isNotNull()
+    found = rows.groupBy("city_key").agg(
+        F.count("*").alias("exact_city_count"), F.avg(F.when(located, F.col("lat"))).alias("center_lat"), F.avg(F.when(located, F.col("lng"))).alias("center_lng"),
     )
-    searches = keys.select("search_id", "city_key", "asked_km").distinct().join(found, "city_key", "left")
+    searches = keys.drop("asked_page").distinct().join(found, "city_key", "left")
     if gazetteer is not None:
-        known = gazetteer.select("city_key", F.col("center_lat").alias("_lat"), F.col("center_lng").alias("_lng"))
-        searches = searches.join(known, "city_key", "left").withColumn(
+        listed = gazetteer.select("city_key", F.col("center_lat").alias("_lat"), F.col("center_lng").alias("_lng"))
+        searches = searches.join(listed, "city_key", "left").withColumn(
             "center_lng", F.when(F.col("center_lat").isNull(), F.col("_lng")).otherwise(F.col("center_lng"))
         ).withColumn("center_lat", F.coalesce("center_lat", "_lat")).drop("_lat", "_lng")
     searches = searches.withColumn("exact_city_count", F.coalesce("exact_city_count", F.lit(0).cast("bigint"))).withColumn(
@@ -148,50 +142,44 @@ def search_location(requests: DataFrame, providers: DataFrame, figures: DataFram
         F.when(F.col("asked_km").isNull() & (F.col("exact_city_count") >= min_local), "comune")
         .when(F.col("center_lat").isNull(), "distretto").otherwise("raggio"),
     )
-    searches = settle(searches, "searches")
-
-    # Candidates of all three modes as (search, provider, own city or not, distance if known).
+    places = rows.withColumnsRenamed({"lat": "place_lat", "lng": "place_lng", "city_key": "_city"})
+    round_ = searches.filter("mode = 'raggio'").select(F.col("search_id").alias("point_id"), F.col("center_lat").alias("lat"), F.col("center_lng").alias("lng"), "*")
+    searches = settle(searches.join(_radius(round_, places, min_local, min_total), "search_id", "left"), "searches")
+
+    # Candidates as (search, provider, distance where the radius sets it).
+    unknown = F.lit(None).cast("double")
+    own = searches.filter("mode <> 'distretto'").join(rows.select("city_key", "provider_id"), "city_key").select(
+        "search_id", "provider_id", F.when(F.col("mode") == "raggio", F.lit(0.0)).alias("distance_km"))
+    reached = searches.filter("mode = 'raggio'").select(
+        F.col("search_id").alias("point_id"), F.col("center_lat").alias("lat"), F.col("center_lng").alias("lng"), "city_key", "radius_km")
+    near = within(reached, places, F.col("radius_km"), ("city_key",)).filter(F.coalesce(F.col("_city") != F.col("city_key"), F.lit(True))).select(
+        F.col("point_id").alias("search_id"), "provider_id", "distance_km")
+    wide = _in_district(searches.filter("mode = 'distretto'").select("search_id", "city_key"), rows).withColumn("distance_km", unknown)
+    pool = own.unionByName(near).unionByName(wide)
+    pool = pool.join(searches.select("search_id", "city_key", "exact_city_count", "mode", "radius_km", "center_lat", "center_lng", "near_lat", "near_lng"), "search_id")
+    pool = with_figures(pool.join(live, "provider_id"), figures)
+    ref_lat, ref_lng = F.coalesce("near_lat", "center_lat"), F.when(F.col("near_lat").isNotNull(), F.col("near_lng")).otherwise(F.col("center_lng"))
+    pool = pool.withColumn("distance_km", F.coalesce("distance_km", distance_km(ref_lat, ref_lng, F.col("lat"), F.col("lng"))))
+    cover = pool.groupBy("search_id").agg(F.count("*").alias("_total"), F.bool_and(F.lower("comune") == F.col("city_key")).alias("_same"))
+    paged = ranking.paginate_by(_with_score(pool), ["search_id"], ranking.by_relevance(), keys.select("search_id", "asked_page"), page_size)
+    scope = scope_label(F.col("mode"), F.col("exact_city_count"), F.col("_total"), F.col("_same"))
+    return paged.join(cover, "search_id").withColumn("scope", scope).drop("_total", "_same", "center_lat", "center_lng")
+
+
+def _radius(searches: DataFrame, places: DataFrame, min_local: int, min_total: int) -> DataFrame:
+    """search_id and the radius of each search around a point: as asked, else the smallest step with enough others.
+
+    Whether a step has enough follows from the few nearest places: as many as are needed, and those of the own city
+    that may be among them. A dense surrounding is never counted out."""
     steps = list(RADIUS_STEPS_KM)
-    own = searches.filter("mode <> 'distretto'").join(exact.select("city_key", "provider_id", "lat", "lng"), "city_key").select(
-        "search_id", "provider_id", F.lit(True).alias("is_exact"),
-        F.when(F.col("mode") == "raggio", F.lit(0.0)).otherwise(
-            distance_km(F.col("center_lat"), F.col("center_lng"), F.col("lat"), F.col("lng"))
-        ).alias("distance_km"),
-    )
-    near = nearest_within(
-        searches.filter("mode = 'raggio'").select(
-            F.col("search_id").alias("point_id"), F.col("center_lat").alias("lat"), F.col("center_lng").alias("lng"), "asked_km"
-        ),
-        _places(slim), cap, ["full_name", "provider_id"], F.coalesce(F.col("asked_km"), F.lit(steps[-1])),
-    ).select(F.col("point_id").alias("search_id"), "provider_id", F.lit(False).alias("is_exact"), "distance_km")
-    lost = searches.filter("mode = 'distretto'").select("search_id", "city_key")
-    in_district = lost.join(_district_rows(lost.select("city_key").distinct(), slim, exact, cap), "city_key").select(
-        "search_id", "provider_id", F.lit(False).alias("is_exact"), F.lit(None).cast("double").alias("distance_km")
-    )
-    pool = own.unionByName(near).unionByName(in_district).groupBy("search_id", "provider_id").agg(
-        F.bool_or("is_exact").alias("is_exact"), F.min("distance_km").alias("distance_km")
-    )
-
-    # A search has at most two caps of candidates, so these windows are small whatever the data.
-    whole = Window.partitionBy("search_id")
-    pool = pool.join(searches.select("search_id", "city_key", "asked_km", "exact_city_count", "mode"), "search_id")
-    others_in = lambda km: F.count_if(~F.col("is_exact") & (F.col("distance_km") <= km)).over(whole)
-    needed = F.when(F.col("exact_city_count") == 0, F.lit(1)).otherwise(F.lit(max(min_local, min_total)))
-    chosen = F.coalesce(
-        F.col("asked_km"), *[F.when(F.col("exact_city_count") + others_in(s) >= needed, F.lit(s)) for s in steps], F.lit(steps[-1])
-    )
-    pool = pool.withColumn("radius_km", F.when(F.col("mode") == "raggio", chosen)).filter(
-        F.col("is_exact") | F.col("radius_km").isNull() | (F.col("distance_km") <= F.col("radius_km"))
-    )
-    listed = with_figures(pool.join(live, "provider_id"), figures).withColumn(
-        "scope",
-        scope_label(F.col("mode"), F.col("exact_city_count"), F.count("*").over(whole),
-                    F.bool_and(F.lower("comune") == F.col("city_key")).over(whole)),
-    )
-    pages = _with_score(listed).join(keys.select("search_id", "asked_page"), "search_id")
-    return ranking.paginate_capped(
-        pages, ["search_id", "asked_page"], ranking.by_relevance(), F.col("asked_page"), page_size
-    )
+    enough = max(min_local, min_total)
+    needed = F.when(F.col("exact_city_count") == 0, F.lit(1)).otherwise(F.lit(enough) - F.col("exact_city_count"))
+    free = searches.filter("asked_km IS NULL")
+    near = nearest_within(free, places, enough + min_local, ["full_name", "provider_id"], F.lit(float(steps[-1])))
+    near = near.join(free.select("point_id", "city_key"), "point_id").filter(F.coalesce(F.col("_city") != F.col("city_key"), F.lit(True)))
+    counts = near.groupBy("point_id").agg(*[F.count_if(F.col("distance_km") <= s).alias(f"_{s}") for s in steps])
+    chosen = F.coalesce(F.col("asked_km"), *[F.when(F.col(f"_{s}") >= needed, F.lit(s)) for s in steps], F.lit(steps[-1]))
+    return searches.join(counts, "point_id", "left").select("search_id", chosen.alias("radius_km"))
 
 
 def scope_label(mode: Column, exact: Column, total: Column, same_city: Column) -> Column:
@@ -249,8 +237,8 @@ def nearby_with_fallback(providers: DataFrame, k: int = 6) -> DataFrame:
             F.array_sort(F.collect_list(F.struct("place", "neighbour_id"))), lambda n: n["neighbour_id"]
         ).alias(name))
 
-    listed_for = salted_join(todo, shared_list("_city", "_in_city"), ["_city"], "left", ["provider_id"])
-    listed_for = salted_join(listed_for, district_lists(listed, order, k), ["district"], "left", ["provider_id"], todo)
+    # One row for each city and district on the right, so a crowded one splits on the left as it needs to.
+    listed_for = todo.join(shared_list("_city", "_in_city"), "_city", "left").join(district_lists(listed, order, k), "district", "left")
     others = lambda c: F.slice(F.filter(F.coalesce(F.col(c), F.array().cast("array<bigint>")),
                                         lambda n: n != F.col("provider_id")), 1, k)
     fallen = listed_for.select("provider_id", others("_in_city").alias("_a"), others("_in_district").alias("_b")).withColumn(
@@ -266,14 +254,7 @@ def district_lists(listed: DataFrame, order: list[Column], k: int) -> DataFrame:
     """First k+1 providers of all districts whose name contains the given district's name. Containment is an
     equality with the substrings of the distinct names; each name brings its own short list."""
     names = listed.select("district").filter("district <> ''").distinct()
-    size = F.length("district")
-    inside = names.select(
-        F.col("district").alias("_outer"),
-        F.explode(F.array_distinct(F.flatten(F.transform(
-            F.sequence(F.lit(1), size),
-            lambda i: F.transform(F.sequence(F.lit(1), size - i + 1), lambda n: F.lower(F.col("district").substr(i, n))),
-        )))).alias("_part"),
-    )
+    inside = _substrings(names.withColumnRenamed("district", "_outer"), "_outer", "_part")
     pairs = names.withColumn("_part", F.lower("district")).join(inside, "_part").select("district", "_outer")
     first = top_per_group(listed.filter("district <> ''"), ["district"], order, k + 1).withColumnRenamed("district", "_outer")
     best = top_per_group(pairs.join(first, "_outer"), ["district"], order, k + 1, "place")
@@ -315,27 +296,16 @@ def rank_choices(df: DataFrame, group: list[str], auto_select: int = 10) -> Data
     """Order of offered providers per request: ticked, declared match, same city, distance, name. A request
     with few choices and none ticked has all of them ticked.
 
-    Every row is numbered. The number is the size of the better slices (ticked, match, city, whole
-    kilometres) plus the place within the own slice, so a long list is sorted slice by slice."""
+    Every row is numbered by one range sort, so the longest list needs no task of its own."""
     kind = F.when(F.col("match_kind") == "exact", 0).when(F.col("match_kind") == "related", 1).otherwise(2)
-    far = F.coalesce("distance_km", F.lit(9999.0))
-    slices = ["_ticked", "_kind", "_city", "_km"]
-    rows = df.withColumns({
-        "_ticked": ~F.coalesce("selected", F.lit(False)), "_kind": kind, "_city": ~F.coalesce("same_city", F.lit(False)),
-        "_km": F.floor(far),
-    })
-    sizes = rows.groupBy(*group, *slices).agg(F.count("*").alias("_n"))
-    whole = Window.partitionBy(*group)
-    before = F.sum("_n").over(whole.orderBy(*slices).rowsBetween(Window.unboundedPreceding, -1))
-    heads = sizes.select(
-        *group, *slices, F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_n").over(whole).alias("choices"),
-        F.max(~F.col("_ticked")).over(whole).alias("_any"),
-    )
-    inside = F.row_number().over(Window.partitionBy(*group, *slices).orderBy(far, "full_name", "provider_id"))
-    ranked = rows.withColumn("_at", inside).join(heads, [*group, *slices]).withColumn("place", F.col("_before") + F.col("_at"))
-    return ranked.withColumn(
-        "ticked", F.coalesce("selected", F.lit(False)) | (~F.col("_any") & (F.col("choices") <= auto_select))
-    ).drop(*slices, "_before", "_at", "_any")
+    selected = F.coalesce("selected", F.lit(False))
+    rows = df.withColumns({"_kind": kind, "_far": F.coalesce("distance_km", F.lit(9999.0)), "_city": F.coalesce("same_city", F.lit(False)), "_on": selected})
+    order = [F.col("_on").desc(), F.col("_kind"), F.col("_city").desc(), F.col("_far"), F.col("full_name"), F.col("provider_id")]
+    ranked = place_in_group(rows, group, order, "place")
+    lists = rows.groupBy(*group).agg(F.count("*").alias("choices"), F.bool_or("_on").alias("_any"))
+    return ranked.join(lists, group).withColumn(
+        "ticked", F.col("_on") | (~F.col("_any") & (F.col("choices") <= auto_select))
+    ).drop("_kind", "_far", "_city", "_on", "_any")
 
 
 def merge_candidates(located: DataFrame, declared: DataFrame, selected: DataFrame) -> DataFrame:
@@ -356,9 +326,7 @@ def merge_candidates(located: DataFrame, declared: DataFrame, selected: DataFram
 def search_province(cities: DataFrame, providers: DataFrame, page: int = 1, page_size: int = 36) -> DataFrame:
     """Providers of all listed cities (province, name) of each province in name order, one page."""
     keys = cities.select("province", F.lower("name").alias("city_key")).distinct()
-    rows = salted_join(
-        published(providers).withColumn("city_key", F.lower("comune")), keys, ["city_key"], "inner", ["provider_id"]
-    )
+    rows = published(providers).withColumn("city_key", F.lower("comune")).join(keys, "city_key")
     return ranking.paginate(rows, ["province"], [F.col("full_name"), F.col("provider_id")], page, page_size)
 
 
@@ -371,13 +339,13 @@ def first_n_map_points(page: DataFrame, group: list[str], page_size: int = PAGE_
     return top_per_group(marked, group, [F.col("marker")], limit)
 
 
-def enriched_first(providers: DataFrame, updated_at: str, limit: int = 6000) -> DataFrame:
-    """Published providers with a slug, those with a website or a place id first, newest first."""
+def enriched_first(providers: DataFrame, updated_at: str, limit: int | None = None) -> DataFrame:
+    """Published providers with a slug, those with a website or a place id first, newest first; all unless a limit is
+    given."""
     enriched = (F.coalesce("website", F.lit("")) != "") | (F.coalesce("place_id", F.lit("")) != "")
     rows = published(providers).filter(F.coalesce("slug", F.lit("")) != "").withColumn("is_enriched", enriched)
-    return rows.orderBy(
-        F.col("is_enriched").desc(), F.col(updated_at).desc_nulls_last(), "full_name", "provider_id"
-    ).limit(limit)
+    ordered = rows.orderBy(F.col("is_enriched").desc(), F.col(updated_at).desc_nulls_last(), "full_name", "provider_id")
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def provider_profile(providers: DataFrame, resolved_services: DataFrame, summaries: DataFrame, reviews: DataFrame,

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .skew import top_per_group
+from .skew import place_in_group, top_per_group
 
 PAGE_SIZE = 15
-CANDIDATE_CAP = 400
+#: Up to this rank Spark cuts every group before the shuffle; later pages are numbered by one range sort.
+CUT_RANK = 1000
 
 
 def relevance_score(rating: Column, reviews: Column, services: Column, km: Column) -> Column:
@@ -37,29 +38,29 @@ def rank_by_relevance(df: DataFrame, group: list[str], k: int) -> DataFrame:
 def paginate(df: DataFrame, group: list[str], order: list[Column], page: int = 1, page_size: int = PAGE_SIZE) -> DataFrame:
     """One page per group with `total`, `total_pages`, `page` (clamped to what exists) and `place`.
 
-    Totals are a partial aggregate and the rank is limited to what the page can need, so a group of any
-    size never has to fit one task."""
+    Totals are a partial aggregate. Early pages are cut per task before the shuffle; for late ones all rows are
+    numbered by a range sort, so a group of any size never has to fit one task."""
     wanted, size = max(1, page), max(1, page_size)
-    totals = df.groupBy(*group).agg(F.count("*").alias("total")).withColumn(
-        "total_pages", F.greatest(F.lit(1), F.ceil(F.col("total") / size)).cast("bigint")
-    ).withColumn("page", F.least(F.lit(wanted), F.col("total_pages")).cast("bigint"))
-    ranked = top_per_group(df, group, order, wanted * size, "place")
-    joined = ranked.join(totals, group)
-    return joined.filter(
-        (F.col("place") > (F.col("page") - 1) * size) & (F.col("place") <= F.col("page") * size)
-    )
+    ranked = top_per_group(df, group, order, wanted * size, "place") if wanted * size <= CUT_RANK else place_in_group(df, group, order, "place")
+    return _on_page(ranked, _totals(df, group, size).withColumn("page", F.least(F.lit(wanted), F.col("total_pages")).cast("bigint")), group, size)
 
 
-def paginate_capped(df: DataFrame, group: list[str], order: list[Column], page: Column, page_size: int = PAGE_SIZE) -> DataFrame:
-    """Same, for groups that are already limited (a few hundred rows each) and a page per row."""
-    whole = Window.partitionBy(*group)
+def paginate_by(df: DataFrame, group: list[str], order: list[Column], asked: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame:
+    """Same, with the pages asked for in a frame: the group's columns and asked_page, several per group if need be."""
     size = max(1, page_size)
-    numbered = df.withColumn("total", F.count("*").over(whole)).withColumn(
-        "place", F.row_number().over(whole.orderBy(*order)).cast("bigint")
+    pages = asked.join(_totals(df, group, size), group).withColumn(
+        "page", F.least(F.greatest(F.lit(1), F.col("asked_page")), F.col("total_pages")).cast("bigint")
     )
-    numbered = numbered.withColumn(
+    return _on_page(place_in_group(df, group, order, "place"), pages, group, size)
+
+
+def _totals(df: DataFrame, group: list[str], size: int) -> DataFrame:
+    return df.groupBy(*group).agg(F.count("*").alias("total")).withColumn(
         "total_pages", F.greatest(F.lit(1), F.ceil(F.col("total") / size)).cast("bigint")
-    ).withColumn("page", F.least(F.greatest(F.lit(1), page), F.col("total_pages")).cast("bigint"))
-    return numbered.filter(
+    )
+
+
+def _on_page(ranked: DataFrame, pages: DataFrame, group: list[str], size: int) -> DataFrame:
+    return ranked.join(pages, group).filter(
         (F.col("place") > (F.col("page") - 1) * size) & (F.col("place") <= F.col("page") * size)
     )

@@ -219,12 +219,17 @@ FROM provider_events
 """
 
 # Cities asked for: as slugs with automatic radius, second pages of a fixed radius, names that are only
-# districts, and towns without providers that only the gazetteer knows.
+# districts, towns without providers that only the gazetteer knows, and the first and third kind by somebody who
+# says where they are.
 VIEWS["location_requests"] = """
-SELECT DISTINCT replace(comune, ' ', '-') AS comune, CAST(NULL AS INT) AS radius_km, CAST(1 AS INT) AS page FROM requests
-UNION ALL SELECT DISTINCT comune, CAST(20 AS INT) AS radius_km, CAST(2 AS INT) AS page FROM requests
-UNION ALL SELECT n_name AS comune, CAST(NULL AS INT) AS radius_km, CAST(1 AS INT) AS page FROM nation
-UNION ALL SELECT concat('Town ', n_name) AS comune, CAST(NULL AS INT) AS radius_km, CAST(1 AS INT) AS page FROM nation
+SELECT comune, CAST(radius_km AS INT) AS radius_km, CAST(page AS INT) AS page, CAST(near_lat AS DOUBLE) AS near_lat, CAST(near_lat - 30 AS DOUBLE) AS near_lng FROM (
+  SELECT DISTINCT replace(comune, ' ', '-') AS comune, NULL AS radius_km, 1 AS page, NULL AS near_lat FROM requests
+  UNION ALL SELECT DISTINCT comune, 20 AS radius_km, 2 AS page, NULL AS near_lat FROM requests
+  UNION ALL SELECT n_name AS comune, NULL AS radius_km, 1 AS page, NULL AS near_lat FROM nation
+  UNION ALL SELECT concat('Town ', n_name) AS comune, NULL AS radius_km, 1 AS page, NULL AS near_lat FROM nation
+  UNION ALL SELECT DISTINCT comune, NULL AS radius_km, 1 AS page, 41.5 AS near_lat FROM requests WHERE comune LIKE '%C1'
+  UNION ALL SELECT n_name AS comune, NULL AS radius_km, 1 AS page, 42.5 AS near_lat FROM nation
+) t
 """
 
 VIEWS["gazetteer"] = """

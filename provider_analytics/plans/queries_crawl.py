@@ -92,7 +92,7 @@ _URLS = f"""SELECT path, bucket, changefreq, CAST(priority AS DOUBLE) AS priorit
   UNION ALL SELECT concat('/quanto-costa/', slug), 'servizi', 'weekly', 0.75, NULL FROM taxonomy WHERE canonical_id IS NULL AND is_searchable
   UNION ALL SELECT concat('/quanto-costa/', location_slug, '/', s.slug, '/notai'), 'local', 'weekly', CASE WHEN providers >= 10 THEN 0.65 ELSE 0.55 END, NULL
     FROM ({_CITY.format(3)}) c CROSS JOIN (VALUES {_LOCAL_SLUGS}) s(slug)
-  UNION ALL SELECT concat('/notai/', slug), 'notai', 'monthly', CASE WHEN is_enriched THEN 0.6 ELSE 0.35 END, updated_at FROM ({_PROVIDER_ROWS}) r WHERE rn <= 6000) u"""
+  UNION ALL SELECT concat('/notai/', slug), 'notai', 'monthly', CASE WHEN is_enriched THEN 0.6 ELSE 0.35 END, updated_at FROM ({_PROVIDER_ROWS}) r) u"""
 
 
 def all_urls(d):
@@ -100,7 +100,7 @@ def all_urls(d):
     cities = inventory(d, 2)
     updated = d.observations.groupBy("provider_id").agg(F.max("created_at").alias("updated_at"))
     rows = d.providers.join(updated, "provider_id", "left").withColumn("place_id", F.lit(None).cast("string"))
-    enriched = directory.enriched_first(rows, "updated_at", 6000)
+    enriched = directory.enriched_first(rows, "updated_at")
     from ..operators.taxonomy import searchable
 
     return crawl.url_union(
@@ -161,13 +161,13 @@ def _(d):
 
 @query(
     "changed_urls",
-    f"""SELECT DISTINCT concat('{SITE}/notai/', lower(slug)) AS url FROM providers p
+    f"""SELECT url, CAST(floor((row_number() OVER (ORDER BY url) - 1) / 100) AS BIGINT) AS notification FROM (SELECT DISTINCT concat('{SITE}/notai/', lower(slug)) AS url FROM providers p
         WHERE EXISTS (SELECT 1 FROM observations o WHERE o.provider_id = p.provider_id AND o.status = 'completed' AND o.source = 'source1') OR EXISTS (
-          SELECT 1 FROM observations o WHERE o.provider_id = p.provider_id AND o.status = 'completed' AND o.source = 'source4') ORDER BY url LIMIT 10000""",
+          SELECT 1 FROM observations o WHERE o.provider_id = p.provider_id AND o.status = 'completed' AND o.source = 'source4')) u""",
 )
 def _(d):
     run = d.observations.filter("source IN ('source1', 'source4')")
-    return crawl.changed_urls(d.providers, run, SITE)
+    return crawl.changed_urls(d.providers, run, SITE, 100)
 
 
 _NEIGHBOURS = f"""SELECT a.province AS place, row_number() OVER (PARTITION BY a.province ORDER BY n.pos) AS rank, c.name, n.near AS near_province

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null
 from ..operators import directory, filters, geojoin, ranking, taxonomy
+from ..operators.skew import place_in_group
 from .registry import query
 
 
@@ -283,11 +284,12 @@ _NEAR = f"""SELECT v.point_id, p.provider_id, {hav('v.lat', 'v.lng', 'p.lat', 'p
 @query(
     "geo_radius_join",
     f"""SELECT point_id, provider_id, distance_km, place FROM (SELECT *, row_number() OVER (PARTITION BY point_id
-          ORDER BY distance_km, full_name, provider_id) AS place FROM ({_NEAR}) t WHERE distance_km <= 50) u WHERE place <= 400""",
+          ORDER BY distance_km, full_name, provider_id) AS place FROM ({_NEAR}) t WHERE distance_km <= 50) u""",
 )
 def _(d):
     places = directory._places(filters.published(d.providers))
-    near = geojoin.nearest_within(d.visitors, places, 400, ["full_name", "provider_id"], F.lit(50.0))
+    near = place_in_group(
+        geojoin.within(d.visitors, places, F.lit(50.0)), ["point_id"], [F.col("distance_km"), F.col("full_name"), F.col("provider_id")], "place")
     return near.select("point_id", "provider_id", "distance_km", "place")
 
 
@@ -380,8 +382,7 @@ def _(d):
           SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY relevance_score DESC, distance_km, full_name, provider_id) AS place,
                  count(*) OVER (PARTITION BY point_id) AS total FROM (
             SELECT n.point_id, n.provider_id, n.distance_km, n.full_name, {SCORE.format(km='n.distance_km')} AS relevance_score
-            FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY distance_km, full_name, provider_id) AS rn
-                  FROM ({_NEAR}) t WHERE distance_km <= 30) n JOIN ranked_rows r ON r.provider_id = n.provider_id WHERE n.rn <= 400) u) v
+            FROM ({_NEAR}) n JOIN ranked_rows r ON r.provider_id = n.provider_id WHERE n.distance_km <= 30) u) v
         WHERE place <= 15""",
 )
 def _(d):
@@ -391,45 +392,34 @@ def _(d):
 
 
 SEARCH_LOCATION = f"""
-WITH k AS (SELECT DISTINCT lower(trim(replace(comune, '-', ' '))) AS city_key, radius_km AS asked_km, page AS asked_page FROM location_requests),
-exact AS (SELECT lower(comune) AS city_key, * FROM (SELECT *, row_number() OVER (PARTITION BY lower(comune) ORDER BY full_name, provider_id) AS rn FROM ranked_rows) t
-          WHERE rn <= 400 AND lower(comune) IN (SELECT city_key FROM k)),
+WITH k AS (SELECT DISTINCT lower(trim(replace(comune, '-', ' '))) AS city_key, radius_km AS asked_km, page AS asked_page, near_lat, near_lng,
+    concat_ws('|', lower(trim(replace(comune, '-', ' '))), coalesce(CAST(radius_km AS STRING), ''), coalesce(CAST(near_lat AS STRING), '')) AS sid FROM location_requests),
+exact AS (SELECT lower(comune) AS city_key, * FROM ranked_rows WHERE lower(comune) IN (SELECT city_key FROM k)),
 s AS (SELECT *, CASE WHEN asked_km IS NULL AND n >= 8 THEN 'comune' WHEN clat IS NULL THEN 'distretto' ELSE 'raggio' END AS mode FROM (
-  SELECT k2.city_key, k2.asked_km, coalesce(e.n, 0) AS n, coalesce(e.clat, g.center_lat) AS clat, coalesce(e.clng, g.center_lng) AS clng
-  FROM (SELECT DISTINCT city_key, asked_km FROM k) k2
+  SELECT k2.*, coalesce(e.n, 0) AS n, coalesce(e.clat, g.center_lat) AS clat, coalesce(e.clng, g.center_lng) AS clng
+  FROM (SELECT DISTINCT sid, city_key, asked_km, near_lat, near_lng FROM k) k2
   LEFT JOIN (SELECT city_key, count(*) AS n, avg(lat) AS clat, avg(lng) AS clng FROM exact GROUP BY city_key) e ON e.city_key = k2.city_key
   LEFT JOIN gazetteer g ON g.city_key = k2.city_key) b),
-near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY city_key, asked_km ORDER BY km, full_name, provider_id) AS rn FROM (
-  SELECT s.city_key, s.asked_km, s.n, r.provider_id, r.full_name, {hav('s.clat', 's.clng', 'r.lat', 'r.lng')} AS km
-  FROM s JOIN ranked_rows r ON s.mode = 'raggio' AND r.lat IS NOT NULL) a WHERE km <= coalesce(asked_km, 100)) b WHERE rn <= 400),
-others AS (SELECT * FROM near WHERE NOT EXISTS (SELECT 1 FROM exact e WHERE e.city_key = near.city_key AND e.provider_id = near.provider_id)),
-step AS (SELECT s.city_key, s.asked_km, v.st, s.n, count(o.provider_id) AS c FROM s CROSS JOIN (VALUES (10), (20), (30), (50), (100)) v(st)
-  LEFT JOIN others o ON o.city_key = s.city_key AND o.asked_km IS NOT DISTINCT FROM s.asked_km AND o.km <= v.st
-  WHERE s.mode = 'raggio' GROUP BY s.city_key, s.asked_km, v.st, s.n),
-radius AS (SELECT city_key, asked_km, CAST(coalesce(asked_km, min(CASE WHEN n + c >= CASE WHEN n = 0 THEN 1 ELSE 12 END THEN st END), 100) AS INT) AS radius_km
-  FROM step GROUP BY city_key, asked_km),
+others AS (SELECT * FROM (SELECT s.sid, s.asked_km, r.provider_id, {hav('s.clat', 's.clng', 'r.lat', 'r.lng')} AS km
+  FROM s JOIN ranked_rows r ON s.mode = 'raggio' AND r.lat IS NOT NULL AND lower(r.comune) <> s.city_key) a WHERE km <= coalesce(asked_km, 100)),
+step AS (SELECT s.sid, s.asked_km, v.st, s.n, count(o.provider_id) AS c FROM s CROSS JOIN (VALUES (10), (20), (30), (50), (100)) v(st)
+  LEFT JOIN others o ON o.sid = s.sid AND o.km <= v.st WHERE s.mode = 'raggio' GROUP BY s.sid, s.asked_km, v.st, s.n),
+radius AS (SELECT sid, CAST(coalesce(asked_km, min(CASE WHEN n + c >= CASE WHEN n = 0 THEN 1 ELSE 12 END THEN st END), 100) AS INT) AS radius_km FROM step GROUP BY sid, asked_km),
 cand AS (
-  SELECT s.city_key, s.asked_km, e.provider_id, CASE WHEN s.mode = 'raggio' THEN 0 ELSE {hav('s.clat', 's.clng', 'e.lat', 'e.lng')} END AS distance_km
-  FROM s JOIN exact e ON e.city_key = s.city_key AND s.mode IN ('raggio', 'comune')
-  UNION ALL
-  SELECT o.city_key, o.asked_km, o.provider_id, o.km FROM others o JOIN radius r ON r.city_key = o.city_key AND r.asked_km IS NOT DISTINCT FROM o.asked_km WHERE o.km <= r.radius_km
-  UNION ALL
-  SELECT city_key, asked_km, provider_id, NULL FROM (
-    SELECT s.city_key, s.asked_km, r.provider_id, row_number() OVER (PARTITION BY s.city_key, s.asked_km
-      ORDER BY CASE WHEN lower(r.comune) = s.city_key THEN 0 ELSE 1 END, r.full_name, r.provider_id) AS rn
-    FROM s JOIN ranked_rows r ON s.mode = 'distretto' AND (lower(r.comune) = s.city_key OR contains(lower(r.district), s.city_key))) d WHERE rn <= 400),
-shape AS (SELECT c.city_key, c.asked_km, count(*) AS total, bool_and(lower(r.comune) = c.city_key) AS same FROM cand c JOIN ranked_rows r ON r.provider_id = c.provider_id GROUP BY c.city_key, c.asked_km),
-scored AS (SELECT k.city_key, k.asked_km, k.asked_page, r.provider_id, r.full_name, c.distance_km, {SCORE.format(km='c.distance_km')} AS relevance_score, sh.total,
+  SELECT s.sid, e.provider_id, CASE WHEN s.mode = 'raggio' THEN 0 END AS km FROM s JOIN exact e ON e.city_key = s.city_key AND s.mode IN ('raggio', 'comune')
+  UNION ALL SELECT o.sid, o.provider_id, o.km FROM others o JOIN radius r ON r.sid = o.sid WHERE o.km <= r.radius_km
+  UNION ALL SELECT s.sid, r.provider_id, NULL FROM s JOIN ranked_rows r ON s.mode = 'distretto' AND (lower(r.comune) = s.city_key OR contains(lower(r.district), s.city_key))),
+shape AS (SELECT c.sid, count(*) AS total, bool_and(lower(r.comune) = s.city_key) AS same FROM cand c JOIN ranked_rows r ON r.provider_id = c.provider_id JOIN s ON s.sid = c.sid GROUP BY c.sid),
+away AS (SELECT c.sid, c.provider_id, coalesce(c.km, {hav('coalesce(s.near_lat, s.clat)', 'coalesce(s.near_lng, s.clng)', 'r.lat', 'r.lng')}) AS distance_km
+  FROM cand c JOIN s ON s.sid = c.sid JOIN ranked_rows r ON r.provider_id = c.provider_id),
+scored AS (SELECT k.city_key, k.sid, k.near_lat, k.asked_page, r.provider_id, r.full_name, c.distance_km, {SCORE.format(km='c.distance_km')} AS relevance_score, sh.total,
     CASE s.mode WHEN 'comune' THEN 'comune' WHEN 'distretto' THEN CASE WHEN sh.total > s.n THEN 'distretto' ELSE 'comune' END
       ELSE CASE WHEN s.n > 0 AND sh.same THEN 'comune' ELSE 'raggio' END END AS scope, rad.radius_km, s.n AS exact_city_count
-  FROM k JOIN s ON s.city_key = k.city_key AND s.asked_km IS NOT DISTINCT FROM k.asked_km
-  JOIN cand c ON c.city_key = k.city_key AND c.asked_km IS NOT DISTINCT FROM k.asked_km
-  JOIN shape sh ON sh.city_key = k.city_key AND sh.asked_km IS NOT DISTINCT FROM k.asked_km
-  LEFT JOIN radius rad ON rad.city_key = k.city_key AND rad.asked_km IS NOT DISTINCT FROM k.asked_km
+  FROM k JOIN s ON s.sid = k.sid JOIN away c ON c.sid = k.sid JOIN shape sh ON sh.sid = k.sid LEFT JOIN radius rad ON rad.sid = k.sid
   JOIN ranked_rows r ON r.provider_id = c.provider_id),
-numbered AS (SELECT *, row_number() OVER (PARTITION BY city_key, asked_km, asked_page ORDER BY relevance_score DESC, distance_km ASC NULLS LAST, full_name, provider_id) AS place,
+numbered AS (SELECT *, row_number() OVER (PARTITION BY sid, asked_page ORDER BY relevance_score DESC, distance_km ASC NULLS LAST, full_name, provider_id) AS place,
     least(greatest(1, asked_page), greatest(1, CAST(ceil(total / 15.0) AS BIGINT))) AS page FROM scored)
-SELECT city_key, radius_km, scope, exact_city_count, total, page, place, provider_id, distance_km, relevance_score
+SELECT city_key, near_lat, radius_km, scope, exact_city_count, total, page, place, provider_id, distance_km, relevance_score
 FROM numbered WHERE place > (page - 1) * 15 AND place <= page * 15
 """
 
@@ -441,7 +431,7 @@ def located_pages(d):
 @query("search_location", SEARCH_LOCATION)
 def _(d):
     return located_pages(d).select(
-        "city_key", "radius_km", "scope", "exact_city_count", "total", "page", "place", "provider_id", "distance_km", "relevance_score"
+        "city_key", "near_lat", "radius_km", "scope", "exact_city_count", "total", "page", "place", "provider_id", "distance_km", "relevance_score"
     )
 
 
@@ -460,7 +450,7 @@ def _(d):
 @query(
     "first_n_map_points",
     f"""SELECT city_key, radius_km, marker, provider_id FROM (SELECT q.city_key, q.radius_km, q.place AS marker, q.provider_id,
-            row_number() OVER (PARTITION BY q.city_key, q.radius_km, q.page ORDER BY q.place) AS rn
+            row_number() OVER (PARTITION BY q.city_key, q.near_lat, q.radius_km, q.page ORDER BY q.place) AS rn
           FROM ({SEARCH_LOCATION}) q JOIN providers p ON p.provider_id = q.provider_id
           WHERE p.lat BETWEEN 35 AND 48 AND p.lng BETWEEN 6 AND 19.5) t WHERE rn <= 60""",
 )
@@ -470,19 +460,20 @@ def _(d):
     )
 
 
+_GEO = """CASE WHEN p.lat IS NULL THEN '' ELSE concat(',"geo":{"@type":"GeoCoordinates","latitude":', CAST(p.lat AS DOUBLE), ',"longitude":', CAST(p.lng AS DOUBLE), '}') END"""
+
+
 @query(
     "list_item_jsonld",
     f"""SELECT q.city_key, q.radius_km, concat('{{"@type":"ListItem","position":', q.place, ',"item":{{"@type":["LegalService","LocalBusiness"],"name":"', p.full_name,
           '","url":"https://site.example.org/notai/', p.slug, '","telephone":"+39', p.phone,
-          '","address":{{"@type":"PostalAddress","addressLocality":"', p.comune, '","addressCountry":"IT"}}}}}}') AS doc
-        FROM ({SEARCH_LOCATION}) q JOIN providers p ON p.provider_id = q.provider_id WHERE p.lat IS NULL""",
+          '","address":{{"@type":"PostalAddress","addressLocality":"', p.comune, '","addressCountry":"IT"}}', {_GEO}, '}}}}') AS doc
+        FROM ({SEARCH_LOCATION}) q JOIN providers p ON p.provider_id = q.provider_id""",
 )
 def _(d):
     from ..operators.crawl import list_item_jsonld
 
-    pages = located_pages(d).filter("lat IS NULL").withColumn("address", F.lit(None).cast("string")).withColumn(
-        "cap", F.lit(None).cast("string")
-    )
+    pages = located_pages(d).withColumn("address", F.lit(None).cast("string")).withColumn("cap", F.lit(None).cast("string"))
     return pages.select("city_key", "radius_km", list_item_jsonld("https://site.example.org").alias("doc"))
 
 
@@ -502,7 +493,7 @@ def _(d):
     centers = directory.centroid(d.providers).select(
         F.col("city_key").alias("point_id"), F.col("center_lat").alias("lat"), F.col("center_lng").alias("lng")
     )
-    near = geojoin.nearest_within(centers, directory._places(live), 400, ["full_name", "provider_id"], F.lit(20.0))
+    near = geojoin.within(centers, directory._places(live), F.lit(20.0))
     nearby = near.select(F.col("point_id").alias("city_key"), "provider_id", "distance_km")
     return directory.exact_union_nearby(exact, nearby, ["city_key", "provider_id"])
 
@@ -538,12 +529,12 @@ def _(d):
     """SELECT provider_id, is_enriched FROM (SELECT p.provider_id, coalesce(website, '') <> '' AS is_enriched, u.updated_at, full_name,
          row_number() OVER (ORDER BY CASE WHEN coalesce(website, '') <> '' THEN 0 ELSE 1 END, u.updated_at DESC NULLS LAST, full_name, p.provider_id) AS rn
        FROM providers p LEFT JOIN (SELECT provider_id, max(created_at) AS updated_at FROM observations GROUP BY provider_id) u ON u.provider_id = p.provider_id
-       WHERE status = 'published') t WHERE rn <= 600""",
+       WHERE status = 'published') t""",
 )
 def _(d):
     updated = d.observations.groupBy("provider_id").agg(F.max("created_at").alias("updated_at"))
     rows_ = d.providers.join(updated, "provider_id", "left").withColumn("place_id", F.lit(None).cast("string"))
-    return directory.enriched_first(rows_, "updated_at", 600).select("provider_id", "is_enriched")
+    return directory.enriched_first(rows_, "updated_at").select("provider_id", "is_enriched")
 
 
 _LISTS = {

@@ -244,16 +244,16 @@ WITH RECURSIVE j AS (
     WHEN coalesce(p.owner_email, '') <> '' AND lower(p.owner_email) <> lower(c.email) THEN 'already_claimed' ELSE 'ok' END AS v
   FROM claims c LEFT JOIN ({_OWNED}) p ON p.provider_id = c.provider_id AND p.status = 'published'
   LEFT JOIN (SELECT lower(owner_email) AS e, min(provider_id) AS owned FROM ({_OWNED}) x WHERE owner_email IS NOT NULL GROUP BY lower(owner_email)) o ON o.e = lower(c.email)),
-seq AS (SELECT *, row_number() OVER (ORDER BY created_at, claim_id) AS rn FROM j WHERE v = 'ok'),
+seq AS (SELECT *, row_number() OVER (ORDER BY created_at, claim_id) AS rn FROM j),
 walk AS (
   SELECT CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS claim_id, CAST(NULL AS VARCHAR) AS verdict, CAST([] AS VARCHAR[]) AS emails, CAST([] AS BIGINT[]) AS taken
   UNION ALL
   SELECT rn, claim_id, verdict, CASE WHEN verdict = 'ok' THEN list_append(emails, e) ELSE emails END, CASE WHEN verdict = 'ok' THEN list_append(taken, provider_id) ELSE taken END FROM (
     SELECT s.rn, s.claim_id, s.e, s.provider_id, w.emails, w.taken,
-      CASE WHEN list_contains(w.emails, s.e) AND w.taken[list_position(w.emails, s.e)] <> s.provider_id THEN 'already_has_provider'
+      CASE WHEN list_contains(w.emails, s.e) AND w.taken[list_position(w.emails, s.e)] <> s.provider_id THEN 'already_has_provider' WHEN s.v <> 'ok' THEN s.v
            WHEN list_contains(w.taken, s.provider_id) AND w.emails[list_position(w.taken, s.provider_id)] <> s.e THEN 'already_claimed' ELSE 'ok' END AS verdict
     FROM walk w JOIN seq s ON s.rn = w.rn + 1) n)
-SELECT j.claim_id, j.provider_id, j.e AS email, coalesce(w.verdict, j.v) AS verdict FROM j LEFT JOIN walk w ON w.claim_id = j.claim_id"""
+SELECT j.claim_id, j.provider_id, j.e AS email, w.verdict FROM j JOIN walk w ON w.claim_id = j.claim_id"""
 
 
 @query("claim_admission", f"SELECT claim_id, provider_id, verdict FROM ({_ADMITTED}) a")

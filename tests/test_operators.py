@@ -65,10 +65,98 @@ def test_salted_join_spreads_hot_keys(spark):
     assert joined.count() == 60_000 and joined.filter("v <> k * 2 OR v IS NULL").count() == 0
 
 
-def test_list_parts_keep_everything(spark):
-    df = spark.range(5000).select(F.lit(1).alias("g"), "id").unionByName(spark.range(3).select(F.lit(2).alias("g"), "id"))
-    parts = skew.in_parts(df, ["g"], ["id"], 500).groupBy("g", "part").count().collect()
-    assert sum(r["count"] for r in parts) == 5003 and sum(r["g"] == 1 for r in parts) == 10 and [r["part"] for r in parts if r["g"] == 2] == [0]
+def test_places_in_groups_of_any_size(spark):
+    df = spark.range(5000).select(F.lit(1).alias("g"), (F.col("id") * 7919 % 5000).alias("v")).unionByName(
+        spark.range(3).select(F.lit(2).alias("g"), F.col("id").alias("v"))).repartition(5)
+    placed = skew.place_in_group(df, ["g"], [F.col("v").desc()], "place").collect()
+    assert sorted((r["g"], r["place"], r["v"]) for r in placed) == [(1, i + 1, 4999 - i) for i in range(5000)] + [(2, i + 1, 2 - i) for i in range(3)]
+
+
+def test_no_cut_on_one_spot(spark):
+    """More providers on one spot, and more recipients of one request, than any list used to hold."""
+    schema = "provider_id bigint, full_name string, comune string, district string, lat double, lng double, status string, slug string"
+    rows = [(i, f"N{i:05d}", "Roma", "Roma", 41.9, 12.5, "published", f"s{i}") for i in range(1001)]
+    providers = spark.createDataFrame(rows, schema)
+    figures = spark.createDataFrame([], "provider_id bigint, services_count bigint, rating_avg double, review_count bigint")
+    visitor = spark.createDataFrame([("v", 41.9, 12.51)], "point_id string, lat double, lng double")
+    found = directory.search_near_me(visitor, providers, figures, 30, page=67)
+    assert [(r["total"], r["total_pages"], r["place"]) for r in found.orderBy("place").collect()] == [(1001, 67, p) for p in range(991, 1002)]
+    asked = spark.createDataFrame([("roma", None, 67), ("roma", 10, 2)], "comune string, radius_km int, page int")
+    pages = directory.search_location(asked, providers, figures).groupBy("mode").agg(F.max("total"), F.min("place"), F.count("*")).collect()
+    assert sorted(tuple(r) for r in pages) == [("comune", 1001, 991, 11), ("raggio", 1001, 16, 15)]
+    recipients = spark.createDataFrame([(1, i) for i in range(1001)], "request_id bigint, provider_id bigint")
+    listed = requests.request_recipients(spark.createDataFrame([(1,), (2,)], "request_id bigint"), recipients, providers).collect()
+    assert sorted((r["request_id"], r["place"] or 0, r["recipient_count"]) for r in listed) == [(1, i + 1, 1001) for i in range(1001)] + [(2, 0, 0)]
+
+
+def test_sparse_points_beside_a_dense_city(spark):
+    rng = random.Random(8)
+    places = [(i, f"n{i}", 45 + rng.random() / 50, 9 + rng.random() / 50) for i in range(800)] + [(1000 + i, "x", 45.5 + i, 9.7 - i) for i in range(5)]
+    df = spark.createDataFrame(places, "provider_id bigint, full_name string, place_lat double, place_lng double")
+    points = [(str(i), 44 + 2 * rng.random(), 8 + 2 * rng.random()) for i in range(60)] + [("pole", 89.9, 0.0), ("far", -40.0, 170.0)]
+    asked = spark.createDataFrame(points, "point_id string, lat double, lng double")
+    near = geojoin.nearest_within(asked, df, 3, ["full_name", "provider_id"]).collect()
+    inside = geojoin.within(asked, df, F.lit(40.0)).collect()
+
+    def km(a, b, c, d):
+        h = math.sin(math.radians(c - a) / 2) ** 2 + math.cos(math.radians(a)) * math.cos(math.radians(c)) * math.sin(math.radians(d - b) / 2) ** 2
+        return 12742 * math.asin(math.sqrt(h))
+
+    for point, lat, lng in points:
+        order = sorted((round(km(lat, lng, y, x), 5), name, i) for i, name, y, x in places)
+        assert [r["provider_id"] for r in sorted(near, key=lambda r: r["place"]) if r["point_id"] == point] == [i for *_, i in order[:3]]
+        assert {r["provider_id"] for r in inside if r["point_id"] == point} == {i for d, _, i in order if d <= 40}
+
+
+def test_twelve_cities_in_one_province(spark):
+    capitals = spark.createDataFrame([(f"C{i}", "AA" if i < 12 else f"Z{i}", i) for i in range(20)], "name string, province string, pos int")
+    near = spark.createDataFrame([], "province string, near string, pos int")
+    found = crawl.neighbour_cities(spark.createDataFrame([("AA",), ("ZZ",)], "place string"), capitals, near).collect()
+    assert [r["name"] for r in sorted(found, key=lambda r: (r["place"], r["rank"]))] == [f"C{i}" for i in range(12, 18)] + [f"C{i}" for i in range(6)]
+
+
+def test_claims_against_a_loop(spark):
+    rng = random.Random(4)
+    for size in (3, 500):
+        providers = [(i, "published" if i % 9 else "draft", f"e{i}@x" if i % 7 == 0 else None) for i in range(40)]
+        made = [(i, rng.randrange(45), rng.choice(["bad", " "] + [f"e{j}@x" for j in range(50)]), rng.randrange(size)) for i in range(size)]
+        owner, owned, wanted = {i: e for i, s, e in providers if s == "published"}, {}, {}
+        for i, _, e in providers:
+            if e and e not in owned:
+                owned[e] = i
+        for i, p, e, t in sorted(made, key=lambda c: (c[3], c[0])):
+            if "@" not in e:
+                wanted[i] = "invalid_input"
+            elif owned.get(e, p) != p:
+                wanted[i] = "already_has_provider"
+            elif p not in owner:
+                wanted[i] = "provider_not_found"
+            elif owner[p] not in (None, e):
+                wanted[i] = "already_claimed"
+            else:
+                wanted[i], owner[p], owned[e] = "ok", e, p
+        got = claims.claim_admission(
+            spark.createDataFrame(made, "claim_id int, provider_id int, email string, created_at int"),
+            spark.createDataFrame(providers, "provider_id int, status string, owner_email string"))
+        assert {r["claim_id"]: r["verdict"] for r in got.collect()} == wanted
+    probe = spark.createDataFrame([(1, 1, "a@x", 1), (2, 2, "a@x", 2), (3, 2, "b@x", 3)], "claim_id int, provider_id int, email string, created_at int")
+    free = spark.createDataFrame([(1, "published", None), (2, "published", None)], "provider_id int, status string, owner_email string")
+    assert [r["verdict"] for r in claims.claim_admission(probe, free).orderBy("claim_id").collect()] == ["ok", "already_has_provider", "ok"]
+
+
+def test_a_rejection_of_another_keeps_the_owner(spark):
+    none = ["CAST(NULL AS STRING) AS owner_email", "CAST(NULL AS STRING) AS profile_status", "CAST(NULL AS INT) AS claimed_at"]
+    providers = spark.range(3).selectExpr("id AS provider_id", *none)
+    decided = spark.createDataFrame([(1, 0, "a@x", 1, "approved"), (2, 0, "b@x", 2, "rejected"), (3, 1, "a@x", 1, "approved"), (4, 1, "A@x", 2, "rejected")],
+                                    "claim_id int, provider_id bigint, email string, created_at int, status string")
+    got = claims.claim_transitions(providers, decided).orderBy("provider_id").collect()
+    assert [(r["owner_email"], r["profile_status"], r["claimed_at"]) for r in got] == [("a@x", "verified", 1), (None, None, 1), (None, None, None)]
+
+
+def test_funnel_takes_the_click_after_the_view(spark):
+    events = spark.createDataFrame([(1, 1, "phone_click"), (1, 2, "page_view"), (1, 3, "phone_click"), (2, 1, "phone_click")], "session_id int, ts int, event_type string")
+    got = {r["session_id"]: (r["at_1"], r["at_2"], r["at_3"], r["depth"]) for r in metrics.funnel_steps(events).collect()}
+    assert got == {1: (2, 3, None, 2), 2: (None, None, None, 0)}
 
 
 def test_linkage_against_a_loop(spark):
@@ -213,13 +301,14 @@ def test_claims_in_one_batch(spark):
     rows = [(1, 1, "a@x.it", 10), (2, 1, "b@x.it", 11), (3, 2, "a@x.it", 12), (4, 3, "c@x.it", 13), (5, 1, "nomail", 14), (6, 2, "Z@x.it ", 15), (7, 1, "z@x.it", 16)]
     df = spark.createDataFrame(rows, "claim_id bigint, provider_id bigint, email string, created_at bigint")
     got = {r["claim_id"]: r["verdict"] for r in claims.claim_admission(df, providers).collect()}
-    assert got == {1: "ok", 2: "already_claimed", 3: "already_claimed", 4: "provider_not_found", 5: "invalid_input", 6: "ok", 7: "already_has_provider"}
+    assert got == {1: "ok", 2: "already_claimed", 3: "already_has_provider", 4: "provider_not_found", 5: "invalid_input", 6: "ok", 7: "already_has_provider"}
 
 
-def test_recipients_are_capped_at_ten(spark):
+def test_recipients_are_cut_only_when_asked(spark):
     targets = spark.range(30).select(F.lit(1).alias("submission_id"), F.col("id").alias("pos"), (F.col("id") % 12).alias("provider_id"))
-    got = [r["provider_id"] for r in requests.selected_targets(targets).orderBy("place").collect()]
-    assert got == list(range(10))
+    for limit in (None, 10):
+        got = [r["provider_id"] for r in requests.selected_targets(targets, limit).orderBy("place").collect()]
+        assert got == list(range(limit or 12))
 
 
 def test_affinity_of_the_built_in_table(spark):
