@@ -129,18 +129,33 @@ def _(d):
 
 
 _CARDS = """SELECT provider_id AS page_id, concat('https://profiles.example.org/', slug) AS url,
-  concat('<section id="servizi"><h2>Casa</h2><div class="service-card"><h3>Donazioni</h3><p>Testo ', comune, '</p></div><div class="service-card"><h4>Altro Servizio ', CAST(provider_id % 3 AS STRING),
-    '</h4><ul class="servizio-documenti"><li>Atto</li><li>Visura</li></ul></div><div class="service-card"><p>no name</p></div></section>') AS html FROM providers"""
+  concat('<div class="service-card"><h3>Outside</h3></div><section id="servizi"><h2>Casa</h2><div class="service-card"><h3>Donazioni</h3><p>Testo ', comune, '</div><div class="service-card"><h4>Altro Servizio ', CAST(provider_id % 3 AS STRING),
+    '</h4><ul><li>Atto<li>Visura</ul></div><div class="service-card"><p>no name</p></div></section>') AS html FROM providers"""
 
 
 @query(
     "parse_service_cards",
-    """SELECT provider_id AS page_id, 'donazione' AS slug, 'Diritto di Famiglia' AS category, concat('Testo ', comune) AS evidence, '' AS documents FROM providers
-       UNION ALL SELECT provider_id, concat('altro-servizio-', CAST(provider_id % 3 AS STRING)), 'Casa', '', 'Atto,Visura' FROM providers""",
+    """SELECT provider_id AS page_id, 'donazione' AS slug, 'Diritto di Famiglia' AS category, concat('Testo ', comune) AS evidence FROM providers
+       UNION ALL SELECT provider_id, concat('altro-servizio-', CAST(provider_id % 3 AS STRING)), 'Da schede', '' FROM providers""",
 )
 def _(d):
-    cards = ex.parse_service_cards(spread(d.sql(_CARDS)))
-    return cards.select("page_id", "slug", "category", "evidence", F.array_join("documents", ",").alias("documents"))
+    return ex.parse_service_cards(spread(d.sql(_CARDS))).select("page_id", "slug", "category", "evidence")
+
+
+_SERVICE_PAGE = """SELECT provider_id AS page_id, concat('https://profiles.example.org/', slug) AS url,
+  concat('<h2>Pagina</h2><section class="servizi-section x"><div class="servizi-section-header"><h2>', district, '</h2></div><div class="servizio-card"><h3>Donazioni</h3><p>no<div class="servizio-card-body"><p>Testo ', comune,
+    '</div><ul class="servizio-documenti"><li>Atto ', CAST(provider_id % 3 AS STRING), '<li>Visura<li> </ul></div></section><section><div class="servizio-card"><h3>Outside</h3></div></section>',
+    '<section class="servizi-section"><h2>Altri</h2><div class="servizio-card"><h4>Altro Atto</h4></div></section>') AS html FROM providers"""
+
+
+@query(
+    "parse_service_pages",
+    """SELECT provider_id AS page_id, 'donazioni' AS slug, district AS category, concat('Testo ', comune) AS description, concat('Atto ', CAST(provider_id % 3 AS STRING), ',Visura') AS documents FROM providers
+       UNION ALL SELECT provider_id, 'altro-atto', 'Altri', '', '' FROM providers""",
+)
+def _(d):
+    cards = ex.parse_service_pages(spread(d.sql(_SERVICE_PAGE)))
+    return cards.select("page_id", "slug", "category", "description", F.array_join("documents", ",").alias("documents"))
 
 
 _LOG = """SELECT observation_id, CASE WHEN observation_id % 7 = 0 THEN concat('plain text ', status) WHEN observation_id % 11 = 0 THEN '{broken json'

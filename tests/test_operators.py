@@ -296,6 +296,25 @@ def test_bad_pages_become_rows(spark):
     assert extraction.parse_register_pages(df).filter("error = 'no name found'").count() == 2
 
 
+def test_unclosed_tags_are_linear_and_end_where_they_should():
+    import time
+
+    for page in ("<p>x" * 100_000, "<li>x" * 100_000, "<div>x" * 20_000 + "</span>" * 20_000, "<table>" + "<tr><td>x" * 50_000):
+        started = time.process_time()
+        extraction._Tree(page, lambda n: ())
+        assert time.process_time() - started < 3
+    tree = extraction._Tree("<ul><li>uno<li>due<ul><li>a</ul></ul><p>x<div>y</div><table><tr><td>1<td>2<tr><th>3</table>z", lambda n: ())
+    assert [tree.text(n) for n in tree.nodes if n.tag in ("li", "p", "td", "th")] == ["uno", "due a", "a", "x", "1", "2", "3"]
+
+
+def test_jsonld_blocks_keep_their_order(spark):
+    many = ",".join('{"@type":"Thing"}' for _ in range(10_050))
+    page = (f'<script type="application/ld+json">[{many},{{"@type":"Notary","name":"first"}}]</script>'
+            '<script type="application/ld+json">{"@type":"Notary","name":"second"}</script>')
+    got = extraction.parse_jsonld(spark.createDataFrame([(1, "u", page)], "page_id int, url string, html string")).first()
+    assert got["name"] == "first"
+
+
 def test_claims_in_one_batch(spark):
     providers = spark.createDataFrame([(1, "published", None), (2, "published", "z@x.it"), (3, "draft", None)], "provider_id bigint, status string, owner_email string")
     rows = [(1, 1, "a@x.it", 10), (2, 1, "b@x.it", 11), (3, 2, "a@x.it", 12), (4, 3, "c@x.it", 13), (5, 1, "nomail", 14), (6, 2, "Z@x.it ", 15), (7, 1, "z@x.it", 16)]
