@@ -112,3 +112,13 @@ def compact_photos(photos: Column, limit: int = 5) -> Column:
             F.coalesce(p["html_attributions"], F.array().cast("array<string>")).alias("attributions"),
         ),
     )
+
+
+def compact_hours(opening: Column) -> Column:
+    """open_now, weekday_text and periods of an opening_hours record; lists that are missing are empty."""
+    kinds = "weekday_text array<string>, periods array<struct<open: struct<day: int, time: string>, close: struct<day: int, time: string>>>"
+    lists = [kind.split(" ", 1) for kind in kinds.split(", ", 1)]
+    return F.struct(
+        opening["open_now"].alias("open_now"),
+        *[F.coalesce(opening[name].cast(kind), F.array().cast(kind)).alias(name) for name, kind in lists],
+    )

@@ -261,11 +261,12 @@ def xml_escape(value: Column) -> Column:
 
 def register_sql_functions(spark: SparkSession) -> None:
     """The scalar SQL function of the data model, as a SQL UDF that Catalyst inlines."""
-    source, target, _ = _folding()
+    source, target, longer = _folding()
     quote = lambda s: s.replace("\\", "\\\\").replace("'", "\\'")
+    spelled = quote("\x01".join(f"{char}\x02{plain}" for char, plain in longer))
     spark.sql(f"""
         CREATE OR REPLACE TEMPORARY FUNCTION normalize_service_search_term(value STRING) RETURNS STRING
-        RETURN trim(regexp_replace(lower(regexp_replace(
-            translate(coalesce(value, ''), '{quote(source)}', '{quote(target)}'),
-            '[\\u0300-\\u036f]', '')), '[^a-z0-9]+', ' '))
+        RETURN trim(regexp_replace(lower(array_join(transform(split(regexp_replace(
+            translate(coalesce(value, ''), '{quote(source)}', '{quote(target)}'), '[\\u0300-\\u036f]', ''), ''),
+            c -> coalesce(try_element_at(str_to_map('{spelled}', '\x01', '\x02'), c), c)), '')), '[^a-z0-9]+', ' '))
     """)

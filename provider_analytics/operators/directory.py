@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import RADIUS_STEPS_KM, distance_km, in_bbox
 from . import ranking
-from .filters import ilike_search, published
+from .filters import ilike_search, published, search_texts, term_key
 from .geojoin import nearest_within, neighbours, within
 from .ranking import PAGE_SIZE
 from .skew import place_in_group, settle, top_per_group
@@ -292,6 +292,37 @@ def search_by_name(providers: DataFrame, provider_services: DataFrame, wanted: D
     return rank_declared(rows.join(matched, "provider_id", "left"), place, limit)
 
 
+def searches_by_name(requests: DataFrame, providers: DataFrame, provider_services: DataFrame, wanted: DataFrame, limit: int = 12) -> DataFrame:
+    """Text and city search for a frame of requests: request_id, provider_id, match_kind, place.
+
+    requests: request_id, term, city, service (null or blank: not asked). wanted: service, service_id, match_kind, the
+    services that answer each service asked for. A request needs a term or a city, one without either asks for the
+    whole directory. Declared match first, then the asked comune, then located providers, then name."""
+    live = published(providers)
+    place = F.replace(F.coalesce("city", F.lit("")), F.lit("-"), F.lit(" "))
+    asked = requests.select("request_id", term_key(F.col("term")).alias("term"), term_key(place).alias("city"), "service")
+    by_term = search_texts(asked.select("request_id", "term"), live, "provider_id", ["full_name", "comune"])
+    by_city = search_texts(asked.select("request_id", F.col("city").alias("term")), live, "provider_id", ["comune", "district"])
+    pair = ["request_id", "provider_id"]
+    both = by_term.join(asked.filter("city <> ''").select("request_id"), "request_id").join(by_city, pair)
+    one = by_term.join(asked.filter("city = ''").select("request_id"), "request_id").unionByName(
+        by_city.join(asked.filter("term = ''").select("request_id"), "request_id"))
+    found = both.select(*pair).unionByName(one.select(*pair)).join(asked, "request_id")
+    declared = provider_services.join(wanted, "service_id")
+    best = top_per_group(
+        declared, ["service", "provider_id"],
+        [F.col("match_kind") != "exact", F.col("confidence").desc_nulls_last(), F.col("service_id"), F.col("source")], 1,
+    ).select("service", "provider_id", "match_kind")
+    rows = found.join(best, ["service", "provider_id"], "left").join(live.select("provider_id", "full_name", "comune", "lat", "lng"), "provider_id")
+    kind = F.when(F.col("match_kind") == "exact", 0).when(F.col("match_kind") == "related", 1).otherwise(2)
+    unasked = F.col("city") == ""
+    order = [
+        kind, ~(unasked | (F.lower("comune") == F.col("city"))), ~(unasked | F.contains(F.lower("comune"), F.col("city"))),
+        F.col("lat").isNull() | F.col("lng").isNull(), F.col("full_name"), F.col("provider_id"),
+    ]
+    return top_per_group(rows, ["request_id"], order, limit, "place").select(*pair, "match_kind", "place")
+
+
 def rank_choices(df: DataFrame, group: list[str], auto_select: int = 10) -> DataFrame:
     """Order of offered providers per request: ticked, declared match, same city, distance, name. A request
     with few choices and none ticked has all of them ticked.

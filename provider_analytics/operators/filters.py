@@ -28,6 +28,42 @@ def ilike_search(df: DataFrame, term: str | None, columns: list[str]) -> DataFra
     return df.filter(reduce(lambda a, b: a | b, [F.coalesce(F.col(c), F.lit("")).ilike(_like_pattern(needle)) for c in columns]))
 
 
+def term_key(column: Column) -> Column:
+    """A search term as texts are searched for it."""
+    return F.lower(F.trim(F.coalesce(column, F.lit(""))))
+
+
+def containing(terms: DataFrame, df: DataFrame, key: str, columns: list[str], joined: bool = False) -> DataFrame:
+    """(term, key) for every row of `df` that holds the term: in any of the columns, or in all of them put together.
+
+    terms: term, as term_key makes it. A blank term, which filters nothing, is not answered here. Texts are indexed by
+    their pieces of one to three characters; a term looks up its rarest piece only, and what that finds is tested
+    whole. Equal texts are tested once."""
+    values = [F.lower(F.concat_ws(" ", *columns))] if joined else [F.lower(F.coalesce(F.col(c), F.lit(""))) for c in columns]
+    held = df.select(key, F.explode(F.array(*values)).alias("_text")).filter("_text <> ''").distinct()
+    texts = held.select("_text").distinct()
+    asked = terms.select("term").filter("term <> ''").distinct()
+    sizes = asked.select(F.least(F.length("term"), F.lit(3)).alias("_n")).distinct()  # three rows at most
+
+    def pieces(df_: DataFrame, column: str, size: Column) -> DataFrame:
+        parts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(column) - size + 1), lambda i: F.substring(column, i, size)))
+        return df_.filter(F.length(column) >= size).withColumn("_piece", F.explode(parts))
+
+    spelled = pieces(texts.crossJoin(F.broadcast(sizes)), "_text", F.col("_n")).select("_piece", "_text")
+    counts = spelled.groupBy("_piece").agg(F.count("*").alias("_count"))
+    chosen = pieces(asked, "term", F.least(F.length("term"), F.lit(3))).join(counts, "_piece", "left").groupBy("term").agg(
+        F.min_by("_piece", F.struct(F.coalesce("_count", F.lit(0)).alias("n"), F.col("_piece").alias("p"))).alias("_piece"))
+    found = chosen.join(spelled, "_piece").filter(F.contains("_text", F.col("term"))).select("term", "_text")
+    return found.join(held, "_text").select("term", key).distinct()
+
+
+def search_texts(requests: DataFrame, df: DataFrame, key: str, columns: list[str], joined: bool = False) -> DataFrame:
+    """(request_id, key) of a frame of requests (request_id, term): rows that hold the term. Requests for one term share
+    one search; a request without a term is not answered, as it asks for everything."""
+    asked = requests.select("request_id", term_key(F.col("term")).alias("term")).filter("term <> ''")
+    return asked.join(containing(asked, df, key, columns, joined), "term").select("request_id", key)
+
+
 def ci_key(column: Column) -> Column:
     """Key column for case-insensitive equality."""
     return F.lower(F.trim(column))
@@ -116,6 +152,15 @@ def claimable_search(providers: DataFrame, term: str, limit: int = 12) -> DataFr
     ).limit(limit)
 
 
+def claimable_searches(requests: DataFrame, providers: DataFrame, limit: int = 12) -> DataFrame:
+    """The same for a frame of requests (request_id, term): request_id, provider_id, place."""
+    asked = requests.select("request_id", term_key(F.col("term")).alias("term")).filter(F.length("term") >= 2)
+    found = search_texts(asked, published(providers), "provider_id", ["full_name", "comune"])
+    rows = found.join(asked, "request_id").join(providers.select("provider_id", "full_name", "owner_email"), "provider_id")
+    order = [F.col("owner_email").isNotNull(), F.lower("full_name") != F.col("term"), F.col("full_name"), F.col("provider_id")]
+    return top_per_group(rows, ["request_id"], order, limit, "place").select("request_id", "provider_id", "place")
+
+
 def shortlist_by_name(candidates: DataFrame, name: str, url: str, group: list[str], position: str,
                       with_hit: int = 8, without_hit: int = 3) -> DataFrame:
     """Candidate URLs per provider by the number of name words in the URL: the best eight of those with a

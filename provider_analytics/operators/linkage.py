@@ -44,6 +44,25 @@ SERVICE_PHRASES = {
     "estratti-autentici-documenti": ["estratti autentici", "estratti autentici di documenti"],
     "servizi-notarili-casa": ["servizi notarili per la casa"],
 }
+# The second list, for records of the other kind of directory, in test order.
+RECORD_PHRASES = {
+    "atto-di-donazione": ["atto di donazione", "donazione"],
+    "pratica-di-successione": ["pratica di successione", "successione", "successioni"],
+    "testamento": ["testamento", "testamenti", "mortis causa"],
+    "convenzioni-matrimoniali": ["convenzioni matrimoniali", "convenzione matrimoniale"],
+    "eredita": ["eredita", "eredità", "ereditario"],
+    "separazione-dei-beni": ["separazione dei beni"],
+    "diritto-di-famiglia": ["diritto di famiglia"],
+    "compravendita-immobiliare": [
+        "trasferimenti immobiliari", "diritto immobiliare", "compravendita", "vendita casa", "acquisto casa",
+    ],
+    "mutuo": ["mutuo", "mutui", "atti ipotecari", "garanzia"],
+    "diritto-societario": [
+        "diritto societario", "societario", "operazioni straordinarie", "costituzione societa", "costituzione società",
+    ],
+    "procura": ["procura", "procure"],
+    "consulenza-notarile": ["consulenza", "consulenze"],
+}
 THRESHOLD = 70
 
 

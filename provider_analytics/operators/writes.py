@@ -45,9 +45,9 @@ def upsert(target: DataFrame, incoming: DataFrame, keys: list[str], update: dict
     return joined.select(*columns, action.alias("action"))
 
 
-def insert_ignore(target: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
-    """Add rows whose key is new; repeated new keys are added once."""
-    fresh = incoming.dropDuplicates(keys).join(target.select(*keys), keys, "left_anti")
+def insert_ignore(target: DataFrame, incoming: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """Add rows whose key is new; of rows that repeat a new key the first in the given order is added."""
+    fresh = top_per_group(incoming, keys, order, 1).join(target.select(*keys), keys, "left_anti")
     return target.unionByName(fresh.select(*target.columns))
 
 

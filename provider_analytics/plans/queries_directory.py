@@ -52,6 +52,60 @@ def _(d):
     return filters.ilike_search(d.providers, " buildIng ", ["full_name", "comune"]).select("provider_id", "full_name", "comune")
 
 
+# What many visitors look for: parts of names, of cities, single letters, nothing, words no provider has.
+_TERMS = """SELECT p_partkey AS request_id, CASE p_partkey % 7 WHEN 0 THEN ' Building ' WHEN 1 THEN concat('#', CAST(p_partkey AS STRING)) WHEN 2 THEN concat('nation_', CAST(p_partkey % 30 AS STRING))
+    WHEN 3 THEN '7' WHEN 4 THEN ' ' WHEN 5 THEN p_name ELSE concat('0', CAST(p_partkey % 100 AS STRING)) END AS term,
+  CASE p_partkey % 5 WHEN 0 THEN 'Nation_3' WHEN 1 THEN concat('nation_', CAST(p_partkey % 25 AS STRING), '-c1') ELSE '' END AS city,
+  CASE WHEN p_partkey % 2 = 0 THEN 'red-ring' END AS service FROM part"""
+
+
+@query(
+    "search_texts",
+    f"""SELECT t.request_id, p.provider_id FROM ({_TERMS}) t JOIN providers p ON trim(t.term) <> '' AND (contains(lower(p.full_name), lower(trim(t.term))) OR contains(lower(p.comune), lower(trim(t.term))))""",
+)
+def _(d):
+    return filters.search_texts(d.sql(_TERMS), d.providers, "provider_id", ["full_name", "comune"])
+
+
+@query(
+    "search_joined_texts",
+    f"""SELECT t.request_id, q.provider_id FROM ({_TERMS}) t JOIN providers q ON trim(t.term) <> '' AND contains(lower(concat_ws(' ', q.full_name, q.comune, q.phone)), lower(trim(t.term)))""",
+)
+def _(d):
+    return filters.search_texts(d.sql(_TERMS), d.providers, "provider_id", ["full_name", "comune", "phone"], joined=True)
+
+
+@query(
+    "claimable_searches",
+    f"""SELECT request_id, provider_id, place FROM (SELECT t.request_id, p.provider_id, row_number() OVER (PARTITION BY t.request_id
+            ORDER BY is_official, CASE WHEN lower(full_name) = lower(trim(t.term)) THEN 0 ELSE 1 END, full_name, provider_id) AS place
+          FROM ({_TERMS}) t JOIN providers p ON p.status = 'published' AND length(trim(t.term)) >= 2 AND (contains(lower(p.full_name), lower(trim(t.term))) OR contains(lower(p.comune), lower(trim(t.term))))) x
+        WHERE place <= 12""",
+)
+def _(d):
+    owned = d.providers.withColumn("owner_email", F.when(F.col("is_official"), F.col("email")))
+    return filters.claimable_searches(d.sql(_TERMS), owned)
+
+
+@query(
+    "searches_by_name",
+    f"""WITH t AS (SELECT request_id, lower(trim(term)) AS term, lower(trim(replace(city, '-', ' '))) AS city, service FROM ({_TERMS}) x),
+          m AS (SELECT ps.provider_id, min(CASE s.slug WHEN 'red-ring' THEN 'exact' ELSE 'related' END) AS match_kind
+            FROM provider_services ps JOIN services s ON s.service_id = ps.service_id WHERE s.slug IN ('red-ring', 'red-bolt') GROUP BY ps.provider_id)
+        SELECT request_id, provider_id, match_kind, place FROM (
+          SELECT t.request_id, p.provider_id, m.match_kind, row_number() OVER (PARTITION BY t.request_id ORDER BY CASE m.match_kind WHEN 'exact' THEN 0 WHEN 'related' THEN 1 ELSE 2 END,
+              CASE WHEN t.city = '' OR lower(p.comune) = t.city THEN 0 ELSE 1 END, CASE WHEN t.city = '' OR contains(lower(p.comune), t.city) THEN 0 ELSE 1 END,
+              CASE WHEN p.lat IS NULL THEN 1 ELSE 0 END, p.full_name, p.provider_id) AS place
+          FROM t JOIN providers p ON p.status = 'published' AND (t.term <> '' OR t.city <> '') AND (contains(lower(p.full_name), t.term) OR contains(lower(p.comune), t.term))
+            AND (contains(lower(p.comune), t.city) OR contains(lower(p.district), t.city))
+          LEFT JOIN m ON m.provider_id = p.provider_id AND t.service = 'red-ring') y WHERE place <= 12""",
+)
+def _(d):
+    wanted = d.services.filter("slug IN ('red-ring', 'red-bolt')").select(
+        F.lit("red-ring").alias("service"), "service_id", F.when(F.col("slug") == "red-ring", "exact").otherwise("related").alias("match_kind"))
+    return directory.searches_by_name(d.sql(_TERMS), d.providers, d.provider_services, wanted)
+
+
 @query(
     "ci_equals",
     "SELECT r.request_id, p.provider_id FROM requests r JOIN providers p ON lower(r.requester_email) = lower(p.email)",

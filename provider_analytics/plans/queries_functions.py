@@ -185,18 +185,41 @@ def _(d):
     )
 
 
+def _chain(pairs, value):
+    """Nested replacements in SQL, the first pair innermost."""
+    for old, new in pairs:
+        value = f"replace({value}, '{old}', '{new}')"
+    return value
+
+
+# Every text as a wrong code page would show it, and the repair of that.
+_BREAK = [(right, wrong) for wrong, right in text.MOJIBAKE if right and wrong != "\u00c3 "]
+_BROKEN = _chain(_BREAK, "text")
+
+
 @query(
     "fix_mojibake",
-    """SELECT doc_id, text AS repaired FROM documents WHERE NOT regexp_matches(text, '[ÃÂâÀÈ]')""",
+    f"""SELECT doc_id, CASE WHEN regexp_matches(broken, '[ÃÂâ]') THEN {_chain(text.MOJIBAKE, 'broken')} ELSE broken END AS repaired
+        FROM (SELECT doc_id, {_BROKEN} AS broken FROM documents) b""",
 )
 def _(d):
-    # Break every text the way a wrong code page does, then repair it; only letters in the repair list survive.
-    clean = d.documents.filter(~F.col("text").rlike("[ÃÂâÀÈ]"))
     broken = F.col("text")
-    for wrong, right in text.MOJIBAKE:
-        if right and wrong != "Ã ":
-            broken = F.replace(broken, F.lit(right), F.lit(wrong))
-    return clean.select("doc_id", text.fix_mojibake(broken).alias("repaired"))
+    for right, wrong in _BREAK:
+        broken = F.replace(broken, F.lit(right), F.lit(wrong))
+    return d.documents.withColumn("broken", broken).select("doc_id", text.fix_mojibake(F.col("broken")).alias("repaired"))
+
+
+@query(
+    "compact_hours",
+    """SELECT provider_id, CASE WHEN provider_id % 3 <> 0 THEN provider_id % 3 = 1 END AS open_now, CASE WHEN provider_id % 3 <> 0 AND provider_id % 2 = 0 THEN 'Mon|Tue' ELSE '' END AS days,
+          CASE WHEN provider_id % 3 <> 0 THEN 1 ELSE 0 END AS n_periods FROM providers""",
+)
+def _(d):
+    hours = F.expr("""CASE WHEN provider_id % 3 <> 0 THEN named_struct('open_now', provider_id % 3 = 1,
+      'weekday_text', CASE WHEN provider_id % 2 = 0 THEN array('Mon', 'Tue') END,
+      'periods', array(named_struct('open', named_struct('day', 1, 'time', '0900'), 'close', named_struct('day', 1, 'time', '1300')))) END""")
+    rows = d.providers.select("provider_id", records.compact_hours(hours).alias("h"))
+    return rows.select("provider_id", "h.open_now", F.array_join("h.weekday_text", "|").alias("days"), F.size("h.periods").alias("n_periods"))
 
 
 _HAVERSINE = """round(2 * 6371 * atan2(sqrt(h), sqrt(greatest(1 - h, 0))), 6)"""

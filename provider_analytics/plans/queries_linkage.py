@@ -158,6 +158,18 @@ def _(d):
     return linkage.extract_services(d.documents, F.col("text"), _PHRASES).select("doc_id", "slug", "evidence")
 
 
+_RECORD = """SELECT provider_id, concat(full_name, ' ', CASE provider_id % 4 WHEN 0 THEN 'Mutui e Garanzia' WHEN 1 THEN 'costituzione società' WHEN 2 THEN 'Eredità, procure' ELSE 'altro' END) AS record FROM providers"""
+
+
+@query(
+    "extract_record_services",
+    f"""SELECT provider_id, s.slug, s.evidence FROM ({_RECORD}) r JOIN (VALUES (0, 'mutuo', 'mutui'), (1, 'diritto-societario', 'costituzione societa'),
+          (2, 'eredita', 'eredita'), (2, 'procura', 'procure')) s(k, slug, evidence) ON s.k = provider_id % 4""",
+)
+def _(d):
+    return linkage.extract_services(d.sql(_RECORD), F.col("record"), linkage.RECORD_PHRASES).select("provider_id", "slug", "evidence")
+
+
 _MATCHED = "SELECT listing_id AS provider_id, listing_id, 70 + listing_id % 40 AS score FROM listings WHERE phone IS NOT NULL"
 _EVIDENCE = "SELECT DISTINCT l_suppkey AS listing_id, replace(p_name, ' ', '-') AS slug, lower(p_name) AS evidence FROM lineitem JOIN part ON p_partkey = l_partkey"
 

@@ -330,13 +330,14 @@ def _(d):
 
 @query(
     "insert_ignore",
-    """SELECT request_id, provider_id FROM (SELECT request_id, provider_id FROM request_recipients WHERE status = 'O' AND provider_id % 2 = 0
-         UNION SELECT request_id, provider_id FROM request_recipients) t""",
+    """SELECT request_id, provider_id, status FROM request_recipients WHERE status = 'O' AND provider_id % 2 = 0
+       UNION ALL SELECT request_id, provider_id, max(status) FROM request_recipients r GROUP BY request_id, provider_id
+         HAVING NOT bool_or(status = 'O' AND provider_id % 2 = 0)""",
 )
 def _(d):
-    links = d.request_recipients.select("request_id", "provider_id")
-    present = d.request_recipients.filter("status = 'O' AND provider_id % 2 = 0").select("request_id", "provider_id").distinct()
-    return writes.insert_ignore(present, links, ["request_id", "provider_id"])
+    links = d.request_recipients.select("request_id", "provider_id", "status")
+    present = links.filter("status = 'O' AND provider_id % 2 = 0")
+    return writes.insert_ignore(present, links, ["request_id", "provider_id"], [F.col("status").desc()])
 
 
 @query(
