@@ -15,7 +15,7 @@ from pyspark.sql.types import DoubleType
 from ..functions.geo import GEOCODE_BOX, distance_km, in_bbox
 from ..functions.phones import phone_digits, phone_split, phone_tokens, street_number
 from ..functions.text import address_tokens, name_tokens, normalize_accents, normalize_query, url_last_segment, words
-from .skew import hot_keys, reuse, settle, top_per_group
+from .skew import place_in_group, settle, top_per_group
 
 # Executors get the helpers below with the task; the package need not be installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -104,43 +104,45 @@ def signatures(prepared: DataFrame, key: str) -> DataFrame:
     )
 
 
-_CELL = 0.03  # degrees; two kilometres never span more than one cell border at these latitudes
+_CELL = 0.03  # degrees
+_NEAR_KM, _KM_PER_CELL = 2.0, 0.03 * 111.19  # a cell's height; its width shrinks towards the poles
 
 
 def _keys(side: str) -> Column:
     """Blocking keys. Without an equal phone a score of 70 needs the surname with another name word, with the
-    house number or with a street word; or, without the surname, house number, street word and a distance
-    of at most two kilometres. A pair that shares no key cannot reach the threshold."""
+    house number or with a street word; or, for a name of one word, that word within half a kilometre; or, without
+    the surname, house number, street word and a distance of at most two kilometres. A pair that shares no key cannot
+    reach the threshold."""
     names, street, number = F.col("name_tokens"), F.filter("street", lambda t: ~t.rlike("^[0-9]+$")), F.col("number")
     none = F.array().cast("array<string>")
+    located = F.col("lat").isNotNull() & F.col("lng").isNotNull()
     cell = lambda c: F.floor(F.col(c) / _CELL).cast("bigint")
     if side == "register":
         last = F.element_at(F.split("name_norm", " "), -1)
         surnames = F.array(last)
-        alone = F.when(F.size(names) <= 1, F.array(F.concat(F.lit("n|"), last, F.lit("|"), F.col("comune_norm"))))
         cells = F.array(F.concat_ws(",", cell("lat"), cell("lng")))
+        alone = F.when(F.size(names) <= 1, surnames).otherwise(none)
     else:
-        surnames = names
-        alone = F.transform(names, lambda t: F.concat(F.lit("n|"), t, F.lit("|"), F.col("comune_norm")))
-        near = F.sequence(F.lit(-1), F.lit(1))
-        cells = F.flatten(F.transform(near, lambda dy: F.transform(
-            near, lambda dx: F.concat_ws(",", cell("lat") + dy, cell("lng") + dx))))
+        surnames = alone = names
+        wide = F.ceil(F.lit(_NEAR_KM * 1.01 / _KM_PER_CELL) / F.greatest(F.cos(F.radians("lat")), F.lit(0.005))).cast("int")
+        cells = F.flatten(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda dy: F.transform(
+            F.sequence(-wide, wide), lambda dx: F.concat_ws(",", cell("lat") + dy, cell("lng") + dx))))
+    at_cells = lambda words_, *parts: F.when(located, F.flatten(F.transform(
+        words_, lambda w: F.transform(cells, lambda c: F.concat_ws("|", *parts, w, c)))))
     by_number = F.when(number != "", F.transform(surnames, lambda s: F.concat(F.lit("sn|"), s, F.lit("|"), number)))
-    by_place = F.when(
-        (number != "") & F.col("lat").isNotNull() & F.col("lng").isNotNull(),
-        F.flatten(F.transform(street, lambda w: F.transform(cells, lambda c: F.concat_ws("|", F.lit("wn"), w, number, c)))),
-    )
+    by_place = F.when(number != "", at_cells(street, F.lit("wn"), number))
     return F.array_distinct(F.concat(
         F.transform("phones", lambda p: F.concat(F.lit("p|"), p)),
         F.flatten(F.transform(surnames, lambda s: F.transform(
             F.filter(names, lambda u: u != s), lambda u: F.concat(F.lit("s2|"), s, F.lit("|"), u)))),
         F.flatten(F.transform(surnames, lambda s: F.transform(street, lambda w: F.concat(F.lit("sw|"), s, F.lit("|"), w)))),
-        F.coalesce(by_number, none), F.coalesce(by_place, none), F.coalesce(alone, none),
+        F.coalesce(by_number, none), F.coalesce(by_place, none), F.coalesce(at_cells(alone, F.lit("n")), none),
     ))
 
 
 def candidate_pairs(register: DataFrame, listings: DataFrame) -> DataFrame:
-    """Signature pairs (p_*, l_*) that share a blocking key. Inputs are `signatures` of both sides."""
+    """Signature pairs (p_*, l_*) that share a blocking key. Inputs are `signatures` of both sides. A crowded key is
+    split by adaptive execution on either side of the join."""
     prefix = lambda df, mark: df.select(*[F.col(c).alias(f"{mark}_{c}") for c in df.columns])
     left = register.select("sig", F.explode(_keys("register")).alias("key"))
     right = listings.select(F.col("sig").alias("l_sig"), F.explode(_keys("listing")).alias("key"))
@@ -232,21 +234,19 @@ def match_score_profile(pairs: DataFrame) -> DataFrame:
 
 # Picking
 
-def pick_match(edges: DataFrame, threshold: int = THRESHOLD, max_rounds: int = 50) -> DataFrame:
-    """One-to-one assignment: the highest score wins, then the lower keys.
+def pick_match(edges: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """One-to-one assignment: the highest score wins; equal scores are ordered by the md5 of both first keys, which is
+    as good as any order and, being spread at random, leaves no long chains.
 
     edges: p_sig, l_sig, p_copies, l_copies, p_first, l_first, score. In every round each edge that is the
     best of both its ends is taken for as many copies as both still have; rounds repeat until no edge is
-    left, usually two or three. Returns (p_sig, l_sig, score, p_from, l_from, taken): copies p_from.. of one
-    side go to copies l_from.. of the other."""
-    left = settle(edges.filter(F.col("score") >= threshold).withColumn("p_used", F.lit(0).cast("bigint")).withColumn(
-        "l_used", F.lit(0).cast("bigint")
-    ), "edges")
+    left, their number growing with the logarithm of the edges. Returns (p_sig, l_sig, score, p_from, l_from,
+    taken): copies p_from.. of one side go to copies l_from.. of the other."""
+    zero = F.lit(0).cast("bigint")
+    left = settle(edges.filter(F.col("score") >= threshold).withColumns({"p_used": zero, "l_used": zero, "_tie": tie_break("p_first", "l_first")}), "edges")
     taken = None
-    rank = F.struct((-F.col("score")).alias("s"), F.col("p_first").alias("p"), F.col("l_first").alias("l"))
-    for turn in range(max_rounds):
-        if left.isEmpty():
-            break
+    rank = F.struct((-F.col("score")).alias("s"), F.col("_tie").alias("t"), F.col("p_first").alias("p"), F.col("l_first").alias("l"))
+    while not left.isEmpty():
         best_p = left.groupBy("p_sig").agg(F.min(rank).alias("_bp"))
         best_l = left.groupBy("l_sig").agg(F.min(rank).alias("_bl"))
         won = left.join(best_p, "p_sig").join(best_l, "l_sig").filter((F.col("_bp") == rank) & (F.col("_bl") == rank)).withColumn(
@@ -254,46 +254,29 @@ def pick_match(edges: DataFrame, threshold: int = THRESHOLD, max_rounds: int = 5
         )
         won = settle(won.select(
             "p_sig", "l_sig", "score", F.col("p_used").alias("p_from"), F.col("l_used").alias("l_from"), "taken"
-        ), f"taken-{turn}")
+        ), "taken")
         taken = won if taken is None else taken.unionByName(won)
-        used_p = won.groupBy("p_sig").agg(F.sum("taken").alias("_up"))
-        used_l = won.groupBy("l_sig").agg(F.sum("taken").alias("_ul"))
-        zero = F.lit(0).cast("bigint")
+        # A side takes part in one edge a round, so its use is at most one row.
+        used_p, used_l = won.select("p_sig", F.col("taken").alias("_up")), won.select("l_sig", F.col("taken").alias("_ul"))
         left = settle(
             left.join(won.select("p_sig", "l_sig"), ["p_sig", "l_sig"], "left_anti").join(used_p, "p_sig", "left").join(used_l, "l_sig", "left")
             .withColumn("p_used", F.col("p_used") + F.coalesce("_up", zero)).withColumn("l_used", F.col("l_used") + F.coalesce("_ul", zero))
             .filter("p_used < p_copies AND l_used < l_copies").drop("_up", "_ul"),
-            f"open-edges-{turn}",
+            "open-edges",
         )
-    else:
-        raise RuntimeError(f"assignment not settled after {max_rounds} rounds")
     if taken is None:
-        return edges.select("p_sig", "l_sig", "score", F.lit(0).cast("bigint").alias("p_from"), F.lit(0).cast("bigint").alias("l_from"),
-                            F.lit(0).cast("bigint").alias("taken")).limit(0)
+        return edges.select("p_sig", "l_sig", "score", zero.alias("p_from"), zero.alias("l_from"), zero.alias("taken")).limit(0)
     return taken
 
 
+def tie_break(*keys: str) -> Column:
+    return F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys]))
+
+
 def number_copies(prepared: DataFrame, key: str) -> DataFrame:
-    """(key, sig, nth): position of each row among the copies of its signature in key order, from 0.
-
-    A signature with very many copies is cut into key ranges; ranges are counted by a partial aggregate and
-    numbered on their own, so no task sees all copies."""
-    rows = prepared.select(key, "sig")
-    hot = F.broadcast(reuse(hot_keys(rows, ["sig"])))
-    bounds = rows.join(hot, "sig").groupBy("sig").agg(F.min(key).alias("_low"), F.max(key).alias("_high"))
-    sliced = rows.join(hot, "sig", "left").join(F.broadcast(bounds), "sig", "left").select(  # hot signatures only, at most 256
-        key, "sig",
-        F.coalesce(F.floor((F.col(key) - F.col("_low")) * F.col("_salts") / (F.col("_high") - F.col("_low") + 1)), F.lit(0)).cast("int").alias("_slice"),
-    )
-    sizes = sliced.groupBy("sig", "_slice").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy("sig").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.select("sig", "_slice", F.coalesce(before, F.lit(0).cast("bigint")).alias("_before"))
-    # Only slices after the first add anything; there are at most 256 per hot signature.
-    offsets = F.broadcast(offsets.filter("_slice > 0"))
-    numbered = sliced.withColumn("_at", F.row_number().over(Window.partitionBy("sig", "_slice").orderBy(key)) - 1)
-    return numbered.join(offsets, ["sig", "_slice"], "left").select(
-        key, "sig", (F.col("_at") + F.coalesce("_before", F.lit(0).cast("bigint"))).cast("bigint").alias("nth")
-    )
+    """(key, sig, nth): position of each row among the copies of its signature in key order, from 0."""
+    placed = place_in_group(prepared.select(key, "sig"), ["sig"], [F.col(key)], "place")
+    return placed.select(key, "sig", (F.col("place") - 1).alias("nth"))
 
 
 def link(register: DataFrame, listings: DataFrame, threshold: int = THRESHOLD) -> DataFrame:

@@ -237,7 +237,8 @@ def _(d):
 
 
 _URLS = """SELECT p.provider_id, p.full_name, c.cand_id, concat('https://dir.example.org/', lower(c.cand_name)) AS url, c.cand_id AS pos
-  FROM providers p JOIN (SELECT provider_id AS cand_id, replace(full_name, ' ', '-') AS cand_name, comune FROM providers) c ON c.comune = p.comune"""
+  FROM providers p JOIN (SELECT provider_id AS cand_id, replace(full_name, ' ', '-') AS cand_name, comune FROM providers) c
+    ON c.comune = p.comune AND left(right(c.cand_name, 9), 6) = left(right(p.full_name, 9), 6)"""
 
 
 @query(

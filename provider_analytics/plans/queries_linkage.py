@@ -66,18 +66,27 @@ def _(d):
     )
 
 
-@query(
-    "pick_match",
-    f"""SELECT provider_id, listing_id, score FROM (SELECT *, row_number() OVER (PARTITION BY provider_id ORDER BY score DESC, listing_id) AS a,
-          row_number() OVER (PARTITION BY listing_id ORDER BY score DESC, provider_id) AS b FROM ({_SCORED}) s WHERE score >= 70) t WHERE a = 1 AND b = 1""",
-)
+# Edges from the best to the worst; each is taken if both its ends are free when its turn comes.
+_TAKEN = f"""WITH RECURSIVE seq AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY score DESC, md5(concat(provider_id, '|', listing_id)), provider_id, listing_id) AS rn FROM ({_SCORED}) s WHERE score >= 70),
+  walk AS (
+    SELECT CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS provider_id, CAST(NULL AS BIGINT) AS listing_id, CAST(NULL AS INT) AS score, false AS taken, CAST([] AS BIGINT[]) AS ps, CAST([] AS BIGINT[]) AS ls
+    UNION ALL
+    SELECT s.rn, s.provider_id, s.listing_id, s.score, NOT list_contains(w.ps, s.provider_id) AND NOT list_contains(w.ls, s.listing_id),
+      CASE WHEN list_contains(w.ps, s.provider_id) OR list_contains(w.ls, s.listing_id) THEN w.ps ELSE list_append(w.ps, s.provider_id) END,
+      CASE WHEN list_contains(w.ps, s.provider_id) OR list_contains(w.ls, s.listing_id) THEN w.ls ELSE list_append(w.ls, s.listing_id) END
+    FROM walk w JOIN seq s ON s.rn = w.rn + 1)
+SELECT provider_id, listing_id, score FROM walk WHERE taken"""
+
+
+@query("pick_match", _TAKEN)
 def _(d):
     return linkage.link(*_frames(d))
 
 
+# Candidates are in the same city and have numbers in their names that begin alike.
 _DIRECTORY = """SELECT p.provider_id, l.listing_id, p.full_name AS p_name, p.comune AS p_comune, p.phone AS p_phone, l.name AS l_name, l.city AS l_city,
    CAST(NULL AS STRING) AS l_address, CAST(NULL AS STRING) AS l_description, l.phone AS l_phone, CASE WHEN l.listing_id % 2 = 0 THEN 'Studi Notarili' ELSE 'Altro' END AS l_category,
-   l.website AS l_website, CAST(NULL AS STRING) AS l_email FROM providers p JOIN listings l ON l.city = p.comune"""
+   l.website AS l_website, CAST(NULL AS STRING) AS l_email FROM providers p JOIN listings l ON l.city = p.comune AND left(right(l.name, 9), 6) = left(right(p.full_name, 9), 6)"""
 _OVERLAP = f"len(list_intersect(list_filter(string_split({_N.format('p_name')}, ' '), lambda t: len(t) > 1), list_filter(string_split({_N.format('l_name')}, ' '), lambda t: len(t) > 1)))"
 
 
@@ -92,7 +101,7 @@ def _(d):
 
 _PROFILE = """SELECT p.provider_id, l.listing_id, p.full_name AS p_name, p.comune AS p_comune, p.phone AS p_phone, p.email AS p_email, l.name AS l_name, '' AS l_first_name, '' AS l_last_name,
    l.city AS l_city, '' AS l_province, '' AS l_address, l.phone AS l_phone, q.email AS l_email, l.listing_id % 2 AS l_services
-   FROM providers p JOIN listings l ON l.city = p.comune JOIN providers q ON q.provider_id = l.listing_id"""
+   FROM providers p JOIN listings l ON l.city = p.comune AND left(right(l.name, 9), 6) = left(right(p.full_name, 9), 6) JOIN providers q ON q.provider_id = l.listing_id"""
 
 
 @query(

@@ -244,7 +244,7 @@ WITH RECURSIVE j AS (
     WHEN coalesce(p.owner_email, '') <> '' AND lower(p.owner_email) <> lower(c.email) THEN 'already_claimed' ELSE 'ok' END AS v
   FROM claims c LEFT JOIN ({_OWNED}) p ON p.provider_id = c.provider_id AND p.status = 'published'
   LEFT JOIN (SELECT lower(owner_email) AS e, min(provider_id) AS owned FROM ({_OWNED}) x WHERE owner_email IS NOT NULL GROUP BY lower(owner_email)) o ON o.e = lower(c.email)),
-seq AS (SELECT *, row_number() OVER (ORDER BY created_at, claim_id) AS rn FROM j),
+seq AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY created_at, claim_id) AS rn FROM j),
 walk AS (
   SELECT CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS claim_id, CAST(NULL AS VARCHAR) AS verdict, CAST([] AS VARCHAR[]) AS emails, CAST([] AS BIGINT[]) AS taken
   UNION ALL

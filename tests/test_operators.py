@@ -190,6 +190,45 @@ def test_linkage_against_a_loop(spark):
     assert sorted(r["score"] for r in got) == sorted(greedy)
 
 
+def test_every_pair_that_scores_is_blocked(spark):
+    """All combinations of what a score is made of, for names of one and of two words, far north as well."""
+    import itertools
+
+    schema = "name string, phone string, address string, comune string, lat double, lng double"
+    register, listings = [], []
+    for i, (same_phone, surname, other, number, street, comune, far, one, north) in enumerate(itertools.product([0, 1], [0, 1], [0, 1], [0, 1], [0, 1], [0, 1], [0, 1, 2], [0, 1], [0, 1])):
+        tag = f"{chr(97 + i // 676 % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}"
+        last, first, place, way = f"last{tag}", f"first{tag}", f"town{tag}", f"way{tag}"
+        lat, lng = (66.0 if north else 42.0) + i / 20, 9.0 + i / 20
+        step = (0.0, 0.0, 0.0)[far] if far == 0 else (0.0, 0.012, 0.5)[far]
+        register.append((i, last if one else f"{first} {last}", f"02{i:07d}", f"{way} {i % 90 + 1}", place, lat % 80, lng))
+        name = " ".join([last if surname else f"else{tag}", first if other else f"more{tag}"])
+        listings.append((i, name, f"+39 02{i if same_phone else i + 5_000_000:07d}", f"{way if street else 'xyz' + tag} {i % 90 + 1 if number else 991}{', ' + place if comune else ''}",
+                         "", lat % 80, lng + step * (2 if north else 1)))
+    p = linkage.prepare(spark.createDataFrame(register, "provider_id bigint, " + schema), "provider_id")
+    l = linkage.prepare(spark.createDataFrame(listings, "listing_id bigint, " + schema), "listing_id")
+    side = lambda df, m: df.select(*[F.col(c).alias(f"{m}_{c}") for c in df.columns])
+    every = linkage.match_score_places(side(p, "p").join(side(l, "l"), F.col("p_provider_id") == F.col("l_listing_id")), 70).select("p_sig", "l_sig")
+    blocked = linkage.candidate_pairs(linkage.signatures(p, "provider_id"), linkage.signatures(l, "listing_id")).select("p_sig", "l_sig")
+    assert every.count() > 100 and every.join(blocked, ["p_sig", "l_sig"], "left_anti").count() == 0
+
+
+def test_a_long_chain_of_equal_scores_takes_few_rounds(spark, monkeypatch):
+    rounds = []
+    real = linkage.settle
+    monkeypatch.setattr(linkage, "settle", lambda df, name: rounds.append(name) or real(df, name))
+    n = 2000
+    edges = spark.range(2 * n).select(
+        F.format_string("p%06d", F.ceil(F.col("id") / 2)).alias("p_sig"), F.format_string("l%06d", F.floor(F.col("id") / 2)).alias("l_sig"),
+        F.lit(1).cast("bigint").alias("p_copies"), F.lit(1).cast("bigint").alias("l_copies"), F.ceil(F.col("id") / 2).alias("p_first"),
+        F.floor(F.col("id") / 2).alias("l_first"), F.lit(80).alias("score"))
+    taken = linkage.pick_match(edges).collect()
+    assert rounds.count("taken") < 40
+    assert len({r["p_sig"] for r in taken}) == len(taken) == len({r["l_sig"] for r in taken}) and len(taken) > 0.6 * n
+    used = {r["p_sig"] for r in taken}, {r["l_sig"] for r in taken}
+    assert all(r["p_sig"] in used[0] or r["l_sig"] in used[1] for r in edges.collect())
+
+
 def test_copies_are_assigned_one_to_one(spark):
     schema = "name string, phone string, address string, comune string, lat double, lng double"
     register = spark.range(3000).select(F.col("id").alias("provider_id"), *[F.expr(x) for x in (
