@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
+import time
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.skew import scratch_path
+from ..session import shared_dir
+
 BATCH_ROWS = 1024
 
 
@@ -29,38 +31,27 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir. Only a session on this one machine may do without the
-    setting; it then gets a temporary folder. On a cluster a missing setting is an error."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(named)
-        return named
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    own = tempfile.mkdtemp(prefix="llm-checkpoints-")
-    spark.sparkContext.setCheckpointDir(own)
-    return own
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """Materialise in the shared folder, keeping partitions and their order."""
-    checkpoint_dir(df.sparkSession)
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and go on from its files: columns are pruned and compressed."""
-    path = f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """Write a table to the shared folder and go on from its files: columns are pruned and compressed. What a process
+    has written goes when it ends."""
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of frames that are no longer referred to."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark remove the shuffle files of frames that are no longer referred to. What a frame held is free for the
+    second pass only."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def numbered(df: DataFrame, keys: list[str], number: str) -> DataFrame:

@@ -27,14 +27,17 @@ from .common import BATCH_ROWS, batches_of, release, written
 SHINGLE = 5
 #: Up to this size each shingle is a segment of its own.
 SMALL = 24
+#: Texts that a task has split into words at a time.
+TEXTS = 512
 #: Segments for each pigeonhole that is needed, and the share of segments that index one-deletion neighbours.
 SPARE, DEEP = 1.15, 32
 #: A segment's cost is how many sets share it; beyond this it is not counted further.
 COST_CAP = 200_000
 #: Ids up to this number may be broadcast; beyond it the same join is shuffled.
 BROADCAST_IDS = 500_000
-#: Pairs of separate sets that may be tried without another round of comparing with one.
-ROUND_PAIRS, ROUNDS = 2_000_000, 6
+#: Rounds in which the sets of a signature are compared with one of them; and up to how many separate sets of a
+#: signature are then compared one by one, before the sets that ask look again in a finer partition.
+HUB_ROUNDS, GROUP_SIZE = 1, 32
 
 _M1, _M2, _P = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -146,6 +149,13 @@ def index_rows(sets: list[np.ndarray], spare: float = SPARE) -> tuple[np.ndarray
     return *(np.concatenate([p[i] for p in parts]) for i in range(3)), units
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of texts in parts that are small as lists of words."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, TEXTS):
+            yield batch.slice(at, TEXTS)
+
+
 def set_id(values: np.ndarray) -> int:
     """What equal sets share; sets of different size never do in practice and are told apart by it as well."""
     return xxhash.xxh3_64_intdigest(values.tobytes()) - (1 << 63)
@@ -156,11 +166,11 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def index(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Signatures sig, set, mark, and one row for each document with mark -1: doc, set, n, units."""
+    """Signatures sig, set, mark, and one row for each document with mark -1, whose facts are doc, n and units."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
             found = shingle_sets(texts)
             ids = np.array([set_id(s) for s in found], np.int64)
@@ -171,21 +181,20 @@ def index(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             each = dict(zip(ids[first].tolist(), units.tolist(), strict=True))
             n = len(texts)
             sets, sigs = ids[first][who], _signed(sig)
+            facts = pa.struct([("doc", batch.column(0).type), ("n", pa.int32()), ("units", pa.int32())])
+            names = ["sig", "set", "mark", "facts"]
             for at in range(0, len(sigs), 50_000):
                 part = slice(at, at + 50_000)
-                size = len(sigs[part])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(sigs[part]), pa.array(sets[part]), pa.array(mark[part].astype(np.int32)),
-                     pa.nulls(size, batch.column(0).type), pa.nulls(size, pa.int32()), pa.nulls(size, pa.int32())],
-                    ["sig", "set", "mark", "doc", "n", "units"])
+                columns = [pa.array(sigs[part]), pa.array(sets[part]), pa.array(mark[part].astype(np.int32)), pa.nulls(len(sigs[part]), facts)]
+                yield pa.RecordBatch.from_arrays(columns, names)
             places = _signed(mix(ids.view(np.uint64) + np.arange(n, dtype=np.uint64)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(places), pa.array(ids), pa.array(np.full(n, -1, np.int32)), batch.column(0),
-                 pa.array([len(s) for s in found], pa.int32()), pa.array([each.get(i, 0) for i in ids.tolist()], pa.int32())],
-                ["sig", "set", "mark", "doc", "n", "units"])
+            about = pa.StructArray.from_arrays(
+                [batch.column(0), pa.array([len(s) for s in found], pa.int32()), pa.array([each.get(i, 0) for i in ids.tolist()], pa.int32())],
+                fields=list(facts))
+            yield pa.RecordBatch.from_arrays([pa.array(places), pa.array(ids), pa.array(np.full(n, -1, np.int32)), about], names)
 
     picked = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
-    return picked.mapInArrow(emit, f"sig bigint, set bigint, mark int, doc {kind}, n int, units int")
+    return picked.mapInArrow(emit, f"sig bigint, set bigint, mark int, facts struct<doc: {kind}, n: int, units: int>")
 
 
 def shared_only(rows: DataFrame) -> DataFrame:
@@ -276,7 +285,7 @@ def whole_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, id_col: s
     texts = docs.select(id_col, text_col).join(firsts, id_col, "left_semi").select(text_col)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [s for s in shingle_sets([t or b"" for t in batch.column(0).cast(pa.binary()).to_pylist()]) if len(s)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([set_id(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["set", "items"])
@@ -306,69 +315,148 @@ def connected(links: DataFrame) -> DataFrame:
     """set, root: the smallest set that can be reached. Every round takes the smallest root around a set and then that
     one's root, so paths halve; rounds go on until nothing changes, each from a written table."""
     edges = written(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
-    roots = edges.groupBy(F.col("a").alias("set")).agg(F.least(F.min("b"), F.min("a")).alias("root"))
+    at = written(edges.groupBy(F.col("a").alias("set")).agg(F.least(F.min("b"), F.min("a")).alias("root")), "roots")
     while True:
-        at = written(roots, "roots")
         around = edges.join(at.select(F.col("set").alias("b"), F.col("root").alias("r")), "b").groupBy(F.col("a").alias("set")).agg(F.min("r").alias("r"))
         best = at.join(around, "set").select("set", "root", F.least("root", "r").alias("best"))
         jump = at.select(F.col("set").alias("best"), F.col("root").alias("far"))
-        roots = best.join(jump, "best").select("set", "root", F.least("best", "far").alias("next"))
-        roots = written(roots, "steps")
-        if roots.filter("next < root").isEmpty():
+        step = written(best.join(jump, "best").select("set", "root", F.least("best", "far").alias("next")), "roots")
+        if step.filter("next < root").isEmpty():
             return at
-        roots = roots.select("set", F.col("next").alias("root"))
+        at = step.select("set", F.col("next").alias("root"))
 
 
-def _fitting(n: str, m: str) -> Column:
-    return (4 * F.col(n) >= 3 * F.col(m)) & (4 * F.col(m) >= 3 * F.col(n))
+def _fitting() -> Column:
+    """Whether two sets of sizes n and m can be similar at all: by size, by what each can share at most, and by how much
+    each differs from any other at least. Similar sets share 3/7 of both sizes and differ in 1/7."""
+    n, m, both = F.col("n"), F.col("m"), F.col("n") + F.col("m")
+    share = (7 * F.col("most") >= 3 * both) & (7 * F.col("other_most") >= 3 * both)
+    differ = F.greatest(F.col("alone"), F.col("other_alone"), F.col("n") - F.col("most") + F.col("m") - F.col("other_most"))
+    return (4 * n >= 3 * m) & (4 * m >= 3 * n) & share & (7 * differ <= both)
 
 
-def similar_links(docs: DataFrame, shared: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame | None:
-    """Links a, b between sets, enough to connect all that are connected; None if there are none."""
+def members_of(shared: DataFrame, classes: DataFrame) -> DataFrame:
+    """The sets of every signature that some set asks for: sig, set, asks, n, most, alone. `most` is how many shingles a set
+    may share with another, `alone` in how many it differs from any other at least: every segment that nobody shares
+    stands for one, whether it is this set's or the other's. A deep segment is two units but, shared as it is, no
+    difference, so as many as there are deep ones do not count."""
     asked = allocate(shared, classes).withColumn("asks", F.lit(True))
     signed = shared.filter("mark >= 0").select("sig", "set").distinct()
-    free = shared.filter("mark >= 0").groupBy("set").agg(F.count("*").alias("used"))
-    facts = classes.join(free, "set").select("set", "n", (F.col("units") - F.col("used")).alias("lonely"))
+    used = shared.filter("mark >= 0").groupBy("set").agg(F.count("*").alias("used"))
+    alone = F.greatest(F.lit(0), F.col("units") - F.col("used") - F.ceil(F.col("n") / 64) - 2)
+    facts = classes.join(used, "set").select("set", "n", F.col("n").alias("most"), alone.alias("alone"))
     members = signed.join(asked, ["sig", "set"], "left").withColumn("any", F.max("asks").over(Window.partitionBy("sig")))
-    members = members.filter("any").select("sig", "set", F.coalesce("asks", F.lit(False)).alias("asks")).join(facts, "set")
-    members = written(members, "members")
-    sets = None
-    links, tried, number = None, None, 0
-    while True:
-        if links is None:
-            state = members.withColumn("root", F.col("set"))
-        else:
-            roots = connected(links)
-            state = members.join(roots, "set", "left").withColumn("root", F.coalesce("root", "set"))
-        groups = state.groupBy("sig").agg(F.min("root").alias("_a"), F.max("root").alias("_b"), F.count("*").alias("_n"), F.count(F.when(F.col("asks"), 1)).alias("_asks"))
-        groups = groups.filter("_a < _b").select("sig", (F.col("_n") * F.col("_asks")).alias("_pairs"))
-        state = written(state.join(groups, "sig"), "separate")
-        ahead = state.select("sig", "_pairs").distinct().agg(F.sum("_pairs")).first()[0]
-        if ahead is None:
-            break
-        final = ahead <= ROUND_PAIRS or number >= ROUNDS
-        if final:
-            asking = state.filter("asks").select("sig", F.col("set").alias("a"), F.col("n").alias("m"), F.col("root").alias("other"))
-            pairs = state.join(asking, "sig").filter((F.col("root") != F.col("other")) & _fitting("n", "m"))
-            pairs = pairs.select(F.least("a", "set").alias("a"), F.greatest("a", "set").alias("b"))
-        else:
-            # The set with least of its own stands for its group; later rounds take another one by chance.
-            order = F.struct("lonely", "set") if number == 0 else F.struct(F.xxhash64("set", F.lit(number)).alias("lonely"), "set")
-            hubs = state.groupBy("sig").agg(F.min(F.struct(order.alias("o"), "n", "root", "asks")).alias("hub"))
-            hubs = hubs.select("sig", F.col("hub.o.set").alias("a"), F.col("hub.n").alias("m"), F.col("hub.root").alias("other"), F.col("hub.asks").alias("calls"))
-            pairs = state.join(hubs, "sig").filter((F.col("root") != F.col("other")) & (F.col("asks") | F.col("calls")) & _fitting("n", "m"))
-            pairs = pairs.select(F.least("a", "set").alias("a"), F.greatest("a", "set").alias("b"))
-        pairs = pairs.distinct()
-        pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        if sets is None:
-            sets = written(whole_sets(docs, classes, members.select("set").distinct(), id_col, text_col), "sets")
-        found = written(verified(pairs, sets), "links")
-        links = found if links is None else links.unionByName(found)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        number += 1
-        if final:
-            break
-    return links
+    return members.filter("any").select("sig", "set", F.coalesce("asks", F.lit(False)).alias("asks")).join(facts, "set")
+
+
+def finer(state: DataFrame, sets: DataFrame) -> DataFrame:
+    """The same as members_of for costly signatures, partitioned as finely as can be: every shingle a segment.
+
+    state: the members of signatures that sets ask for, with `costly` where the asking set is to be treated here. Sets
+    that could meet one of those give all their shingles, apart for each size band; a costly one asks for as many
+    as it needs pigeonholes, those that no other set has being free and the rarest of the rest taken. What
+    many sets share, like a passage they all quote, is left out unless it is most of a set."""
+    wanted = state.groupBy("sig").agg(F.bool_or("costly").alias("any")).filter("any").select("sig")
+    parts = state.join(wanted, "sig").groupBy("set").agg(F.bool_or("costly").alias("costly"))
+    items = sets.join(parts, "set").select("set", "costly", "items")
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, raw in enumerate(batch.column(2)):
+                values = np.frombuffer(raw.as_py(), np.uint64)
+                n = len(values)
+                band = int(np.searchsorted(bands(n), n))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(_signed(values)), pa.array(np.full(n, batch.column(0)[i].as_py(), np.int64)),
+                     pa.array(np.full(n, batch.column(1)[i].as_py(), bool)), pa.array(np.full(n, n, np.int32)), pa.array(np.full(n, band, np.int32))],
+                    ["item", "set", "costly", "n", "band"])
+
+    spelled = items.mapInArrow(spell, "item bigint, set bigint, costly boolean, n int, band int")
+    cost = F.count("*").over(Window.partitionBy("item"))
+    spelled = written(spelled.withColumn("cost", cost).filter("cost > 1"), "spelled")
+    free = spelled.groupBy("set").agg((F.first("n") - F.count("*")).alias("lonely"))
+    place = F.row_number().over(Window.partitionBy("set").orderBy("cost", "item"))
+    asking = spelled.filter("costly").withColumn("place", place).join(free, "set")
+    asking = asking.filter(F.col("place") <= F.floor(F.col("n") / 7) + 1 - F.col("lonely"))
+    key = lambda band: F.xxhash64("item", band).alias("sig")
+    asks = asking.select("item", "set", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band")).select(key(F.col("band")), "set", F.lit(True).alias("asks"))
+    rows = spelled.select(key(F.col("band")), "set", F.lit(False).alias("asks")).union(asks).groupBy("sig", "set").agg(F.bool_or("asks").alias("asks"))
+    rows = rows.withColumn("any", F.bool_or("asks").over(Window.partitionBy("sig"))).filter("any").drop("any")
+    sizes = free.join(spelled.select("set", "n").distinct(), "set")
+    return rows.join(sizes, "set").select("sig", "set", "asks", "n", (F.col("n") - F.col("lonely")).alias("most"), F.col("lonely").alias("alone"))
+
+
+class _Search:
+    """Links found so far, pairs tried so far, and the whole sets that are compared."""
+
+    def __init__(self, sets: DataFrame):
+        self.sets, self.links, self.tried, self.number = sets, None, None, 0
+
+    def separate(self, members: DataFrame) -> DataFrame | None:
+        """Members of signatures whose sets are not all connected yet, with root, group size; None if there are none."""
+        state = members.withColumn("root", F.col("set"))
+        if self.links is not None:
+            state = members.join(connected(self.links), "set", "left").withColumn("root", F.coalesce("root", "set"))
+        groups = state.groupBy("sig").agg(F.min("root").alias("_a"), F.max("root").alias("_b"), F.count("*").alias("size"), F.bool_or("asks").alias("_any"))
+        state = written(state.join(groups.filter("_a < _b AND _any").select("sig", "size"), "sig"), "separate")
+        return None if state.isEmpty() else state
+
+    def compare(self, pairs: DataFrame) -> None:
+        pairs = pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = written(pairs if self.tried is None else pairs.join(self.tried, ["a", "b"], "left_anti"), "pairs")
+        found = written(verified(pairs, self.sets), "links")
+        self.links = found if self.links is None else self.links.unionByName(found)
+        self.tried = pairs if self.tried is None else self.tried.unionByName(pairs)
+        self.number += 1
+
+    def with_one(self, state: DataFrame) -> None:
+        """Compare the sets of each signature with one of them: first the one with least of its own, then any."""
+        order = F.col("alone") if self.number == 0 else F.xxhash64("set", F.lit(self.number)).alias("alone")
+        hubs = state.groupBy("sig").agg(F.min(F.struct(order.alias("o"), *_FACTS)).alias("hub"))
+        self.compare(_others(state, hubs.select("sig", "hub.*")).filter(F.col("asks") | F.col("calls")).select("a", F.col("set").alias("b")))
+
+    def one_by_one(self, state: DataFrame) -> None:
+        """Compare every set that asks with the others of the signature that are not connected with it."""
+        self.compare(_others(state, state.filter("asks").select("sig", *_FACTS)).select("a", F.col("set").alias("b")))
+
+
+_FACTS = ["set", "n", "root", "asks", "most", "alone"]
+
+
+def _others(state: DataFrame, some: DataFrame) -> DataFrame:
+    """Members of signatures with the given sets of the same signature, as a, that may be similar and are not connected."""
+    names = {"set": "a", "n": "m", "root": "other", "asks": "calls", "most": "other_most", "alone": "other_alone"}
+    some = some.select("sig", *[F.col(old).alias(new) for old, new in names.items()])
+    return state.join(some, "sig").filter((F.col("root") != F.col("other")) & _fitting())
+
+
+def similar_links(docs: DataFrame, shared: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame | None:
+    """Links a, b between sets, enough to connect all that are connected; None if there are none."""
+    members = written(members_of(shared, classes), "members")
+    if members.isEmpty():
+        return None
+    search = _Search(written(whole_sets(docs, classes, members.select("set").distinct(), id_col, text_col), "sets"))
+    state = members
+    for _ in range(HUB_ROUNDS):
+        search.with_one(state.withColumn("root", F.col("set")) if "root" not in state.columns else state)
+        state = search.separate(members)
+        if state is None:
+            return search.links
+    # Sets that ask for what many others have, and are not connected with them, look again in a finer partition.
+    costly = state.filter(F.col("asks") & (F.col("size") > GROUP_SIZE)).select("set").distinct().withColumn("costly", F.lit(True))
+    state = written(state.join(costly, "set", "left").withColumn("costly", F.col("asks") & F.coalesce("costly", F.lit(False))), "allotted")
+    search.one_by_one(state.withColumn("asks", F.col("asks") & ~F.col("costly")))
+    if not state.filter("costly").isEmpty():
+        fine = written(finer(state, search.sets), "finer")
+        for _ in range(HUB_ROUNDS):
+            rest = search.separate(fine)
+            if rest is None:
+                return search.links
+            search.with_one(rest)
+        rest = search.separate(fine)
+        if rest is not None:
+            search.one_by_one(rest)
+    return search.links
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -381,7 +469,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     batches_of(spark, 8 * BATCH_ROWS)
     shared = written(shared_only(index(docs, id_col, text_col)), "shared")
     release(spark)
-    each = shared.filter("mark = -1").select("doc", "set", "n", "units")
+    each = shared.filter("mark = -1").select("facts.doc", "set", "facts.n", "facts.units")
     classes = each.filter(F.col("doc").isNotNull() & (F.col("n") > 0)).groupBy("set").agg(
         F.min("doc").alias("first_doc"), F.first("n").alias("n"), F.max("units").alias("units"))
     classes = written(classes, "classes")

@@ -78,7 +78,7 @@ def test_small_round_limits_change_nothing(spark, monkeypatch):
     docs = list(enumerate(texts))
     wanted = plain(docs)
     assert found(spark, docs) == wanted
-    for name, value in (("ROUND_PAIRS", 0), ("COST_CAP", 3), ("BROADCAST_IDS", 0)):
+    for name, value in (("GROUP_SIZE", 2), ("COST_CAP", 3), ("BROADCAST_IDS", 0), ("HUB_ROUNDS", 1)):
         monkeypatch.setattr(jj, name, value)
     monkeypatch.setattr(jj, "BATCH_ROWS", 4)
     assert found(spark, docs) == wanted
@@ -111,10 +111,10 @@ def test_similar_sets_share_units():
 
 def test_groups_pass_as_a_stream(spark):
     rnd = random.Random(6)
-    rows = [(rnd.randrange(60), rnd.randrange(12), rnd.choice([0, 1]), None, None, None) for _ in range(900)]
-    rows += [(10**6 + i, 1, -1, i, 5, 6) for i in range(30)]
-    rows += [(777, i, 0, None, None, None) for i in range(500)] + [(778, 1, 0, None, None, None)] * 300
-    df = spark.createDataFrame(rows, "sig bigint, `set` bigint, mark int, doc bigint, n int, units int").repartition(3)
+    rows = [(rnd.randrange(60), rnd.randrange(12), rnd.choice([0, 1]), None) for _ in range(900)]
+    rows += [(10**6 + i, 1, -1, (i, 5, 6)) for i in range(30)]
+    rows += [(777, i, 0, None) for i in range(500)] + [(778, 1, 0, None)] * 300
+    df = spark.createDataFrame(rows, "sig bigint, `set` bigint, mark int, facts struct<doc: bigint, n: int, units: int>").repartition(3)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
         got = jj.shared_only(df).collect()
@@ -126,7 +126,7 @@ def test_groups_pass_as_a_stream(spark):
             groups.setdefault(sig, set()).add((s, mark))
     wanted = sorted((sig, s, m, len(g)) for sig, g in groups.items() if len({s for s, _ in g}) > 1 for s, m in g)
     assert sorted((r.sig, r.set, r.mark, r.cost) for r in got if r.mark >= 0) == wanted
-    assert sorted(r.doc for r in got if r.mark == -1) == list(range(30))
+    assert sorted(r.facts.doc for r in got if r.mark == -1) == list(range(30))
 
 
 def test_one_of_each_group_stays(spark):
