@@ -85,7 +85,7 @@ def differing(pairs: DataFrame, cells: int = BASE_CELLS) -> DataFrame:
     by = ["key", "pair"]
     todo, done = pairs, None
     while True:
-        spread = todo.repartition("key")
+        spread = by_key(todo)
         sides = spread.select(*by, F.explode(F.array(F.struct(F.lit(1).alias("sign"), F.col("left").alias("digests")),
                                                      F.struct(F.lit(-1).alias("sign"), F.col("right").alias("digests")))).alias("side"))
         digests = sides.select(*by, "side.sign", F.explode("side.digests").alias("digest"))
@@ -116,6 +116,12 @@ def likeness(left: Column, right: Column, only_left: Column, only_right: Column)
     return F.when(left + right == 0, F.lit(1.0)).otherwise(shared / (shared + differ))
 
 
+def by_key(df: DataFrame) -> DataFrame:
+    """Partition by key into as many parts as shuffles have. The number is given, so that parts are not merged by their
+    size: lists of digests are short next to the cells that are made of them."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
+
+
 def fingerprints(digests: DataFrame, cells: int, by: list[str]) -> DataFrame:
     """by, side, digest -> by and, for each side in `side`, the sketch as text: cells in order as cell:n:x:c in hex."""
     rows = sketch(digests, cells, [*by, "side"])
@@ -179,7 +185,7 @@ def fingerprint_documents(docs: DataFrame, cells: int = BASE_CELLS) -> DataFrame
     changes = differing(pairs, cells).groupBy("key").agg(*[
         F.first(F.when(F.col("pair") == pair, F.struct("only_left", "only_right")), ignorenulls=True).alias(pair)
         for pair in ("edited", "next")])
-    spread = base.repartition("key")
+    spread = by_key(base)
     sides = spread.select("key", F.explode(F.map_from_arrays(F.array(F.lit("own"), F.lit("edited")), F.array("own", "edited"))).alias("side", "digests"))
     marks = fingerprints(sides.select("key", "side", F.explode("digests").alias("digest")), cells, ["key"])
     marks = marks.select("key", F.col("own").alias("fingerprint"), F.col("edited").alias("edited_fingerprint"))
