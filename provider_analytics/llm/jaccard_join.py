@@ -98,14 +98,20 @@ def segment_counts(tops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def index_rows(sets: list[np.ndarray], spare: float = SPARE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For many sets: signature, which set, mark, and the units each set has. A mark of 0 is not the set's own band;
     1 is a segment subset of its own; 2 + 2*s the subset of deep segment s and 3 + 2*s one of its neighbours."""
+    sig, who, mark, units, _, _ = scheme_rows(sets)
+    return sig, who, mark, units
+
+
+def scheme_rows(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The same, with the units each set has in the scheme of the band below, and its band."""
     sizes = np.array([len(s) for s in sets], np.int64)
     tops = bands(int(sizes.max(initial=1)))
     counts, deep = segment_counts(tops)
     band = np.searchsorted(tops, sizes)
-    units = np.zeros(len(sets), np.int64)
+    units, below = np.zeros(len(sets), np.int64), np.zeros(len(sets), np.int64)
     parts = []
     for own in (True, False):
-        scheme = band if own else band - 1
+        scheme, count = (band, units) if own else (band - 1, below)
         # Up to two shingles, similar sets are equal ones.
         chosen = np.flatnonzero((sizes > 0) & (scheme >= 0) & (tops[np.maximum(scheme, 0)] > 2))
         plain = chosen[counts[scheme[chosen]] == 0]
@@ -113,8 +119,7 @@ def index_rows(sets: list[np.ndarray], spare: float = SPARE) -> tuple[np.ndarray
             who = np.repeat(plain, sizes[plain])
             h = np.concatenate([sets[i] for i in plain])
             parts.append((mix(mix(h) + _P * scheme[who].astype(np.uint64)), who, np.full(len(who), int(own))))
-            if own:
-                units[plain] = sizes[plain]
+            count[plain] = sizes[plain]
         cut = chosen[counts[scheme[chosen]] > 0]
         if not len(cut):
             continue
@@ -142,11 +147,10 @@ def index_rows(sets: list[np.ndarray], spare: float = SPARE) -> tuple[np.ndarray
         at = place[near]
         mark = 3 + 2 * number[at] if own else np.zeros(len(near), np.int64)
         parts.append((mix(sums[at] - value[near] + salt[at]), who[near], mark))
-        if own:
-            units += np.bincount(owner[there], minlength=len(sets)) + np.bincount(owner[held * is_deep >= 2], minlength=len(sets))
+        count += np.bincount(owner[there], minlength=len(sets)) + np.bincount(owner[held * is_deep >= 2], minlength=len(sets))
     if not parts:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), units
-    return *(np.concatenate([p[i] for p in parts]) for i in range(3)), units
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), units, below, band
+    return *(np.concatenate([p[i] for p in parts]) for i in range(3)), units, below, band
 
 
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +170,8 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def index(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Signatures sig, set, mark, and one row for each document with mark -1, whose facts are doc, n and units."""
+    """Signatures sig, set, mark, and one row for each document with mark -1, whose facts are doc, n, band, and the
+    units of the own scheme and of the one below."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,11 +182,11 @@ def index(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             named = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
             _, first = np.unique(np.where(named, ids, -1), return_index=True)
             first = np.array([i for i in first if named[i]], np.int64)  # equal sets of a batch are indexed once
-            sig, who, mark, units = index_rows([found[i] for i in first])
-            each = dict(zip(ids[first].tolist(), units.tolist(), strict=True))
+            sig, who, mark, *facts_of = scheme_rows([found[i] for i in first])
+            each = dict(zip(ids[first].tolist(), np.stack(facts_of, axis=1).tolist(), strict=True))
             n = len(texts)
             sets, sigs = ids[first][who], _signed(sig)
-            facts = pa.struct([("doc", batch.column(0).type), ("n", pa.int32()), ("units", pa.int32())])
+            facts = pa.struct([("doc", batch.column(0).type), *((f, pa.int32()) for f in ("n", "units", "below", "band"))])
             names = ["sig", "set", "mark", "facts"]
             for at in range(0, len(sigs), 50_000):
                 part = slice(at, at + 50_000)
@@ -189,12 +194,13 @@ def index(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names)
             places = _signed(mix(ids.view(np.uint64) + np.arange(n, dtype=np.uint64)))
             about = pa.StructArray.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in found], pa.int32()), pa.array([each.get(i, 0) for i in ids.tolist()], pa.int32())],
+                [batch.column(0), pa.array([len(s) for s in found], pa.int32()),
+                 *(pa.array([each.get(i, (0, 0, 0))[f] for i in ids.tolist()], pa.int32()) for f in range(3))],
                 fields=list(facts))
             yield pa.RecordBatch.from_arrays([pa.array(places), pa.array(ids), pa.array(np.full(n, -1, np.int32)), about], names)
 
     picked = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
-    return picked.mapInArrow(emit, f"sig bigint, set bigint, mark int, facts struct<doc: {kind}, n: int, units: int>")
+    return picked.mapInArrow(emit, f"sig bigint, set bigint, mark int, facts struct<doc: {kind}, n: int, units: int, below: int, band: int>")
 
 
 def shared_only(rows: DataFrame) -> DataFrame:
@@ -328,23 +334,31 @@ def connected(links: DataFrame) -> DataFrame:
 
 def _fitting() -> Column:
     """Whether two sets of sizes n and m can be similar at all: by size, by what each can share at most, and by how much
-    each differs from any other at least. Similar sets share 3/7 of both sizes and differ in 1/7."""
+    each differs from the other at least. Similar sets share 3/7 of both sizes and differ in 1/7. What a set has alone
+    in a scheme counts against sets of that scheme only: its own scheme has the bands from its own up, the scheme below
+    those down to the band below."""
     n, m, both = F.col("n"), F.col("m"), F.col("n") + F.col("m")
     share = (7 * F.col("most") >= 3 * both) & (7 * F.col("other_most") >= 3 * both)
-    differ = F.greatest(F.col("alone"), F.col("other_alone"), F.col("n") - F.col("most") + F.col("m") - F.col("other_most"))
+    band, other = F.col("band"), F.col("other_band")
+    differ = F.greatest(F.when(other >= band, F.col("alone")), F.when(other <= band, F.col("below")),
+                        F.when(band >= other, F.col("other_alone")), F.when(band <= other, F.col("other_below")),
+                        F.col("n") - F.col("most") + F.col("m") - F.col("other_most"))
     return (4 * n >= 3 * m) & (4 * m >= 3 * n) & share & (7 * differ <= both)
 
 
 def members_of(shared: DataFrame, classes: DataFrame) -> DataFrame:
-    """The sets of every signature that some set asks for: sig, set, asks, n, most, alone. `most` is how many shingles a set
-    may share with another, `alone` in how many it differs from any other at least: every segment that nobody shares
-    stands for one, whether it is this set's or the other's. A deep segment is two units but, shared as it is, no
-    difference, so as many as there are deep ones do not count."""
+    """The sets of every signature that some set asks for: sig, set, asks, n, most, band, alone, below. `most` is how many
+    shingles a set may share with another, `alone` in how many it differs at least from any other that has the set's own
+    scheme, `below` from any other that has the scheme of the band below: every segment of a scheme that nobody shares
+    stands for one, whether it is this set's or the other's. The schemes are counted apart, as sets that have one of them
+    in common need not share anything in the other. A deep segment is two units but, shared as it is, no difference, so
+    as many as there are deep ones do not count."""
     asked = allocate(shared, classes).withColumn("asks", F.lit(True))
     signed = shared.filter("mark >= 0").select("sig", "set").distinct()
-    used = shared.filter("mark >= 0").groupBy("set").agg(F.count("*").alias("used"))
-    alone = F.greatest(F.lit(0), F.col("units") - F.col("used") - F.ceil(F.col("n") / 64) - 2)
-    facts = classes.join(used, "set").select("set", "n", F.col("n").alias("most"), alone.alias("alone"))
+    used = shared.filter("mark >= 0").groupBy("set").agg(F.count_if(F.col("mark") >= 1).alias("used"), F.count_if(F.col("mark") == 0).alias("used_below"))
+    least = lambda units, used: F.greatest(F.lit(0), F.col(units) - F.col(used) - F.ceil(F.col("n") / 64) - 2)
+    facts = classes.join(used, "set").select(
+        "set", "n", F.col("n").alias("most"), "band", least("units", "used").alias("alone"), least("below", "used_below").alias("below"))
     members = signed.join(asked, ["sig", "set"], "left").withColumn("any", F.max("asks").over(Window.partitionBy("sig")))
     return members.filter("any").select("sig", "set", F.coalesce("asks", F.lit(False)).alias("asks")).join(facts, "set")
 
@@ -382,8 +396,9 @@ def finer(state: DataFrame, sets: DataFrame) -> DataFrame:
     asks = asking.select("item", "set", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band")).select(key(F.col("band")), "set", F.lit(True).alias("asks"))
     rows = spelled.select(key(F.col("band")), "set", F.lit(False).alias("asks")).union(asks).groupBy("sig", "set").agg(F.bool_or("asks").alias("asks"))
     rows = rows.withColumn("any", F.bool_or("asks").over(Window.partitionBy("sig"))).filter("any").drop("any")
-    sizes = free.join(spelled.select("set", "n").distinct(), "set")
-    return rows.join(sizes, "set").select("sig", "set", "asks", "n", (F.col("n") - F.col("lonely")).alias("most"), F.col("lonely").alias("alone"))
+    sizes = free.join(spelled.select("set", "n", "band").distinct(), "set")
+    return rows.join(sizes, "set").select("sig", "set", "asks", "n", (F.col("n") - F.col("lonely")).alias("most"), "band",
+                                          F.col("lonely").alias("alone"), F.col("lonely").alias("below"))
 
 
 class _Search:
@@ -420,12 +435,13 @@ class _Search:
         self.compare(_others(state, state.filter("asks").select("sig", *_FACTS)).select("a", F.col("set").alias("b")))
 
 
-_FACTS = ["set", "n", "root", "asks", "most", "alone"]
+_FACTS = ["set", "n", "root", "asks", "most", "band", "alone", "below"]
 
 
 def _others(state: DataFrame, some: DataFrame) -> DataFrame:
     """Members of signatures with the given sets of the same signature, as a, that may be similar and are not connected."""
-    names = {"set": "a", "n": "m", "root": "other", "asks": "calls", "most": "other_most", "alone": "other_alone"}
+    names = {"set": "a", "n": "m", "root": "other", "asks": "calls", "most": "other_most", "band": "other_band",
+             "alone": "other_alone", "below": "other_below"}
     some = some.select("sig", *[F.col(old).alias(new) for old, new in names.items()])
     return state.join(some, "sig").filter((F.col("root") != F.col("other")) & _fitting())
 
@@ -469,9 +485,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     batches_of(spark, 8 * BATCH_ROWS)
     shared = written(shared_only(index(docs, id_col, text_col)), "shared")
     release(spark)
-    each = shared.filter("mark = -1").select("facts.doc", "set", "facts.n", "facts.units")
+    each = shared.filter("mark = -1").select("facts.doc", "set", "facts.n", "facts.units", "facts.below", "facts.band")
     classes = each.filter(F.col("doc").isNotNull() & (F.col("n") > 0)).groupBy("set").agg(
-        F.min("doc").alias("first_doc"), F.first("n").alias("n"), F.max("units").alias("units"))
+        F.min("doc").alias("first_doc"), F.first("n").alias("n"), *(F.max(f).alias(f) for f in ("units", "below", "band")))
     classes = written(classes, "classes")
     links = similar_links(docs, shared, classes, id_col, text_col)
     named = classes.select("set", F.col("first_doc").alias("component_id"))

@@ -109,6 +109,35 @@ def test_similar_sets_share_units():
                 assert own & set(sig[who == 1].tolist()), (n, len(other))
 
 
+def test_isolated_pairs_at_band_borders(spark):
+    """Pairs that share nothing with the rest, similarities from 0.75 to 0.80, sizes on both sides of each border: what
+    a set has alone in one scheme must not count against partners it meets in the other."""
+    rnd = random.Random(5)
+    docs = []
+
+    def text(words):
+        docs.append((len(docs), " ".join(words)))
+
+    def fresh(n):
+        return [f"f{rnd.randrange(10**12)}" for _ in range(n)]
+
+    tops = [int(t) for t in jj.bands(500) if t > 17]
+    for top in tops:
+        for large in [top - 1, top, top + 1, top + 2, top + 3]:
+            for share in (0.75, 0.77, 0.80):
+                words = fresh(large + 4)
+                text(words)
+                text(words[:-(-int(100 * share) * large // 100) + 4])  # a part of it
+                for small in (large, large - 1):  # as many, or one fewer, some in place of others
+                    both = -int(-share * (large + small) // (1 + share))
+                    words = fresh(large + 4)
+                    text(words)
+                    text(words[:both + 4] + fresh(small - both))
+    wanted = plain(docs)
+    assert sum(d != c for d, _, c in wanted) >= 0.8 * len(docs) / 2  # rounding leaves some just below
+    assert found(spark, docs) == wanted
+
+
 def test_groups_pass_as_a_stream(spark):
     rnd = random.Random(6)
     rows = [(rnd.randrange(60), rnd.randrange(12), rnd.choice([0, 1]), None) for _ in range(900)]
