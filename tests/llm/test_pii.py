@@ -86,6 +86,26 @@ def test_added_spans_touch_none_and_clean_texts_have_none(fitted):
     assert any(s[0] in ("phone", "card") for s in both)
 
 
+def test_trees_add_what_strict_formats_miss(fitted):
+    key = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    assert "key" in fitted.thresholds
+    found = pii.select_spans(f'there and token = "{key}" then', fitted)
+    assert [s[:4] for s in found] == [("key", 19, 59, False)]
+    assert pii.select_spans(f"there and {key} then", fitted) == []
+    assert [s[0] for s in pii.select_spans("there and 1 (269) 555-3296 then", fitted)] == ["phone"]
+
+
+def test_planted_spans_are_loose_candidates():
+    text = "to a@b.cd or +1 (017) 555-7713. Then 4111111111111111 and so on"
+    seen = set()
+    for number in range(200):
+        for copy, span, good in pii.planted(text, number):
+            assert span in pii.candidates(copy) and span not in pii.base_spans(copy)
+            assert good or not pii.hinted(copy, span)
+            seen.add((span[0], good))
+    assert seen == {("email", True), ("phone", True), ("card", True), ("key", True), ("key", False)}
+
+
 def test_trees_learn_and_calibrate():
     rng = np.random.default_rng(0)
     x = rng.random((3000, 4))
