@@ -70,12 +70,12 @@ _NAMES = (
     ("unlicense", r"(?:the unlicense|unlicense)", "unlicense", True),
     ("wtfpl", r"(?:wtfpl|do what the fuck you want to public license)", "wtfpl|do what the", True),
     ("cc0-1", r"(?:cc0|cc zero|creative commons zero)(?: version| v)?(?: 1 0)?(?: universal)?", "cc0|cc zero|creative commons", True),
-    ("cc-by-nc-nd", r"(?:cc|creative commons) (?:by nc nd|attribution non ?commercial no ?deriv(?:ative)?s?(?: works)?)", "cc by|creative commons", True),
-    ("cc-by-nc-sa", r"(?:cc|creative commons) (?:by nc sa|attribution non ?commercial share ?alike)", "cc by|creative commons", True),
-    ("cc-by-nc", r"(?:cc|creative commons) (?:by nc|attribution non ?commercial)", "cc by|creative commons", True),
-    ("cc-by-nd", r"(?:cc|creative commons) (?:by nd|attribution no ?deriv(?:ative)?s?(?: works)?)", "cc by|creative commons", True),
-    ("cc-by-sa", r"(?:cc|creative commons) (?:by sa|attribution share ?alike)", "cc by|creative commons", True),
-    ("cc-by", r"(?:cc by|creative commons attribution)", "cc by|creative commons", True),
+    ("cc-by-nc-nd", r"(?:cc|creative commons) (?:by nc nd|attribution non ?commercial no ?deriv(?:ative)?s?(?: works)?)", "cc by|cc attribution|creative commons", True),
+    ("cc-by-nc-sa", r"(?:cc|creative commons) (?:by nc sa|attribution non ?commercial share ?alike)", "cc by|cc attribution|creative commons", True),
+    ("cc-by-nc", r"(?:cc|creative commons) (?:by nc|attribution non ?commercial)", "cc by|cc attribution|creative commons", True),
+    ("cc-by-nd", r"(?:cc|creative commons) (?:by nd|attribution no ?deriv(?:ative)?s?(?: works)?)", "cc by|cc attribution|creative commons", True),
+    ("cc-by-sa", r"(?:cc|creative commons) (?:by sa|attribution share ?alike)", "cc by|cc attribution|creative commons", True),
+    ("cc-by", r"(?:cc by|creative commons attribution)", "cc by|cc attribution|creative commons", True),
     ("cc", r"creative commons", "creative commons", False),
     ("odbl-1", r"(?:open database license|odbl)(?: version| v)?(?: ?1 0)?", "odbl|open database", True),
     ("odc-by-1", r"(?:open data commons attribution license|odc by)(?: version| v)?(?: 1 0)?", "odc|open data commons", True),
@@ -107,10 +107,10 @@ _USES = (
     (5, r"{name}", 0.5),
 )
 #: One of these occurs in every text in which a rule can match.
-_ANCHORS = (b"licen", b"spdx", b"gpl", b"creative commons", b"cc by", b"cc0", b"cc zero", b"public domain", b"mpl", b"epl",
+_ANCHORS = (b"licen", b"spdx", b"gpl", b"creative commons", b"cc by", b"cc attribution", b"cc0", b"cc zero", b"public domain", b"mpl", b"epl",
             b"cddl", b"cpl", b"eupl", b"bsd", b"apache", b"mozilla", b"wtfpl", b"gfdl", b"odbl", b"odc by", b"pddl",
             b"psfl", b"ms pl", b"ms rl", b"osl", b"afl", b"busl", b"sspl", b"released", b"distributed", b"available",
-            b"published", b"provided", b"covered")
+            b"published", b"provided", b"covered", b"mit 0", b"mit no attribution")
 
 
 @dataclass(frozen=True)

@@ -1,5 +1,6 @@
 """License rules: base phrases against a plain word loop, suppression, edges."""
 
+import itertools
 import re
 
 import pytest
@@ -66,3 +67,34 @@ def test_rules_are_many_and_gated():
 def test_contained_detection_is_suppressed():
     kept = licenses.detections(b" licensed under the gnu lesser general public license version 3 ", RULES)
     assert [r.label for _, _, r in kept] == ["lgpl-3"]
+
+
+def least_matches(parsed):
+    """What a parsed pattern matches at least, for every branch and sign it may choose; optional parts are left out."""
+    parts = []
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            parts.append([chr(arg)])
+        elif name == "IN":
+            parts.append([chr(c) if str(kind) == "LITERAL" else "w" for kind, c in arg])
+        elif name == "BRANCH":
+            parts.append([m for branch in arg[1] for m in least_matches(branch)])
+        elif name == "SUBPATTERN":
+            parts.append(least_matches(arg[3]))
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            parts.append(["".join(m) for m in itertools.product(least_matches(arg[2]), repeat=arg[0])])
+        else:
+            assert name == "ASSERT_NOT", name
+    return ["".join(p) for p in itertools.product(*parts)]
+
+
+def test_gates_let_every_branch_through():
+    for rule in RULES:
+        for text in least_matches(re._parser.parse(rule.pattern.pattern.decode())):
+            joined = f" {text} ".encode()
+            assert rule.pattern.search(joined), (rule, text)
+            assert any(k in joined for k in rule.keywords), (rule, text)
+            assert any(a in joined for a in licenses._ANCHORS), (rule, text)
+    assert licenses.scan_text(b"MIT-0", RULES)["labels"] == ["mit-0"]
+    assert licenses.scan_text(b"CC Attribution ShareAlike", RULES)["labels"] == ["cc-by-sa"]
