@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fair_mix, feistel, iblt, jaccard_join, language_id, licenses, packing, pii, tiff, url_filter
+from . import (fair_mix, feistel, iblt, jaccard_join, language_id, licenses, lyndon_runs, packing, pii, tiff, url_filter)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -164,3 +164,26 @@ def op9_personal_data(spark: SparkSession, folder: str) -> DataFrame:
 @register("op10_jaccard_join")
 def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, folder, "documents"))
+
+
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """doc_id, text: every tenth document by hash repeats the words of a stretch up to its end, as the query states."""
+    hashed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    words = hashed.withColumn("words", F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))))
+    sized = words.withColumns({"n": F.size("words").cast("bigint"), "g": F.expr("h div 10")})
+    cut = sized.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n"))).withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    repeats = F.expr("""array_join(concat(slice(words, 1, int(a)), slice(flatten(array_repeat(slice(words, int(a + 1), int(p)),
+                        int((n - a + p - 1) div p))), 1, int(n - a))), ' ')""")
+    return cut.select("doc_id", F.when(F.col("p").isNotNull(), repeats).otherwise(F.col("text")).alias("text"))
+
+
+@register("op11_lyndon_runs")
+def op11_lyndon_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = lyndon_runs.detect_runs(with_repeats(table(spark, folder, "documents")))
+    runs = F.col("runs")  # by start and period: of equal exponents the first stays
+    best = F.aggregate(runs, F.get(runs, F.lit(0)), lambda b, r: F.when(r["length"] * b["period"] > b["length"] * r["period"], r).otherwise(b))
+    lines = F.array_join(F.transform(runs, lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))), "")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
