@@ -14,34 +14,24 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_CACHE_CHUNKS, _CACHE_TOKENS = 700_000, 8_000_000
-_ODD = re.compile(r"[^a-zA-ZÀ-ÖØ-öø-ÿ]")
-
-
-class _Numbers(dict):
-    """Numbers keys as they are first asked for, and remembers which are new."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list[str] = []
-
-    def __missing__(self, key: str) -> int:
-        self[key] = number = len(self)
-        self.new.append(key)
-        return number
+_CACHE_PARTS, _CACHE_TOKENS = 700_000, 8_000_000
+#: Letters whose words are looked up in lower case, and marks that may stand behind such a word.
+_LETTERS, _MARKS = "a-zA-ZÀ-ÖØ-öø-ÿ", ".,"
+_EACH_LETTER = "".join(c for c in map(chr, range(256)) if re.match(f"[{_LETTERS}]", c))
 
 
 class ChunkTokenizer:
-    """Token ids of whole texts, by way of the chunks between blanks, each tokenised once and remembered.
+    """Token ids of whole texts, by way of the chunks between blanks, each distinct one of a batch looked up once.
 
-    The tokenizer never joins characters across a blank, so a text's ids are those of its chunks in order. The memory
-    is emptied when large. Latin letters with dots or commas behind them are looked up as a lower-case word and a run
-    of marks, which the tokenizer separates as well. A part is a word, a run of marks or any other chunk; a chunk is
-    two parts, the second mostly the empty one. `last` ends every text."""
+    The tokenizer never joins characters across a blank, so a text's ids are those of its chunks in order. Latin letters
+    with dots or commas behind them are a lower-case word and a run of marks, which the tokenizer separates as well. A
+    part is a word, a run of marks or any other chunk; a chunk is two parts, the second mostly the empty one. Ids of
+    parts are remembered; the memory is emptied when large. `last` ends every text."""
 
     def __init__(self, path: str, last: int | None):
         import os
@@ -56,71 +46,73 @@ class ChunkTokenizer:
         self._forget()
 
     def _forget(self) -> None:
-        self.flat, self.used = np.zeros(1 << 16, np.int32), 0
+        self.ids, self.used = np.zeros(1 << 16, np.int32), 0
         self.part: dict[str, int] = {}
-        self.starts = self.lengths = np.zeros(0, np.int64)
-        ids = np.array([] if self.last is None else [self.last], np.int32)
-        self._add_parts(["", " "], ids, np.array([0, len(ids)]))  # no chunk is a blank: that part ends a text
-        self.chunks = _Numbers()
-        self.chunks[None] = 0
-        self.first, self.second = np.ones(1, np.int64), np.zeros(1, np.int64)
+        self.ends = np.zeros(1, np.int64)  # of each part in ids, from the second on
+        self._add_parts([""], np.zeros(0, np.int32), np.zeros(1, np.int64))
 
     def _add_parts(self, parts: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
-        if self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.int32)])
-        self.flat[self.used:self.used + len(ids)] = ids
-        self.part.update(zip(parts, range(len(self.starts), len(self.starts) + len(parts)), strict=True))
-        self.starts = np.concatenate([self.starts, self.used + np.cumsum(lengths) - lengths])
-        self.lengths = np.concatenate([self.lengths, lengths])
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), np.int32)])
+        self.ids[self.used:self.used + len(ids)] = ids
+        self.part.update(zip(parts, range(len(self.part), len(self.part) + len(parts)), strict=True))
+        self.ends = np.concatenate([self.ends, self.used + np.cumsum(lengths)])
         self.used += len(ids)
 
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         encoded = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         return np.fromiter(chain.from_iterable(encoded), np.int32), np.array([len(ids) for ids in encoded], np.int64)
 
-    def _learn(self, chunks: list[str]) -> None:
-        heads, tails, odd, part = [], [], set(), self.part
-        for chunk in chunks:
-            core = chunk.rstrip(".,")
-            if core and not _ODD.search(core):
-                heads.append(core.lower())
-                tails.append(chunk[len(core):])
-            else:
-                odd.add(chunk)
-                heads.append(chunk)
-                tails.append("")
-        # Words of Latin letters go together into one text, which is cut where a token ends a word.
-        words = list(set(heads) - odd - part.keys())
-        ids, _ = self._encode([" ".join(words[i:i + 64]) for i in range(0, len(words), 64)])
-        ends = np.flatnonzero(self.ends_word[ids]) + 1 if len(ids) else np.zeros(0, np.int64)
-        self._add_parts(words, ids, np.diff(ends, prepend=0))
-        rest = list((odd | set(tails)) - part.keys())
-        self._add_parts(rest, *self._encode(rest))
-        find = part.__getitem__
-        self.first = np.concatenate([self.first, np.fromiter(map(find, heads), np.int64, len(heads))])
-        self.second = np.concatenate([self.second, np.fromiter(map(find, tails), np.int64, len(tails))])
+    def _numbers(self, parts: pa.Array, words: bool) -> np.ndarray:
+        """The number of each part; those that are new are tokenised first."""
+        distinct = parts.dictionary_encode()
+        names = distinct.dictionary.to_pylist()
+        new = [name for name in names if name not in self.part]
+        if words:  # together in one text, which is cut where a token ends a word
+            ids, _ = self._encode([" ".join(new[i:i + 64]) for i in range(0, len(new), 64)])
+            self._add_parts(new, ids, np.diff(np.flatnonzero(self.ends_word[ids]) + 1, prepend=0))
+        else:
+            self._add_parts(new, *self._encode(new))
+        return np.fromiter(map(self.part.__getitem__, names), np.int64, len(names))[distinct.indices.to_numpy()]
+
+    def _lists(self, chunks: pa.Array) -> pa.ListArray:
+        """The ids of each of the chunks, and `last` behind them."""
+        core = pc.utf8_rtrim(chunks, _MARKS)
+        plain = pc.match_substring_regex(core, f"^[{_LETTERS}]+$")
+        odd = pc.invert(plain).to_numpy(zero_copy_only=False)
+        heads, tails = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64)
+        heads[~odd] = self._numbers(pc.utf8_lower(core.filter(plain)), words=True)
+        tails[~odd] = self._numbers(pc.utf8_ltrim(chunks.filter(plain), _EACH_LETTER), words=False)
+        heads[odd] = self._numbers(chunks.filter(pa.array(odd)), words=False)
+        parts = np.stack([heads, tails], axis=1).ravel()
+        starts = self.ends[parts]
+        lengths = self.ends[parts + 1] - starts
+        stops = np.cumsum(lengths)
+        total = int(stops[-1]) if len(stops) else 0
+        ids = self.ids[np.repeat(starts - stops + lengths, lengths) + np.arange(total)]
+        offsets = np.concatenate([[0], stops[1::2], [total + (self.last is not None)]]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids if self.last is None else np.append(ids, np.int32(self.last))))
+
+    def flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and how many each has. The blanks that split here are white space
+        to the tokenizer as well."""
+        if len(self.part) > _CACHE_PARTS or self.used > _CACHE_TOKENS:
+            self._forget()
+        split = pc.ascii_split_whitespace(texts)
+        ends = split.offsets.to_numpy()
+        chunks = split.values.slice(ends[0], ends[-1] - ends[0]).dictionary_encode()
+        at, ends = chunks.indices.to_numpy(), ends[1:] - ends[0]
+        at = np.insert(at, ends, len(chunks.dictionary))  # what ends a text
+        lists = self._lists(chunks.dictionary).take(pa.array(at))
+        stops = lists.offsets.to_numpy()[ends + np.arange(len(ends)) + 1]
+        return lists.values.to_numpy(), np.diff(stops.astype(np.int64), prepend=0)
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
         if not texts:
             return []
-        if len(self.chunks) > _CACHE_CHUNKS or self.used > _CACHE_TOKENS:
-            self._forget()
-        number, counts, numbers = self.chunks.__getitem__, [], []
-        for text in texts:
-            chunks = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-            chunks.append(None)
-            counts.append(len(chunks))
-            numbers.append(np.fromiter(map(number, chunks), np.int64, len(chunks)))
-        if self.chunks.new:
-            self._learn(self.chunks.new)
-            self.chunks.new = []
-        at = np.concatenate(numbers)
-        parts = np.stack([self.first[at], self.second[at]], axis=1).ravel()
-        lengths = self.lengths[parts]
-        ends = np.cumsum(lengths)
-        ids = self.flat[np.repeat(self.starts[parts] - ends + lengths, lengths) + np.arange(int(ends[-1]))]
-        return np.split(ids, ends[2 * np.cumsum(counts[:-1]) - 1]) if len(texts) > 1 else [ids]
+        ids, counts = self.flat(pa.array(texts, pa.string()))
+        return np.split(ids, np.cumsum(counts[:-1]))
 
 
 def tokenize(df: DataFrame, tokenizer: str, last: int | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -132,8 +124,10 @@ def tokenize(df: DataFrame, tokenizer: str, last: int | None, id_col: str = "doc
         encoder = None
         for batch in batches:
             encoder = encoder or ChunkTokenizer(tokenizer, last)
-            ids = [x.astype("<u4").tobytes() for x in encoder(batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["id", "ids"])
+            ids, counts = encoder.flat(batch.column(1))
+            ends = np.concatenate([[0], 4 * np.cumsum(counts)]).astype(np.int32)
+            packed = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends), pa.py_buffer(ids.astype("<u4"))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), packed], ["id", "ids"])
 
     picked = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return picked.mapInArrow(encode, f"id {kind}, ids binary").withColumnRenamed("id", id_col)

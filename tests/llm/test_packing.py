@@ -18,7 +18,7 @@ def test_tokens_as_the_tokenizer_gives_them(monkeypatch):
     rnd = random.Random(3)
     alphabet = list("abcXYZ .,\n'!é́ßÅ1") + ["the", "'s", " ", "İ"]
     texts = TEXTS + ["".join(rnd.choices(alphabet, k=rnd.randint(0, 60))) for _ in range(1500)]
-    monkeypatch.setattr(packing, "_CACHE_CHUNKS", 500)
+    monkeypatch.setattr(packing, "_CACHE_PARTS", 500)
     for last in (END_ID, None):
         encoder = packing.ChunkTokenizer(tokenizer_path(), last)
         found = [x for i in range(0, len(texts), 200) for x in encoder(texts[i:i + 200])]
