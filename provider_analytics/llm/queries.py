@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (fair_mix, feistel, iblt, jaccard_join, language_id, licenses, lyndon_runs, packing, pii, tiff, url_filter)
+from . import (fair_mix, feistel, iblt, jaccard_join, language_id, licenses, lyndon_runs, packing, pii, tiff, url_filter,
+               wavelet)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -187,3 +188,9 @@ def op11_lyndon_runs(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period",
         F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
         F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@register("op13_wavelet_shards")
+def op13_wavelet_shards(spark: SparkSession, folder: str) -> DataFrame:
+    files = wavelet.write_shards(table(spark, folder, "documents"), tokenizer_path(), END_ID)
+    return wavelet.read_documents(files).select("doc_id", "start", F.col("tokens").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
