@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (fair_mix, feistel, iblt, jaccard_join, language_id, licenses, lyndon_runs, packing, pii, tiff, url_filter,
-               wavelet)
+from . import (fair_mix, feistel, iblt, jaccard_join, language_id, licenses, lyndon_runs, packing, pii, tiff,
+               token_alignment, url_filter, wavelet)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -190,6 +190,14 @@ def op11_lyndon_runs(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
+@register("op12_token_alignment")
+def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    files = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return token_alignment.alignment_measures(table(spark, folder, "documents"), *files)
+
+
 @register("op13_wavelet_shards")
 def op13_wavelet_shards(spark: SparkSession, folder: str) -> DataFrame:
     files = wavelet.write_shards(table(spark, folder, "documents"), tokenizer_path(), END_ID)
