@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import gc
 import time
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +24,22 @@ def batches_of(spark: SparkSession, rows: int) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
 
 
+def tidied(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """Work of a task on its batches, after which the memory it has used goes back to the machine. Python workers live on
+    between tasks, and an executor has several of them, so what one keeps for nothing the others lack."""
+
+    @functools.wraps(work)
+    def run(batches: Iterator) -> Iterator:
+        yield from work(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+        if trim:
+            trim(0)
+
+    return run
+
+
 def hash_share(hashed: Column, share: float | Column) -> Column:
     """Whether a 64-bit hash falls into the given share of all hashes; the same rows on every run."""
     return F.pmod(hashed, F.lit(1 << 31)) < (F.lit(share) if isinstance(share, float) else share) * float(1 << 31)

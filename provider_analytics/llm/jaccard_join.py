@@ -21,7 +21,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, batches_of, release, written
+from ..operators.skew import top_per_group
+from .common import BATCH_ROWS, batches_of, release, tidied, written
 
 #: Words of a shingle; the similarity is at least 3/4. The size bands below belong to that figure.
 SHINGLE = 5
@@ -200,7 +201,7 @@ def index(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(places), pa.array(ids), pa.array(np.full(n, -1, np.int32)), about], names)
 
     picked = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
-    return picked.mapInArrow(emit, f"sig bigint, set bigint, mark int, facts struct<doc: {kind}, n: int, units: int, below: int, band: int>")
+    return picked.mapInArrow(tidied(emit), f"sig bigint, set bigint, mark int, facts struct<doc: {kind}, n: int, units: int, below: int, band: int>")
 
 
 def shared_only(rows: DataFrame) -> DataFrame:
@@ -263,7 +264,7 @@ def shared_only(rows: DataFrame) -> DataFrame:
             yield from settle(pa.Table.from_batches(held), last=True)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return spread.mapInArrow(keep, f"{fields}, cost int").select(*names)
+    return spread.mapInArrow(tidied(keep), f"{fields}, cost int").select(*names)
 
 
 def allocate(shared: DataFrame, classes: DataFrame) -> DataFrame:
@@ -296,7 +297,7 @@ def whole_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, id_col: s
             yield pa.RecordBatch.from_arrays(
                 [pa.array([set_id(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["set", "items"])
 
-    made = texts.mapInArrow(make, "set bigint, items binary")
+    made = texts.mapInArrow(tidied(make), "set bigint, items binary")
     return made.dropDuplicates(["set"])
 
 
@@ -314,7 +315,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 good.append(100 * both >= 75 * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right").mapInArrow(check, "a bigint, b bigint")
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right").mapInArrow(tidied(check), "a bigint, b bigint")
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -385,7 +386,7 @@ def finer(state: DataFrame, sets: DataFrame) -> DataFrame:
                      pa.array(np.full(n, batch.column(1)[i].as_py(), bool)), pa.array(np.full(n, n, np.int32)), pa.array(np.full(n, band, np.int32))],
                     ["item", "set", "costly", "n", "band"])
 
-    spelled = items.mapInArrow(spell, "item bigint, set bigint, costly boolean, n int, band int")
+    spelled = items.mapInArrow(tidied(spell), "item bigint, set bigint, costly boolean, n int, band int")
     cost = F.count("*").over(Window.partitionBy("item"))
     spelled = written(spelled.withColumn("cost", cost).filter("cost > 1"), "spelled")
     free = spelled.groupBy("set").agg((F.first("n") - F.count("*")).alias("lonely"))
@@ -502,16 +503,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component, the one with the smallest id, with all columns; documents without words and those
-    with a null id stay. Of rows that share an id, one stays: the first by text."""
-    found = written(near_duplicates(docs, id_col, text_col), "components")
-    gone = found.filter(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    again = found.filter(F.col(id_col).isNotNull()).groupBy(id_col).count().filter("count > 1").select(id_col)
+    """One row of each component with all its columns, the one with the smallest id; rows without words and those with a
+    null id stay. Where ids repeat, rows are told apart by id and text, and of rows with both the same and words one
+    stays, so a text that is like no other never goes."""
+    repeated = docs.filter(F.col(id_col).isNotNull()).groupBy(id_col).count().filter("count > 1")
+    if repeated.isEmpty():
+        key, keyed = id_col, docs
+    else:
+        key, named = "_key", F.struct(F.col(id_col).alias("id"), F.sha2(text_col, 256).alias("text"))
+        keyed = docs.withColumn(key, F.when(F.col(id_col).isNotNull(), named))
+    found = written(near_duplicates(keyed, key, text_col), "components")
+    gone = found.filter(F.col(key) != F.col("component_id")).select(key).distinct()
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    kept = docs.join(gone, id_col, "left_anti")
-    if again.isEmpty():
+    kept = keyed.join(gone, key, "left_anti")
+    if key == id_col:
         return kept.select(*docs.columns)
-    first = kept.join(again, id_col, "left_semi").withColumn(
-        "_first", F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))).filter("_first = 1").drop("_first")
-    return kept.join(again, id_col, "left_anti").select(*docs.columns).unionByName(first.select(*docs.columns))
+    wordy = found.filter(F.col(key).isNotNull() & (F.col("n_shingles") > 0)).groupBy(key).count().filter("count > 1").select(key)
+    one = top_per_group(kept.join(wordy, key, "left_semi"), [key], [F.xxhash64(*docs.columns)], 1)
+    return kept.join(wordy, key, "left_anti").select(*docs.columns).unionByName(one.select(*docs.columns))

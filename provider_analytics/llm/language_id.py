@@ -17,13 +17,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hash_share
+from .common import hash_share, tidied
 
 UNKNOWN = "und"
 _RUN = re.compile(r"[^\W\d_]+")
 _MARK = "▁"  # stands before the first letter of a word in the vocabulary
 _SCALE = 40.0  # per character, the same for every language and segmentation, so it cancels out
-_CACHE_WORDS = 300_000
+_CACHE_WORDS = 200_000
 
 
 def public_vocabulary() -> list[str]:
@@ -285,13 +285,14 @@ def predict_languages(df: DataFrame, model: UnigramModel, id_col: str = "doc_id"
                                              ["id", "lang_pred", "score"])
 
     picked = df.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text")
-    return picked.mapInArrow(predict, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return picked.mapInArrow(tidied(predict), f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
 def language_column(text: Column, model: UnigramModel) -> Column:
     """lang_pred and score of a text column as a struct, by the rules of predict_languages."""
 
     @F.pandas_udf("lang_pred string, score double")
+    @tidied
     def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         cache: dict[str, int] = {}
         scores = [np.zeros((0, len(model.languages)))]

@@ -19,7 +19,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_CACHE_PARTS, _CACHE_TOKENS = 700_000, 8_000_000
+from .common import tidied
+
+_CACHE_PARTS, _CACHE_TOKENS = 500_000, 6_000_000
 #: Letters whose words are looked up in lower case, and marks that may stand behind such a word.
 _LETTERS, _MARKS = "a-zA-ZÀ-ÖØ-öø-ÿ", ".,"
 _EACH_LETTER = "".join(c for c in map(chr, range(256)) if re.match(f"[{_LETTERS}]", c))
@@ -130,7 +132,7 @@ def tokenize(df: DataFrame, tokenizer: str, last: int | None, id_col: str = "doc
             yield pa.RecordBatch.from_arrays([batch.column(0), packed], ["id", "ids"])
 
     picked = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return picked.mapInArrow(encode, f"id {kind}, ids binary").withColumnRenamed("id", id_col)
+    return picked.mapInArrow(tidied(encode), f"id {kind}, ids binary").withColumnRenamed("id", id_col)
 
 
 @dataclass(frozen=True)
@@ -286,4 +288,4 @@ def pack(df: DataFrame, limits: Limits, id_col: str = "doc_id", ids_col: str = "
     loss = F.lit(None).cast("binary") if loss_col is None else F.col(loss_col)
     picked = df.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"), loss.alias("loss"))
     schema = f"id {kind}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
-    return picked.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return picked.mapInArrow(tidied(run), schema).withColumnRenamed("id", id_col)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_share
+from .common import hash_share, tidied
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "key")
@@ -62,7 +62,7 @@ def base_spans(text: str) -> list[Span]:
     """Spans in a strict format: by kind, then by start; offsets in code points, end exclusive."""
     spans: list[Span] = [("email", a, b) for a, b in emails(text)] if "@" in text else []
     spans += [("ip", m.start(), m.end()) for m in _IP.finditer(text)
-              if all(len(p) <= 4096 and int(p) <= 255 for p in m.group().split("."))]
+              if all(len(p) <= 3 and int(p or 0) <= 255 for p in (part.lstrip("0") for part in m.group().split(".")))]
     for m in _CARD.finditer(text):
         digits = _NOT_DIGIT.sub("", m.group())
         if 16 <= len(digits) <= 19 and luhn(digits):
@@ -334,7 +334,7 @@ def find_pii(df: DataFrame, model: PiiModel, id_col: str = "doc_id", text_col: s
 
     text = F.col(text_col)
     picked = df.select(F.col(id_col).alias("id"), F.when(text.rlike(GATE), text).alias("text"))
-    return picked.mapInArrow(find, f"id {kind}, spans {SPANS}").withColumnRenamed("id", id_col)
+    return picked.mapInArrow(tidied(find), f"id {kind}, spans {SPANS}").withColumnRenamed("id", id_col)
 
 
 def redact(text: str, spans: list[Span]) -> str:
@@ -355,7 +355,9 @@ def redact(text: str, spans: list[Span]) -> str:
 def redact_column(text: Column, model: PiiModel) -> Column:
     """A text column with its personal data redacted; a null text stays null."""
     @F.pandas_udf("string")
-    def apply(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: redact(t, [s[:3] for s in select_spans(t, model)]) if isinstance(t, str) else None)
+    @tidied
+    def apply(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in parts:
+            yield texts.map(lambda t: redact(t, [s[:3] for s in select_spans(t, model)]) if isinstance(t, str) else None)
 
     return F.when(text.rlike(GATE), apply(text)).otherwise(text)

@@ -133,3 +133,8 @@ def test_redaction(spark, fitted):
     df = spark.createDataFrame([(1, "to a@b.cd, +1 (017) 555-7713."), (2, None), (3, "plain")], "doc_id int, text string")
     found = [r.t for r in df.select("doc_id", pii.redact_column(F.col("text"), fitted).alias("t")).orderBy("doc_id").collect()]
     assert found == ["to [EMAIL], [PHONE].", None, "plain"]
+
+
+def test_leading_zeros_of_an_address():
+    long = "0" * 5000
+    assert pii.base_spans(f"{long}1.2.3.4 {long}256.1.1.1 000.0.0.0") == [("ip", 0, 5007), ("ip", 10015, 10024)]

@@ -48,6 +48,26 @@ def test_language_rejects_what_has_no_language(stages):
     assert all(r.lang for r in after.values()) and all(after[d].text == before[d].text for d in after)
 
 
+@pytest.mark.parametrize("labels", [("en", "en-US", "en-GB"), (None,)])
+def test_language_keeps_every_clean_document(spark, labels):
+    """However close the labels are, and without any."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").filter("lang = 'en'").collect()
+    given = [{**r.asDict(), "lang": labels[i % len(labels)]} for i, r in enumerate(docs)]
+    schema = spark.read.parquet(f"{FOLDER}/documents.parquet").schema
+    kept = corpus_pipeline.identify_language(spark, spark.createDataFrame(given, schema), FOLDER).collect()
+    assert {r.doc_id for r in kept} == {r.doc_id for r in docs if any(c.isalpha() for c in r.text or "")} and len(kept) > 100
+
+
+def test_near_duplicates_go_by_row(spark):
+    """Rows with the same id but unlike texts are documents of their own."""
+    alpha, other = " ".join(f"alpha{i}" for i in range(30)), " ".join(f"other{i}" for i in range(30))
+    rows = [(1, alpha), (2, alpha), (2, other), (2, other), (3, None), (3, ""), (3, ""), (None, alpha), (None, None), (4, "short"), (4, "short one")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, FOLDER).collect()]
+    wanted = [(1, alpha), (2, other), (3, None), (3, ""), (3, ""), (None, alpha), (None, None), (4, "short"), (4, "short one")]
+    assert sorted(kept, key=str) == sorted(wanted, key=str)
+
+
 def test_one_of_each_group(stages):
     before, after = map(rows, stages[1])
     wanted = {c for _, _, c in plain_components([(d, r.text) for d, r in before.items()])}
@@ -91,7 +111,7 @@ def test_sequences_hold_every_token(stages):
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert set(ORACLES) <= set(QUERIES)
 
 
