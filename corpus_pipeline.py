@@ -11,23 +11,22 @@ from provider_analytics.llm import fair_mix, jaccard_join, language_id, packing,
 from provider_analytics.llm.common import BATCH_ROWS, batches_of, table, written
 from provider_analytics.llm.queries import END_ID, PACK_LIMITS, tokenizer_path
 
-#: A document is rejected where no language can be told, or none more than this.
-MIN_LANGUAGE_SCORE = 0.4
-
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, and those whose best language is hardly better than the others, go. A missing
-    language is filled in."""
+    """Documents without a letter go, whatever their language column says; every other has a best language and stays. A
+    missing language is filled in. Where no row is labelled, nothing is learned and all documents stay as they are."""
     batches_of(spark, BATCH_ROWS)
     columns = docs.columns
     model = language_id.fit_languages(docs)
+    if not model.languages:
+        return docs
     found = docs.withColumn("_found", language_id.language_column(F.col("text"), model))
-    kept = found.filter((F.col("_found.lang_pred") != language_id.UNKNOWN) & (F.col("_found.score") >= MIN_LANGUAGE_SCORE))
+    kept = found.filter(F.col("_found.lang_pred") != language_id.UNKNOWN)
     return kept.withColumn("lang", F.coalesce("lang", "_found.lang_pred")).select(*columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the one with the smallest id."""
+    """One document of each group of near duplicates stays: the one with the smallest id. Ids may repeat."""
     return jaccard_join.without_near_duplicates(docs)
 
 
