@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import RADIUS_STEPS_KM, distance_km, in_bbox
-from . import ranking
-from .filters import ilike_search, published, search_texts, term_key
+from . import postings, ranking
+from .filters import ilike_search, published, term_key
 from .geojoin import nearest_within, neighbours, within
 from .ranking import PAGE_SIZE
 from .skew import place_in_group, settle, top_per_group
@@ -286,7 +286,7 @@ def search_by_name(providers: DataFrame, provider_services: DataFrame, wanted: D
                    city: str = "", limit: int = 12) -> DataFrame:
     """Text and city search over the directory with the declared service as first sort key."""
     place = city.replace("-", " ").strip()
-    rows = ilike_search(published(providers), term, ["full_name", "comune"])
+    rows = ilike_search(published(providers), term, ["full_name", "comune", "address"])
     rows = ilike_search(rows, place, ["comune", "district"])
     matched = best_service_match(provider_services, wanted).select("provider_id", "match_kind", F.col("source").alias("match_source"))
     return rank_declared(rows.join(matched, "provider_id", "left"), place, limit)
@@ -296,31 +296,57 @@ def searches_by_name(requests: DataFrame, providers: DataFrame, provider_service
     """Text and city search for a frame of requests: request_id, provider_id, match_kind, place.
 
     requests: request_id, term, city, service (null or blank: not asked). wanted: service, service_id, match_kind, the
-    services that answer each service asked for. A request needs a term or a city, one without either asks for the
-    whole directory. Declared match first, then the asked comune, then located providers, then name."""
-    live = published(providers)
-    place = F.replace(F.coalesce("city", F.lit("")), F.lit("-"), F.lit(" "))
-    asked = requests.select("request_id", term_key(F.col("term")).alias("term"), term_key(place).alias("city"), "service")
-    by_term = search_texts(asked.select("request_id", "term"), live, "provider_id", ["full_name", "comune"])
-    by_city = search_texts(asked.select("request_id", F.col("city").alias("term")), live, "provider_id", ["comune", "district"])
-    pair = ["request_id", "provider_id"]
-    both = by_term.join(asked.filter("city <> ''").select("request_id"), "request_id").join(by_city, pair)
-    one = by_term.join(asked.filter("city = ''").select("request_id"), "request_id").unionByName(
-        by_city.join(asked.filter("term = ''").select("request_id"), "request_id"))
-    found = both.select(*pair).unionByName(one.select(*pair)).join(asked, "request_id")
-    declared = provider_services.join(wanted, "service_id")
+    services that answer each service asked for. A term is looked for in name, comune and address, a city in comune and
+    district; a request with neither asks for the whole directory. Declared match first, then the asked comune, then
+    located providers, then name. Equal requests are searched once."""
+    low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
+    rows = published(providers).select(
+        "provider_id", "full_name", low("full_name").alias("_name"), low("comune").alias("_comune"), low("district").alias("_district"),
+        low("address").alias("_address"), (F.col("lat").isNull() | F.col("lng").isNull()).alias("_away"))
+    service = F.when(F.trim(F.coalesce("service", F.lit(""))) != "", F.col("service"))
+    place = term_key(F.replace(F.coalesce("city", F.lit("")), F.lit("-"), F.lit(" ")))
+    asked = requests.select("request_id", term_key(F.col("term")).alias("term"), place.alias("city"), F.coalesce(service, F.lit("")).alias("service"))
     best = top_per_group(
-        declared, ["service", "provider_id"],
+        provider_services.join(wanted, "service_id"), ["service", "provider_id"],
         [F.col("match_kind") != "exact", F.col("confidence").desc_nulls_last(), F.col("service_id"), F.col("source")], 1,
-    ).select("service", "provider_id", "match_kind")
-    rows = found.join(best, ["service", "provider_id"], "left").join(live.select("provider_id", "full_name", "comune", "lat", "lng"), "provider_id")
-    kind = F.when(F.col("match_kind") == "exact", 0).when(F.col("match_kind") == "related", 1).otherwise(2)
-    unasked = F.col("city") == ""
-    order = [
-        kind, ~(unasked | (F.lower("comune") == F.col("city"))), ~(unasked | F.contains(F.lower("comune"), F.col("city"))),
-        F.col("lat").isNull() | F.col("lng").isNull(), F.col("full_name"), F.col("provider_id"),
-    ]
-    return top_per_group(rows, ["request_id"], order, limit, "place").select(*pair, "match_kind", "place")
+    ).select("service", "provider_id", "match_kind", F.when(F.col("match_kind") == "exact", 0).when(F.col("match_kind") == "related", 1).otherwise(2).alias("_declared"))
+    best = settle(best, "declared")
+
+    # Tiers: how the service is declared (exact, related, not), and where the city is (the comune, in it, in the district only).
+    number = lambda c, none, n: F.explode(F.when(F.col(c) == "", F.array(F.lit(none))).otherwise(F.array(*map(F.lit, range(n)))))
+    search = ["term", "city", "service"]
+    tiers = asked.select(*search).distinct().withColumn("_kind", number("service", 2, 3)).withColumn("_level", number("city", 0, 3))
+    tiers = tiers.withColumn("tier", F.col("_kind") * 3 + F.col("_level"))
+    city, level, none = F.col("city"), F.col("_level"), F.array().cast("array<string>")
+    by_city = F.when(city == "", none).when(level == 0, F.array(F.concat(F.lit("=:"), city))).when(
+        level == 1, postings.asked_pieces(city, "c:")).otherwise(postings.asked_pieces(city, "d:"))
+    declared_key = F.concat(F.lit("s:"), F.col("_kind").cast("string"), F.lit(":"), F.col("service"))
+    keys = F.concat(postings.asked_pieces(F.col("term"), "t:"), by_city, F.when(F.col("_kind") < 2, F.array(declared_key)).otherwise(none))
+    keyed = tiers.select(*search, "tier", F.explode(F.when(F.size(keys) > 0, keys).otherwise(F.array(F.lit("*")))).alias("key"))
+    wanted_keys = settle(keyed, "asked-keys")
+    distinct = wanted_keys.select("key").distinct()
+
+    texts = [postings.listed_pieces(rows, "provider_id", F.col(text), "t:", distinct) for text in ("_name", "_comune", "_address")]
+    plain = rows.select(F.explode(F.array(F.concat(F.lit("=:"), "_comune"), F.lit("*"))).alias("key"), "provider_id").unionByName(
+        best.join(rows.select("provider_id"), "provider_id").select(
+            F.concat(F.lit("s:"), F.col("_declared").cast("string"), F.lit(":"), F.col("service")).alias("key"), "provider_id"))
+    entries = texts[0].unionByName(texts[1]).unionByName(texts[2]).distinct()
+    for text, space in (("_comune", "c:"), ("_district", "d:")):
+        entries = entries.unionByName(postings.listed_pieces(rows, "provider_id", F.col(text), space, distinct))
+    entries = entries.unionByName(plain.join(distinct, "key", "left_semi"))
+
+    def test(df: DataFrame) -> DataFrame:
+        term, has = F.col("term"), F.contains(F.col("_comune"), city)
+        equal = F.col("_comune") == city
+        fits = F.contains("_name", term) | F.contains("_comune", term) | F.contains("_address", term)
+        there = (city == "") | F.when(level == 0, equal).when(level == 1, has & ~equal).otherwise(F.contains("_district", city) & ~has)
+        declared = df.filter(fits & there).join(best.select("service", "provider_id", "_declared"), ["service", "provider_id"], "left")
+        return declared.filter(F.coalesce("_declared", F.lit(2)) == F.col("_kind"))
+
+    order = [F.col("_away"), F.col("full_name"), F.col("provider_id")]
+    found = postings.first_matches(tiers, wanted_keys, entries, rows, "provider_id", search, order, test, limit)
+    kinds = found.join(best.select("service", "provider_id", "match_kind"), ["service", "provider_id"], "left")
+    return asked.join(kinds, search).select("request_id", "provider_id", "match_kind", "place")
 
 
 def rank_choices(df: DataFrame, group: list[str], auto_select: int = 10) -> DataFrame:

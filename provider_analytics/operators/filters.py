@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import records, text
-from .skew import top_per_group
+from . import postings
+from .skew import settle, top_per_group
 
 
 def published(df: DataFrame) -> DataFrame:
@@ -153,12 +154,28 @@ def claimable_search(providers: DataFrame, term: str, limit: int = 12) -> DataFr
 
 
 def claimable_searches(requests: DataFrame, providers: DataFrame, limit: int = 12) -> DataFrame:
-    """The same for a frame of requests (request_id, term): request_id, provider_id, place."""
+    """The same for a frame of requests (request_id, term): request_id, provider_id, place. Equal terms are searched once."""
+    low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
+    rows = published(providers).select("provider_id", "full_name", low("full_name").alias("_name"), low("comune").alias("_comune"),
+                                       F.col("owner_email").isNotNull().cast("int").alias("_owned"))
     asked = requests.select("request_id", term_key(F.col("term")).alias("term")).filter(F.length("term") >= 2)
-    found = search_texts(asked, published(providers), "provider_id", ["full_name", "comune"])
-    rows = found.join(asked, "request_id").join(providers.select("provider_id", "full_name", "owner_email"), "provider_id")
-    order = [F.col("owner_email").isNotNull(), F.lower("full_name") != F.col("term"), F.col("full_name"), F.col("provider_id")]
-    return top_per_group(rows, ["request_id"], order, limit, "place").select("request_id", "provider_id", "place")
+    # Tiers: unowned or owned, and in each the exact name or one that holds the term.
+    tiers = asked.select("term").distinct().withColumn("tier", F.explode(F.array(*map(F.lit, range(4)))))
+    exact = F.col("tier") % 2 == 0
+    keys = F.when(exact, F.array(F.concat(F.lit("=:"), "term"))).otherwise(postings.asked_pieces(F.col("term"), "t:"))
+    wanted = settle(tiers.withColumn("key", F.explode(keys)), "asked-keys")
+    distinct = wanted.select("key").distinct()
+    entries = rows.select(F.concat(F.lit("=:"), "_name").alias("key"), "provider_id").join(distinct, "key", "left_semi").unionByName(
+        postings.listed_pieces(rows, "provider_id", F.col("_name"), "t:", distinct).unionByName(
+            postings.listed_pieces(rows, "provider_id", F.col("_comune"), "t:", distinct)).distinct())
+
+    def test(df: DataFrame) -> DataFrame:
+        equal = F.col("_name") == F.col("term")
+        fits = F.when(exact, equal).otherwise(~equal & (F.contains("_name", F.col("term")) | F.contains("_comune", F.col("term"))))
+        return df.filter(fits & (F.col("_owned") == F.floor(F.col("tier") / 2)))
+
+    found = postings.first_matches(tiers, wanted, entries, rows, "provider_id", ["term"], [F.col("full_name"), F.col("provider_id")], test, limit)
+    return asked.join(found, "term").select("request_id", "provider_id", "place")
 
 
 def shortlist_by_name(candidates: DataFrame, name: str, url: str, group: list[str], position: str,

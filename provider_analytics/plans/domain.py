@@ -20,6 +20,7 @@ SELECT c_custkey AS provider_id,
        concat(c_mktsegment, ' ', c_name) AS full_name,
        concat(n_name, ' C', CAST(c_custkey % 8 AS STRING)) AS comune,
        n_name AS district,
+       CASE WHEN c_custkey % 11 = 3 THEN NULL ELSE concat('Via ', c_mktsegment, ' ', CAST(c_custkey % 97 AS STRING)) END AS address,
        concat('0', CAST(100000000 + (c_custkey * 7919) % 800000000 AS STRING)) AS phone,
        concat(lower(c_name), '@example.org') AS email,
        CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE concat('www.p', CAST(c_custkey AS STRING), '.example.org') END AS website,

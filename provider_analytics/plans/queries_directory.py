@@ -54,7 +54,7 @@ def _(d):
 
 # What many visitors look for: parts of names, of cities, single letters, nothing, words no provider has.
 _TERMS = """SELECT p_partkey AS request_id, CASE p_partkey % 7 WHEN 0 THEN ' Building ' WHEN 1 THEN concat('#', CAST(p_partkey AS STRING)) WHEN 2 THEN concat('nation_', CAST(p_partkey % 30 AS STRING))
-    WHEN 3 THEN '7' WHEN 4 THEN ' ' WHEN 5 THEN p_name ELSE concat('0', CAST(p_partkey % 100 AS STRING)) END AS term,
+    WHEN 3 THEN '7' WHEN 4 THEN ' ' WHEN 5 THEN CASE WHEN p_partkey % 3 = 0 THEN concat('via ', CAST(p_partkey % 7 AS STRING)) WHEN p_partkey % 3 = 1 THEN concat('machinery ', CAST(p_partkey % 90 AS STRING)) ELSE p_name END ELSE concat('0', CAST(p_partkey % 100 AS STRING)) END AS term,
   CASE p_partkey % 5 WHEN 0 THEN 'Nation_3' WHEN 1 THEN concat('nation_', CAST(p_partkey % 25 AS STRING), '-c1') ELSE '' END AS city,
   CASE WHEN p_partkey % 2 = 0 THEN 'red-ring' END AS service FROM part"""
 
@@ -96,7 +96,7 @@ def _(d):
           SELECT t.request_id, p.provider_id, m.match_kind, row_number() OVER (PARTITION BY t.request_id ORDER BY CASE m.match_kind WHEN 'exact' THEN 0 WHEN 'related' THEN 1 ELSE 2 END,
               CASE WHEN t.city = '' OR lower(p.comune) = t.city THEN 0 ELSE 1 END, CASE WHEN t.city = '' OR contains(lower(p.comune), t.city) THEN 0 ELSE 1 END,
               CASE WHEN p.lat IS NULL THEN 1 ELSE 0 END, p.full_name, p.provider_id) AS place
-          FROM t JOIN providers p ON p.status = 'published' AND (t.term <> '' OR t.city <> '') AND (contains(lower(p.full_name), t.term) OR contains(lower(p.comune), t.term))
+          FROM t JOIN providers p ON p.status = 'published' AND (contains(lower(p.full_name), t.term) OR contains(lower(p.comune), t.term) OR contains(lower(coalesce(p.address, '')), t.term))
             AND (contains(lower(p.comune), t.city) OR contains(lower(p.district), t.city))
           LEFT JOIN m ON m.provider_id = p.provider_id AND t.service = 'red-ring') y WHERE place <= 12""",
 )
@@ -310,7 +310,7 @@ def _(d):
            SELECT ps.provider_id, min(CASE s.slug WHEN 'red-ring' THEN 'exact' ELSE 'related' END) AS match_kind
            FROM provider_services ps JOIN services s ON s.service_id = ps.service_id WHERE s.slug IN ('red-ring', 'red-bolt') GROUP BY ps.provider_id) m
            ON m.provider_id = p.provider_id
-         WHERE status = 'published' AND full_name ILIKE '%household%' AND (comune ILIKE '%nation\\_3%' ESCAPE '\\' OR district ILIKE '%nation\\_3%' ESCAPE '\\')) t
+         WHERE status = 'published' AND (full_name ILIKE '%household%' OR address ILIKE '%household%') AND (comune ILIKE '%nation\\_3%' ESCAPE '\\' OR district ILIKE '%nation\\_3%' ESCAPE '\\')) t
        WHERE rn <= 20""",
 )
 def _(d):
