@@ -10,7 +10,7 @@ import sys
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
@@ -128,8 +128,8 @@ def _vocabulary(texts: DataFrame, key: str) -> DataFrame:
 
 
 def token_similarity(queries: DataFrame, candidates: DataFrame, typos: DataFrame, groups: DataFrame) -> DataFrame:
-    """(q, c, similarity): weighted share of words of either text that have a match in the other. Only pairs
-    with at least one match appear."""
+    """(q, c, similarity): weighted share of words of either text that have a match in the other, for every pair with
+    at least one match. Where only pairs from a similarity on are wanted, similar_texts finds these."""
     q, c = _words(queries, "q"), _words(candidates, "c")
     match = typos.select("l", "r").unionByName(groups.select("l", "r")).distinct()
     left = q.select("q", F.col("_words").alias("_qn"), F.col("_at").alias("_qa"), F.col("token").alias("l"))
@@ -140,10 +140,51 @@ def token_similarity(queries: DataFrame, candidates: DataFrame, typos: DataFrame
     found = same.select(*columns).unionByName(close.select(*columns))
     counted = found.groupBy("q", "c", "_qn", "_cn").agg(F.count_distinct("_qa").alias("_qm"), F.count_distinct("_ca").alias("_cm"))
     return counted.select(
-        "q", "c", (F.col("_qm") / F.col("_qn") * 0.55 + F.col("_cm") / F.col("_cn") * 0.45).alias("similarity")
+        "q", "c", (F.col("_qm") / F.col("_qn") * _OF_QUERY + F.col("_cm") / F.col("_cn") * _OF_LABEL).alias("similarity")
     )
 
 
+#: Weights of the two shares of a similarity, and in how many steps the label's is told before the join.
+_OF_QUERY, _OF_LABEL, _STEPS = 0.55, 0.45, 20
+
+
+def similar_texts(queries: DataFrame, candidates: DataFrame, typos: DataFrame, groups: DataFrame, least: float) -> DataFrame:
+    """(q, c, similarity) of token_similarity, for the pairs that reach `least` > 0, found by a weighted prefix filter.
+
+    Words of labels have one order, the rare before the frequent. A pair is met at the rarest label word that a word of
+    the query matches; there, no more words of either text can match than those it has from that word on. What these
+    counts allow of a similarity, known on both sides before the join, has to reach `least`, so a word that many
+    labels have brings only texts together that are nearly nothing but such words. Pairs are then counted whole."""
+    q, c = _words(queries, "q"), _words(candidates, "c")
+    vocabulary = settle(c.groupBy("token").agg(F.count("*").alias("_df")), "label-words")
+    asked = q.select("token").distinct()
+    edges = asked.join(vocabulary, "token").select(F.col("token").alias("l"), F.col("token").alias("r")).unionByName(
+        asked.withColumnRenamed("token", "l").join(typos.select("l", "r").unionByName(groups.select("l", "r")), "l")).distinct()
+    edges = edges.join(vocabulary.withColumnRenamed("token", "r"), "r").select("l", F.struct("_df", F.col("r").alias("word")).alias("_key"))
+    keys = settle(q.select("q", F.col("_words").alias("_qn"), F.col("_at").alias("_qa"), F.col("token").alias("l")).join(edges, "l").drop("l"), "query-keys")
+    held = settle(c.join(vocabulary, "token").select("c", F.col("_words").alias("_cn"), F.struct("_df", F.col("token").alias("word")).alias("_key")), "label-keys")
+
+    from_here = lambda text: Window.partitionBy(text).orderBy(F.col("_key").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    commonest = keys.groupBy("q", "_qn", "_qa").agg(F.max("_key").alias("_key")).select("q", "_qn", "_key", F.lit(1).alias("_one"))
+    points = keys.select("q", "_qn", "_key").distinct().withColumn("_one", F.lit(0)).unionByName(commonest)
+    most = points.withColumn("_most", F.sum("_one").over(from_here("q"))).filter("_one = 0")
+    lacking = least - 1e-9 - _OF_QUERY * F.col("_most") / F.col("_qn")
+    first = F.greatest(F.lit(0), F.floor(lacking / _OF_LABEL * _STEPS)).cast("int")
+    asks = most.withColumn("_first", first).filter(F.col("_first") <= _STEPS).select(
+        "q", "_key", F.explode(F.sequence(F.col("_first"), F.lit(_STEPS))).alias("_step"))
+    share = F.count("*").over(from_here("c")) / F.col("_cn")
+    gives = held.withColumn("_step", F.floor(share * _STEPS + 1e-9).cast("int")).select("c", "_key", "_step").distinct()
+    pairs = settle(asks.join(gives, ["_key", "_step"]).select("q", "c").distinct(), "pairs")
+
+    query_side = keys.groupBy("q", "_qn").agg(F.collect_list(F.struct("_qa", F.col("_key.word").alias("word"))).alias("_asked"))
+    label_side = held.groupBy("c", "_cn").agg(F.collect_list("_key.word").alias("_held"))
+    both = pairs.join(label_side, "c").join(query_side, "q")
+    met = F.size(F.array_distinct(F.transform(F.filter("_asked", lambda a: F.array_contains("_held", a["word"])), lambda a: a["_qa"])))
+    answered = F.size(F.filter("_held", lambda w: F.array_contains(F.col("_asked.word"), w)))
+    similarity = met / F.col("_qn") * _OF_QUERY + answered / F.col("_cn") * _OF_LABEL
+    return both.select("q", "c", similarity.alias("similarity")).filter(F.col("similarity") >= least)
+
+
 def prefix_pairs(queries: DataFrame, candidates: DataFrame) -> DataFrame:
     """(q, c) where one text starts with the other, equal ones included."""
     begin = lambda t, n: t.substr(F.lit(1), n)
@@ -162,6 +203,10 @@ def prefix_pairs(queries: DataFrame, candidates: DataFrame) -> DataFrame:
     return shorter.unionByName(longer)
 
 
+#: Similarity from which on a label counts as similar, and an intent does.
+_SIMILAR, _SIMILAR_INTENT = 0.5, 0.42
+
+
 def score_candidates(queries: DataFrame, candidates: DataFrame, groups: DataFrame) -> DataFrame:
     """(q, c, kind, score) for distinct normalised queries (q) and distinct labels (c, kind), scores above zero.
 
@@ -176,7 +221,7 @@ def score_candidates(queries: DataFrame, candidates: DataFrame, groups: DataFram
     none_int, none_double = F.lit(None).cast("int"), F.lit(None).cast("double")
     ways = (
         prefix_pairs(queries, plain).select("q", "c", F.lit(1).alias("_prefix"), none_double.alias("_similarity"), none_int.alias("_fuzzy"))
-        .unionByName(token_similarity(queries, plain, typos, groups).select(
+        .unionByName(similar_texts(queries, plain, typos, groups, min(_SIMILAR, _SIMILAR_INTENT)).select(
             "q", "c", none_int.alias("_prefix"), F.col("similarity").alias("_similarity"), none_int.alias("_fuzzy")))
         .unionByName(fuzzy.select("q", "c", none_int.alias("_prefix"), none_double.alias("_similarity"), "_fuzzy"))
         .groupBy("q", "c").agg(F.max("_prefix").alias("_prefix"), F.max("_similarity").alias("_similarity"), F.max("_fuzzy").alias("_fuzzy"))
@@ -185,7 +230,7 @@ def score_candidates(queries: DataFrame, candidates: DataFrame, groups: DataFram
     by_kind = lambda canonical, alias, intent: (
         F.when(kind == "canonical", canonical).when(kind == "alias", alias).otherwise(intent)
     )
-    similar = F.col("_similarity") >= F.when(kind == "intent", 0.42).otherwise(0.5)
+    similar = F.col("_similarity") >= F.when(kind == "intent", _SIMILAR_INTENT).otherwise(_SIMILAR)
     level = F.floor(F.least(F.lit(9.0), F.col("_similarity") * 9) + 0.5).cast("int")
     score = (
         F.when(F.col("q") == F.col("c"), by_kind(100, 90, 69))

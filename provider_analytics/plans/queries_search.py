@@ -87,6 +87,14 @@ def _(d):
     return search.token_similarity(q, c, typos, search.equivalent_tokens(d.spark))
 
 
+@query("similar_texts", f"WITH {_SCORES} SELECT q, c, similarity FROM sim WHERE similarity >= 0.42")
+def _(d):
+    q, named = distinct_texts(d)
+    c = named.select("c").distinct()
+    typos = search.similar_tokens(search._vocabulary(q, "q"), search._vocabulary(c, "c"))
+    return search.similar_texts(q, c, typos, search.equivalent_tokens(d.spark), 0.42)
+
+
 @query("score_candidate", f"WITH {_SCORES} SELECT q, c, kind, score FROM scored WHERE score > 0")
 def _(d):
     q, named = distinct_texts(d)
