@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import website_url
-from .skew import settle, top_per_group
+from .skew import place_in_group, settle, top_per_group
 from .writes import patch_columns
 
 # Profile states written by claims.
@@ -61,14 +61,17 @@ def decide_claims(claims: DataFrame, decisions: DataFrame) -> DataFrame:
     }).drop("_last", "_approved", "_rejected")
 
 
+#: Rounds in which what is first on both its sides is settled, before chains are followed.
+FIRST_ROUNDS = 7
+
+
 def _settled_pairs(pairs: DataFrame) -> DataFrame:
     """Of pairs (_email, provider_id, _moment), in the order of time, those that find both sides free.
 
     A pair is final when it is the earliest open one of its email and of its provider; what shares a side with
-    it is then out. Every round settles all such pairs at once and goes on from a written table until none is
-    open, so the result is that of taking them one by one."""
+    it is then out. After a few rounds of that, what is left hangs together in chains, which are followed at once."""
     won = None
-    while True:
+    for _ in range(FIRST_ROUNDS):
         by_email = pairs.groupBy("_email").agg(F.min("_moment").alias("_e"))
         by_provider = pairs.groupBy("provider_id").agg(F.min("_moment").alias("_p"))
         first = pairs.join(by_email, "_email").join(by_provider, "provider_id")
@@ -79,6 +82,55 @@ def _settled_pairs(pairs: DataFrame) -> DataFrame:
         )
         if pairs.isEmpty():
             return won
+    return won.unionByName(_chained_pairs(pairs))
+
+
+def _chained_pairs(pairs: DataFrame) -> DataFrame:
+    """The same, by functions of what lies before.
+
+    Whether a pair's email is free before it (x) is what the pair before it on that email left, and so for its provider
+    (y). It wins if both are; it leaves its email free if x and not y, its provider if y and not x. With one of the two
+    known, or both resting on the same earlier answer, what it leaves is a constant, that answer or its opposite. Every
+    round puts what is known of the pairs before into x and y, so the way back doubles: a chain takes as
+    many rounds as its length has binary digits. Only pairs with two open sides that rest on different answers wait."""
+    pairs = settle(pairs.withColumn("_pair", F.monotonically_increasing_id()), "claims-numbered")
+    state = pairs.select("_pair")
+    # An input is (rest, flag): the flag itself if it rests on nothing, else that answer, turned round where flag is set.
+    for side, key, answer in (("x", "_email", 0), ("y", "provider_id", 1)):
+        placed = place_in_group(pairs.select("_pair", key, "_moment"), [key], [F.col("_moment")], "_nth")
+        before = placed.select(key, (F.col("_nth") + 1).alias("_nth"), (F.col("_pair") * 2 + answer).alias(f"{side}_on"))
+        given = placed.join(before, [key, "_nth"], "left").select("_pair", f"{side}_on", F.col(f"{side}_on").isNull().alias(f"{side}_flag"))
+        state = state.join(given, "_pair")
+    state = settle(state, "claims-state")
+    while not state.filter("x_on IS NOT NULL OR y_on IS NOT NULL").isEmpty():
+        left = _left_free(state)
+        for side in ("x", "y"):
+            known = left.select(F.col("answer").alias(f"{side}_on"), F.col("on").alias("_on"), F.col("flag").alias("_flag"))
+            joined = state.join(known, f"{side}_on", "left")
+            found = F.col("_flag").isNotNull()
+            state = joined.withColumns({
+                f"{side}_on": F.when(found, F.col("_on")).otherwise(F.col(f"{side}_on")),
+                f"{side}_flag": F.when(found, F.col("_flag") != F.col(f"{side}_flag")).otherwise(F.col(f"{side}_flag")),
+            }).drop("_on", "_flag")
+        state = settle(state, "claims-state")
+    return pairs.join(state.filter("x_flag AND y_flag").select("_pair"), "_pair").drop("_pair")
+
+
+def _left_free(state: DataFrame) -> DataFrame:
+    """answer, on, flag: what each pair leaves of its email (answer 2 * _pair) and provider (2 * _pair + 1), as far as it is
+    known: null rows are left out."""
+    x, y = (F.struct(F.col(f"{s}_on").alias("on"), F.col(f"{s}_flag").alias("flag")) for s in ("x", "y"))
+    turned = lambda s: F.struct(F.col(f"{s}_on").alias("on"), (~F.col(f"{s}_flag")).alias("flag"))
+    never = F.struct(F.lit(None).cast("bigint").alias("on"), F.lit(False).alias("flag"))
+    fixed = lambda s, value: F.col(f"{s}_on").isNull() & (F.col(f"{s}_flag") == value)
+    alike = F.col("x_on") == F.col("y_on")
+    both = (
+        F.when(fixed("x", False), F.array(never, y)).when(fixed("x", True), F.array(turned("y"), never))
+        .when(fixed("y", False), F.array(x, never)).when(fixed("y", True), F.array(never, turned("x")))
+        .when(alike & (F.col("x_flag") == F.col("y_flag")), F.array(never, never)).when(alike, F.array(x, y))
+    )
+    return state.select("_pair", F.posexplode(both).alias("_side", "_is")).select(
+        (F.col("_pair") * 2 + F.col("_side")).alias("answer"), "_is.on", "_is.flag")
 
 
 def claim_admission(claims: DataFrame, providers: DataFrame) -> DataFrame:
