@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import RADIUS_STEPS_KM, distance_km, in_bbox
-from . import postings, ranking
+from . import nearbest, postings, ranking
 from .filters import ilike_search, published, term_key
 from .geojoin import nearest_within, neighbours, within
 from .ranking import PAGE_SIZE
@@ -77,13 +77,19 @@ def search_near_me(points: DataFrame, providers: DataFrame, figures: DataFrame,
                    page_size: int = PAGE_SIZE) -> DataFrame:
     """All providers within the radius of each point (point_id, lat, lng) by relevance, one page.
 
-    Points on one spot share one search; its page is then handed to each of them."""
+    Points on one spot share one search; its page is then handed to each of them. Early pages read, in cells around
+    the spot, only providers that can be on them; late ones number all providers around by one range sort."""
     spot = F.concat_ws(",", F.col("lat").cast("string"), F.col("lng").cast("string"))
     asked = points.filter("lat IS NOT NULL AND lng IS NOT NULL")
     spots = asked.select(spot.alias("point_id"), "lat", "lng").distinct()
     places = with_figures(_places(published(providers)), figures)
-    scored = _with_score(within(spots, places, F.lit(float(radius_km))))
-    pages = ranking.paginate(scored, ["point_id"], ranking.by_relevance(), page, page_size)
+    wanted, size = max(1, page), max(1, page_size)
+    if wanted * size <= ranking.CUT_RANK:
+        best, totals = nearbest.best_within(spots, places, radius_km, wanted * size)
+        pages = ranking.page_of(best, totals, ["point_id"], wanted, size)
+    else:
+        scored = _with_score(within(spots, places, F.lit(float(radius_km))))
+        pages = ranking.paginate(scored, ["point_id"], ranking.by_relevance(), wanted, size)
     return asked.select("point_id", spot.alias("_spot")).join(pages.withColumnRenamed("point_id", "_spot"), "_spot").drop("_spot")
 
 

@@ -34,12 +34,13 @@ def _located(df: DataFrame, lat: str, lng: str) -> DataFrame:
     return df.filter(F.col(lat).isNotNull() & F.col(lng).isNotNull())
 
 
-def _cover(points: DataFrame, finest: int = LEVELS) -> DataFrame:
-    """Points (lat, lng, _km) with every cell _level, _ay, _ax that their circle touches, of a level on which these are few."""
+def _cover(points: DataFrame, finest: int = LEVELS, finer: int = 0) -> DataFrame:
+    """Points (lat, lng, _km) with every cell _level, _ay, _ax that their circle touches, of a level on which these are few,
+    or `finer` levels below it."""
     turn = F.sin(F.least(F.col("_km") / EARTH_KM, F.lit(1.5707963)))
     flat = F.cos(F.radians(F.col("lat")))
     wide = F.when(flat > turn, F.degrees(F.asin(turn / flat))).otherwise(F.lit(180.0))
-    level = F.greatest(F.lit(0), F.least(F.lit(finest), F.floor(F.log2(F.lit(360.0) / F.greatest(F.col("_dlat"), F.lit(1e-9))))))
+    level = F.greatest(F.lit(0), F.least(F.lit(finest), F.floor(F.log2(F.lit(360.0) / F.greatest(F.col("_dlat"), F.lit(1e-9)))) + finer))
     rows = points.withColumn("_dlat", F.col("_km") / _KM_PER_DEGREE).withColumn("_dlng", wide).withColumn("_level", level.cast("int"))
     span = lambda mid, delta, offset, low, high: F.sequence(
         _cell(F.greatest(mid - delta, F.lit(low)), offset, F.col("_level")),

@@ -10,13 +10,15 @@ from .skew import place_in_group, top_per_group
 PAGE_SIZE = 15
 #: Up to this rank Spark cuts every group before the shuffle; later pages are numbered by one range sort.
 CUT_RANK = 1000
+#: Nearness adds to a score up to this distance.
+NEARNESS_KM = 45.0
 
 
 def relevance_score(rating: Column, reviews: Column, services: Column, km: Column) -> Column:
     """Reviews weigh by rating and by the order of magnitude of their number; nearness is worth up to 45."""
     count = F.coalesce(reviews, F.lit(0))
     from_reviews = F.when(count > 0, F.coalesce(rating, F.lit(0.0)) * F.log10(count + 1) * 12).otherwise(0.0)
-    from_distance = F.when(km.isNull(), F.lit(-20.0)).otherwise(F.greatest(F.lit(0.0), F.lit(45.0) - km))
+    from_distance = F.when(km.isNull(), F.lit(-20.0)).otherwise(F.greatest(F.lit(0.0), F.lit(NEARNESS_KM) - km))
     return F.round(from_reviews + F.coalesce(services, F.lit(0)) * 6 + from_distance, 6)
 
 
@@ -42,7 +44,13 @@ def paginate(df: DataFrame, group: list[str], order: list[Column], page: int = 1
     numbered by a range sort, so a group of any size never has to fit one task."""
     wanted, size = max(1, page), max(1, page_size)
     ranked = top_per_group(df, group, order, wanted * size, "place") if wanted * size <= CUT_RANK else place_in_group(df, group, order, "place")
-    return _on_page(ranked, _totals(df, group, size).withColumn("page", F.least(F.lit(wanted), F.col("total_pages")).cast("bigint")), group, size)
+    return page_of(ranked, df.groupBy(*group).agg(F.count("*").alias("total")), group, wanted, size)
+
+
+def page_of(ranked: DataFrame, totals: DataFrame, group: list[str], page: int, page_size: int) -> DataFrame:
+    """The rows of one page, clamped to what exists, of rows with their `place`, given the `total` of each group."""
+    pages = _paged(totals, page_size).withColumn("page", F.least(F.lit(page), F.col("total_pages")).cast("bigint"))
+    return _on_page(ranked, pages, group, page_size)
 
 
 def paginate_by(df: DataFrame, group: list[str], order: list[Column], asked: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame:
@@ -55,9 +63,11 @@ def paginate_by(df: DataFrame, group: list[str], order: list[Column], asked: Dat
 
 
 def _totals(df: DataFrame, group: list[str], size: int) -> DataFrame:
-    return df.groupBy(*group).agg(F.count("*").alias("total")).withColumn(
-        "total_pages", F.greatest(F.lit(1), F.ceil(F.col("total") / size)).cast("bigint")
-    )
+    return _paged(df.groupBy(*group).agg(F.count("*").alias("total")), size)
+
+
+def _paged(totals: DataFrame, size: int) -> DataFrame:
+    return totals.withColumn("total_pages", F.greatest(F.lit(1), F.ceil(F.col("total") / size)).cast("bigint"))
 
 
 def _on_page(ranked: DataFrame, pages: DataFrame, group: list[str], size: int) -> DataFrame:
