@@ -7,9 +7,11 @@ interval already kept is suppressed, so `GNU Lesser General Public License` is n
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -144,14 +146,14 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 def base_places(joined: bytes) -> list[tuple[int, bytes, str]]:
-    """Word index, phrase and label of every place where a base phrase's words stand one after the other. `joined`
+    """Place in bytes, phrase and label of every place where a base phrase's words stand one after the other. `joined`
     holds the words between single spaces, with one at either end."""
     found = []
     for phrase, label in BASE_PHRASES:
         needle = f" {phrase} ".encode()
         at = joined.find(needle)
         while at >= 0:
-            found.append((joined.count(b" ", 0, at), needle, label))
+            found.append((at, needle, label))
             at = joined.find(needle, at + 1)
     return found
 
@@ -166,9 +168,15 @@ def detections(joined: bytes, rules: list[Rule]) -> list[tuple[int, int, Rule]]:
         if any(known[k] if k in known else known.setdefault(k, k in joined) for k in rule.keywords):
             found += [(rule.priority, -(m.end() - m.start()), m.start(), order, m.end(), rule) for m in rule.pattern.finditer(joined)]
     kept: list[tuple[int, int, Rule]] = []
+    starts: list[int] = []  # of the kept intervals that no other kept one contains: both rise together
+    ends: list[int] = []
     for _, _, start, _, end, rule in sorted(found, key=lambda x: x[:4]):
-        if not any(a <= start and end <= b for a, b, _ in kept):
-            kept.append((start, end, rule))
+        at = bisect_right(starts, start)
+        if at and ends[at - 1] >= end:
+            continue
+        kept.append((start, end, rule))
+        low, high = bisect_left(starts, start), bisect_right(ends, end)
+        starts[low:max(low, high)], ends[low:max(low, high)] = [start], [end]
     return sorted(kept, key=lambda x: x[:2])
 
 
@@ -186,14 +194,15 @@ def scan_text(text: bytes, rules: list[Rule]) -> dict:
     joined = b" " + b" ".join(words) + b" "
     base = base_places(joined)
     kept = detections(joined, rules)
-    places = [at for at, _, _ in base]
+    spaces = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
+    word = lambda at: int(np.searchsorted(spaces, at))  # noqa: E731  spaces before a place in bytes
+    places = [word(at) for at, _, _ in base]
     base_labels = sorted({label for _, _, label in base})
     return {
         "n_words": len(words), "n_base": len(base), "first_word": min(places, default=None), "last_word": max(places, default=None),
         "base_labels": base_labels, "labels": sorted({*base_labels, *(rule.label for _, _, rule in kept)}),
         "score": max([0.0, *(rule.confidence for _, _, rule in kept), *(0.95 for _ in base)]),
-        "detections": [{"start_word": (at := joined.count(b" ", 0, a) - 1), "end_word": at + joined.count(b" ", a, b) + 1,
-                        "label": rule.label, "priority": rule.priority} for a, b, rule in kept],
+        "detections": [{"start_word": word(a) - 1, "end_word": word(b), "label": rule.label, "priority": rule.priority} for a, b, rule in kept],
     }
 
 

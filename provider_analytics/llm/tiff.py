@@ -240,9 +240,14 @@ def write_tiff(pages: list[Page]) -> bytes:
     return bytes(out)
 
 
-def read_tiff(data: bytes) -> Iterator[Page]:
+#: Bytes of samples that a page may have, and pages a task holds before it hands them on.
+MAX_PAGE, HELD = 1 << 30, 16 << 20
+
+
+def read_tiff(data: bytes, max_page: int = MAX_PAGE) -> Iterator[Page]:
     """The pages of a file of either byte order, directory by directory. Raises ValueError on what is not TIFF, breaks
-    off early, loops, or has samples that are not 8 bits wide."""
+    off early, loops, has samples that are not 8 bits wide, or claims a page of more than `max_page` bytes. What a
+    header claims is held against its strips before memory is taken."""
     if data[:4] not in (b"II*\0", b"MM\0*") or len(data) < 8:
         raise ValueError("not a TIFF file")
     order = "<" if data[:1] == b"I" else ">"
@@ -253,7 +258,7 @@ def read_tiff(data: bytes) -> Iterator[Page]:
                 raise ValueError("directories form a loop")
             seen.add(at)
             tags, at = _directory(data, at, order)
-            yield _page(data, tags)
+            yield _page(data, tags, max_page)
     except (struct.error, KeyError, zlib.error, IndexError) as error:
         raise ValueError(f"broken TIFF: {error!r}") from error
 
@@ -271,7 +276,7 @@ def _directory(data: bytes, at: int, order: str) -> tuple[dict[int, tuple], int]
     return tags, struct.unpack_from(order + "I", data, at + 2 + 12 * n)[0]
 
 
-def _page(data: bytes, tags: dict[int, tuple]) -> Page:
+def _page(data: bytes, tags: dict[int, tuple], max_page: int) -> Page:
     width, height, samples = tags[_WIDTH][0], tags[_HEIGHT][0], tags.get(_SAMPLES, (1,))[0]
     compression, predictor = _NAMES.get(tags.get(_COMPRESSION, (1,))[0]), tags.get(_PREDICTOR, (1,))[0]
     if set(tags.get(_BITS, (1,))) != {8}:
@@ -285,10 +290,14 @@ def _page(data: bytes, tags: dict[int, tuple]) -> Page:
     tall, wide = (tags[_TILE_HEIGHT][0], tags[_TILE_WIDTH][0]) if tiled else (max(1, min(rows, height)), width)
     offsets = tags[_TILE_OFFSETS if tiled else _STRIP_OFFSETS]
     counts = tags[_TILE_COUNTS if tiled else _STRIP_COUNTS]
-    pixels = np.empty((height, width, samples), np.uint8)
-    places = [(p, y, x) for p in range(planes) for y in range(0, height, tall) for x in range(0, width, wide)]
-    if len(places) > min(len(offsets), len(counts)):
+    if min(width, height, samples, tall, wide) < 1:
+        raise ValueError("a page or tile without samples")
+    if max(width * height * samples, tall * wide * depth) > max_page:
+        raise ValueError(f"a page of more than {max_page} bytes")
+    if planes * -(-height // tall) * -(-width // wide) > min(len(offsets), len(counts)):
         raise ValueError("strips or tiles are missing")
+    places = [(p, y, x) for p in range(planes) for y in range(0, height, tall) for x in range(0, width, wide)]
+    pixels = np.empty((height, width, samples), np.uint8)
     for (plane, y, x), start, count in zip(places, offsets, counts, strict=False):
         high = tall if tiled else min(tall, height - y)
         if start + count > len(data):
@@ -336,10 +345,11 @@ def store_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return picked.mapInArrow(store, f"id {kind}, n_bytes bigint, media binary").withColumnRenamed("id", id_col)
 
 
-def pages_of(df: DataFrame, media_col: str = "media", keep: tuple[str, ...] = ()) -> DataFrame:
+def pages_of(df: DataFrame, media_col: str = "media", keep: tuple[str, ...] = (), max_page: int = MAX_PAGE) -> DataFrame:
     """One row for each page of every file: the columns in `keep`, page (from 0), width, height, samples, compression,
     predictor, tiled, pixels (rows, then columns, then samples), error. A null file has no pages. What cannot be read
-    gives one row, at the page where it broke, with null pixels and the reason in error; pages before it stay."""
+    gives one row, at the page where it broke, with null pixels and the reason in error; pages before it stay. So does a
+    page of more than `max_page` bytes or one there is no memory for."""
     taken = {"page", "width", "height", "samples", "compression", "predictor", "tiled", "pixels", "error"} & set(keep)
     if taken:
         raise ValueError(f"columns in keep clash with the result: {sorted(taken)}")
@@ -349,21 +359,31 @@ def pages_of(df: DataFrame, media_col: str = "media", keep: tuple[str, ...] = ()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            source, rows = [], []
+            source: list[int] = []
+            rows: list[tuple] = []
+
+            def result(batch=batch, source=source, rows=rows) -> pa.RecordBatch:
+                kept = batch.select(list(range(batch.num_columns - 1))).take(pa.array(source, pa.int64()))
+                columns = [pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(fields)]
+                source.clear(), rows.clear()
+                return pa.RecordBatch.from_arrays([*kept.columns, *columns], [*kept.schema.names, *names])
+
+            held = 0
             for at, media in enumerate(batch.column(batch.num_columns - 1)):
                 number = 0
                 try:
-                    for number, p in enumerate(read_tiff(media.as_py()) if media.is_valid else ()):
+                    for p in read_tiff(media.as_py(), max_page) if media.is_valid else ():
                         height, width, samples = p.pixels.shape
                         rows.append((number, width, height, samples, p.compression, p.predictor, all(p.tile), p.pixels.tobytes(), None))
                         source.append(at)
-                except ValueError as error:
-                    number = sum(s == at for s in source[-number - 1:])
-                    rows.append((number, None, None, None, None, None, None, None, str(error)))
+                        number, held = number + 1, held + p.pixels.nbytes
+                        if held > HELD:
+                            held = 0
+                            yield result()
+                except (ValueError, MemoryError) as error:
+                    rows.append((number, None, None, None, None, None, None, None, str(error) or "no memory for the page"))
                     source.append(at)
-            kept = batch.select(list(range(batch.num_columns - 1))).take(pa.array(source, pa.int64()))
-            columns = [pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(fields)]
-            yield pa.RecordBatch.from_arrays([*kept.columns, *columns], [*kept.schema.names, *names])
+            yield result()
 
     schema = [f"`{name}` {df.schema[name].dataType.simpleString()}" for name in keep]
     schema += ["page int, width int, height int, samples int, compression string, predictor int, tiled boolean, pixels binary, error string"]

@@ -98,3 +98,26 @@ def test_gates_let_every_branch_through():
             assert any(a in joined for a in licenses._ANCHORS), (rule, text)
     assert licenses.scan_text(b"MIT-0", RULES)["labels"] == ["mit-0"]
     assert licenses.scan_text(b"CC Attribution ShareAlike", RULES)["labels"] == ["cc-by-sa"]
+
+
+def test_a_long_text_takes_its_length():
+    """Positions and suppression against plain loops on a short text; a text of megabytes ends soon."""
+    import time
+
+    rules = licenses.signature_rules()
+    text = b"under the mit license or the gnu lesser general public license version 3 and gpl v2 " * 12
+    joined = b" " + b" ".join(licenses.words_of(text)) + b" "
+    found = []
+    for order, rule in enumerate(rules):
+        found += [(rule.priority, -(m.end() - m.start()), m.start(), order, m.end(), rule) for m in rule.pattern.finditer(joined)]
+    kept = []
+    for _, _, start, _, end, rule in sorted(found, key=lambda x: x[:4]):
+        if not any(a <= start and end <= b for a, b, _ in kept):
+            kept.append((start, end, rule))
+    assert licenses.detections(joined, rules) == sorted(kept, key=lambda x: x[:2])
+    row = licenses.scan_text(text, rules)
+    assert [(d["start_word"], d["end_word"]) for d in row["detections"]] == [
+        (joined.count(b" ", 0, a) - 1, joined.count(b" ", 0, b)) for a, b, _ in sorted(kept, key=lambda x: x[:2])]
+    began = time.process_time()
+    assert licenses.scan_text(b"under the mit license " * 100_000, rules)["n_base"] == 100_000
+    assert time.process_time() - began < 20

@@ -106,3 +106,29 @@ def test_texts_round_trip(spark):
         assert features.setdefault(r.doc_id, r.feature) == r.feature
     assert len({r.compression for r in pages}) > 1
     assert tiff.store_texts(df.limit(0)).collect() == []
+
+
+def header(width, height, offsets=(8,), counts=(1,)):
+    """A file with one directory that claims a size."""
+    import struct
+
+    tags = [(256, 4, 1, width), (257, 4, 1, height), (258, 3, 1, 8), (259, 3, 1, 1), (273, 4, 1, offsets[0]), (279, 4, 1, counts[0])]
+    return b"II*\0" + struct.pack("<I", 8) + struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", *t) for t in tags) + b"\0\0\0\0"
+
+
+def test_a_header_that_claims_too_much_gives_an_error_row(spark):
+    good = tiff.payload_image(b"fine")
+    rows = [(1, header(300_000, 300_000)), (2, good), (3, header(0, 5)), (4, header(40_000, 20_000)), (5, header(300_000, 300_000) + b"x")]
+    found = {r.id: r for r in tiff.pages_of(spark.createDataFrame(rows, "id int, media binary"), keep=("id",)).collect()}
+    assert found[2].error is None and found[2].pixels is not None
+    assert all(found[i].error and found[i].pixels is None for i in (1, 3, 4, 5))
+
+
+def test_pages_leave_in_parts(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(tiff, "HELD", 1)
+    pages = [tiff.Page(np.full((4, 6, 1), n, np.uint8), "deflate", 1, 4) for n in range(5)]
+    found = tiff.pages_of(spark.createDataFrame([(1, tiff.write_tiff(pages)), (2, b"x"), (3, None)], "id int, media binary"), keep=("id",)).collect()
+    assert [(r.id, r.page) for r in sorted(found, key=lambda r: (r.id, r.page))] == [(1, n) for n in range(5)] + [(2, 0)]
+    assert all(set(bytes(r.pixels)) == {r.page} for r in found if r.id == 1)
