@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -102,11 +99,3 @@ def normalize_slugs(df: DataFrame, slug: str = "slug") -> tuple[DataFrame, DataF
     """(rows with lower-case slugs, backup of the rows that change)."""
     changed = df.filter(F.col(slug) != F.lower(slug))
     return df.withColumn(slug, F.lower(slug)), changed
-
-
-def write_version(df: DataFrame, folder: str, name: str) -> DataFrame:
-    """Write a new version of a table next to the old ones and read it back. Later steps then depend on
-    files, not on recomputing lineage, and a lost executor costs one task."""
-    path = os.path.join(folder, f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

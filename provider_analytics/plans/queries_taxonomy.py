@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import taxonomy as tx
-from ..operators import writes
+from ..operators import versioned, writes
+from ..operators.skew import scratch_path
 from .registry import query
 
 # Groups for the product categories of the raw tables.
@@ -328,6 +329,22 @@ def _(d):
     )
 
 
+@query(
+    "upsert_versioned",
+    """SELECT coalesce(p.provider_id, l.listing_id) AS provider_id, coalesce(nullif(p.website, ''), l.website) AS website,
+          CASE WHEN l.listing_id IS NULL THEN p.phone ELSE l.phone END AS phone
+        FROM (SELECT * FROM providers WHERE status = 'published') p FULL JOIN listings l ON l.listing_id = p.provider_id""",
+)
+def _(d):
+    table = scratch_path(d.spark, "providers")
+    versioned.create_versioned(d.providers.filter("status = 'published'").select("provider_id", "website", "phone"), table, ["provider_id"])
+    versioned.upsert_versioned(
+        d.listings.select(F.col("listing_id").alias("provider_id"), "website", "phone"), table,
+        {"website": F.coalesce(F.nullif("old.website", F.lit("")), F.col("new.website"))},
+    )
+    return versioned.read_versioned(d.spark, table)
+
+
 @query(
     "insert_ignore",
     """SELECT request_id, provider_id, status FROM request_recipients WHERE status = 'O' AND provider_id % 2 = 0
