@@ -284,6 +284,51 @@ def zero_result_log(queries: DataFrame, ranked: DataFrame) -> DataFrame:
     )
 
 
+def contained_pairs(queries: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(q, c) where the text q, of two letters or more, occurs in c.
+
+    A suffix array as rows: each place of a label is held under the letters that start there, in the powers of two that
+    are the length of a query rounded down, and a query looks under its own beginning of that length. So the rows are at
+    most the letters of the labels times the few powers in use, and what is met shares at least half of the query."""
+    sized = queries.select("q").filter("length(q) >= 2").distinct().withColumn(
+        "_level", F.expr("shiftleft(1, length(bin(length(q))) - 1)"))
+    asks = sized.select("q", F.expr("left(q, _level)").alias("_start"))
+    levels = sized.agg(F.collect_set("_level").alias("_levels"))  # one row, at most 30 numbers
+    size = F.length("c")
+    places = candidates.select("c").filter("length(c) >= 2").distinct().crossJoin(F.broadcast(levels)).select(
+        "c", F.explode(F.array_distinct(F.flatten(F.transform(
+            F.filter("_levels", lambda n: n <= size),
+            lambda n: F.transform(F.sequence(F.lit(1), size - n + 1), lambda at: F.col("c").substr(at, n)),
+        )))).alias("_start"))
+    return asks.join(places, "_start").filter(F.contains("c", F.col("q"))).select("q", "c")
+
+
+#: Share of typed words that have to be answered for a suggestion.
+_COVERED = 0.66
+
+
+def covered_pairs(queries: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(q, c, share): share of the words of q, two letters or more each, that begin or are begun by a word of c, where
+    it reaches two thirds (0.66).
+
+    Of n words as many have to be answered that any n - needed + 1 of them contain an answered one. So labels are met
+    through those words of a query that the fewest labels answer, and then looked at whole: a word that every label
+    has, and a long sentence with a few known words, bring no pairs."""
+    texts = queries.select("q").distinct().withColumn("_t", F.filter(F.split("q", " "), lambda t: F.length(t) > 1))
+    typed = texts.select("q", F.size("_t").alias("_n"), F.posexplode("_t").alias("_at", "t"))
+    pieces = candidates.select("c").distinct().select("c", F.explode(F.array_distinct(F.split("c", " "))).alias("p"))
+    answers = settle(prefix_pairs(typed.select(F.col("t").alias("q")).distinct(), pieces.select(F.col("p").alias("c")).distinct()).distinct().select(
+        F.col("q").alias("t"), F.col("c").alias("p")), "answers")
+    often = answers.join(pieces.groupBy("p").agg(F.count("*").alias("_df")), "p").groupBy("t").agg(F.sum("_df").alias("_df"))
+    rarest = Window.partitionBy("q").orderBy(F.coalesce("_df", F.lit(0)), "_at")  # the words of one text
+    telling = typed.join(often, "t", "left").withColumn("_rank", F.row_number().over(rarest)).filter(
+        F.col("_rank") <= F.col("_n") - F.ceil(F.col("_n") * _COVERED - 1e-9) + 1)
+    met = telling.select("q", "t").distinct().join(answers, "t").join(pieces, "p").select("q", "c").distinct()
+    fits = lambda t, p: F.startswith(p, t) | F.startswith(t, p)
+    answered = F.filter("_t", lambda t: F.exists(F.split("c", " "), lambda p: fits(t, p)))
+    return met.join(texts, "q").select("q", "c", (F.size(answered) / F.size("_t")).alias("share")).filter(F.col("share") >= _COVERED)
+
+
 def autocomplete(queries: DataFrame, services: DataFrame, terms: DataFrame, limit: int = 6) -> DataFrame:
     """Suggestions while typing: equal 100, prefix 85, contained 75, else by the share of typed words that
     begin, or are begun by, a word of the label (two thirds at least).
@@ -295,26 +340,10 @@ def autocomplete(queries: DataFrame, services: DataFrame, terms: DataFrame, limi
         "service_id", F.col("term").alias("label"), F.lit(1).alias("_section"))).withColumn("c", normalize_query(F.col("label")))
     named = named.filter("c <> ''")
     plain = named.select("c").distinct()
-    size = F.length("c")
-    parts = plain.filter("length(c) >= 2").select("c", F.explode(F.array_distinct(F.flatten(F.transform(
-        F.sequence(F.lit(1), size - 1),
-        lambda i: F.transform(F.sequence(F.lit(2), size - i + 1), lambda n: F.col("c").substr(i, n)),
-    )))).alias("q"))
-    contained = asked.join(parts, "q").select(
+    contained = contained_pairs(asked, plain).select(
         "q", "c", F.when(F.col("q") == F.col("c"), 100).when(F.col("c").startswith(F.col("q")), 85).otherwise(75).alias("score")
     )
-    typed = asked.withColumn("_t", F.filter(F.split("q", " "), lambda t: F.length(t) > 1)).select(
-        "q", F.size("_t").alias("_n"), F.posexplode("_t").alias("_at", "t")
-    )
-    pieces = plain.select("c", F.explode(F.array_distinct(F.split("c", " "))).alias("p"))
-    heads = lambda c: F.transform(F.sequence(F.lit(1), F.length(c)), lambda n: F.col(c).substr(F.lit(1), n))
-    words_t, words_p = typed.select("t").distinct(), pieces.select("p").distinct()
-    pairs = words_t.join(words_p.withColumn("t", F.explode(heads("p"))), "t").select("t", "p").unionByName(
-        words_t.withColumn("p", F.explode(heads("t"))).join(words_p, "p").select("t", "p")
-    ).distinct()
-    coverage = typed.join(pairs, "t").join(pieces, "p").groupBy("q", "c", "_n").agg(F.count_distinct("_at").alias("_m")).select(
-        "q", "c", (F.col("_m") / F.col("_n")).alias("_share")
-    ).filter("_share >= 0.66").select("q", "c", (50 + F.floor(F.col("_share") * 15 + 0.5)).cast("int").alias("score"))
+    coverage = covered_pairs(asked, plain).select("q", "c", (50 + F.floor(F.col("share") * 15 + 0.5)).cast("int").alias("score"))
     scores = contained.unionByName(coverage).groupBy("q", "c").agg(F.max("score").alias("score"))
     best = scores.join(named, "c").groupBy("q", "service_id").agg(
         F.max("score").alias("score"), F.min_by("label", F.struct(-F.col("score"), "_section", "label")).alias("matched_term")

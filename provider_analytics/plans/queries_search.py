@@ -134,7 +134,7 @@ def _(d):
 
 @query(
     "autocomplete_score",
-    f"""WITH asked AS (SELECT DISTINCT {_NORM.format('query')} AS q FROM typed_queries WHERE len({_NORM.format('query')}) >= 2),
+    f"""WITH asked AS (SELECT DISTINCT {_NORM.format('query')} AS q FROM search_queries WHERE len({_NORM.format('query')}) >= 2),
         named AS (SELECT service_id, 0 AS section, name AS label, {_NORM.format('name')} AS c FROM taxonomy WHERE canonical_id IS NULL AND is_searchable
           UNION ALL SELECT t.service_id, 1, term, {_NORM.format('term')} FROM search_terms t JOIN taxonomy x ON x.service_id = t.service_id AND x.canonical_id IS NULL AND x.is_searchable),
         s AS (SELECT q, service_id, section, label, CASE WHEN q = c THEN 100 WHEN starts_with(c, q) THEN 85 WHEN contains(c, q) THEN 75
@@ -147,5 +147,5 @@ def _(d):
           row_number() OVER (PARTITION BY b.q ORDER BY b.score DESC, t.name, t.service_id) AS place FROM b JOIN taxonomy t ON t.service_id = b.service_id) z WHERE place <= 6""",
 )
 def _(d):
-    out = search.autocomplete(d.typed_queries, searchable(d.taxonomy), d.search_terms)
+    out = search.autocomplete(d.search_queries, searchable(d.taxonomy), d.search_terms)
     return out.select("q", "slug", "score", "matched_term", "place")
