@@ -161,15 +161,20 @@ def search_location(requests: DataFrame, providers: DataFrame, figures: DataFram
     near = within(reached, places, F.col("radius_km"), ("city_key",)).filter(F.coalesce(F.col("_city") != F.col("city_key"), F.lit(True))).select(
         F.col("point_id").alias("search_id"), "provider_id", "distance_km")
     wide = _in_district(searches.filter("mode = 'distretto'").select("search_id", "city_key"), rows).withColumn("distance_km", unknown)
-    pool = own.unionByName(near).unionByName(wide)
-    pool = pool.join(searches.select("search_id", "city_key", "exact_city_count", "mode", "radius_km", "center_lat", "center_lng", "near_lat", "near_lng"), "search_id")
-    pool = with_figures(pool.join(live, "provider_id"), figures)
+    # The pool holds what the order needs and is written once; everything else is joined to the rows of the pages.
+    listed = with_figures(live, figures)
+    brief = listed.select("provider_id", "full_name", F.lower("comune").alias("_city"), "lat", "lng", "rating_avg", "review_count", "services_count")
+    pool = own.unionByName(near).unionByName(wide).join(brief, "provider_id").join(
+        searches.select("search_id", "city_key", "center_lat", "center_lng", "near_lat", "near_lng"), "search_id")
     ref_lat, ref_lng = F.coalesce("near_lat", "center_lat"), F.when(F.col("near_lat").isNotNull(), F.col("near_lng")).otherwise(F.col("center_lng"))
-    pool = pool.withColumn("distance_km", F.coalesce("distance_km", distance_km(ref_lat, ref_lng, F.col("lat"), F.col("lng"))))
-    cover = pool.groupBy("search_id").agg(F.count("*").alias("_total"), F.bool_and(F.lower("comune") == F.col("city_key")).alias("_same"))
-    paged = ranking.paginate_by(_with_score(pool), ["search_id"], ranking.by_relevance(), keys.select("search_id", "asked_page"), page_size)
+    pool = _with_score(pool.withColumn("distance_km", F.coalesce("distance_km", distance_km(ref_lat, ref_lng, F.col("lat"), F.col("lng")))))
+    pool = settle(pool.select("search_id", "provider_id", "full_name", "distance_km", "relevance_score", (F.col("_city") == F.col("city_key")).alias("_same")), "candidates")
+    cover = pool.groupBy("search_id").agg(F.count("*").alias("_total"), F.bool_and("_same").alias("_same"))
+    paged = ranking.paginate_by(pool.drop("_same"), ["search_id"], ranking.by_relevance(), keys.select("search_id", "asked_page"), page_size)
+    about = searches.select("search_id", "city_key", "exact_city_count", "mode", "radius_km", "near_lat", "near_lng").join(cover, "search_id")
     scope = scope_label(F.col("mode"), F.col("exact_city_count"), F.col("_total"), F.col("_same"))
-    return paged.join(cover, "search_id").withColumn("scope", scope).drop("_total", "_same", "center_lat", "center_lng")
+    found = paged.drop("full_name").join(about, "search_id").join(listed, "provider_id")
+    return found.withColumn("scope", scope).drop("_total", "_same")
 
 
 def _radius(searches: DataFrame, places: DataFrame, min_local: int, min_total: int) -> DataFrame:

@@ -54,12 +54,23 @@ def page_of(ranked: DataFrame, totals: DataFrame, group: list[str], page: int, p
 
 
 def paginate_by(df: DataFrame, group: list[str], order: list[Column], asked: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame:
-    """Same, with the pages asked for in a frame: the group's columns and asked_page, several per group if need be."""
+    """Same, with the pages asked for in a frame: the group's columns and asked_page, several per group if need be.
+
+    Groups are cut to the largest early page that anybody asks for. Only where a later page is asked for as well, and
+    only in groups that have it, all rows are numbered by a range sort."""
     size = max(1, page_size)
+    early = F.when(F.col("asked_page") <= CUT_RANK // size, F.greatest(F.lit(1), F.col("asked_page")))
+    most, last = asked.agg(F.max(early), F.max("asked_page")).first()
+    cut = (most or 0) * size
     pages = asked.join(_totals(df, group, size), group).withColumn(
         "page", F.least(F.greatest(F.lit(1), F.col("asked_page")), F.col("total_pages")).cast("bigint")
     )
-    return _on_page(place_in_group(df, group, order, "place"), pages, group, size)
+    first = _on_page(top_per_group(df, group, order, cut, "place"), pages.filter(F.col("page") * size <= cut), group, size)
+    if max(1, last or 1) * size <= cut:
+        return first
+    later = pages.filter(F.col("page") * size > cut)
+    numbered = place_in_group(df.join(later.select(*group).distinct(), group, "left_semi"), group, order, "place")
+    return first.unionByName(_on_page(numbered, later, group, size).select(*first.columns))
 
 
 def _totals(df: DataFrame, group: list[str], size: int) -> DataFrame:
