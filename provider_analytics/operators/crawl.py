@@ -9,6 +9,7 @@ from ..functions.phones import phone_e164
 from ..functions.text import slugify, title_case, xml_escape
 from .filters import published
 from .skew import place_in_group, reuse, top_per_group
+from .windows import with_windows
 
 # Provincial capitals with their province codes, in priority order.
 CAPITALS = [
@@ -100,22 +101,15 @@ def infer_province(cities: DataFrame, capitals: DataFrame, extras: DataFrame) ->
     """Add `province` to (comune, district): a known city gives its own; otherwise the longest capital name
     of four letters or more inside the city and district names, the earlier capital on equal length.
 
-    Containment is an equality join on the substrings of distinct (comune, district) texts."""
+    Containment is an equality join of the capital names with the windows of distinct (comune, district) texts that
+    are as long as some capital name."""
     named = cities.withColumn("_d", F.coalesce("district", F.lit("")))
     distinct = named.select("comune", "_d").distinct().withColumn("key", slugify(F.col("comune")))
     known = _capital_keys(capitals).select("key", F.col("capital_province").alias("_a"))
     listed = extras.select(slugify(F.col("name")).alias("key"), F.col("province").alias("_b")).dropDuplicates(["key"])
-    size = F.length("_blob")
-    substrings = distinct.withColumn("_blob", slugify(F.concat_ws(" ", F.trim("comune"), F.col("_d")))).filter(
-        "length(_blob) >= 4"
-    ).select(
-        "comune", "_d",
-        F.explode(F.array_distinct(F.flatten(F.transform(
-            F.sequence(F.lit(1), size - 3),
-            lambda i: F.transform(F.sequence(F.lit(4), size - i + 1), lambda n: F.col("_blob").substr(i, n)),
-        )))).alias("needle"),
-    )
     needles = capitals.select(slugify(F.col("name")).alias("needle"), "province", "pos").filter("length(needle) >= 4")
+    texts = distinct.select("comune", "_d", slugify(F.concat_ws(" ", F.trim("comune"), F.col("_d"))).alias("_blob"))
+    substrings = with_windows(texts, "_blob", needles, "needle")
     inside = substrings.join(needles, "needle").groupBy("comune", "_d").agg(
         F.max_by("province", F.struct(F.length("needle"), -F.col("pos"))).alias("_c")
     )

@@ -11,6 +11,7 @@ from .filters import ilike_search, published, term_key
 from .geojoin import nearest_within, neighbours, within
 from .ranking import PAGE_SIZE
 from .skew import place_in_group, settle, top_per_group
+from .windows import with_windows
 
 
 def services_count(providers: DataFrame, provider_services: DataFrame) -> DataFrame:
@@ -93,20 +94,11 @@ def search_near_me(points: DataFrame, providers: DataFrame, figures: DataFrame,
     return asked.select("point_id", spot.alias("_spot")).join(pages.withColumnRenamed("point_id", "_spot"), "_spot").drop("_spot")
 
 
-def _substrings(names: DataFrame, column: str, part: str) -> DataFrame:
-    """Distinct names with each of their substrings in lower case. Names of places are short."""
-    size = F.length(column)
-    return names.withColumn(part, F.explode(F.array_distinct(F.flatten(F.transform(
-        F.sequence(F.lit(1), size),
-        lambda i: F.transform(F.sequence(F.lit(1), size - i + 1), lambda n: F.lower(F.col(column).substr(i, n))),
-    )))))
-
-
 def _in_district(lost: DataFrame, rows: DataFrame) -> DataFrame:
     """Rows of the asked city, and rows whose district contains its name. The containment runs over distinct district
-    names as an equality with their substrings, not as a pairwise scan. lost: search_id, city_key."""
-    districts = rows.select("district").filter("district <> ''").distinct()
-    outer = lost.join(_substrings(districts, "district", "city_key"), "city_key").select("search_id", "city_key", "district")
+    names as an equality with their windows as long as an asked name, not as a pairwise scan. lost: search_id, city_key."""
+    districts = rows.select("district").filter("district <> ''").distinct().withColumn("_lower", F.lower("district"))
+    outer = lost.join(with_windows(districts, "_lower", lost.select("city_key"), "city_key"), "city_key").select("search_id", "city_key", "district")
     columns = ["search_id", "provider_id"]
     around = outer.withColumnRenamed("city_key", "_asked").join(rows, "district").filter(
         F.coalesce(F.col("city_key") != F.col("_asked"), F.lit(True))).select(*columns)
@@ -263,10 +255,11 @@ def nearby_with_fallback(providers: DataFrame, k: int = 6) -> DataFrame:
 
 def district_lists(listed: DataFrame, order: list[Column], k: int) -> DataFrame:
     """First k+1 providers of all districts whose name contains the given district's name. Containment is an
-    equality with the substrings of the distinct names; each name brings its own short list."""
+    equality with windows of the distinct names; each name brings its own short list."""
     names = listed.select("district").filter("district <> ''").distinct()
-    inside = _substrings(names.withColumnRenamed("district", "_outer"), "_outer", "_part")
-    pairs = names.withColumn("_part", F.lower("district")).join(inside, "_part").select("district", "_outer")
+    asked = names.withColumn("_part", F.lower("district"))
+    held = names.select(F.col("district").alias("_outer"), F.lower("district").alias("_lower"))
+    pairs = asked.join(with_windows(held, "_lower", asked, "_part"), "_part").select("district", "_outer")
     first = top_per_group(listed.filter("district <> ''"), ["district"], order, k + 1).withColumnRenamed("district", "_outer")
     best = top_per_group(pairs.join(first, "_outer"), ["district"], order, k + 1, "place")
     return best.groupBy("district").agg(F.transform(
