@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_query
-from .skew import reuse, top_per_group
+from .skew import settle, top_per_group
 
 # Word stems that speak for or against a provider, by aspect, in report order.
 ASPECTS = {
@@ -69,23 +71,28 @@ def aspect_sentiment(reviews: DataFrame, aspects: dict | None = None) -> DataFra
     """Per provider and aspect: reviews for and against (one each per review at most), share, label and the
     first two reviews that say so. Stems are tested as plain substrings of the normalised text.
 
-    The lexicon is a literal of the plan, so no text is copied per stem and no review leaves its task before
-    the partial aggregation."""
+    The lexicon is a literal of the plan. Each text is read and normalised once and leaves two numbers, a bit for every
+    aspect spoken for and one for every aspect spoken against; counts and evidence are worked out from these."""
     table = aspects or ASPECTS
-    text = normalize_query(F.col("text"))
+    names = list(table)
+    if len(names) > 62:
+        raise ValueError("at most 62 aspects")
+    bits = lambda t, side: reduce(
+        Column.bitwiseOR, [F.when(_hit(t, table[name][side]), F.lit(1 << i).cast("bigint")).otherwise(F.lit(0).cast("bigint")) for i, name in enumerate(names)])
     # Binding the text to a lambda variable makes sure it is normalised once per review, not once per stem.
-    flags = lambda t: F.array(*[
-        F.struct(F.lit(i).alias("aspect_no"), F.lit(name).alias("aspect"),
-                 _hit(t, words["positive"]).alias("pos"), _hit(t, words["negative"]).alias("neg"))
-        for i, (name, words) in enumerate(table.items())
-    ])
-    hits = reuse(reviews.select("provider_id", "review_id", F.inline(F.flatten(F.transform(F.array(text), flags)))))
-    counted = hits.groupBy("provider_id", "aspect_no", "aspect").agg(
-        F.count_if("pos").alias("positive_hits"), F.count_if("neg").alias("negative_hits"),
-    )
+    masks = F.transform(F.array(normalize_query(F.col("text"))), lambda t: F.struct(bits(t, "positive").alias("_pos"), bits(t, "negative").alias("_neg")))
+    marks = settle(reviews.select("provider_id", "review_id", F.inline(masks)), "review-marks")
+    has = lambda side, i: F.col(side).bitwiseAND(1 << i) != 0
+    counted = marks.groupBy("provider_id").agg(*[
+        F.count_if(has(side, i)).alias(f"{side}{i}") for i in range(len(names)) for side in ("_pos", "_neg")
+    ]).select("provider_id", F.inline(F.array(*[
+        F.struct(F.lit(i).alias("aspect_no"), F.lit(name).alias("aspect"), F.col(f"_pos{i}").alias("positive_hits"), F.col(f"_neg{i}").alias("negative_hits"))
+        for i, name in enumerate(names)
+    ])))
+    spoken = F.array_compact(F.array(*[F.when(has("_pos", i) | has("_neg", i), F.lit(i)) for i in range(len(names))]))
+    hits = marks.select("provider_id", "review_id", F.explode(spoken).alias("aspect_no"))
     evidence = top_per_group(
-        hits.filter(F.col("pos") | F.col("neg")).select("provider_id", "aspect_no", "review_id"),
-        ["provider_id", "aspect_no"], [F.col("review_id")], 2,
+        hits, ["provider_id", "aspect_no"], [F.col("review_id")], 2,
     ).groupBy("provider_id", "aspect_no").agg(F.array_join(F.array_sort(F.collect_list("review_id")).cast("array<string>"), ",").alias("evidence"))
     total = F.col("positive_hits") + F.col("negative_hits")
     share = F.when(total > 0, F.col("positive_hits") / total)

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.records import json_len
 from ..functions.text import blank_to_null, normalize_query
 from .skew import place_in_group, top_per_group
 
@@ -161,6 +162,30 @@ def related_services(taxonomy: DataFrame, relations: DataFrame, limit: int = 6)
     ).drop("_kind")
 
 
+def related_services_priced(taxonomy: DataFrame, relations: DataFrame, benchmarks: DataFrame, limit: int = 6) -> DataFrame:
+    """related_services with the label, category and best national prices of each related one."""
+    about = with_benchmark(taxonomy.select("service_id", "slug", "name", "category"), benchmarks).withColumnRenamed("service_id", "related_id")
+    return related_services(taxonomy, relations, limit).select("service_id", "related_id", "weight", "origin", "place").join(about, "related_id")
+
+
+def service_list(taxonomy: DataFrame, benchmarks: DataFrame, contents: DataFrame, limit: int | None = None, short: int = 200) -> DataFrame:
+    """Every record of the taxonomy - service, alias or hub - in one row for its editors: the slug an alias stands for,
+    the mean national price, how many documents are asked for, and whether text (of more than `short` characters) and
+    image are there. By priority, unknown last, then name, if a limit is given; without one in no order.
+
+    contents: service_id (unique), required_documents (JSON list), html_content, image_url, content_status; a service
+    may be missing there."""
+    canonical = taxonomy.select(F.col("service_id").alias("canonical_id"), F.col("slug").alias("canonical_slug"))
+    filled = lambda c, least: F.coalesce(F.length(F.trim(c)) > least, F.lit(False))
+    listed = F.try_variant_get(F.try_parse_json("required_documents"), "$", "array<variant>")
+    rows = with_benchmark(taxonomy, benchmarks).join(canonical, "canonical_id", "left").join(contents, "service_id", "left")
+    rows = rows.select(
+        "service_id", "slug", "name", "category", "record_kind", "is_searchable", "canonical_slug", "priority", "price_avg_cents",
+        json_len(listed).alias("docs_count"), "content_status", filled("html_content", short).alias("has_html"), filled("image_url", 0).alias("has_image"),
+    )
+    return rows if limit is None else rows.orderBy(F.col("priority").asc_nulls_last(), "name", "service_id").limit(limit)
+
+
 def related_or_category_fill(related: DataFrame, services: DataFrame, macro: Column, order: list[Column],
                              at_least: int = 3, limit: int = 6) -> DataFrame:
     """Related services of each service where there are enough, else others of its macro category."""

@@ -50,6 +50,15 @@ SELECT s.service_id, s.slug, s.name, s.category, s.record_kind, s.is_searchable,
 FROM services s LEFT JOIN services c ON c.name = s.canonical_name
 """
 
+# What editors have written for a service; some have nothing, some a list that is no list.
+VIEWS["service_contents"] = """
+SELECT p.service_id, CASE WHEN p.service_id % 5 = 3 THEN 'none' WHEN p.service_id % 5 = 4 THEN NULL ELSE p.brands END AS required_documents,
+       text AS html_content, CASE WHEN p.service_id % 3 = 0 THEN ' ' WHEN p.service_id % 3 = 1 THEN concat('/img/', lang, '.webp') ELSE NULL END AS image_url,
+       source AS content_status
+FROM (SELECT min(p_partkey) AS service_id, concat('["', min(p_brand), '","', max(p_brand), '"]') AS brands FROM part GROUP BY p_name) p
+JOIN documents ON doc_id = p.service_id * 2
+"""
+
 VIEWS["price_benchmarks"] = """
 SELECT p_partkey AS benchmark_id, s.service_id,
        CASE WHEN p_partkey % 3 = 0 THEN 'national' ELSE 'province' END AS location_scope,

@@ -117,14 +117,14 @@ _MICRO = """SELECT provider_id AS page_id, concat('https://dir.example.org/', sl
 @query(
     "parse_microdata",
     """SELECT provider_id AS page_id, full_name AS name, 'Studi' AS category, concat('Via Roma ', CAST(provider_id % 90 AS STRING), ' 00100 ', comune) AS address, comune AS city, phone, CAST(41.5 AS DOUBLE) AS lat, CAST(12.25 AS DOUBLE) AS lng,
-          concat('https://www.', replace(lower(c_name), '#', ''), '.example.org/') AS website, 'Short' AS short_description, concat('About ', district) AS description, '9-13' AS monday
+          concat('https://www.', replace(lower(c_name), '#', ''), '.example.org/') AS website, 'Short' AS short_description, concat('About ', district) AS description, '9-13' AS monday, CAST(0 AS INT) AS tuesday_spans
        FROM providers JOIN customer ON c_custkey = provider_id""",
 )
 def _(d):
     rows = ex.parse_microdata(spread(d.sql(_MICRO)))
     return rows.select(
         "page_id", "name", "category", "address", "city", "phone", "lat", "lng", "website", "short_description", "description",
-        F.col("opening_hours")["Lun"].alias("monday"),
+        F.get(F.col("opening_hours")["Lun"], F.lit(0)).alias("monday"), F.size(F.col("opening_hours")["Mar"]).alias("tuesday_spans"),
     )
 
 

@@ -70,6 +70,27 @@ def _(d):
     return tx.related_services(d.taxonomy, d.service_relations, 6).select("service_id", "related_id", "weight", "origin", "place")
 
 
+@query(
+    "related_services_priced",
+    f"""SELECT r.service_id, r.related_id, r.weight, r.origin, r.place, t.slug, t.name, t.category, b.price_min_cents, b.price_avg_cents, b.price_max_cents, b.confidence AS price_confidence
+        FROM ({_RELATED.format(6)}) r JOIN taxonomy t ON t.service_id = r.related_id LEFT JOIN ({_BEST}) b ON b.service_id = r.related_id""",
+)
+def _(d):
+    return tx.related_services_priced(d.taxonomy, d.service_relations, d.price_benchmarks, 6)
+
+
+@query(
+    "service_list",
+    f"""SELECT t.service_id, t.slug, t.name, t.category, t.record_kind, t.is_searchable, c.slug AS canonical_slug, t.priority, b.price_avg_cents,
+          CAST(CASE WHEN starts_with(s.required_documents, '[') THEN 2 ELSE 0 END AS INT) AS docs_count, s.content_status,
+          coalesce(len(trim(s.html_content)) > 200, false) AS has_html, coalesce(len(trim(s.image_url)) > 0, false) AS has_image
+        FROM taxonomy t LEFT JOIN taxonomy c ON c.service_id = t.canonical_id LEFT JOIN ({_BEST}) b ON b.service_id = t.service_id
+        LEFT JOIN service_contents s ON s.service_id = t.service_id""",
+)
+def _(d):
+    return tx.service_list(d.taxonomy, d.price_benchmarks, d.service_contents)
+
+
 @query(
     "related_or_category_fill",
     f"""WITH enough AS (SELECT service_id FROM service_relations GROUP BY service_id HAVING count(*) >= 8)
