@@ -1,8 +1,9 @@
 """License detection by ordered signature rules.
 
 A document is reduced to its words once. Keywords decide whether any rule can match at all; the rules whose keyword
-occurs run their regex over the words. Every detection has an interval and a priority, and one that lies inside an
-interval already kept is suppressed, so `GNU Lesser General Public License` is not also a GPL."""
+occurs run their regex over the words: sentences of the license texts, notices, addresses, and names in their uses. Every
+detection has an interval and a priority, and one that lies inside an interval already kept is suppressed, so `GNU Lesser
+General Public License` is not also a GPL. Look-alikes, as in `license plate`, only suppress."""
 
 from __future__ import annotations
 
@@ -99,20 +100,161 @@ _NAMES = (
     ("public-domain", r"public domain", "public domain", False),
 )
 
-# How a name is used: priority (lower wins), what precedes and follows it, and the confidence of a detection.
+# Sentences of the license texts themselves, notices that stand in files, and addresses, as regexes over
+# words, with the keyword that must occur. Earlier rules win where the intervals of two are equal.
+_MIT = r"permission is hereby granted free of charge to any person obtaining a copy of this software and(?: its)? associated documentation files"
+_BSD = r"redistribution and use in source and binary forms with or without modification are permitted"
+_ISC = r"permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted"
+_FSF = r"(?: as)? published by the free software foundation(?: either)? version "
+_LATER = r"(?: of the license(?: or at your option any later version)?)?"
+_SIGNATURES = (
+    # Permissive texts
+    ("mit-0", _MIT + r"(?: \S+){10,60}? furnished to do so the software is provided as is", "permission is hereby granted"),
+    ("json", r"the software shall be used for good not evil", "good not evil"),
+    ("ncsa", _MIT + r" the software to deal with the software without restriction", "permission is hereby granted"),
+    ("x11", r"except as contained in this notice the name of the x consortium shall not be used in advertising", "x consortium"),
+    ("mit", _MIT, "permission is hereby granted"),
+    ("mit", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "permission notice"),
+    ("unicode", r"permission is hereby granted free of charge to any person obtaining a copy of the unicode data files", "unicode data files"),
+    ("boost-1", r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", "permission is hereby granted"),
+    ("apache-1.1", _BSD + r"(?: \S+){10,260}? products derived from this software may not be called apache", "redistribution and use"),
+    ("php-3", _BSD + r"(?: \S+){10,120}? the name php must not be used to endorse", "redistribution and use"),
+    ("openssl", _BSD + r"(?: \S+){10,120}? developed by the openssl project", "redistribution and use"),
+    ("bsd-4-clause", _BSD + r"(?: \S+){10,120}? all advertising materials mentioning features or use of this software(?:(?: \S+){5,80}? (?:neither the names? of|may not be used to endorse or promote))?", "redistribution and use"),
+    ("bsd-3-clause", _BSD + r"(?: \S+){10,120}? (?:neither the names? of|may not be used to endorse or promote)", "redistribution and use"),
+    ("bsd-2-clause", _BSD, "redistribution and use"),
+    ("0bsd", _ISC + r" the software is provided as is", "permission to use copy"),
+    ("isc", _ISC + r" provided that the above copyright notice", "permission to use copy"),
+    ("postgresql", r"permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted", "permission to use copy"),
+    ("hpnd", r"permission to use copy modify(?: and)? distribute(?: and sell)? this software and its documentation for any purpose(?: and)?(?: is hereby granted)? without fee", "permission to use copy"),
+    ("zlib", r"permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely", "permission is granted"),
+    ("zlib", r"altered source versions must be plainly marked as such and must not be misrepresented as being the original software", "altered source"),
+    ("libpng", r"the png reference library is supplied as is", "png reference library"),
+    ("unlicense", r"this is free and unencumbered software released into the public domain", "unencumbered"),
+    ("wtfpl", r"you just do what the fuck you want to", "do what the"),
+    ("beerware", r"as long as you retain this notice you can do whatever you want with this stuff", "whatever you want"),
+    ("blessing", r"may you do good and not evil may you find forgiveness for yourself and forgive others", "find forgiveness"),
+    ("ijg", r"this software is based in part on the work of the independent jpeg group", "independent jpeg group"),
+    ("ftl", r"portions of this software are copyright(?: c)?(?: \S+){0,2} the freetype project", "freetype project"),
+    ("openssl", r"this product includes software developed by the openssl project for use in the openssl toolkit", "openssl project"),
+    ("ruby", r"you may make and give away verbatim copies of the source form of the software without restriction provided that you duplicate all of the original copyright notices", "verbatim copies"),
+    ("python-2", r"psf is making python available to licensee on an as is basis", "making python available"),
+    ("python-2", r"this license agreement is between the python software foundation psf and the individual or organization", "python software foundation"),
+    ("upl-1", r"the universal permissive license upl(?: version| v)? ?1 0", "universal permissive"),
+    ("upl-1", r"to make use sell offer for sale import export have made and have sold the software and the larger work", "larger work"),
+    ("ecl-2", r"licensed under the educational community license version 2 0", "educational community"),
+    ("mulan-2", r"mulan psl v2", "mulan"),
+    ("mulan-2", r"mulan permissive software license version 2", "mulan"),
+    ("afl-3", r"licensed under the academic free license version 3 0", "academic free"),
+    ("osl-3", r"licensed under the open software license version 3 0", "open software"),
+    # Apache
+    ("apache-2", r"licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", "apache license"),
+    ("apache-2", r"apache license version 2 0 january 2004", "apache license"),
+    ("apache-2", r"licensed to the apache software foundation asf under one or more contributor license agreements", "contributor license agreements"),
+    ("apache-2", r"subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license", "each contributor hereby grants to you"),
+    ("apache-2", r"apache org licenses(?: license)? 2 0", "apache org licenses"),
+    ("apache-1.1", r"apache org licenses license 1 1", "apache org licenses"),
+    # GNU
+    ("agpl-3", r"gnu affero general public license" + _FSF + "3" + _LATER, "affero"),
+    ("lgpl-3", r"gnu lesser general public license" + _FSF + "3" + _LATER, "lesser general"),
+    ("lgpl-2.1", r"gnu lesser general public license" + _FSF + "2 1" + _LATER, "lesser general"),
+    ("lgpl-2", r"gnu (?:library|lesser) general public license" + _FSF + r"2(?! 1)" + _LATER, "library general|lesser general"),
+    ("gpl-3", r"gnu general public license" + _FSF + "3" + _LATER, "general public"),
+    ("gpl-2", r"gnu general public license" + _FSF + "2" + _LATER, "general public"),
+    ("gpl-1", r"gnu general public license" + _FSF + "1" + _LATER, "general public"),
+    ("agpl-3", r"gnu affero general public license version 3 19 november 2007", "affero"),
+    ("lgpl-3", r"gnu lesser general public license version 3 29 june 2007", "lesser general"),
+    ("lgpl-2.1", r"gnu lesser general public license version 2 1 february 1999", "lesser general"),
+    ("lgpl-2", r"gnu library general public license version 2 june 1991", "library general"),
+    ("gpl-3", r"gnu general public license version 3 29 june 2007", "general public"),
+    ("gpl-2", r"gnu general public license version 2 june 1991", "general public"),
+    ("gpl-1", r"gnu general public license version 1 february 1989", "general public"),
+    ("gpl-3", r"the licenses for most software and other practical works are designed to take away your freedom to share and change the works by contrast the gnu general public license", "take away your freedom"),
+    ("gpl-2", r"the licenses for most software are designed to take away your freedom to share and change it by contrast the gnu general public license", "take away your freedom"),
+    ("lgpl-2.1", r"the licenses for most software are designed to take away your freedom to share and change it by contrast the gnu general public licenses", "take away your freedom"),
+    ("gfdl-1.3", r"copy distribute and or modify this document under the terms of the gnu free documentation license version 1 3", "free documentation"),
+    ("gfdl-1.2", r"copy distribute and or modify this document under the terms of the gnu free documentation license version 1 2", "free documentation"),
+    ("gfdl-1.1", r"copy distribute and or modify this document under the terms of the gnu free documentation license version 1 1", "free documentation"),
+    ("agpl-3", r"gnu org licenses agpl(?: 3 0)?", "gnu org licenses"),
+    ("lgpl-2.1", r"gnu org licenses(?: old licenses)? lgpl 2 1", "gnu org licenses"),
+    ("lgpl-3", r"gnu org licenses lgpl 3 0", "gnu org licenses"),
+    ("gpl-2", r"gnu org licenses(?: old licenses)? gpl 2 0", "gnu org licenses"),
+    ("gpl-3", r"gnu org licenses gpl 3 0", "gnu org licenses"),
+    ("lgpl", r"gnu org (?:licenses|copyleft) lgpl", "gnu org"),
+    ("gpl", r"gnu org (?:licenses|copyleft) gpl", "gnu org"),
+    ("gfdl", r"gnu org (?:licenses|copyleft) fdl", "gnu org"),
+    # Weak copyleft of companies and foundations
+    ("mpl-2", r"this source code form is subject to the terms of the mozilla public license v(?:ersion)? ?2 0", "source code form"),
+    ("mpl-2", r"if a copy of the mpl was not distributed with this file you can obtain one at", "copy of the mpl"),
+    ("mpl-2", r"mozilla org mpl 2 0", "mozilla org"),
+    ("mpl-1.1", r"the contents of this file are subject to the mozilla public license version 1 1", "mozilla public"),
+    ("mpl-1.0", r"the contents of this file are subject to the mozilla public license version 1 0", "mozilla public"),
+    ("mpl-1.1", r"mozilla org mpl(?: mpl)? 1 1", "mozilla org"),
+    ("npl-1.1", r"the contents of this file are subject to the netscape public license version 1 1", "netscape public"),
+    ("epl-2", r"made available under the terms of the eclipse public license(?: v| version)? ?2 0", "eclipse public"),
+    ("epl-1", r"made available under the terms of the eclipse public license(?: v| version)? ?1 0", "eclipse public"),
+    ("epl-2", r"eclipse org legal epl (?:2 0|v20)", "eclipse org legal"),
+    ("epl-1", r"eclipse org legal epl v10", "eclipse org legal"),
+    ("cpl-1", r"the accompanying program is provided under the terms of this common public license", "common public"),
+    ("ipl-1", r"the accompanying program is provided under the terms of this ibm public license", "ibm public"),
+    ("cddl-1", r"the contents of this file are subject to the terms of the common development and distribution license", "common development"),
+    ("ms-rl", r"microsoft reciprocal license ms rl this license governs use of the accompanying software", "reciprocal license"),
+    ("ms-pl", r"microsoft public license ms pl this license governs use of the accompanying software", "microsoft public"),
+    ("eupl-1.2", r"licensed under the eupl(?: version| v)? ?1 2", "eupl"),
+    ("cecill-2.1", r"(?:governed by|subject to|under) the cecill(?: free software)? license(?: version)? 2 1", "cecill"),
+    ("cecill", r"governed by the cecill(?: [bc])? license under french law", "cecill"),
+    ("lppl-1.3", r"this work may be distributed and or modified under the conditions of the latex project public license either version 1 3", "latex project public"),
+    ("lppl", r"latex project org lppl", "latex project"),
+    ("artistic-1", r"the copyright holder maintains some semblance of artistic control over the development of the package", "artistic control"),
+    ("artistic-2", r"this license establishes the terms under which a given free software package may be copied modified distributed and or redistributed", "given free software package"),
+    ("sspl-1", r"server side public license version 1 october 16 2018", "server side"),
+    ("bsl-1.1", r"the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use of the licensed work", "licensed work"),
+    ("elastic-2", r"you may not provide the software to third parties as a hosted or managed service", "hosted or managed service"),
+    # Works, data, fonts
+    ("cc-by-nc-nd", r"creativecommons org licenses by nc nd(?: [1-4] [0-9])?", "creativecommons org"),
+    ("cc-by-nc-sa", r"creativecommons org licenses by nc sa(?: [1-4] [0-9])?", "creativecommons org"),
+    ("cc-by-nc", r"creativecommons org licenses by nc(?: [1-4] [0-9])?", "creativecommons org"),
+    ("cc-by-nd", r"creativecommons org licenses by nd(?: [1-4] [0-9])?", "creativecommons org"),
+    ("cc-by-sa", r"creativecommons org licenses by sa(?: [1-4] [0-9])?", "creativecommons org"),
+    ("cc-by", r"creativecommons org licenses by(?: [1-4] [0-9])?", "creativecommons org"),
+    ("cc0-1", r"creativecommons org publicdomain zero(?: 1 0)?", "creativecommons org"),
+    ("public-domain", r"creativecommons org publicdomain mark(?: 1 0)?", "creativecommons org"),
+    ("cc0-1", r"the person who associated a work with this deed has dedicated the work to the public domain", "dedicated the work"),
+    ("cc0-1", r"affirmer hereby overtly fully permanently irrevocably and unconditionally waives abandons and surrenders all of affirmer s copyright", "affirmer"),
+    ("public-domain", r"(?:has been|is hereby|are hereby) (?:placed in|released into|dedicated to) the public domain", "public domain"),
+    ("ofl-1.1", r"this font software is licensed under the sil open font license version 1 1", "font software"),
+    ("ofl-1.1", r"(?:scripts sil org|openfontlicense org)(?: ofl)?", "sil org|openfontlicense"),
+    ("odbl-1", r"opendatacommons org licenses odbl(?: 1 0)?", "opendatacommons org"),
+    ("odc-by-1", r"opendatacommons org licenses by(?: 1 0)?", "opendatacommons org"),
+    ("pddl-1", r"opendatacommons org licenses pddl(?: 1 0)?", "opendatacommons org"),
+)
+# What only looks like a license. An interval of these suppresses what lies in it and gives no label.
+_LOOKALIKES = (
+    (r"(?:\S+ ){0,2}licen[cs]e (?:plates?|numbers?|fees?|holders?|office|tags?)", "licen"),
+    (r"(?:\S+ ){0,2}licen[cs]e of (?:the|a|this) (?:city|state|county|town|driver|shop|bar|pub|restaurant|doctor|pilot)", "licen"),
+    (r"(?:driver s?|drivers|driving|fishing|hunting|marriage|liquor|pilot s?|business|broadcasting|television|medical|artistic) licen[cs]e(?! [0-9]| version| v[0-9])", "licen"),
+    (r"not (?:been |be )?(?:licensed|released|distributed|available|published|covered) under (?:\S+ ){0,6}?licen[cs]es?", "not"),
+    (r"(?:not|nor|never) (?:\S+ ){0,2}?(?:placed in|released into|dedicated to|in) the public domain", "public domain"),
+)
+
+# How a name is used: priority (lower wins), what precedes and follows it, and the confidence of a detection. Where a
+# group is marked, only what it holds is the interval.
 _USES = (
-    (1, r"spdx license identifier {name}(?: only| or later)?", 1.0),
-    (2, r"(?:licensed|licenced|released|distributed|available|published|provided|covered|made available)(?: \S+){{0,3}}? (?:under|by)"
+    (2, r"spdx license identifier {name}(?: only| or later)?", 1.0),
+    (2, r"spdx license identifier (?:\S+ ){{1,12}}?(?:or|and) ({name})(?: only| or later)?", 1.0),
+    (3, r"(?:opensource|spdx|choosealicense) (?:org|com) licenses? {name}", 0.9),
+    (3, r"(?:licensed|licenced|released|distributed|available|published|provided|covered|made available)(?: \S+){{0,3}}? (?:under|by the terms of|by the conditions of)"
         r"(?: the)?(?: terms| conditions)?(?: of)?(?: the| a| an)? {name}(?: licen[cs]e)?(?: or later)?", 0.95),
-    (3, r"(?:the )?{name} licen[cs]e(?:d)?", 0.8),
-    (4, r"licen[cs]e(?: is| type| name)? (?:the )?{name}", 0.7),
-    (5, r"{name}", 0.5),
+    (4, r"(?:the )?{name} licen[cs]e(?:d)?", 0.8),
+    (5, r"licen[cs]e(?: is| type| name)? (?:the )?{name}", 0.7),
+    (6, r"{name}", 0.5),
 )
 #: One of these occurs in every text in which a rule can match.
 _ANCHORS = (b"licen", b"spdx", b"gpl", b"creative commons", b"cc by", b"cc attribution", b"cc0", b"cc zero", b"public domain", b"mpl", b"epl",
             b"cddl", b"cpl", b"eupl", b"bsd", b"apache", b"mozilla", b"wtfpl", b"gfdl", b"odbl", b"odc by", b"pddl",
             b"psfl", b"ms pl", b"ms rl", b"osl", b"afl", b"busl", b"sspl", b"released", b"distributed", b"available",
-            b"published", b"provided", b"covered", b"mit 0", b"mit no attribution")
+            b"published", b"provided", b"covered", b"mit 0", b"mit no attribution",
+            *sorted({keyword.encode() for _, _, keywords in _SIGNATURES for keyword in keywords.split("|")}))
 
 
 @dataclass(frozen=True)
@@ -125,14 +267,16 @@ class Rule:
 
 
 def signature_rules() -> list[Rule]:
-    """All rules in the order in which they are tried: by use, then in the order of the names."""
-    rules = []
+    """All rules in the order in which they are tried: look-alikes, which have no label, then texts, notices and addresses,
+    then names by use and in their own order."""
+    whole = lambda text: re.compile((r"(?<!\S)" + text + r"(?!\S)").encode())
+    gates = lambda keywords: tuple(k.encode() for k in keywords.split("|"))
+    rules = [Rule(0, "", gates(keywords), whole(text), 0.0) for text, keywords in _LOOKALIKES]
+    rules += [Rule(1, label, gates(keywords), whole(text), 0.98) for label, text, keywords in _SIGNATURES]
     for priority, use, confidence in _USES:
         for label, name, keywords, alone in _NAMES:
-            if priority == 5 and not alone:
-                continue
-            pattern = re.compile((r"(?<!\S)" + use.format(name=name) + r"(?!\S)").encode())
-            rules.append(Rule(priority, label, tuple(k.encode() for k in keywords.split("|")), pattern, confidence))
+            if alone or use != r"{name}":
+                rules.append(Rule(priority, label, gates(keywords), whole(use.format(name=name)), confidence))
     return rules
 
 
@@ -159,14 +303,16 @@ def base_places(joined: bytes) -> list[tuple[int, bytes, str]]:
 
 
 def detections(joined: bytes, rules: list[Rule]) -> list[tuple[int, int, Rule]]:
-    """Start and end in bytes of the joined words, and the rule, after suppression."""
+    """Start and end in bytes of the joined words, and the rule, after suppression; look-alikes are left out."""
     if not any(anchor in joined for anchor in _ANCHORS):
         return []
     known: dict[bytes, bool] = {}
     found = []
     for order, rule in enumerate(rules):
         if any(known[k] if k in known else known.setdefault(k, k in joined) for k in rule.keywords):
-            found += [(rule.priority, -(m.end() - m.start()), m.start(), order, m.end(), rule) for m in rule.pattern.finditer(joined)]
+            for m in rule.pattern.finditer(joined):
+                start, end = m.span(m.lastindex or 0)
+                found.append((rule.priority, start - end, start, order, end, rule))
     kept: list[tuple[int, int, Rule]] = []
     starts: list[int] = []  # of the kept intervals that no other kept one contains: both rise together
     ends: list[int] = []
@@ -177,7 +323,7 @@ def detections(joined: bytes, rules: list[Rule]) -> list[tuple[int, int, Rule]]:
         kept.append((start, end, rule))
         low, high = bisect_left(starts, start), bisect_right(ends, end)
         starts[low:max(low, high)], ends[low:max(low, high)] = [start], [end]
-    return sorted(kept, key=lambda x: x[:2])
+    return sorted((found for found in kept if found[2].label), key=lambda x: x[:2])
 
 
 _OUT = pa.schema([
