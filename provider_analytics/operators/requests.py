@@ -37,19 +37,21 @@ def canonical_service(submissions: DataFrame, taxonomy: DataFrame) -> DataFrame:
 def owned_properties(links: DataFrame, submissions: DataFrame, properties: DataFrame) -> DataFrame:
     """Linked properties (submission_id, property_id) that belong to the submitter."""
     mine = submissions.select("submission_id", F.lower(F.trim("email")).alias("_email"))
-    owned = properties.select("property_id", F.lower(F.trim("owner_email")).alias("_email"))
-    return links.select("submission_id", "property_id").distinct().join(mine, "submission_id").join(owned, ["property_id", "_email"]).drop("_email")
+    owned = properties.select("property_id", F.lower(F.trim("owner_email")).alias("_owner"))
+    # Dealt by property while rows are two ids, then by submission, as which they are gathered after.
+    linked = links.select("submission_id", "property_id").repartition("property_id").distinct().join(owned, "property_id")
+    return linked.join(mine, "submission_id").filter(F.col("_email") == F.col("_owner")).select("property_id", "submission_id")
 
 
 def _id_list(rows: DataFrame, id_col: str, name: str) -> DataFrame:
-    """The ids of each submission as one sorted array: what a person ticked in one form."""
-    return rows.select("submission_id", id_col).distinct().groupBy("submission_id").agg(F.collect_list(id_col).alias(name))
+    """The distinct ids of each submission as one array: what a person ticked in one form."""
+    return rows.select("submission_id", id_col).groupBy("submission_id").agg(F.collect_set(id_col).alias(name))
 
 
 def request_keys(submissions: DataFrame, targets: DataFrame, properties: DataFrame | None = None) -> DataFrame:
     """Submissions with their idempotency hash over all ticked providers and all linked properties."""
     none = F.array().cast("array<bigint>")
-    rows = submissions.join(_id_list(targets, "provider_id", "_providers"), "submission_id", "left")
+    rows = submissions.join(_id_list(targets.select("submission_id", "provider_id").repartition("submission_id"), "provider_id", "_providers"), "submission_id", "left")
     if properties is not None:
         rows = rows.join(_id_list(properties, "property_id", "_properties"), "submission_id", "left")
     else:
