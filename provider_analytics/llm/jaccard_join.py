@@ -39,6 +39,8 @@ BROADCAST_IDS = 500_000
 #: Rounds in which the sets of a signature are compared with one of them; and up to how many separate sets of a
 #: signature are then compared one by one, before the sets that ask look again in a finer partition.
 HUB_ROUNDS, GROUP_SIZE = 1, 32
+#: 64-bit words of the sketch that tells apart sets which meet in the finest partition.
+SKETCH_WORDS = 32
 
 _M1, _M2, _P = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -154,6 +156,14 @@ def scheme_rows(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndar
     return *(np.concatenate([p[i] for p in parts]) for i in range(3)), units, below, band
 
 
+def sketch(values: np.ndarray) -> np.ndarray:
+    """Bits by hash, each set where an odd number of a set's shingles fall on it. A shingle that one of two sets has alone
+    changes one bit, so two sets differ in at least as many shingles as sketches in bits."""
+    size = 64 * SKETCH_WORDS
+    held = np.bincount(((values >> np.uint64(32)) % np.uint64(size)).astype(np.int64), minlength=size)
+    return np.packbits((held & 1).astype(np.uint8), bitorder="little").view("<i8")
+
+
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches of texts in parts that are small as lists of words."""
     for batch in batches:
@@ -206,8 +216,9 @@ def index(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def shared_only(rows: DataFrame) -> DataFrame:
     """Of the index, the documents and the signatures that more than one set has, with how many rows share each, in
-    `cost`. Rows come sorted by signature and pass as a stream; an open group is held back up to COST_CAP rows."""
-    spread = rows.repartition("sig").sortWithinPartitions("sig", "set", "mark")
+    `cost`. Rows come sorted by signature and pass as a stream; an open group is held back up to COST_CAP rows. Most
+    signatures have one row, so only the others are put in order of set and mark, here."""
+    spread = rows.repartition("sig").sortWithinPartitions("sig")
     names = [*rows.columns, "cost"]
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,6 +236,14 @@ def shared_only(rows: DataFrame) -> DataFrame:
             at = np.flatnonzero(signature)
             if not len(at):
                 return
+            new = np.concatenate([[True], np.diff(sig[at]) != 0, [True]])
+            several = ~(new[:-1] & new[1:])
+            several[0] |= sig[at[0]] == joined
+            several[-1] |= not last  # the last group may go on
+            at = at[several]
+            if not len(at):
+                return
+            at = at[np.lexsort((mark[at], sets[at], sig[at]))]
             sig, sets, mark = sig[at], sets[at], mark[at]
             again = np.zeros(len(at), bool)
             again[1:] = (sig[1:] == sig[:-1]) & (sets[1:] == sets[:-1]) & (mark[1:] == mark[:-1])
@@ -235,7 +254,7 @@ def shared_only(rows: DataFrame) -> DataFrame:
             if joined is not None:
                 shared[0] |= sig[0] == joined
             sizes = ends - starts
-            if not last:  # the last group may go on
+            if not last:
                 open_from = int(starts[-1])
                 if sizes[-1] < COST_CAP or not shared[-1]:
                     held = table.take(pa.array(at[open_from:])).combine_chunks().to_batches()
@@ -370,7 +389,8 @@ def finer(state: DataFrame, sets: DataFrame) -> DataFrame:
     state: the members of signatures that sets ask for, with `costly` where the asking set is to be treated here. Sets
     that could meet one of those give all their shingles, apart for each size band; a costly one asks for as many
     as it needs pigeonholes, those that no other set has being free and the rarest of the rest taken. What
-    many sets share, like a passage they all quote, is left out unless it is most of a set."""
+    many sets share, like a passage they all quote, is left out unless it is most of a set. Rows have the sketch of
+    their set as well."""
     wanted = state.groupBy("sig").agg(F.bool_or("costly").alias("any")).filter("any").select("sig")
     parts = state.join(wanted, "sig").groupBy("set").agg(F.bool_or("costly").alias("costly"))
     items = sets.join(parts, "set").select("set", "costly", "items")
@@ -397,9 +417,18 @@ def finer(state: DataFrame, sets: DataFrame) -> DataFrame:
     asks = asking.select("item", "set", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band")).select(key(F.col("band")), "set", F.lit(True).alias("asks"))
     rows = spelled.select(key(F.col("band")), "set", F.lit(False).alias("asks")).union(asks).groupBy("sig", "set").agg(F.bool_or("asks").alias("asks"))
     rows = rows.withColumn("any", F.bool_or("asks").over(Window.partitionBy("sig"))).filter("any").drop("any")
-    sizes = free.join(spelled.select("set", "n", "band").distinct(), "set")
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            drawn = [sketch(np.frombuffer(raw, np.uint64)) for raw in batch.column(1).to_pylist()]
+            flat = pa.array(np.concatenate(drawn) if drawn else np.zeros(0, np.int64))
+            ends = pa.array(np.arange(len(drawn) + 1, dtype=np.int32) * SKETCH_WORDS)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, flat)], ["set", "sketch"])
+
+    sketches = items.select("set", "items").mapInArrow(tidied(draw), "set bigint, sketch array<bigint>")
+    sizes = free.join(spelled.select("set", "n", "band").distinct(), "set").join(sketches, "set")
     return rows.join(sizes, "set").select("sig", "set", "asks", "n", (F.col("n") - F.col("lonely")).alias("most"), "band",
-                                          F.col("lonely").alias("alone"), F.col("lonely").alias("below"))
+                                          F.col("lonely").alias("alone"), F.col("lonely").alias("below"), "sketch")
 
 
 class _Search:
@@ -428,23 +457,29 @@ class _Search:
     def with_one(self, state: DataFrame) -> None:
         """Compare the sets of each signature with one of them: first the one with least of its own, then any."""
         order = F.col("alone") if self.number == 0 else F.xxhash64("set", F.lit(self.number)).alias("alone")
-        hubs = state.groupBy("sig").agg(F.min(F.struct(order.alias("o"), *_FACTS)).alias("hub"))
+        hubs = state.groupBy("sig").agg(F.min(F.struct(order.alias("o"), *_facts(state))).alias("hub"))
         self.compare(_others(state, hubs.select("sig", "hub.*")).filter(F.col("asks") | F.col("calls")).select("a", F.col("set").alias("b")))
 
     def one_by_one(self, state: DataFrame) -> None:
         """Compare every set that asks with the others of the signature that are not connected with it."""
-        self.compare(_others(state, state.filter("asks").select("sig", *_FACTS)).select("a", F.col("set").alias("b")))
+        self.compare(_others(state, state.filter("asks").select("sig", *_facts(state))).select("a", F.col("set").alias("b")))
 
 
-_FACTS = ["set", "n", "root", "asks", "most", "band", "alone", "below"]
+def _facts(state: DataFrame) -> list[str]:
+    return [c for c in ("set", "n", "root", "asks", "most", "band", "alone", "below", "sketch") if c in state.columns]
 
 
 def _others(state: DataFrame, some: DataFrame) -> DataFrame:
-    """Members of signatures with the given sets of the same signature, as a, that may be similar and are not connected."""
+    """Members of signatures with the given sets of the same signature, as a, that may be similar and are not connected.
+    Where both have sketches, these may differ in 1/7 of both sizes as well."""
     names = {"set": "a", "n": "m", "root": "other", "asks": "calls", "most": "other_most", "band": "other_band",
-             "alone": "other_alone", "below": "other_below"}
-    some = some.select("sig", *[F.col(old).alias(new) for old, new in names.items()])
-    return state.join(some, "sig").filter((F.col("root") != F.col("other")) & _fitting())
+             "alone": "other_alone", "below": "other_below", "sketch": "other_sketch"}
+    some = some.select("sig", *[F.col(old).alias(new) for old, new in names.items() if old in some.columns])
+    fitting = (F.col("root") != F.col("other")) & _fitting()
+    if "sketch" in state.columns:
+        bits = F.zip_with("sketch", "other_sketch", lambda a, b: F.bit_count(a.bitwiseXOR(b)))
+        fitting &= 7 * F.aggregate(bits, F.lit(0), lambda total, n: total + n) <= F.col("n") + F.col("m")
+    return state.join(some, "sig").filter(fitting)
 
 
 def similar_links(docs: DataFrame, shared: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame | None:

@@ -165,3 +165,29 @@ def test_one_of_each_group_stays(spark):
     kept = jj.without_near_duplicates(df)
     assert kept.columns == df.columns
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([0, 3, 3, 4, 5, 6, None, None], key=str)  # 3 has two texts
+
+
+def test_sketches_differ_in_no_more_bits_than_sets():
+    rng = np.random.default_rng(5)
+    for n, other in ((1, 1), (30, 12), (200, 30), (5000, 900)):
+        a, b = (rng.integers(0, 2**63, size, dtype=np.uint64) for size in (n, n + other))
+        b[:n - other // 2] = a[:n - other // 2]
+        apart = int(np.bitwise_count(jj.sketch(a).view(np.uint64) ^ jj.sketch(b).view(np.uint64)).sum())
+        assert apart <= len(np.setxor1d(a, b))
+
+
+def test_sets_that_meet_but_differ_too_much_make_no_pairs(spark):
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**63, 200, dtype=np.uint64)
+    rows = []
+    for name in range(60):  # any two share 120 to 130 of 200, but the last is like the first
+        values = base.copy()
+        values[rng.permutation(200)[:45]] = rng.integers(0, 2**63, 45, dtype=np.uint64)
+        if name == 59:
+            values = first.copy()
+            values[:20] = rng.integers(0, 2**63, 20, dtype=np.uint64)
+        first = values if name == 0 else first
+        rows.append((1, name, True, 200, 200, 13, 0, 0, name, jj.sketch(values).tolist()))
+    state = spark.createDataFrame(rows, "sig bigint, set bigint, asks boolean, n int, most int, band int, alone int, below int, root bigint, sketch array<bigint>")
+    met = jj._others(state, state.filter("asks").select("sig", *jj._facts(state)))
+    assert sorted((r.a, r.set) for r in met.select("a", "set").collect()) == [(0, 59), (59, 0)]
