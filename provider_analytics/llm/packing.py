@@ -23,7 +23,7 @@ from .common import tidied
 
 _CACHE_PARTS, _CACHE_TOKENS = 500_000, 6_000_000
 #: Letters whose words are looked up in lower case, and marks that may stand behind such a word.
-_LETTERS, _MARKS = "a-zA-ZÀ-ÖØ-öø-ÿ", ".,"
+_LETTERS, _MARKS = "a-zA-ZÀ-ÖØ-öø-ÿ", ".,:;!?()[]{}/*+-=#$%&@_~^\""
 _EACH_LETTER = "".join(c for c in map(chr, range(256)) if re.match(f"[{_LETTERS}]", c))
 
 
@@ -31,7 +31,8 @@ class ChunkTokenizer:
     """Token ids of whole texts, by way of the chunks between blanks, each distinct one of a batch looked up once.
 
     The tokenizer never joins characters across a blank, so a text's ids are those of its chunks in order. Latin letters
-    with dots or commas behind them are a lower-case word and a run of marks, which the tokenizer separates as well. A
+    with marks behind them are a lower-case word and a run of marks, which the tokenizer separates as well; apostrophes
+    and what special tokens are written with are no such marks. A
     part is a word, a run of marks or any other chunk; a chunk is two parts, the second mostly the empty one. Ids of
     parts are remembered; the memory is emptied when large. `last` ends every text."""
 

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.skew import scratch_path
+from .common import BATCH_ROWS, batches_of
 from .packing import ChunkTokenizer
 
 MAGIC = b"WVMATRX1"
@@ -244,7 +245,9 @@ def write_shards(docs: DataFrame, tokenizer: str, last: int | None, id_col: str
     ranged = tied.repartitionByRange(*order).sortWithinPartitions("id", "hash", "text", "at").select("id", "text")
     made = ranged.mapInArrow(emit, "part int, number int, start bigint, tokens bigint, documents bigint, file binary")
     path = scratch_path(spark, "wavelet-files")
+    batches_of(spark, 4 * BATCH_ROWS)  # a chunk is looked up once a batch
     made.write.option("parquet.block.size", _ROW_GROUP).parquet(path)
+    batches_of(spark, BATCH_ROWS)
     files = spark.read.schema(made.schema).parquet(path)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each task that wrote
     parts = files.groupBy("part").agg(F.sum("tokens").alias("t"), F.count("*").alias("n")).select(

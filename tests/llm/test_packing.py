@@ -115,3 +115,11 @@ def test_query(spark):
         assert len(part) == r.length and r.ids_crc32 == zlib.crc32(part.tobytes()) and r.doc_tokens == len(ids[r.doc_id])
     check([(len(ids[d]), None) for d in range(len(ids))], packing.Limits(),
           [(r.doc_id, r.start, r.length, r.doc_tokens, r.sequence_id, r.offset) for r in rows])
+
+
+def test_marks_behind_words_are_remembered_apart():
+    encoder = packing.ChunkTokenizer(tokenizer_path(), None)
+    plain = Tokenizer.from_file(tokenizer_path())
+    texts = ["Cat%%% dog%%% cat: (dog) x<|endoftext|> it's= a_b", "dog### cat!? éa$$$ don't' <|endoftext|>!"]
+    assert [ids.tolist() for ids in encoder(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert {"cat", "dog", "%%%", "###"} <= encoder.part.keys() and not {"Cat%%%", "dog%%%", "dog###"} & encoder.part.keys()
