@@ -106,19 +106,28 @@ def labels(taxonomy: DataFrame, terms: DataFrame) -> DataFrame:
             F.struct(F.lit(1).alias("section"), F.coalesce("plain_language_name", F.lit("")).alias("label")),
             F.struct(F.lit(2).alias("section"), F.replace("slug", F.lit("-"), F.lit(" ")).alias("label")),
         )),
-    ).withColumn("weight", F.lit(0)).withColumn("normalized", normalize_query(F.col("label")))
+    ).withColumn("weight", F.lit(0)).withColumn("_text", F.col("label"))
     more = terms.join(taxonomy.select("service_id"), "service_id").select(
         "service_id", F.when(F.col("term_type") == "intent", "intent").otherwise("alias").alias("kind"), F.lit(3).alias("section"),
         F.col("term").alias("label"), F.col("weight").cast("int").alias("weight"),
-        normalize_query(F.coalesce(F.nullif("normalized_term", F.lit("")), F.col("term"))).alias("normalized"),
+        F.coalesce(F.nullif("normalized_term", F.lit("")), F.col("term")).alias("_text"),
     )
-    return own.unionByName(more).filter("normalized <> ''")
+    # Written before they are normalised: else the filter goes below the grouping the labels come from, to every raw row.
+    listed = settle(own.unionByName(more), "listed").withColumn("normalized", normalize_query(F.col("_text")))
+    return listed.select(*own.columns[:-1], "normalized").filter("normalized <> ''")
 
 
-def _words(texts: DataFrame, key: str) -> DataFrame:
-    """Word positions of distinct normalised texts, with the number of words."""
-    listed = texts.select(key).withColumn("_t", service_tokens(F.col(key)))
-    return listed.select(key, F.size("_t").alias("_words"), F.posexplode("_t").alias("_at", "token"))
+def asked_texts(queries: DataFrame) -> DataFrame:
+    """(query, q): the different queries with their normal form, those that have none left out. Each is normalised once;
+    they are written before, as the filter would go below their grouping otherwise, to every raw row."""
+    raw = settle(queries.select("query").distinct(), "queries")
+    return settle(raw.withColumn("q", normalize_query(F.col("query"))).filter("q <> ''"), "asked")
+
+
+def _words(texts: DataFrame, key: str, name: str | None = None) -> DataFrame:
+    """Word positions of distinct normalised texts, with the number of words; `name` stands for the text if given."""
+    listed = texts.select(F.col(name or key), service_tokens(F.col(key)).alias("_t"))
+    return listed.select(name or key, F.size("_t").alias("_words"), F.posexplode("_t").alias("_at", "token"))
 
 
 def _vocabulary(texts: DataFrame, key: str) -> DataFrame:
@@ -127,21 +136,26 @@ def _vocabulary(texts: DataFrame, key: str) -> DataFrame:
     return _words(texts, key).select("token").unionByName(single).distinct()
 
 
+def _numbered(texts: DataFrame, key: str, number: str) -> DataFrame:
+    """The different texts, each with a number that stands for it wherever rows are dealt by words."""
+    return settle(texts.select(key).distinct().withColumn(number, F.monotonically_increasing_id()), "numbered")
+
+
 def token_similarity(queries: DataFrame, candidates: DataFrame, typos: DataFrame, groups: DataFrame) -> DataFrame:
     """(q, c, similarity): weighted share of words of either text that have a match in the other, for every pair with
     at least one match. Where only pairs from a similarity on are wanted, similar_texts finds these."""
-    q, c = _words(queries, "q"), _words(candidates, "c")
+    asked, named = _numbered(queries, "q", "_q"), _numbered(candidates, "c", "_c")
+    q, c = _words(asked, "q", "_q"), _words(named, "c", "_c")
     match = typos.select("l", "r").unionByName(groups.select("l", "r")).distinct()
-    left = q.select("q", F.col("_words").alias("_qn"), F.col("_at").alias("_qa"), F.col("token").alias("l"))
-    right = c.select("c", F.col("_words").alias("_cn"), F.col("_at").alias("_ca"), F.col("token").alias("r"))
+    left = q.select("_q", F.col("_words").alias("_qn"), F.col("_at").alias("_qa"), F.col("token").alias("l"))
+    right = c.select("_c", F.col("_words").alias("_cn"), F.col("_at").alias("_ca"), F.col("token").alias("r"))
     same = left.join(right, F.col("l") == F.col("r"))
     close = left.join(match, "l").join(right, "r")
-    columns = ["q", "c", "_qn", "_cn", "_qa", "_ca"]
+    columns = ["_q", "_c", "_qn", "_cn", "_qa", "_ca"]
     found = same.select(*columns).unionByName(close.select(*columns))
-    counted = found.groupBy("q", "c", "_qn", "_cn").agg(F.count_distinct("_qa").alias("_qm"), F.count_distinct("_ca").alias("_cm"))
-    return counted.select(
-        "q", "c", (F.col("_qm") / F.col("_qn") * _OF_QUERY + F.col("_cm") / F.col("_cn") * _OF_LABEL).alias("similarity")
-    )
+    counted = found.groupBy("_q", "_c", "_qn", "_cn").agg(F.count_distinct("_qa").alias("_qm"), F.count_distinct("_ca").alias("_cm"))
+    similarity = F.col("_qm") / F.col("_qn") * _OF_QUERY + F.col("_cm") / F.col("_cn") * _OF_LABEL
+    return counted.select("_q", "_c", similarity.alias("similarity")).join(named, "_c").join(asked, "_q").select("q", "c", "similarity")
 
 
 #: Weights of the two shares of a similarity, and in how many steps the label's is told before the join.
@@ -155,34 +169,36 @@ def similar_texts(queries: DataFrame, candidates: DataFrame, typos: DataFrame, g
     the query matches; there, no more words of either text can match than those it has from that word on. What these
     counts allow of a similarity, known on both sides before the join, has to reach `least`, so a word that many
     labels have brings only texts together that are nearly nothing but such words. Pairs are then counted whole."""
-    q, c = _words(queries, "q"), _words(candidates, "c")
+    texts, named = _numbered(queries, "q", "_q"), _numbered(candidates, "c", "_c")
+    q, c = _words(texts, "q", "_q"), _words(named, "c", "_c")
     vocabulary = settle(c.groupBy("token").agg(F.count("*").alias("_df")), "label-words")
     asked = q.select("token").distinct()
     edges = asked.join(vocabulary, "token").select(F.col("token").alias("l"), F.col("token").alias("r")).unionByName(
         asked.withColumnRenamed("token", "l").join(typos.select("l", "r").unionByName(groups.select("l", "r")), "l")).distinct()
     edges = edges.join(vocabulary.withColumnRenamed("token", "r"), "r").select("l", F.struct("_df", F.col("r").alias("word")).alias("_key"))
-    keys = settle(q.select("q", F.col("_words").alias("_qn"), F.col("_at").alias("_qa"), F.col("token").alias("l")).join(edges, "l").drop("l"), "query-keys")
-    held = settle(c.join(vocabulary, "token").select("c", F.col("_words").alias("_cn"), F.struct("_df", F.col("token").alias("word")).alias("_key")), "label-keys")
+    keys = settle(q.select("_q", F.col("_words").alias("_qn"), F.col("_at").alias("_qa"), F.col("token").alias("l")).join(edges, "l").drop("l"), "query-keys")
+    held = settle(c.join(vocabulary, "token").select("_c", F.col("_words").alias("_cn"), F.struct("_df", F.col("token").alias("word")).alias("_key")), "label-keys")
 
     from_here = lambda text: Window.partitionBy(text).orderBy(F.col("_key").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    commonest = keys.groupBy("q", "_qn", "_qa").agg(F.max("_key").alias("_key")).select("q", "_qn", "_key", F.lit(1).alias("_one"))
-    points = keys.select("q", "_qn", "_key").distinct().withColumn("_one", F.lit(0)).unionByName(commonest)
-    most = points.withColumn("_most", F.sum("_one").over(from_here("q"))).filter("_one = 0")
+    commonest = keys.groupBy("_q", "_qn", "_qa").agg(F.max("_key").alias("_key")).select("_q", "_qn", "_key", F.lit(1).alias("_one"))
+    points = keys.select("_q", "_qn", "_key").distinct().withColumn("_one", F.lit(0)).unionByName(commonest)
+    most = points.withColumn("_most", F.sum("_one").over(from_here("_q"))).filter("_one = 0")
     lacking = least - 1e-9 - _OF_QUERY * F.col("_most") / F.col("_qn")
     first = F.greatest(F.lit(0), F.floor(lacking / _OF_LABEL * _STEPS)).cast("int")
     asks = most.withColumn("_first", first).filter(F.col("_first") <= _STEPS).select(
-        "q", "_key", F.explode(F.sequence(F.col("_first"), F.lit(_STEPS))).alias("_step"))
-    share = F.count("*").over(from_here("c")) / F.col("_cn")
-    gives = held.withColumn("_step", F.floor(share * _STEPS + 1e-9).cast("int")).select("c", "_key", "_step").distinct()
-    pairs = settle(asks.join(gives, ["_key", "_step"]).select("q", "c").distinct(), "pairs")
-
-    query_side = keys.groupBy("q", "_qn").agg(F.collect_list(F.struct("_qa", F.col("_key.word").alias("word"))).alias("_asked"))
-    label_side = held.groupBy("c", "_cn").agg(F.collect_list("_key.word").alias("_held"))
-    both = pairs.join(label_side, "c").join(query_side, "q")
+        "_q", "_key", F.explode(F.sequence(F.col("_first"), F.lit(_STEPS))).alias("_step"))
+    share = F.count("*").over(from_here("_c")) / F.col("_cn")
+    gives = held.withColumn("_step", F.floor(share * _STEPS + 1e-9).cast("int")).select("_c", "_key", "_step").distinct()
+    pairs = settle(asks.join(gives, ["_key", "_step"]).select("_q", "_c").distinct(), "pairs")
+
+    query_side = keys.groupBy("_q", "_qn").agg(F.collect_list(F.struct("_qa", F.col("_key.word").alias("word"))).alias("_asked"))
+    label_side = held.groupBy("_c", "_cn").agg(F.collect_list("_key.word").alias("_held"))
+    both = pairs.join(label_side, "_c").join(query_side, "_q")
     met = F.size(F.array_distinct(F.transform(F.filter("_asked", lambda a: F.array_contains("_held", a["word"])), lambda a: a["_qa"])))
     answered = F.size(F.filter("_held", lambda w: F.array_contains(F.col("_asked.word"), w)))
     similarity = met / F.col("_qn") * _OF_QUERY + answered / F.col("_cn") * _OF_LABEL
-    return both.select("q", "c", similarity.alias("similarity")).filter(F.col("similarity") >= least)
+    close = both.select("_q", "_c", similarity.alias("similarity")).filter(F.col("similarity") >= least)
+    return close.join(named, "_c").join(texts, "_q").select("q", "c", "similarity")
 
 
 def prefix_pairs(queries: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -246,8 +262,7 @@ def rank_services(queries: DataFrame, taxonomy: DataFrame, terms: DataFrame, lim
 
     queries: query. taxonomy: searchable canonical services with plain_language_name. Equal queries after
     normalisation are scored once."""
-    asked = queries.select("query", normalize_query(F.col("query")).alias("q")).filter("q <> ''").distinct()
-    asked = settle(asked, "asked")
+    asked = asked_texts(queries)
     named = settle(labels(taxonomy, terms).withColumnRenamed("normalized", "c"), "labels")
     scores = score_candidates(
         asked.select("q").distinct(), named.select("c", "kind").distinct(), equivalent_tokens(taxonomy.sparkSession)
@@ -272,7 +287,7 @@ def rank_services(queries: DataFrame, taxonomy: DataFrame, terms: DataFrame, lim
 
 def resolve_service(queries: DataFrame, taxonomy: DataFrame, terms: DataFrame) -> DataFrame:
     """The one service a query means; generic queries mean none."""
-    useful = queries.select("query").distinct().filter(~is_generic_query(F.col("query")))
+    useful = settle(queries.select("query").distinct(), "queries").filter(~is_generic_query(F.col("query")))
     return rank_services(useful, taxonomy, terms, 1).drop("place")
 
 
@@ -334,11 +349,11 @@ def autocomplete(queries: DataFrame, services: DataFrame, terms: DataFrame, limi
     begin, or are begun by, a word of the label (two thirds at least).
 
     queries: query. services: service_id, name, slug. terms: service_id, term."""
-    asked = queries.select(normalize_query(F.col("query")).alias("q")).filter("length(q) >= 2").distinct()
+    asked = asked_texts(queries).select("q").distinct().filter("length(q) >= 2")
     own = services.select("service_id", F.col("name").alias("label"), F.lit(0).alias("_section"))
-    named = own.unionByName(terms.join(services.select("service_id"), "service_id").select(
-        "service_id", F.col("term").alias("label"), F.lit(1).alias("_section"))).withColumn("c", normalize_query(F.col("label")))
-    named = named.filter("c <> ''")
+    listed = settle(own.unionByName(terms.join(services.select("service_id"), "service_id").select(
+        "service_id", F.col("term").alias("label"), F.lit(1).alias("_section"))), "listed")
+    named = settle(listed.withColumn("c", normalize_query(F.col("label"))).filter("c <> ''"), "labels")
     plain = named.select("c").distinct()
     contained = contained_pairs(asked, plain).select(
         "q", "c", F.when(F.col("q") == F.col("c"), 100).when(F.col("c").startswith(F.col("q")), 85).otherwise(75).alias("score")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import SERVICE_STOP_WORDS, normalize_query
+from ..functions.text import SERVICE_STOP_WORDS
 from ..operators import search
+from ..operators.skew import settle
 from ..operators.taxonomy import searchable
 from .registry import query
 
@@ -68,8 +69,8 @@ def inputs(d):
 
 def distinct_texts(d):
     queries, tax, terms = inputs(d)
-    q = queries.select(normalize_query(F.col("query")).alias("q")).filter("q <> ''").distinct()
-    named = search.labels(tax, terms).withColumnRenamed("normalized", "c")
+    q = search.asked_texts(queries).select("q").distinct()
+    named = settle(search.labels(tax, terms).withColumnRenamed("normalized", "c"), "labels")
     return q, named
 
 
