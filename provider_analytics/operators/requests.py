@@ -86,7 +86,9 @@ def fan_out_recipients(requests: DataFrame, targets: DataFrame, providers: DataF
         F.when(verified, F.coalesce(F.nullif("owner_email", F.lit("")), public)).otherwise(public).alias("recipient_email"),
         F.coalesce(verified, F.lit(False)).alias("is_verified"),
     )
-    chosen = targets.select(F.col("submission_id").alias("request_id"), "provider_id").distinct()
+    # The first of equal ticks by one sort, which the join goes on with: a distinct would hold all rows in two hash tables besides.
+    ticked = targets.select(F.col("submission_id").alias("request_id"), "provider_id")
+    chosen = top_per_group(ticked, ["request_id", "provider_id"], [F.col("provider_id")], 1)
     return requests.select("request_id").join(chosen, "request_id").join(live, "provider_id").withColumn("status", F.lit("pending"))
 
 

@@ -3,6 +3,7 @@
 import re
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from provider_analytics.operators import extraction, requests
@@ -39,3 +40,26 @@ def test_records_of_a_batch_are_handed_on_in_parts():
     parts = list(extraction._batches(lambda p: {"n": len(p)}, ["n"])(iter([batch])))
     assert max(len(p) for p in parts) <= 5 and list(pd.concat(parts)["page_id"]) == list(range(24))
     assert list(pd.concat(parts)["n"]) == [200_000] * 23 + [0]
+
+
+@pytest.fixture()
+def dealt(spark):
+    """Plans as large tables have them."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_equal_ticks_are_found_without_hash_tables(spark, dealt):
+    asked = spark.createDataFrame([(1,), (2,), (2,), (None,)], "request_id bigint")
+    ticks = spark.createDataFrame([(1, 5, 0), (1, 5, 1), (1, 6, 2), (2, 5, 0), (3, 5, 0), (None, 5, 0), (2, None, 1), (1, 7, 3)], "submission_id bigint, provider_id bigint, pos int")
+    providers = spark.createDataFrame(
+        [(5, "a", "published", "a@x.it", "A@y.it", "verified"), (6, "b", "published", "", "B@y.it", None), (7, "c", "draft", "c@x.it", None, None)],
+        "provider_id bigint, full_name string, status string, email string, owner_email string, profile_status string")
+    out = requests.fan_out_recipients(asked, ticks, providers)
+    assert "HashAggregate" not in dealt(out)
+    assert sorted((r.request_id, r.provider_id, r.recipient_email) for r in out.collect()) == [(1, 5, "A@y.it"), (1, 6, None), (2, 5, "A@y.it"), (2, 5, "A@y.it")]
