@@ -177,7 +177,8 @@ def case_snapshot(requests: DataFrame, targets: DataFrame, properties: DataFrame
     ids = targets.groupBy("request_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("place", "provider_id"))), lambda t: t["provider_id"]).alias("selected_notary_ids")
     )
-    held = properties.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct(*PROPERTY_FIELDS))).alias("properties_snapshot"))
+    # Dealt as plain rows: what is the same in all of them is added after, and lists are made only once.
+    held = properties.repartition("request_id").groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct(*PROPERTY_FIELDS))).alias("properties_snapshot"))
     rows = requests.join(ids, "request_id", "left").join(held, "request_id", "left").withColumn("intake", F.struct(*intake))
     keys = set(rows.schema["intake"].dataType.fieldNames())
     given = lambda name: [F.col(f"intake.{name}")] if name in keys else []

@@ -155,13 +155,19 @@ def _(d):
 _LINKS = "SELECT DISTINCT l_orderkey AS request_id, l_orderkey * 10 + l_linenumber AS property_id FROM lineitem"
 
 
+def _links(d):
+    """_LINKS, dealt once and by the property, as which they are joined."""
+    links = d.lineitem.select(F.col("l_orderkey").alias("request_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("property_id"))
+    return links.repartition("property_id").distinct()
+
+
 @query(
     "properties_for_request",
     f"""SELECT l.request_id, p.property_id, p.nickname FROM (SELECT DISTINCT request_id, property_id FROM ({_LINKS}) x) l JOIN requests q ON q.request_id = l.request_id
         JOIN client_properties p ON p.property_id = l.property_id AND lower(p.owner_email) = lower(q.requester_email) WHERE p.status = 'active' AND p.shareable""",
 )
 def _(d):
-    return rq.properties_for_request(d.sql(_LINKS), d.client_properties, d.requests).select("request_id", "property_id", "nickname")
+    return rq.properties_for_request(_links(d), d.client_properties, d.requests).select("request_id", "property_id", "nickname")
 
 
 _PROPERTY = """concat('{"id":', property_id, ',"nickname":"', nickname, '","comune":"', comune, '"', CASE WHEN foglio IS NULL THEN '' ELSE concat(',"foglio":"', foglio, '"') END,
@@ -183,7 +189,7 @@ def _(d):
         "request_id", F.lit(" ").alias("urgency"), F.when(F.col("request_id") % 2 == 0, F.col("request_id").cast("string")).alias("property_value"),
         none.alias("parties"), F.lit("yes").alias("documents_ready"), F.lit("home").alias("intake_profile"), "message",
     )
-    p = d.sql(_LINKS).join(d.client_properties, "property_id").select(
+    p = _links(d).join(d.client_properties, "property_id").select(
         "request_id", F.col("property_id").alias("id"), "nickname", none.alias("address"), "comune", none.alias("province"), "foglio", "particella",
         none.alias("subalterno"), none.alias("sezione"), F.col("categoria").alias("categoria_catastale"), F.col("rendita").alias("rendita_catastale"),
         none.alias("quota_possesso"), F.array(F.lit("mutuo")).alias("usable_for"), F.lit("user").alias("data_source"),
