@@ -54,3 +54,15 @@ def test_a_search_without_answers_has_no_rows(spark):
     rows = spark.createDataFrame([(1, "abc")], "key bigint, name string")
     found = filters.search_texts(requests, rows, "key", ["name"])
     assert found.count() == 0 and found.columns == ["request_id", "key"]
+
+
+def test_a_row_becomes_one_block_of_rows_at_a_time(spark, small_blocks):
+    requests = spark.range(40).select(F.col("id").alias("request_id"), F.lit("7").alias("term"))
+    rows = spark.range(50).select(F.col("id").alias("key"), F.lit("n7").alias("name"))
+    found = filters.search_texts(requests, rows, "key", ["name"])
+    plan = [line.strip(" +-:") for line in found._jdf.queryExecution().executedPlan().toString().splitlines()]
+    made = [i for i, line in enumerate(plan) if "Generate explode(_" in line]
+    # Both lists in one piece of generated code would hold all rows of a meeting, 16 times 16, before one is taken.
+    assert len(made) == 2 and any("Coalesce" in line for line in plan[made[0]:made[1]])
+    tasks = lambda df: len({r[0] for r in df.select(F.spark_partition_id()).distinct().collect()})
+    assert found.count() == 40 * 50 and tasks(found) > 4
