@@ -7,6 +7,8 @@ import random
 from pyspark.sql import functions as F
 
 from provider_analytics.functions.geo import distance_km
+from provider_analytics.functions.phones import street_number
+from provider_analytics.functions.text import address_tokens, name_tokens, normalize_query
 from provider_analytics.operators import linkage
 
 _SCHEMA = "name string, phone string, address string, comune string, lat double, lng double"
@@ -78,3 +80,14 @@ def test_a_listing_looks_only_into_cells_that_are_near(spark):
             assert (cell(lat + 1.999 / 111.195 * up), cell(lng + 1.999 / 111.195 * aside)) in cells[i]
     box = lambda lat: 3 * (2 * math.ceil(2.02 / 111.19 / linkage._CELL / math.cos(math.radians(lat))) + 1)
     assert sum(len(cells[i]) for i, _, _ in rows) < 0.8 * sum(box(lat) for _, lat, _ in rows)
+
+
+def test_texts_of_a_row_are_normalised_once(spark):
+    texts = ["Notaio Anna  ROSSI-Verdi", "Via Dante, 3/b  Milano", "Perché 12345 Łódź 7 a", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("n", normalize_query(F.col("t")))
+    pairs = [(name_tokens(F.col("t")), name_tokens(F.col("n"), normal=True)), (address_tokens(F.col("t")), address_tokens(F.col("n"), normal=True)),
+             (street_number(F.col("t")), street_number(F.col("n"), normal=True))]
+    assert all(df.filter(~a.eqNullSafe(b)).count() == 0 for a, b in pairs)
+    rows = spark.createDataFrame([(1, "Anna Rossi", "02 123456", "Via Dante 3", "Milano", 45.4, 9.2)], "id bigint, " + _SCHEMA)
+    plan = linkage.prepare(rows, "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == 3
